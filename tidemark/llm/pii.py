@@ -89,6 +89,14 @@ def matches(text: Column, kind: str) -> Column:
     return F.aggregate(steps, start, step, lambda state: state["out"])
 
 
+def _ranked(rank: int):
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))
+
+
+def _is(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def spans(text: Column) -> Column:
     """array<struct<start,rank,kind,end>> of all kinds, by start, then kind as listed."""
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
@@ -97,7 +105,7 @@ def spans(text: Column) -> Column:
     for rank, kind in enumerate(KINDS):
         may = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike(PATTERNS[kind]) if kind in ("key", "iban", "ip") else digit
         got = F.when(may, matches(text, kind)).otherwise(empty)
-        every.append(F.transform(got, lambda x, r=rank: F.struct(x["start"].alias("start"), F.lit(r).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))))
+        every.append(F.transform(got, _ranked(rank)))
     return F.array_sort(F.concat(*every))
 
 
@@ -147,7 +155,7 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
 
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     s = F.col("pii_spans")
-    counts = [F.size(F.filter(s, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter(s, _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
     base = joined(F.filter(s, lambda x: x["rank"] < len(BASE)))
     top = F.coalesce(F.array_max(F.transform(s, lambda x: x["score"])), F.lit(0.0))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(s).alias("spans"), top.alias("max_score"))

@@ -77,7 +77,6 @@ def judge(text: str | None, zip_: zstandard.ZstdCompressor) -> tuple:
     return len(words), word_chars, sum(map(text.count, SYMBOLS)), dup, repeat, whole, bad, not failed and low <= whole <= high and bad <= BAD_CHUNKS, failed
 
 
-@F.arrow_udf(SPARK_SCHEMA)
 def _judged(texts: pa.Array) -> pa.Array:
     zip_ = zstandard.ZstdCompressor(level=LEVEL)
     rows = list(zip(*(judge(t, zip_) for t in texts.to_pylist()), strict=True))
@@ -88,7 +87,7 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct `quality`: the counts, the compression ratios and `kept`. A null text counts as empty and fails;
     rows are judged alone, so repeated rows agree; a text's time and memory grow with its own length only."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("quality", _judged(F.col(text)))
+    return docs.withColumn("quality", F.arrow_udf(_judged, SPARK_SCHEMA)(F.col(text)))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

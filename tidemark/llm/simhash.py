@@ -36,15 +36,15 @@ def fingerprint(text: str | None, n: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-@F.arrow_udf("long")
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(t) for t in texts.to_pylist()], pa.int64())
-
-
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """docs with the SimHash of the text column."""
     small_batches(docs.sparkSession)
-    return docs.withColumn(out, _fingerprints(F.col(text)))
+
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t) for t in texts.to_pylist()], pa.int64())
+
+    return docs.withColumn(out, prints(F.col(text)))
 
 
 def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:

@@ -59,7 +59,6 @@ def spans(text: str | None, n_sentences: int = SENTENCES, n_words: int = WORDS)
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64())]))
 
 
-@F.arrow_udf("array<struct<start:int,n:int,h:long>>")
 def _spans(texts: pa.Array) -> pa.Array:
     return pa.array([[{"start": a, "n": n, "h": h} for a, n, h in spans(t)] for t in texts.to_pylist()], _SPANS)
 
@@ -67,7 +66,6 @@ def _spans(texts: pa.Array) -> pa.Array:
 _CUT = pa.struct([("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
 
 
-@F.arrow_udf("struct<text:string,n_sentences:long,n_removed:long>")
 def _cut(texts: pa.Array, covered: pa.Array) -> pa.Array:
     out = []
     for t, runs in zip(texts.to_pylist(), covered.to_pylist(), strict=True):
@@ -84,7 +82,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     stand at two places or more are joined back to the spans. A passage that a third of all documents share is one group
     of that aggregate and a skewed key of that join, which adaptive execution splits; no task gathers a passage's places."""
     small_batches(docs.sparkSession)
-    every = docs.select("doc_id", "_key", F.explode(_spans(F.col("text"))).alias("s")).select("doc_id", "_key", "s.start", "s.n", "s.h")
+    every = docs.select("doc_id", "_key", F.explode(F.arrow_udf(_spans, "array<struct<start:int,n:int,h:long>>")(F.col("text"))).alias("s")).select("doc_id", "_key", "s.start", "s.n", "s.h")
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"), F.col("_key").alias("k"), F.col("start").alias("at"))
     firsts = every.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     again = every.join(firsts, "h").where(place != F.col("first"))
@@ -99,7 +97,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     texts have no sentence and come back as they are; other columns stay. A document's runs are at most its sentences."""
     keyed = with_row_key(docs)
     runs = repeats(keyed.select("doc_id", "_key", "text")).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
-    out = keyed.join(runs, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_c", _cut(F.col("text"), F.col("runs")))
+    out = keyed.join(runs, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_c", F.arrow_udf(_cut, "struct<text:string,n_sentences:long,n_removed:long>")(F.col("text"), F.col("runs")))
     return out.withColumns({"text": F.col("_c.text"), "n_sentences": F.col("_c.n_sentences"), "n_removed": F.col("_c.n_removed")}).drop("_c", "_d", "_k", "_key", "runs")
 
 
