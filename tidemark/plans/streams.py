@@ -1,0 +1,83 @@
+"""Queries that run a stream over the tables to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import columns as C
+from tidemark.plans.registry import query
+from tidemark.plans.sql import div, r, sql
+from tidemark.sources import bars
+from tidemark.streaming import jobs
+
+LTZ = lambda c="ts": F.col(c).cast("timestamp")
+
+
+def stream(spark, df):
+    """A stream of a derived table's rows, through Parquet in the shared folder."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    path = f"{base.rstrip('/')}/source-{uuid.uuid4().hex}"
+    df = df.withColumn("ts", LTZ())
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def ticks(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*").select("event_id", LTZ().alias("ts"), F.col("event_type").alias("symbol"), "value")
+
+
+@query(
+    sql(f"""SELECT symbol, time_bucket(INTERVAL '60 minutes', ts) AS window_start, max(ts) AS ts, {r('arg_max(value, ts)', 'bid')}, {r('arg_max(value, ts) + 1', 'ask')}, count(*) AS updates FROM (SELECT event_type AS symbol, ts, value FROM events)
+    GROUP BY 1, 2 HAVING time_bucket(INTERVAL '60 minutes', max(ts)) + INTERVAL '60 minutes' <= (SELECT max(ts) - INTERVAL '2 minutes' FROM events)""")
+)
+def stream_latest_books(spark, d):
+    """Latest tick of each symbol in every closed window."""
+    t = ticks(spark, d).select("symbol", "ts", F.col("value").alias("bid"), (F.col("value") + 1).alias("ask"))
+    out = jobs.drain(jobs.latest_books(t, "60 minutes"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "ts")})
+
+
+@query(sql("""SELECT symbol, "interval", ts FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval", ts ORDER BY arrival) AS rn FROM candles_raw WHERE NOT (close <= 0 OR high < low OR volume < 0)) WHERE rn = 1"""))
+def stream_candle_ingest(spark, d):
+    """Valid candles, each key once."""
+    s = stream(spark, bars.damaged(bars.candles(spark, d)).select("symbol", "interval", "ts", "open", "high", "low", "close", "volume"))
+    return jobs.drain(jobs.fresh_candles(s, "60 days")).select("symbol", "interval", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(
+    sql(f"""SELECT p.symbol, p.ts, p.direction, {r('p.magnitude', 'magnitude')}, {r(div('n.close - c.close', 'c.close'), 'actual_magnitude')}, n.ts AS scored_at FROM predictions p JOIN candles_60 c ON p.symbol = c.symbol AND p.ts = c.ts JOIN candles_60 n ON n.symbol = p.symbol AND n.ts = p.ts + INTERVAL '60 minutes'""")
+)
+def stream_outcomes(spark, d):
+    """Predictions scored by the next candle as it comes."""
+    p = stream(spark, bars.predictions(spark, d).select("symbol", "ts", "direction", "magnitude"))
+    c = stream(spark, bars.candles(spark, d).select("symbol", "ts", "close"))
+    out = jobs.drain(jobs.scored_outcomes(p, c))
+    return out.withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("ts", "scored_at")})
+
+
+@query()
+def stream_volume_24h(spark, d):
+    s = stream(spark, bars.candles(spark, d).select("symbol", "ts", "volume"))
+    return jobs.drain(jobs.volume_24h(s)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query()
+def stream_drift(spark, d):
+    s = stream(spark, bars.predictions(spark, d).select("interval", "ts", "direction"))
+    return jobs.drain(jobs.drift_monitor(s))
+
+
+@query()
+def stream_circuit_breaker(spark, d):
+    e = bars.user_candles(spark, d).select(F.col("symbol").alias("portfolio"), "ts", F.sum("close").over(C.so_far("symbol")).alias("equity"))
+    return jobs.drain(jobs.circuit_breaker(stream(spark, e))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(sql("""SELECT 'events' AS source, max(ts) AS last_ts FROM events"""))
+def stream_freshness(spark, d):
+    out = jobs.drain(jobs.freshness(ticks(spark, d), "events"), "complete")
+    return out.select("source", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
