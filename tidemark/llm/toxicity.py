@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table
+from .common import held_out, small_batches, table, written
 
 #: Labelled rows that lexicon and weights are learned from, about; terms of the lexicon at most.
 ROWS, TERMS = 20_000, 4_000
@@ -60,10 +60,11 @@ class Levenshtein:
 
 
 class Lexicon:
-    """A trie of terms with weights, searched by automata."""
+    """A trie of terms with weights, searched by automata. A stem's node takes every word that goes on from it."""
 
-    def __init__(self, terms: dict[str, float]):
-        self.terms, self.root = terms, {}
+    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None):
+        self.terms, self.stems, self.root = terms, stems or {}, {}
+        self.stem_sizes = sorted({len(x) for x in self.stems}, reverse=True)
         for t in terms:
             node = self.root
             for c in t:
@@ -77,11 +78,17 @@ class Lexicon:
                 self.heads.setdefault(len(t) // 2, set()).add(t[: len(t) // 2])
                 self.tails.setdefault(len(t) - len(t) // 2, set()).add(t[len(t) // 2 :])
 
+    def weight(self, term: str) -> float:
+        return self.terms.get(term) or self.stems[term]
+
     def near(self, word: str, k: int = 1) -> tuple[str, int] | None:
-        """The nearest term within k edits and the edits, ties to the first in order; terms under 5 letters, and words of
-        under 5, match exactly only."""
+        """The term itself, else the longest stem that the word begins with (0 edits), else the nearest term within k edits
+        and the edits, ties to the first in order; terms under 5 letters, and words of under 5, match exactly only."""
         if word in self.terms:
             return word, 0
+        for n in self.stem_sizes:
+            if word[:n] in self.stems and len(word) >= n:
+                return word[:n], 0
         if len(word) < 5 or k < 1:
             return None
         if k == 1 and not (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())):
@@ -128,7 +135,7 @@ def features(text: str | None, match: Matcher) -> list[float]:
     exact = misspelled = quoted = directed = strongest = 0.0
     for i in hits:
         term, edits = match[words[i]]
-        w = match.lexicon.terms[term] * (0.5 if edits else 1.0)
+        w = match.lexicon.weight(term) * (0.5 if edits else 1.0)
         near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
         inside = False
         if quotable:
@@ -158,30 +165,44 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
-    """Terms that stand in toxic rows in at least three contexts (words before them) and in clean ones hardly ever.
+    """Terms that stand in toxic rows in more contexts (words before them) than chance gives, and in clean ones hardly ever.
 
     Contexts rather than rows are counted, so that copies of one document, or of a passage in it, count once: a term's
-    contexts must be a good part of its places. Weights grow with support. Counted over rows in one aggregate; what
-    comes to the driver is `terms` terms at most."""
+    contexts must be a good part of its places. Stems are beginnings of four to six letters that several such words share,
+    judged alike. Weights grow with support. Counted over rows in one aggregate; what comes to the driver is `terms` terms
+    and as many stems at most."""
     w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD.pattern), F.lit(0))
     pairs = F.transform(F.col("w"), lambda x, i: F.struct(x.alias("word"), F.when(i > 0, F.get(F.col("w"), i - 1)).otherwise("").alias("before")))
     each = rows.select("toxic", w.alias("w")).select("toxic", F.explode(pairs).alias("p")).select("toxic", "p.word", "p.before").where(F.length("word") >= 4)
     by = each.groupBy("word", "before").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") != 1).alias("good"))
     stats = by.groupBy("word").agg(F.count_if(F.col("bad") > 0).alias("contexts"), F.sum("bad").alias("places"), F.sum("good").alias("good"))
-    kept = stats.where((F.col("contexts") >= 3) & (F.col("contexts") >= 0.4 * F.col("places")) & (F.col("places") >= 12 * F.col("good")))
-    found = {r["word"]: min(1.0, 0.5 + r["contexts"] / 20) for r in kept.orderBy(F.desc("contexts"), "word").limit(terms).collect()}
-    return Lexicon({t: 0.8 for t in SEED_TERMS} | found)
+    stats = written(stats)
+    total = stats.agg(F.sum("places").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("words")).first()
+    if not total["bad"]:
+        return Lexicon(dict.fromkeys(SEED_TERMS, 0.8))
+    # so many contexts, all in toxic rows, that not one of the words would have them by chance
+    odds = math.log(1 + max(1, total["good"]) / total["bad"])
+    least = max(3, math.ceil(math.log(total["words"]) / odds))
+    apart = (F.col("contexts") >= 0.4 * F.col("places")) & (F.col("places") >= 12 * F.col("good"))
+
+    def weights(d: DataFrame) -> dict[str, float]:
+        return {r["word"]: min(1.0, 0.5 + r["contexts"] / 20) for r in d.orderBy(F.desc("contexts"), "word").limit(terms).collect()}
+
+    stem = F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda n: F.when(F.length("word") >= n, F.substring("word", F.lit(1), n))))
+    stems = stats.select(stem.alias("stem"), "contexts", "places", "good").where("stem IS NOT NULL").groupBy(F.col("stem").alias("word"))
+    stems = stems.agg(F.sum("contexts").alias("contexts"), F.sum("places").alias("places"), F.sum("good").alias("good"), F.count_if(F.col("contexts") > 0).alias("words"))
+    return Lexicon({t: 0.8 for t in SEED_TERMS} | weights(stats.where((F.col("contexts") >= least) & apart)), weights(stems.where((F.col("words") >= 3) & (F.col("contexts") >= 2 * least) & apart)))
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray | None = None, text: str = "text") -> DataFrame:
     """docs with `toxicity`: the features, or, given weights, the probability. Rows are scored alone."""
     small_batches(docs.sparkSession)
     kept: dict = {}
-    terms = lexicon.terms
+    terms, stems = lexicon.terms, lexicon.stems
 
     def rows(texts: pa.Array) -> np.ndarray:
         if "m" not in kept:
-            kept["m"] = Matcher(Lexicon(terms))
+            kept["m"] = Matcher(Lexicon(terms, stems))
         return np.array([features(t, kept["m"]) for t in texts.to_pylist()]).reshape(-1, FEATURES)
 
     if weights is None:
