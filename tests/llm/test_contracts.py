@@ -223,7 +223,7 @@ def test_substring(spark):
 def test_substring_against_brute_force(spark, rows, docs):
     places = defaultdict(list)
     for d, t, *_ in rows:
-        for start, n, h in substring.spans(t):
+        for start, n, h, _ in substring.spans((t or "").encode()):
             places[h].append((d if d is not None else 1 << 62, t, start, n))
     gone = defaultdict(set)
     for v in places.values():
@@ -231,9 +231,9 @@ def test_substring_against_brute_force(spark, rows, docs):
         for d, t, s, n in v:
             if (d, t, s) != first:
                 gone[d, t] |= set(range(s, s + n))
-    want = [(d, len(substring.sentences(t)), len(gone[d if d is not None else 1 << 62, t])) for d, t, *_ in rows]
-    same(substring.deduplicate(docs.select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed").collect(), want)
-    assert all("".join(substring.sentences(t)) == (t or "") for _, t, *_ in rows)
+    want = [(d, len(gone[d if d is not None else 1 << 62, t])) for d, t, *_ in rows]
+    same(substring.deduplicate(docs.select("doc_id", "text")).select("doc_id", "n_removed").collect(), want)
+    assert all(b"".join(substring.sentences((t or "").encode())) == (t or "").encode() for _, t, *_ in rows)
 
 
 def test_token_counts_against_the_tokenizers_library(docs, rows):
@@ -296,3 +296,82 @@ def test_quoted_terms_weigh_less():
     plain, quoted = toxicity.features("you are an idiot my friend", match), toxicity.features('the text has "idiot" in it', match)
     assert plain[0] > quoted[0] and quoted[2] > 0 and plain[3] > 0
     assert toxicity.features(None, match) == toxicity.features("", match) == [0.0] * toxicity.FEATURES
+
+
+def test_keep_first_handles_nulls_repeats_and_extra_columns(spark):
+    a, b, c = "one two three four five six", "quite another text that shares nothing", "a third text with words of its own"
+    rows = [(3, a, "x"), (1, a, "y"), (1, a, "z"), (2, b, "x"), (None, b, "n"), (None, c, "n"), (None, c, "m"), (4, "", "e"), (5, None, "e")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("1", a), ("2", b), ("4", ""), ("None", c)]
+    assert simhash.keep_first(spark.createDataFrame([], "doc_id long, text string, fp string")).count() == 0
+
+
+def test_empty_tables(spark):
+    from tidemark.llm import decontam
+
+    none = spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long")
+    assert simhash.near_duplicates(none).count() == 0
+    assert licenses.scan(none).count() == 0
+    assert substring.deduplicate(none).count() == 0
+    assert mixing.taken(mixing.sized(none)).count() == 0
+    assert pii.redact(none).count() == 0
+    assert tokens.counted(none).count() == 0
+    assert quality.judged(none).count() == 0
+    assert langid.identify(none, langid.train(none)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(none, *toxicity.train(none, labels)).count() == 0
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.leaks(none, items).count() == 0
+    some = spark.createDataFrame([(1, "a few words of text here", "s", "en", 9)], none.schema)
+    assert decontam.decontaminated(some, items).count() == 1
+
+
+def test_decontamination_finds_planted_and_edited_passages(spark):
+    from tidemark.llm import decontam
+
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = {r["item_id"]: decontam.words(r["text"]) for r in bench.collect()}
+    docs = {r["doc_id"]: decontam.words(r["text"]) for r in whole.select("doc_id", "text").collect()}
+    joined = {d: b" ".join(w) for d, w in docs.items()}
+    want = {(d, i) for i, w in items.items() for d, t in joined.items() if b" ".join(w) in t}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(whole, bench).collect()}
+    assert want <= got and len(got) <= len(want) + 2
+    # a paraphrase: every eighth word of an item replaced, within another text
+    text = next(r["text"] for r in bench.collect() if len(items[r["item_id"]]) >= 40).split()
+    text = ["zzz" if i % 8 == 3 else w for i, w in enumerate(text)]
+    host = next(t for t in joined.values() if 200 < len(t.split()) < 400).decode().split()
+    edited = spark.createDataFrame([(1, " ".join(host[:90] + text + host[90:])), (2, " ".join(host)), (3, ""), (4, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in decontam.leaks(whole.select("doc_id", "text").where("doc_id > 900").withColumn("doc_id", whole["doc_id"] + 10_000).union(edited), bench).collect() if r["doc_id"] < 10} == {1}
+
+
+def test_toxicity_on_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    lexicon, weights = toxicity.train(docs, labels)
+    out = toxicity.scored(docs.join(labels, "doc_id").where(held_out(docs["doc_id"])), lexicon, weights).collect()
+    right = sum((r["toxicity"] >= 0.5) == (r["toxic"] == 1) for r in out)
+    assert right >= 0.97 * len(out) and all(0 <= r["toxicity"] <= 1 for r in out)
+
+
+def test_compression_bands_keep_prose_and_reject_repeats(spark):
+    prose = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id = 1").collect()[0]["text"]
+    rows = [(1, prose), (2, "abcdefgh " * 400), (3, "".join(chr(33 + (i * i * 7919 + i * 31) % 90) + (" " if i % 9 == 0 else "") for i in range(4000)))]
+    got = {r["doc_id"]: r["quality"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["kept"] and not got[2]["kept"] and got[2]["whole_ratio"] < 0.05
+
+
+def test_pipeline_stages_return_documents(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(900, None, "en", None, None), (901, "", None, "s", 0), (902, "12 !", "en", "s", 4), (0, docs.where("doc_id = 0").first()["text"], "fr", "src0", 1)], docs.schema)
+    now = docs.union(odd)
+    for name, stage in p.STAGES[:-1]:
+        after = stage(spark, now, SF)
+        assert after.columns == docs.columns and 0 < after.count() <= now.count(), name
+        now = after
+    assert now.where("doc_id >= 900").count() == 0
+    last = p.STAGES[-1][1](spark, now, SF)
+    assert last.count() == now.count() and abs(last.agg({"taken": "sum"}).first()[0] - 1.5 * last.agg({"size": "sum"}).first()[0]) < 25
+    assert p.run(spark, SF).count() > 100

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .decontam import op8_decontamination
 from .langid import op9_language_id
 from .licenses import op2_licenses
@@ -14,4 +15,41 @@ from .tokens import op6_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_substring_dedup, op4_mixing, op5_pii, op6_token_counts, op7_quality, op8_decontamination, op9_language_id, op10_simhash)}
-ORACLE: dict[str, str] = {}
+
+
+def _templates() -> str:
+    rows = []
+    every = [(v, k, True) for k, v in licenses.BASE.items()] + [(k, v, False) for k, v in licenses.NOTICES.items()]
+    for i, (label, phrase, base) in enumerate(every):
+        w = phrase.replace(".", " ").split()
+        rows += [f"({i}, '{label}', {str(base).lower()}, {j}, {len(w) - 1}, '{w[j]}', '{w[j + 1]}')" for j in range(len(w) - 1)]
+    return f"(VALUES {', '.join(rows)}) AS t(template, label, is_base, at_, grams, w0, w1)"
+
+
+_LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}') AS w FROM documents),
+g AS (SELECT rid, i - 1 AS i, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w)))) AS i FROM d)),
+v AS (SELECT rid, i, template, label, is_base, grams, at_, i - at_ AS diagonal FROM g JOIN {_templates()} ON a = w0 AND b = w1),
+l AS (SELECT rid, template, diagonal, label, is_base, grams, list(DISTINCT at_) AS ats FROM v GROUP BY ALL),
+s AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {licenses.DRIFT} THEN 0 ELSE 1 END AS fresh FROM l WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal)),
+u AS (SELECT *, CASE WHEN is_base THEN diagonal ELSE sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) END AS run FROM s),
+r AS (SELECT rid, template, run, label, is_base, grams, len(list_distinct(flatten(list(ats)))) AS hit, min(diagonal) AS start FROM u GROUP BY ALL),
+f AS (SELECT * FROM r WHERE CASE WHEN is_base THEN hit = grams ELSE hit >= {licenses.SHARE} * grams AND hit >= least({licenses.LEAST_VOTES}, grams) END)
+SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE is_base) AS n_base, CAST(min(start) FILTER (WHERE is_base) AS BIGINT) AS first_word, CAST(max(start) FILTER (WHERE is_base) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE is_base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)), ','), '') AS labels, coalesce(max(CAST(hit AS DOUBLE) / grams), 0.0) AS score
+FROM d LEFT JOIN f USING (rid) GROUP BY d.rid, d.doc_id"""
+
+_MIXING = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+p AS (SELECT *, CASE rk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w, 2.0::DOUBLE * source_size AS cap FROM (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source)),
+q AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM p),
+v AS (SELECT *, first_value((total - full_) / rest_w) OVER (ORDER BY CASE WHEN (total - full_) / rest_w * w <= cap THEN 0 ELSE 1 END, cap / w, rk) AS level FROM q),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, level * w) AS target FROM v),
+c AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+i AS (SELECT *, greatest(0, least(size, floor(target) - (upto + pass * source_size - size))) AS words, (upto + pass * source_size) / target AS vf FROM c CROSS JOIN (VALUES (0), (1)) AS x(pass)),
+o AS (SELECT *, coalesce(sum(words) OVER (ORDER BY vf, source NULLS FIRST, doc_id NULLS FIRST, pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mix_start FROM i WHERE words > 0),
+g AS (SELECT doc_id, source, size, sum(words) AS taken, min(mix_start) AS first_start FROM o GROUP BY ALL)
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, CAST(g.first_start AS BIGINT) AS first_start
+FROM c LEFT JOIN g ON c.doc_id IS NOT DISTINCT FROM g.doc_id AND c.source IS NOT DISTINCT FROM g.source AND c.size = g.size"""
+
+ORACLE: dict[str, str] = {"op2_licenses": _LICENSES, "op4_mixing": _MIXING}

@@ -64,8 +64,8 @@ def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs(doc_id, text): components of the links between fingerprints that
-    differ in 2 bits or fewer; component_id is the smallest doc_id in the component.
+    """(doc_id, fp, root, component_id) for every row of docs(doc_id, text): components of the links between fingerprints
+    that differ in 2 bits or fewer; root is a component's smallest fingerprint, component_id its smallest doc_id.
 
     Copies count once: links are made between distinct fingerprints. Repeated rows come out as often as they went in, a
     null doc_id never is a component's id unless all are null, empty and null texts share fingerprint 0, and an empty
@@ -77,16 +77,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # every root is a fingerprint of its own; both tables hold each key once
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = rooted.join(named, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The row of docs with the smallest doc_id in each component, all columns kept; rows that repeat that doc_id stay
     once. Where a component has null ids only, one of its rows stays."""
-    firsts = near_duplicates(docs).select(F.col("component_id").alias("_first")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = written(near_duplicates(docs))
+    firsts = found.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
+    # one shuffle of the texts, by doc_id, serves the join and the choice among repeated ids
+    kept = docs.where("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = found.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("_fp")).select("_fp")
+    rest = fingerprints(docs.where("doc_id IS NULL"), out="_fp").join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"])
+    return kept.select(docs.columns).union(rest.select(docs.columns))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -10,96 +10,106 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, with_row_key
+from .common import small_batches, table, with_row_key, written
 
 #: A span is the shortest run of at least so many consecutive sentences with at least so many words.
 SENTENCES, WORDS = 2, 25
 #: A sentence without an end mark is cut after so many words, so that every passage has sentences to slide over.
 LONGEST = 12
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|\Z)\s*")
-_WORD = re.compile(r"\S+\s*")
+_SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|\Z)\s*")
+_WORD = re.compile(rb"\S+\s*")
+LAST = 2**63 - 1
 
 
-def sentences(text: str | None, longest: int = LONGEST) -> list[str]:
+def sentences(raw: bytes, longest: int = LONGEST) -> list[bytes]:
     """The text in pieces that join to the whole text: sentences, those of more than `longest` words cut after every
-    `longest`-th word."""
+    `longest`-th word. Marks and white space are ASCII, so no character is split."""
     out = []
-    for m in _SENTENCE.finditer(text or ""):
-        s = m.group()
+    for s in _SENTENCE.findall(raw):
         if not s:
             continue
-        words = _WORD.findall(s)
-        if len(words) <= longest:
+        if len(s.split()) <= longest:
             out.append(s)
             continue
-        lead = s[: len(s) - sum(map(len, words))]
-        for i in range(0, len(words), longest):
-            out.append(("" if i else lead) + "".join(words[i : i + longest]))
+        words = _WORD.findall(s)
+        words[0] = s[: len(s) - sum(map(len, words))] + words[0]
+        out += [b"".join(words[i : i + longest]) for i in range(0, len(words), longest)]
     return out
 
 
-def spans(text: str | None, n_sentences: int = SENTENCES, n_words: int = WORDS) -> list[tuple[int, int, int]]:
-    """(start, length, hash) of the span that begins at each sentence, places counted in sentences; the hash covers the
-    words, A-Z lower-cased, so white space doesn't matter. Starts too near the text's end have none."""
-    words = [s.encode("utf-8", "surrogatepass").lower().split() for s in sentences(text)]
-    upto = [0, *accumulate(map(len, words))]
-    line = [b" ".join(w) for w in words]
-    out, end = [], 0
-    for i in range(len(words)):
+def spans(raw: bytes, n_sentences: int = SENTENCES, n_words: int = WORDS) -> list[tuple[int, int, int, bool]]:
+    """(start, length, hash, is the text's first with that hash) of the span that begins at each sentence, places counted in
+    sentences; the hash covers the words, A-Z lower-cased, so white space doesn't matter. Starts too near the text's end
+    have none, and blank pieces begin none."""
+    words: list[bytes] = []
+    upto = [0]
+    for s in sentences(raw):
+        words += s.lower().split()
+        upto.append(len(words))
+    line = b" ".join(words)
+    begin = [0, *accumulate(len(w) + 1 for w in words)]
+    out, end, seen = [], 0, set()
+    for i in range(len(upto) - 1):
         end = max(end, i + n_sentences)
-        while end <= len(words) and upto[end] - upto[i] < n_words:
+        while end < len(upto) and upto[end] - upto[i] < n_words:
             end += 1
-        if end > len(words):
+        if end >= len(upto):
             break
-        if words[i]:  # a blank piece begins no span
-            out.append((i, end - i, xxhash.xxh64_intdigest(b" ".join(filter(None, line[i:end])), 0) - (1 << 63)))
+        if upto[i + 1] > upto[i]:
+            h = xxhash.xxh64_intdigest(line[begin[upto[i]] : begin[upto[end]] - 1]) - (1 << 63)
+            out.append((i, end - i, h, h not in seen))
+            seen.add(h)
     return out
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64())]))
-
-
 def _spans(texts: pa.Array) -> pa.Array:
-    return pa.array([[{"start": a, "n": n, "h": h} for a, n, h in spans(t)] for t in texts.to_pylist()], _SPANS)
+    each = [spans(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+    flat = [x for e in each for x in e]
+    columns = list(zip(*flat, strict=True)) or [[]] * 4
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+    rows = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["start", "n", "h", "own_first"])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, each))], pa.int32()), rows)
 
 
-_CUT = pa.struct([("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
+_CUT = pa.struct([("text", pa.string()), ("n_removed", pa.int64())])
 
 
 def _cut(texts: pa.Array, covered: pa.Array) -> pa.Array:
     out = []
-    for t, runs in zip(texts.to_pylist(), covered.to_pylist(), strict=True):
-        pieces = sentences(t)
+    for t, runs in zip(texts.cast(pa.binary()).to_pylist(), covered.to_pylist(), strict=True):
         gone = {i for r in runs or () for i in range(r["start"], r["start"] + r["n"])}
-        out.append({"text": "".join(s for i, s in enumerate(pieces) if i not in gone) if gone else t, "n_sentences": len(pieces), "n_removed": len(gone)})
+        out.append({"text": b"".join(s for i, s in enumerate(sentences(t)) if i not in gone).decode("utf-8", "surrogatepass"), "n_removed": len(gone)} if gone else None)
     return pa.array(out, _CUT)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, _key, runs) of each document that has spans which another place has first.
 
-    The hashes of all spans of all documents are grouped, with map-side combine, to the first place of each; those that
-    stand at two places or more are joined back to the spans. A passage that a third of all documents share is one group
-    of that aggregate and a skewed key of that join, which adaptive execution splits; no task gathers a passage's places."""
+    All spans of all documents are written once. Their hashes are grouped, with map-side combine, to the smallest doc_id
+    that has each; those that stand twice or more are written too and joined back to the spans, both sides shuffled, so
+    that adaptive execution splits a passage which a third of all documents share. No task gathers a passage's places."""
     small_batches(docs.sparkSession)
-    every = docs.select("doc_id", "_key", F.explode(F.arrow_udf(_spans, "array<struct<start:int,n:int,h:long>>")(F.col("text"))).alias("s")).select("doc_id", "_key", "s.start", "s.n", "s.h")
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"), F.col("_key").alias("k"), F.col("start").alias("at"))
-    firsts = every.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
-    again = every.join(firsts, "h").where(place != F.col("first"))
+    each = F.explode(F.arrow_udf(_spans, "array<struct<start:int,n:int,h:long,own_first:boolean>>")(F.col("text")))
+    every = written(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "_key", each.alias("s")).select("doc_id", "_key", "s.start", "s.n", "s.h", "s.own_first"))
+    firsts = written(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("h", "first"))
+    again = every.join(firsts, "h").where((F.col("doc_id") > F.col("first")) | ~F.col("own_first"))
     return again.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with the text less every sentence that a non-first repeated span covers, n_sentences and n_removed.
+    """docs with the text less every sentence that a non-first repeated span covers, and n_removed.
 
-    The first place of a span is the one with the smallest doc_id (null last), then earliest in its text; that one stays.
-    Spans inside one text count too. Rows that agree in doc_id and text are one place and are cut alike. Null and empty
-    texts have no sentence and come back as they are; other columns stay. A document's runs are at most its sentences."""
+    A span's first place, in the document with the smallest doc_id (null last), stays; spans that repeat inside a text
+    count too. Rows that share a doc_id are one document: their spans are no repeats of each other, and rows that agree in
+    text are cut alike. Null and empty texts have no sentence and come back as they are; other columns stay. A document's
+    runs are at most its sentences."""
     keyed = with_row_key(docs)
     runs = repeats(keyed.select("doc_id", "_key", "text")).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
-    out = keyed.join(runs, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_c", F.arrow_udf(_cut, "struct<text:string,n_sentences:long,n_removed:long>")(F.col("text"), F.col("runs")))
-    return out.withColumns({"text": F.col("_c.text"), "n_sentences": F.col("_c.n_sentences"), "n_removed": F.col("_c.n_removed")}).drop("_c", "_d", "_k", "_key", "runs")
+    out = keyed.join(runs, (F.col("_key") == F.col("_k")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("_d")), "left")
+    # only texts that lose something go to Python
+    out = out.withColumn("_c", F.arrow_udf(_cut, "struct<text:string,n_removed:long>")(F.when(F.col("runs").isNotNull(), F.col("text")), F.col("runs")))
+    return out.withColumns({"text": F.coalesce("_c.text", "text"), "n_removed": F.coalesce("_c.n_removed", F.lit(0).cast("long"))}).drop("_c", "_d", "_k", "_key", "runs")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "text")
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
