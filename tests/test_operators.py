@@ -184,3 +184,13 @@ def test_number_lists(spark):
 def test_regime_names_overwrite_in_order(spark):
     df = spark.createDataFrame([(0, 0.5, 0.9), (1, 0.1, 0.1), (2, 0.1, -0.3), (3, 0.2, 0.0)], "state int, vol24 double, ret1 double")
     assert [r["regime"] for r in regime.named(df).orderBy("state").collect()] == ["UP", "RANGING", "DOWN", "RANGING"]
+
+
+def test_windows_in_pieces_are_the_whole_windows(walk):
+    from tidemark.functions import chunks
+
+    whole = indicators.momentum(walk).orderBy("symbol", "ts").toPandas()
+    parts = chunks.in_pieces(walk, indicators.momentum, indicators.WARMUP, size=170, bucket="5 hours").orderBy("symbol", "ts").toPandas()
+    assert len(whole) == len(parts) and set(parts["interval"]) == {"60"}
+    for c in ("price_position_168", "pct_change_168", "williams_r"):
+        assert np.allclose(whole[c].astype(float), parts[c].astype(float), equal_nan=True), c

@@ -91,7 +91,7 @@ def walk_forward(rows: DataFrame, folds: int = 5, start: float = 0.3, least: int
 def row_split(rows: DataFrame, share: float = 0.7) -> DataFrame:
     """rows with part: the first share of each series trains."""
     w = Window.partitionBy(*KEY)
-    return rows.withColumn("part", F.when(F.row_number().over(series()) <= share * F.count(F.lit(1)).over(w), "train").otherwise("val"))
+    return rows.withColumn("part", F.when(F.row_number().over(series()) <= F.floor(share * F.count(F.lit(1)).over(w) + 1e-9), "train").otherwise("val"))
 
 
 def rolling_cut(rows: DataFrame, as_of: Column, days: int, least: int) -> DataFrame:

@@ -97,7 +97,7 @@ def decayed_performance(spark, d):
     return ensemble.decayed_performance(bars.predictions(spark, d).withColumn("value", F.col("k")), ["symbol"])
 
 
-@query(sql(f"""SELECT symbol, "interval", 'm' || arg_max(m, (round(s, 9), 'm' || m)) AS model, {r('max(s)', 'score')} FROM (SELECT symbol, "interval", substr(model, 2) AS m, avg(magnitude) AS s FROM model_predictions GROUP BY ALL HAVING count(*) >= 10) GROUP BY 1, 2"""))
+@query(sql(f"""SELECT symbol, "interval", 'm' || arg_max(m, (round(s, 9), 'm' || m)) AS model, {r('max(s)', 'score')} FROM (SELECT symbol, "interval", substr(model, 2) AS m, round(avg(magnitude), 9) AS s FROM model_predictions GROUP BY ALL HAVING count(*) >= 10) GROUP BY 1, 2"""))
 def best_models(spark, d):
     p = bars.model_predictions(spark, d).groupBy("symbol", F.col("interval").alias("regime"), "model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("magnitude"), 9).alias("score"))
     return ensemble.best_models(p).withColumnRenamed("regime", "interval")

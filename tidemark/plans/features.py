@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import chunks
 from tidemark.functions import columns as C
 from tidemark.functions.recursive import ema, smooth
 from tidemark.operators import dataset, indicators, regime, side_features
@@ -29,6 +30,13 @@ def momentum_indicators(spark, d):
     return indicators.momentum(H(spark, d)).select(*ID, *names)
 
 
+@query(sql(f"""SELECT {IDS}, {r(_pos(168), 'price_position_168')}, {r(pct('close', 24), 'pct_change_24')} FROM candles_15"""))
+def momentum_in_pieces(spark, d):
+    """Window features of long series, each series cut into pieces with a halo."""
+    x = chunks.in_pieces(H(spark, d, 15), indicators.momentum, indicators.WARMUP, size=400)
+    return x.select(*ID, "price_position_168", "pct_change_24")
+
+
 @query(
     sql(f"""WITH b AS (SELECT *, {roll('avg', 'close', 20)} AS mid, {roll('stddev_pop', 'close', 20)} AS sd, {roll('avg', '((4 * high - 2 * low + close) / 3)', 20)} AS ku, {roll('avg', '((-2 * high + 4 * low + close) / 3)', 20)} AS kl FROM candles_60)
     SELECT {IDS}, {r('100 * ' + div('4 * sd', 'mid'), 'bb_width')}, {r(div('close - (mid - 2 * sd)', '4 * sd'), 'bb_pct')}, {r(div('ku - kl', 'close'), 'kc_width')} FROM b""")
@@ -239,7 +247,7 @@ def walk_forward_splits(spark, d):
     return x.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query(sql(f"""SELECT {IDS}, CASE WHEN row_number() OVER ({S}) <= 0.7 * count(*) OVER (PARTITION BY symbol, "interval") THEN 'train' ELSE 'val' END AS part FROM candles_60"""))
+@query(sql(f"""SELECT {IDS}, CASE WHEN row_number() OVER ({S}) <= floor(0.7 * count(*) OVER (PARTITION BY symbol, "interval") + 1e-9) THEN 'train' ELSE 'val' END AS part FROM candles_60"""))
 def row_split(spark, d):
     return dataset.row_split(H(spark, d)).select(*ID, "part")
 

@@ -395,3 +395,62 @@ def json_list_sums(spark, d):
 @query(sql(f"""SELECT symbol, ts, {r('funding_rate', 'funding_rate', 9)} FROM funding WHERE abs(funding_rate) > 0.0001 ORDER BY ts DESC, symbol LIMIT 20"""), digits=9)
 def extreme_funding(spark, d):
     return bars.funding(spark, d).where(F.abs("funding_rate") > 0.0001).orderBy(F.desc("ts"), "symbol").limit(20).select("symbol", "ts", "funding_rate")
+
+
+@query(sql(f"""SELECT symbol || 'USDT' AS symbol, {r('arg_max(close, ts)', 'last_price')}, {r('max(high)', 'high_24h')}, {r('min(low)', 'low_24h')}, CAST(0 AS DOUBLE) AS quote_vol FROM candles_60 GROUP BY 1"""))
+def ticker_payloads(spark, d):
+    t = H(spark, d).groupBy("symbol").agg(F.max_by("close", "ts").alias("c"), F.max("high").alias("h"), F.min("low").alias("l"))
+    item = F.struct(F.concat("symbol", F.lit("USDT")).alias("symbol"), F.col("c").cast("string").alias("lastPrice"), F.col("h").cast("string").alias("high"), F.col("l").cast("string").alias("low"), F.lit("bad").alias("quoteVol"))
+    return payloads.tickers(t.select(F.to_json(F.struct(F.array(item).alias("data"))).alias("payload"))).select("symbol", "last_price", "high_24h", "low_24h", "quote_vol")
+
+
+@query(sql(f"""SELECT ts, {r('value', 'value')}, 'Neutral' AS label FROM fear_greed"""))
+def fear_greed_payloads(spark, d):
+    f = bars.fear_greed(spark, d)
+    item = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"), F.col("value").cast("string").alias("value"))
+    return payloads.fear_greed(f.select(F.to_json(F.struct(F.array(item).alias("data"))).alias("payload")))
+
+
+@query(sql(f"""SELECT symbol || 'USDT' AS symbol, ts, {r('funding_rate', 'funding_rate', 9)} FROM funding WHERE symbol <> 'click'"""), digits=9)
+def other_exchange_payloads(spark, d):
+    """Only symbols in the quote currency are kept."""
+    f = bars.funding(spark, d)
+    name = F.concat("symbol", F.when(F.col("symbol") == "click", "BTC").otherwise("USDT"))
+    item = F.struct(name.alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("fundingTime"), F.col("funding_rate").cast("string").alias("fundingRate"))
+    return payloads.other_funding(f.select(F.to_json(F.array(item)).alias("payload")))
+
+
+@query(sql("""SELECT p.symbol, p.ts, CASE WHEN hour(p.ts) % 2 = 0 THEN s.actual_direction END AS actual_direction FROM predictions p LEFT JOIN scored s ON p.symbol = s.symbol AND p.ts = s.ts"""))
+def update_outcomes(spark, d):
+    """Outcomes of some predictions set by key, the others left as they are."""
+    new = scored(spark, d).where("scored_at IS NOT NULL AND hour(ts) % 2 = 0")
+    return store.updated_outcomes(bars.predictions(spark, d), new, ["symbol", "interval", "ts"], ["actual_direction"]).select("symbol", "ts", "actual_direction")
+
+
+@query(sql(f"""SELECT symbol, ts, {r('CAST(CASE WHEN symbol IN (SELECT symbol FROM predictions GROUP BY 1 HAVING avg(k) > 49.5) THEN 2 ELSE 1 END AS DOUBLE)', 'weight')} FROM candles_60"""))
+def default_weights(spark, d):
+    """Weights by symbol, 1 for symbols without one."""
+    w = bars.predictions(spark, d).groupBy("symbol").agg(F.avg("k").alias("m")).where("m > 49.5").select("symbol", F.lit(2.0).alias("weight"))
+    return scoring.with_default_weight(H(spark, d).select("symbol", "ts"), w)
+
+
+@query(sql(f"""SELECT symbol, "interval", ts, CASE WHEN x > t THEN 'UP' WHEN x < -t THEN 'DOWN' ELSE 'FLAT' END AS direction FROM (SELECT symbol, "interval", ts, (close - open) / open AS x, 0.5 * CAST("interval" AS DOUBLE) / 60 AS t FROM (SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_15))"""))
+def interval_scaled_direction(spark, d):
+    """Direction by a threshold in proportion to the interval's minutes."""
+    x = H(spark, d).unionByName(H(spark, d, 15))
+    t = dataset.scaled_threshold(0.5, quality.minutes_of("interval"))
+    return x.select("symbol", "interval", "ts", C.direction((F.col("close") - F.col("open")) / F.col("open"), t).alias("direction"))
+
+
+@query(sql("""SELECT "interval", count(*) AS candles, count(DISTINCT symbol) AS symbols FROM candles_60 GROUP BY 1"""))
+def bulk_copy(spark, d):
+    """A table copied twice into a partitioned store in the shared folder; the second copy adds nothing."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    for _ in range(2):
+        store.append_new(H(spark, d), path, ["symbol", "interval", "ts"], ["interval"])
+    back = spark.read.parquet(path).withColumn("interval", F.col("interval").cast("string"))
+    return back.groupBy("interval").agg(F.count(F.lit(1)).alias("candles"), F.countDistinct("symbol").alias("symbols"))
