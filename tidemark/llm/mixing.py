@@ -9,7 +9,7 @@ from .common import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source that are counted up together: a source has as many buckets as it needs, however hot it is.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 
 
 def n_words(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, with_row_key, written
 
 #: A span is the shortest run of at least so many consecutive sentences with at least so many words.
-SENTENCES, WORDS = 2, 25
+SENTENCES, WORDS = 2, 30
 #: A sentence without an end mark is cut after so many words, so that every passage has sentences to slide over.
 LONGEST = 12
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|\Z)\s*")
