@@ -76,10 +76,14 @@ def live_windows(rows: DataFrame, n: int) -> DataFrame:
 
 def walk_forward(rows: DataFrame, folds: int = 5, start: float = 0.3, least: int = 0) -> DataFrame:
     """rows with fold and part ("train" or "val"), a copy for each fold that a row is in. Cuts are made over the distinct
-    times of all symbols, one row a time: that table is small beside the rows and joined to them."""
+    times of all symbols, numbered by days, and joined to the rows."""
     if least:
         rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).where(F.col("_n") >= least).drop("_n")
-    times = rows.select("ts").distinct().withColumns({"_t": F.row_number().over(Window.orderBy("ts")), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    from tidemark.functions.chunks import numbered
+
+    times = rows.select("ts").distinct().withColumn("_one", F.lit(1))
+    n = times.agg(F.count(F.lit(1)).alias("_n"))
+    times = numbered(times, "_t", key=("_one",)).crossJoin(F.broadcast(n)).withColumn("_t", F.col("_t") + 1).drop("_one")  # one row
     first = F.floor(start * F.col("_n"))
     size = F.greatest(F.lit(1), F.floor((F.col("_n") - first) / folds))
     t = times.withColumns({"_first": first, "_size": size}).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import KEY, series, so_far
+from tidemark.functions.recursive import _seconds
 
 
 def tradeable(futures: DataFrame, spot: DataFrame) -> DataFrame:
@@ -33,16 +34,24 @@ def exact(bars: DataFrame, side: DataFrame, features: list[str], on: list[str] |
     return out.withColumns({f: F.coalesce(f, F.lit(fill)) for f in features})
 
 
-def as_of(bars: DataFrame, side: DataFrame, features: list[str], key: str = "symbol", max_age_minutes: float | None = None, fills: dict[str, float] | None = None) -> DataFrame:
+def as_of(bars: DataFrame, side: DataFrame, features: list[str], key: str = "symbol", max_age_minutes: float | None = None, fills: dict[str, float] | None = None, bucket: str = "1 day") -> DataFrame:
     """bars with the features of the latest side row at or before each; NULL, or the fill, without one or if it is older
-    than the limit. Both sides are stacked and the last snapshot is carried forward: one shuffle, no range join. Of side
-    rows at the same time the last by its features counts."""
+    than the limit. Of side rows at the same time the last by its features counts.
+
+    Both sides are stacked and the last snapshot is carried forward within buckets of time, so a symbol's history is not
+    one task's; what a bucket begins with comes from a table of one row a symbol and bucket. No range join."""
     snap = F.struct(F.col("ts").alias("at"), *features)
     left = bars.withColumns({"_side": F.lit(1), "_snap": F.lit(None).cast(side.select(snap.alias("s")).schema["s"].dataType)})
     right = side.select(key, "ts", F.lit(0).alias("_side"), snap.alias("_snap"))
     both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("ts", "_side", "_snap").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_snap", F.last("_snap", ignorenulls=True).over(w)).where("_side = 1")
+    at = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    both = both.withColumn("_b", F.floor(at / _seconds(bucket)))
+    last = both.groupBy(key, "_b").agg(F.max("_snap").alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    before = last.select(key, "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    w = Window.partitionBy(key, "_b").orderBy("ts", "_side", "_snap").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_snap", F.last("_snap", ignorenulls=True).over(w)).where("_side = 1").join(before, [key, "_b"])
+    out = out.withColumn("_snap", F.coalesce("_snap", "_before")).drop("_b", "_before")
     fresh = F.lit(True) if max_age_minutes is None else F.timestamp_diff("SECOND", F.col("_snap.at"), F.col("ts")) <= 60 * max_age_minutes
     got = {f: F.when(fresh, F.col(f"_snap.{f}")) for f in features}
     return out.withColumns({f: F.coalesce(x, F.lit((fills or {}).get(f))) if f in (fills or {}) else x for f, x in got.items()}).drop("_side", "_snap")

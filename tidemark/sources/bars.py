@@ -40,7 +40,11 @@ def user_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def damaged(bars: DataFrame) -> DataFrame:
     """The candles with every 97th close negated, every 89th high and low swapped, every 83rd volume negated, and every
     71st row repeated with another close; arrival says which came first."""
-    r = bars.withColumn("r", F.row_number().over(Window.orderBy("symbol", "ts")))
+    from tidemark.functions.chunks import numbered
+
+    n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))  # a row a symbol
+    n = n.select("symbol", F.coalesce(F.sum("_n").over(Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    r = numbered(bars, "r", key=("symbol",)).join(n, "symbol").withColumn("r", F.col("r") + F.col("_before") + 1).drop("_before")
     r = r.withColumns({"close": F.when(F.col("r") % 97 == 0, -F.col("close")).otherwise(F.col("close")), "volume": F.when(F.col("r") % 83 == 0, -F.col("volume")).otherwise(F.col("volume")), "_h": F.when(F.col("r") % 89 == 0, F.col("low")).otherwise(F.col("high")), "_l": F.when(F.col("r") % 89 == 0, F.col("high")).otherwise(F.col("low"))})
     r = r.drop("high", "low").withColumnsRenamed({"_h": "high", "_l": "low"}).withColumn("arrival", F.lit(0))
     again = r.where("r % 71 = 0").withColumns({"close": F.col("close") + 1, "arrival": F.lit(1)})
