@@ -375,3 +375,21 @@ def test_pipeline_stages_return_documents(spark):
     last = p.STAGES[-1][1](spark, now, SF)
     assert last.count() == now.count() and abs(last.agg({"taken": "sum"}).first()[0] - 1.5 * last.agg({"size": "sum"}).first()[0]) < 25
     assert p.run(spark, SF).count() > 100
+
+
+def test_very_long_texts(spark):
+    from tidemark.llm import decontam
+
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    item = bench.where("item_id = 0").first()["text"]
+    filler = [f"w{i * 7919 % 50_021}x{i % 13}" for i in range(300_000)]
+    long = " ".join(filler[:131_000]) + " " + item + " " + " ".join(filler[131_000:]) + " idiot general public license 4111 1111 1111 1111"
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, "short text", "en", "a", 10), (3, "x" * 2_000_000, "en", "b", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()] == [(1, 0)]
+    assert licenses.scan(docs).where("doc_id = 1").first()["n_base"] == 1
+    assert "[CARD]" in pii.redact(docs).where("doc_id = 1").first()["text"][-20:]
+    assert tokens.counted(docs).where("n_tokens > 0").count() == 3
+    assert quality.judged(docs).count() == simhash.near_duplicates(docs).count() == substring.deduplicate(docs).count() == 3
+    assert langid.identify(docs, langid.train(docs)).count() == 3
+    lexicon = toxicity.Lexicon({"idiot": 1.0})
+    assert toxicity.scored(docs, lexicon, toxicity.DEFAULT_WEIGHTS).where("doc_id = 1").first()["toxicity"] > 0.5

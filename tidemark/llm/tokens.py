@@ -17,16 +17,16 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Below the lowest score by this much: what a character costs that no piece covers.
 UNKNOWN = 10.0
-CACHE = 400_000
+CACHE = 800_000
 
 
 class Unigram(dict):
     """Counts the pieces of texts: best sum of piece scores, as a unigram tokenizer finds it.
 
-    The vocabulary file's pieces and scores are taken as a unigram model. Aho-Corasick enumerates the pieces at every
-    place; a forward pass keeps, for each place, the best score and the number of pieces on the best path, no back
-    pointers. Ties go as in the tokenizer: places are visited in order, pieces at a place from short to long, and only a
-    better score replaces one. Scores are sums of doubles. Characters without a piece join the unknown run next to them;
+    The vocabulary file's pieces and scores are taken as a unigram model. Aho-Corasick enumerates the pieces that end at
+    every place; a forward pass keeps, for each place, the best score and the number of pieces on the best path, no back
+    pointers. Ties go as in the tokenizer: of pieces that end together the earliest start comes first, and only a better
+    score replaces one. Scores are sums of doubles. Characters without a piece join the unknown run next to them;
     a run counts its UTF-8 bytes if the vocabulary has byte pieces, else 1.
 
     No piece has a space sign after another character, so the best path parts there, and texts are counted unit by unit,
@@ -56,25 +56,38 @@ class Unigram(dict):
         return n
 
     def viterbi(self, text: str) -> int:
-        n = len(text)
-        starts: list[list] = [[] for _ in range(n)]
-        for end, (size, score) in self.auto.iter(text):
-            starts[end - size + 1].append((size, score))
         # of each place: the best score, pieces on its path without the open unknown run, where that run began
-        best = [None] * (n + 1)
-        best[0] = (0.0, 0, -1)
-        for i in range(n):
-            score, pieces, run = best[i]
-            closed = pieces + (self.run(text, run, i) if run >= 0 else 0)
-            single = False
-            for size, s in sorted(starts[i]):
-                single |= size == 1
-                if (there := best[i + size]) is None or score + s > there[0]:
-                    best[i + size] = (score + s, closed + 1, -1)
-            if not single and ((there := best[i + 1]) is None or score + self.unknown > there[0]):
-                best[i + 1] = (score + self.unknown, pieces, run if run >= 0 else i)
-        _, pieces, run = best[n]
-        return pieces + (self.run(text, run, n) if run >= 0 else 0)
+        n = len(text)
+        score, pieces, open_ = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+
+        def close(at: int, top: float | None, begin: int, single: bool) -> None:
+            if not single and (top is None or score[at - 1] + self.unknown > top):
+                score[at], pieces[at] = score[at - 1] + self.unknown, pieces[at - 1]
+                open_[at] = open_[at - 1] if open_[at - 1] >= 0 else at - 1
+            else:
+                score[at] = top
+                pieces[at] = pieces[begin] + 1 + (self.run(text, open_[begin], begin) if open_[begin] >= 0 else 0)
+
+        # matches come by their end, those with one end from the earliest start: the order in which ties go
+        at, top, begin, single = 0, None, 0, False
+        for end, (size, s) in self.auto.iter(text):
+            end += 1
+            if end != at:
+                if at:
+                    close(at, top, begin, single)
+                for gap in range(at + 1, end):
+                    close(gap, None, 0, False)
+                at, top, single = end, None, False
+            x = score[end - size] + s
+            if top is None or x > top:
+                top, begin = x, end - size
+            if size == 1:
+                single = True
+        if at:
+            close(at, top, begin, single)
+        for gap in range(at + 1, n + 1):
+            close(gap, None, 0, False)
+        return pieces[n] + (self.run(text, open_[n], n) if open_[n] >= 0 else 0)
 
     def run(self, text: str, start: int, end: int) -> int:
         return len(text[start:end].encode("utf-8", "surrogatepass")) if self.bytes else 1
