@@ -194,3 +194,16 @@ def test_windows_in_pieces_are_the_whole_windows(walk):
     assert len(whole) == len(parts) and set(parts["interval"]) == {"60"}
     for c in ("price_position_168", "pct_change_168", "williams_r"):
         assert np.allclose(whole[c].astype(float), parts[c].astype(float), equal_nan=True), c
+
+
+def test_feature_list_has_66_names():
+    from tidemark.operators.side_features import feature_columns
+
+    assert len(feature_columns()) == len(set(feature_columns())) == 66
+
+
+def test_foreign_model_scores_in_batches(walk):
+    from tidemark.operators.ml import score_with
+
+    got = score_with(walk, ["close", "open"], lambda x: pd.DataFrame({"up": (x["close"] > x["open"]).astype(float)}), "up double").collect()
+    assert len(got) == 1500 and all(r["up"] == float(r["close"] > r["open"]) for r in got)

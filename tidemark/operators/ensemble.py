@@ -75,6 +75,19 @@ def decayed_performance(scores: DataFrame, key: list[str], value: str = "value",
     return d.groupBy(*key).agg(F.count(value).alias("n"), F.max_by("_s", "ts").alias("score"))
 
 
+def performance_summary(performance: DataFrame) -> DataFrame:
+    """Per model: mean and population deviation of its scores over symbols and regimes, and records."""
+    return performance.groupBy("model").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.sum("n").alias("records"))
+
+
+def selected_models(performance: DataFrame, least: int = 10) -> DataFrame:
+    """(symbol, regime, model) for every symbol and regime: the best with enough records, else the best by mean score."""
+    top = performance_summary(performance).agg(F.max_by("model", F.struct(F.round("mean_score", 9), "model")).alias("_top"))
+    every = performance.select("symbol", "regime").distinct()
+    d = every.join(best_models(performance, least), ["symbol", "regime"], "left").crossJoin(F.broadcast(top))  # one row
+    return d.select("symbol", "regime", F.coalesce("model", "_top").alias("model"))
+
+
 def best_models(performance: DataFrame, least: int = 10) -> DataFrame:
     """(symbol, regime, model): the best score with enough records."""
     return performance.where(F.col("n") >= least).groupBy("symbol", "regime").agg(F.max_by("model", F.struct("score", "model")).alias("model"), F.max("score").alias("score"))

@@ -39,19 +39,22 @@ def as_of(bars: DataFrame, side: DataFrame, features: list[str], key: str = "sym
     than the limit. Of side rows at the same time the last by its features counts.
 
     Both sides are stacked and the last snapshot is carried forward within buckets of time, so a symbol's history is not
-    one task's; what a bucket begins with comes from a table of one row a symbol and bucket. No range join."""
+    one task's; what a bucket begins with comes from the side series alone, one row a symbol and bucket. No range join."""
     snap = F.struct(F.col("ts").alias("at"), *features)
     left = bars.withColumns({"_side": F.lit(1), "_snap": F.lit(None).cast(side.select(snap.alias("s")).schema["s"].dataType)})
     right = side.select(key, "ts", F.lit(0).alias("_side"), snap.alias("_snap"))
     both = left.unionByName(right, allowMissingColumns=True)
     at = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     both = both.withColumn("_b", F.floor(at / _seconds(bucket)))
-    last = both.groupBy(key, "_b").agg(F.max("_snap").alias("_last"))
-    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
-    before = last.select(key, "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    last = right.withColumn("_b", F.floor(at / _seconds(bucket))).groupBy(key, "_b").agg(F.max("_snap").alias("_before"))
+    following = F.lead("_b").over(Window.partitionBy(key).orderBy("_b"))  # a row a bucket that has side rows
+    last = last.withColumn("_next", following)
+    # the last snapshot of a bucket holds for the buckets up to the next one that has any; the newest holds from then on
+    before = last.where("_next IS NOT NULL").select(key, F.explode(F.sequence(F.col("_b") + 1, F.col("_next"))).alias("_b"), "_before")
+    newest = last.where("_next IS NULL").select(key, F.col("_b").alias("_from"), F.col("_before").alias("_newest"))
     w = Window.partitionBy(key, "_b").orderBy("ts", "_side", "_snap").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_snap", F.last("_snap", ignorenulls=True).over(w)).where("_side = 1").join(before, [key, "_b"])
-    out = out.withColumn("_snap", F.coalesce("_snap", "_before")).drop("_b", "_before")
+    out = both.withColumn("_snap", F.last("_snap", ignorenulls=True).over(w)).where("_side = 1").join(before, [key, "_b"], "left").join(newest, key, "left")
+    out = out.withColumn("_snap", F.coalesce("_snap", "_before", F.when(F.col("_b") > F.col("_from"), F.col("_newest")))).drop("_b", "_before", "_from", "_newest")
     fresh = F.lit(True) if max_age_minutes is None else F.timestamp_diff("SECOND", F.col("_snap.at"), F.col("ts")) <= 60 * max_age_minutes
     got = {f: F.when(fresh, F.col(f"_snap.{f}")) for f in features}
     return out.withColumns({f: F.coalesce(x, F.lit((fills or {}).get(f))) if f in (fills or {}) else x for f, x in got.items()}).drop("_side", "_snap")

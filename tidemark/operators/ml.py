@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +104,13 @@ def feature_correlations(rows: DataFrame, features: list[str], threshold: float
         one = rows.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in part]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
         out = one if out is None else out.union(one)
     return out.where(F.abs("r") > threshold).withColumn("r", F.round("r", 4))
+
+
+def score_with(rows: DataFrame, features: list[str], predict, schema: str) -> DataFrame:
+    """rows with the columns of schema that predict(features as a pandas frame) gives, Arrow batch by Arrow batch: the way in
+    for models from elsewhere. predict must return as many rows as it gets."""
+    @F.pandas_udf(f"struct<{schema}>")
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        return predict(x)
+
+    return rows.withColumn("_p", run(F.struct(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]))).select(*rows.columns, "_p.*")

@@ -89,3 +89,23 @@ def feature_vector(bars: DataFrame, sides: list[tuple[DataFrame, list[str], str]
     for side, names, how in sides:
         bars = as_of(bars, side, names, fills=dict.fromkeys(names, 0.0)) if how == "as_of" else exact(bars, side, names, ["ts"] if how == "time" else None)
     return bars
+
+
+def exchange(own_funding: DataFrame, other_funding: DataFrame, interest: DataFrame, own_interest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbol, ts, funding_rate_spread): both funding rates carried forward over the times of either, other less own; and
+    (symbol, ts, oi_divergence): the other exchange's open-interest change, less our own where that is given."""
+    from tidemark.operators.joins import filled_outer
+
+    spread = filled_outer(other_funding, own_funding, "funding_rate").select("symbol", "ts", (F.col("a_value") - F.col("b_value")).alias("funding_rate_spread"))
+    change = interest.select("symbol", "ts", pct("oi_value", 1, S).alias("oi_divergence"))
+    if own_interest is not None:
+        own = own_interest.select("symbol", "ts", pct("oi_close", 1, S).alias("_own"))
+        change = change.join(own, ["symbol", "ts"], "left").select("symbol", "ts", (F.col("oi_divergence") - F.col("_own")).alias("oi_divergence"))
+    return spread, change
+
+
+def feature_columns() -> list[str]:
+    """The 66 model features in order."""
+    from tidemark.operators.indicators import NAMES
+
+    return [*NAMES, *ORDERBOOK, *DERIVATIVES, *FUNDING, *CROSS, *SENTIMENT, *EXCHANGE]

@@ -269,3 +269,40 @@ def global_zscore(spark, d):
     c = H(spark, d)
     s = c.agg(F.avg("close").alias("m"), F.stddev_samp("close").alias("sd"))
     return c.crossJoin(F.broadcast(s)).select(*ID, F.when(F.col("sd") > 1e-12, (F.col("close") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("close_z"))  # one row
+
+
+@query(
+    sql(f"""SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.ts, y.ts) AS ts, {r('last_value(y.funding_rate IGNORE NULLS) OVER o - last_value(x.funding_rate IGNORE NULLS) OVER o', 'funding_rate_spread', 9)}
+    FROM funding x FULL JOIN funding_b y ON x.symbol = y.symbol AND x.ts = y.ts WINDOW o AS (PARTITION BY coalesce(x.symbol, y.symbol) ORDER BY coalesce(x.ts, y.ts) ROWS UNBOUNDED PRECEDING)"""),
+    digits=9,
+)
+def exchange_spread(spark, d):
+    oi = bars.derivatives(spark, d).withColumn("oi_value", F.col("oi_close"))
+    return side_features.exchange(bars.funding(spark, d), bars.funding(spark, d, 6), oi)[0]
+
+
+@query(sql(f"""WITH a AS (SELECT symbol, ts, oi_close + long_vol AS oi_value, oi_close FROM derivatives) SELECT symbol, ts, {r(pct('oi_value', 1, 'symbol') + ' - ' + pct('oi_close', 1, 'symbol'), 'oi_divergence')} FROM a"""))
+def interest_divergence(spark, d):
+    oi = bars.derivatives(spark, d).withColumn("oi_value", F.col("oi_close") + F.col("long_vol"))
+    return side_features.exchange(bars.funding(spark, d), bars.funding(spark, d, 6), oi, oi)[1]
+
+
+@query()
+def model_features(spark, d):
+    """All 66 features of every hourly candle, missing ones 0."""
+    c = indicators.compute(H(spark, d))
+    oi = bars.derivatives(spark, d).withColumn("oi_value", F.col("oi_close"))
+    spread, change = side_features.exchange(bars.funding(spark, d), bars.funding(spark, d, 6), oi)
+    news = side_features.news(bars.news(spark, d).withColumn("symbol", F.element_at(F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup", "error")]), (F.abs(F.xxhash64("symbol")) % 5 + 1).cast("int"))).groupBy("symbol", "ts").agg(*[F.sum(x).alias(x) for x in ("positive", "negative", "neutral", "total")]))
+    c = c.join(side_features.cross_asset(H(spark, d), "click").select(*ID, *side_features.CROSS), ID, "left")
+    sides = [
+        (side_features.orderbook(books(spark, d)), side_features.ORDERBOOK, "as_of"),
+        (side_features.derivatives(bars.derivatives(spark, d)), side_features.DERIVATIVES, "exact"),
+        (side_features.funding(bars.funding(spark, d)), side_features.FUNDING, "as_of"),
+        (side_features.sentiment_index(bars.fear_greed(spark, d)), ["fear_greed_index", "fear_greed_change"], "time"),
+        (news, ["news_sentiment_score", "news_volume_zscore"], "exact"),
+        (spread, ["funding_rate_spread"], "as_of"),
+        (change, ["oi_divergence"], "exact"),
+    ]
+    out = side_features.feature_vector(c, sides)
+    return out.select(*ID, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in side_features.feature_columns()])
