@@ -35,22 +35,31 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, *cluster_by: str) -> DataFrame:
+#: Paths of the tables that written() has made and that are still there.
+MADE: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once, its lineage ends there and it outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
     return out
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables of written(), once nothing reads them any more: after an operator's result has been written, say."""
+    for path in list(paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        MADE.remove(path)
+
+
 def drop_written(df: DataFrame) -> None:
-    """Removes the table behind a frame from written(), once nothing reads it any more."""
-    spark, path = df.sparkSession, df.tidemark_path
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    drop_tables(df.sparkSession, [df.tidemark_path])
 
 
 def with_row_key(docs: DataFrame, key: str = "_key") -> DataFrame:
