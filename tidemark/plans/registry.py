@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
@@ -16,6 +18,7 @@ def query(sql: str | None = None, digits: int = 6):
 
     def add(f):
         def run(spark, sf_dir: str) -> DataFrame:
+            ship(spark)
             return rounded(f(spark, sf_dir), digits)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
