@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: Rows of one Arrow batch that goes to a Python worker; at 120 KB a text this is 30 MB.
 ARROW_ROWS = 256
 
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds what a Python worker holds at once."""
+    """Bounds what a Python worker holds at once, and sees to it that workers have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
