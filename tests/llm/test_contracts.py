@@ -236,6 +236,35 @@ def test_substring_against_brute_force(spark, rows, docs):
     assert all(b"".join(substring.sentences((t or "").encode())) == (t or "").encode() for _, t, *_ in rows)
 
 
+def test_substring_finds_every_long_passage_at_any_offset():
+    import random
+
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    han = [chr(c) for c in range(0x4E00, 0x5600)]
+
+    def text(n, marks, words=vocabulary, joint=" "):
+        return joint.join(rng.choice(words) + (rng.choice(".!?") if rng.random() < marks else "") for _ in range(n))
+
+    for marks in (0, 0.02, 0.05, 0.08, 0.12, 0.3):
+        for size in (51, 60, 150):
+            for _ in range(40):
+                p = text(size, marks)
+                a, b = (f"{text(rng.randrange(1, 40), marks)} {p} {text(rng.randrange(1, 40), marks)}" for _ in range(2))
+                assert {h for *_, h, _ in substring.spans(a.encode())} & {h for *_, h, _ in substring.spans(b.encode())}, (marks, size)
+                windows = [{tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)} for t in (a, b)]
+                assert windows[0] & windows[1]
+    for mark in ("", "\u3002"):
+        for _ in range(40):
+            p = mark.join(text(13, 0, han, "") for _ in range(5))
+            a, b = (text(rng.randrange(1, 40), 0, han, "") + p + text(rng.randrange(1, 40), 0, han, "") for _ in range(2))
+            assert {h for *_, h, _ in substring.spans(a.encode())} & {h for *_, h, _ in substring.spans(b.encode())}
+            assert b"".join(substring.sentences(a.encode())).decode() == a
+    assert len(substring.sentences("eins\u3002zwei\u061f drei\u2026vier".encode())) == 4
+    other = [{h for *_, h, _ in substring.spans(text(500, 0.1).encode())} for _ in range(20)]
+    assert sum(map(len, other)) == len(set().union(*other))
+
+
 def test_token_counts_against_the_tokenizers_library(docs, rows):
     import sentencepiece
     from tokenizers import Tokenizer, models
