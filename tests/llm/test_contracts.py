@@ -265,6 +265,16 @@ def test_substring_finds_every_long_passage_at_any_offset():
     assert sum(map(len, other)) == len(set().union(*other))
 
 
+def test_substring_of_texts_with_null_or_shared_ids(spark):
+    p = "The first sentence of a long passage stands here. A second one follows it with some more words in it. Then a third one ends the passage, which has more than fifty words in all, as it goes on and on for quite a while until it stops."
+    docs = [(i, f"Start {n}. {p} End {n}.") for i, n in ((None, 1), (None, 2), (None, 3), (None, 3))] + [(7, f"Other {q}. {p[::-1]} Last {q}.") for q in (1, 2)]
+    got = substring.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 6
+    # one text of each keeps the passage, in all its rows
+    assert len({r["text"] for r in got if r["doc_id"] is None and "second one follows" in r["text"]}) == 1
+    assert sum(r["n_removed"] == 0 for r in got if r["doc_id"] == 7) == 1
+
+
 def test_token_counts_against_the_tokenizers_library(docs, rows):
     import sentencepiece
     from tokenizers import Tokenizer, models

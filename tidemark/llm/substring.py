@@ -105,17 +105,26 @@ def _cut(texts: pa.Array, covered: pa.Array) -> pa.Array:
     return pa.array(out, _CUT)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with a _key that tells rows of one doc_id but different texts apart: the row key where doc_id is null or has
+    several texts, else 0, which takes next to no room in a shuffle of spans."""
+    keyed = with_row_key(docs)
+    shared = written(keyed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a < b").select(F.col("doc_id").alias("_shared")))
+    both = keyed.join(shared, F.col("doc_id") == F.col("_shared"), "left")
+    return both.withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_shared").isNotNull(), F.col("_key")).otherwise(F.lit(0).cast("long"))).drop("_shared")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, _key, runs) of each document that has spans which another place has first.
 
-    All spans of all documents are written once. Their hashes are grouped, with map-side combine, to the smallest doc_id
-    that has each; those that stand twice or more are written too and joined back to the spans, both sides shuffled, so
+    All spans of all documents are written once. Their hashes are grouped, with map-side combine, to the first place
+    (smallest doc_id, null last, then smallest _key) that has each; those that stand twice or more are written too and joined back to the spans, both sides shuffled, so
     that adaptive execution splits a passage which a third of all documents share. No task gathers a passage's places."""
     small_batches(docs.sparkSession)
     each = F.explode(F.arrow_udf(_spans, "array<struct<start:int,n:int,h:long,own_first:boolean>>")(F.col("text")))
     every = written(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "_key", each.alias("s")).select("doc_id", "_key", "s.start", "s.n", "s.h", "s.own_first"))
-    firsts = written(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("h", "first"))
-    again = every.join(firsts, "h").where((F.col("doc_id") > F.col("first")) | ~F.col("own_first"))
+    firsts = written(every.groupBy("h").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("h", "first"))
+    again = every.join(firsts, "h").where((F.struct("doc_id", "_key") > F.col("first")) | ~F.col("own_first"))
     return again.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
@@ -123,10 +132,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with the text less every sentence that a non-first repeated span covers, and n_removed.
 
     A span's first place, in the document with the smallest doc_id (null last), stays; spans that repeat inside a text
-    count too. Rows that share a doc_id are one document: their spans are no repeats of each other, and rows that agree in
-    text are cut alike. Null and empty texts have no sentence and come back as they are; other columns stay. A document's
+    count too. Rows are one document only if they agree in doc_id and text: those are cut alike. Of different texts that
+    share a doc_id, or have none, the one with the smallest row key is the first. Null and empty texts have no sentence and come back as they are; other columns stay. A document's
     runs are at most its sentences."""
-    keyed = with_row_key(docs)
+    keyed = told_apart(docs)
     runs = repeats(keyed.select("doc_id", "_key", "text")).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
     out = keyed.join(runs, (F.col("_key") == F.col("_k")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("_d")), "left")
     # only texts that lose something go to Python
