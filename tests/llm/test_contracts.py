@@ -400,6 +400,26 @@ def test_compression_bands_keep_prose_and_reject_repeats(spark):
     assert got[1]["kept"] and not got[2]["kept"] and got[2]["whole_ratio"] < 0.05
 
 
+def test_compression_bands_reject_noise_of_every_length(spark):
+    import base64
+    import random
+    import string
+
+    import zstandard
+
+    rng, zip_ = random.Random(5), zstandard.ZstdCompressor(level=quality.LEVEL)
+    for n in (250, 300, 400, 500, 800, 1000, 1500, 2000, 4000, 8000, 9000, 50_000):
+        letters = " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(3, 9))) for _ in range(n // 4))[:n]
+        coded = base64.b64encode(rng.randbytes(n)).decode()
+        for noise in (letters, " ".join(coded[i : i + 8] for i in range(0, n, 8))[:n]):
+            *_, kept, base_failed = quality.judge(noise, zip_)
+            assert not kept and not base_failed, n
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    judged = [quality.judge(t, zip_)[-2:] for t in texts]
+    passed = [kept for kept, base_failed in judged if not base_failed]
+    assert len(passed) > 500 and sum(passed) >= 0.995 * len(passed)
+
+
 def test_pipeline_stages_return_documents(spark):
     import corpus_pipeline as p
 
