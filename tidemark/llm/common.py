@@ -24,6 +24,14 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores after it as keep it apart from every column of df (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Rows whose labels no model sees: crc32 of the id as text, modulo folds, is 0 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

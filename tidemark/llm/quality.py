@@ -12,13 +12,13 @@ from .common import small_batches, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Bytes up to which a band holds, and the ratios (compressed bytes / bytes) that a whole text of that length may have.
+#: Bytes up to which a band holds, and the ratios (compressed bytes / bytes) that a text, or a chunk, of that length may have.
 #: Short texts hold few repeats and long ones many, so both limits fall with length; under 200 bytes nothing is judged.
 #: The upper limits lie between the prose of sf0.1 and words of random letters and digits at the band's longest: 0.88, 0.81,
 #: 0.76, 0.73, 0.72, 0.72. Hex, and random a-z under 2 000 bytes, compress as prose does, so no limit tells them apart.
-WHOLE_BANDS = ((200, 0.0, 9.9), (300, 0.18, 0.86), (500, 0.18, 0.78), (1_000, 0.12, 0.72), (2_000, 0.12, 0.68), (8_000, 0.08, 0.60), (10**18, 0.05, 0.55))
-#: The same for chunks of so many bytes, and the share of a text's chunks that may fall outside.
-CHUNK, CHUNK_BAND, BAD_CHUNKS = 4096, (0.06, 0.60), 0.5
+BANDS = ((200, 0.0, 9.9), (300, 0.18, 0.86), (500, 0.18, 0.78), (1_000, 0.12, 0.72), (2_000, 0.12, 0.68), (8_000, 0.08, 0.60), (10**18, 0.05, 0.55))
+#: Bytes of a chunk (the last one has what is left), and the share of a text's bytes that may lie in chunks outside their bands.
+CHUNK, BAD_CHUNKS = 4096, 0.5
 LEVEL = 3
 SCHEMA = pa.struct([(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("whole_ratio", pa.float64()), ("bad_chunks", pa.float64()), ("kept", pa.bool_()), ("base_failed", pa.bool_())])
 SPARK_SCHEMA = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,whole_ratio:double,bad_chunks:double,kept:boolean,base_failed:boolean>"
@@ -48,17 +48,22 @@ def repeated_words(words: list, window: int = 8) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
+def within(ratio: float, size: int) -> bool:
+    """Whether a ratio lies in the band for so many bytes."""
+    low, high = next((a, b) for most, a, b in BANDS if size <= most)
+    return low <= ratio <= high
+
+
 def compression(raw: bytes, zip_: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole text, and the share of its fixed chunks outside their band (a last chunk under half is no chunk,
-    unless it is the only one)."""
+    """Ratio of the whole text, and the share of its bytes in chunks outside the band for their length. Every chunk is
+    judged, the last one whatever its length; an empty text has ratio 1 and no bad chunk."""
     if not raw:
         return 1.0, 0.0
     whole = len(zip_.compress(raw)) / len(raw)
-    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
-    chunks = [c for c in chunks if len(c) >= CHUNK // 2]
-    low, high = CHUNK_BAND
-    bad = sum(not low <= len(zip_.compress(c)) / len(c) <= high for c in chunks)
-    return whole, bad / len(chunks) if chunks else 0.0
+    if len(raw) <= CHUNK:  # the text is its only chunk
+        return whole, float(not within(whole, len(raw)))
+    chunks = (raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK))
+    return whole, sum(len(c) for c in chunks if not within(len(zip_.compress(c)) / len(c), len(c))) / len(raw)
 
 
 def judge(text: str | None, zip_: zstandard.ZstdCompressor) -> tuple:
@@ -73,10 +78,9 @@ def judge(text: str | None, zip_: zstandard.ZstdCompressor) -> tuple:
             lines.add(line)
     repeat = repeated_words(words)
     whole, bad = compression(raw, zip_)
-    low, high = next((a, b) for most, a, b in WHOLE_BANDS if len(raw) <= most)
     failed = len(words) < 20 or 100 * repeat > 30 * len(words)
     word_chars = len(text) - sum(map(text.count, BLANKS)) if words else 0
-    return len(words), word_chars, sum(map(text.count, SYMBOLS)), dup, repeat, whole, bad, not failed and low <= whole <= high and bad <= BAD_CHUNKS, failed
+    return len(words), word_chars, sum(map(text.count, SYMBOLS)), dup, repeat, whole, bad, not failed and within(whole, len(raw)) and bad <= BAD_CHUNKS, failed
 
 
 def _judged(texts: pa.Array) -> pa.Array:
@@ -87,7 +91,8 @@ def _judged(texts: pa.Array) -> pa.Array:
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct `quality`: the counts, the compression ratios and `kept`. A null text counts as empty and fails;
-    rows are judged alone, so repeated rows agree; a text's time and memory grow with its own length only."""
+    rows are judged alone, so repeated rows agree; a text's time and memory grow with its own length only. A column of
+    docs named quality is replaced, all others stay."""
     small_batches(docs.sparkSession)
     return docs.withColumn("quality", F.arrow_udf(_judged, SPARK_SCHEMA)(F.col(text)))
 
