@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table
+from .common import fresh, held_out, small_batches, table
 
-#: Bytes of a window; the last window of a text is filled up with zero bytes.
+#: Bytes of a window; the last window of a text is filled up with zero bytes, which no filter may start on.
 WINDOW = 128
-#: Training takes at most about this many labelled rows of each language, and so many windows of each row.
-ROWS_PER_LANG, WINDOWS_PER_ROW = 600, 6
+#: Training takes at most about this many labelled rows of each language, and so many windows of each row, of so many
+#: languages, the commonest: what comes to the driver is bounded by the product of the three.
+ROWS_PER_LANG, WINDOWS_PER_ROW, MOST_LANGS = 600, 6, 200
 WIDTHS, FILTERS, EMBED, EPOCHS, RATE, BATCH = (2, 3, 4), 16, 12, 6, 0.004, 128
 UNKNOWN = "und"
+#: A filter's output where it may not start.
+NEVER = np.float32(-1e9)
 
 
 def windows(raw: bytes, width: int = WINDOW) -> np.ndarray:
@@ -44,13 +47,15 @@ class ByteCNN:
         return {w: np.stack([self.p["emb"] @ self.p[f"k{w}"][j * EMBED : (j + 1) * EMBED] for j in range(w)]) for w in WIDTHS}
 
     def pooled(self, x: np.ndarray, t: dict[int, np.ndarray]) -> np.ndarray:
-        """Max-pooled, rectified filter outputs of windows x; a position counts only if it starts on a text byte."""
-        parts = []
+        """Max-pooled, rectified filter outputs of windows x; a position counts only if it starts on a byte other than 0."""
+        parts, padded = [], not x.all()
         for w in WIDTHS:
             n = x.shape[1] - w + 1
             y = t[w][0][x[:, :n]]
             for j in range(1, w):
                 y += t[w][j][x[:, j : j + n]]
+            if padded:
+                y[x[:, :n] == 0] = NEVER
             parts.append(y.max(axis=1) + self.p[f"b{w}"])
         return np.maximum(np.concatenate(parts, axis=1), 0)
 
@@ -88,6 +93,7 @@ class ByteCNN:
             z = e[:, :length] @ k[:EMBED]
             for j in range(1, w):
                 z += e[:, j : j + length] @ k[j * EMBED : (j + 1) * EMBED]
+            z[x[:, :length] == 0] = NEVER
             at = z.argmax(axis=1)
             best.append(at)
             pooled.append(np.take_along_axis(z, at[:, None], 1)[:, 0] + self.p[f"b{w}"])
@@ -131,47 +137,51 @@ def has_letter(text: str | None) -> bool:
 
 
 def training_windows(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, per_row: int = WINDOWS_PER_ROW) -> DataFrame:
-    """(lang, window) of a bounded sample of labelled rows that aren't held out: of each language, the rows whose hash
-    falls in the fraction that gives rows_per_lang of them, and of each row per_row windows spread over the whole text."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
+    """(lang, key, at, window) of a bounded sample of labelled rows that aren't held out: of each of the MOST_LANGS commonest
+    languages, the rows whose hash falls in the fraction that gives rows_per_lang of them, and of each row per_row windows
+    spread over the whole text, `at` being a window's number in it. Repeated rows count once; the windows with the smallest
+    hashes stay if there are more than twice as many as meant. Rows without a letter or language give none."""
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("string").alias("key"), "lang", "text")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], min(1.0, rows_per_lang / r["n"])).otherwise(share)
-    mark = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1e6
-    schema = "lang string, window binary, at long"
+    mark = F.pmod(F.xxhash64("key", "text", F.lit(5)), F.lit(1_000_000)) / 1e6
+    names = ["lang", "key", "at", "window"]
 
     def cut(batches):
         for batch in batches:
-            langs, texts, ids = [], [], []
-            for key, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out = []
+            for lang, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if has_letter(text):
                     x = windows(text.encode("utf-8", "surrogatepass"))
                     for i in np.unique(np.linspace(0, max(0, len(x) - 2), per_row).astype(int)).tolist():
-                        langs.append(lang)
-                        texts.append(x[i].tobytes())
-                        ids.append((key or 0) * 1000 + i)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()), pa.array(ids, pa.int64())], names=["lang", "window", "at"])
+                        out.append((lang, key, i, x[i].tobytes()))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return labelled.where(mark < share).select("doc_id", "lang", "text").mapInArrow(cut, schema)
+    found = labelled.where(mark < share).select("lang", "key", "text").distinct().mapInArrow(cut, "lang string, key string, at long, window binary")
+    return found.orderBy(F.xxhash64(*names), *names).limit(2 * len(counts) * rows_per_lang * per_row)
 
 
 def train(docs: DataFrame) -> ByteCNN | None:
     """A network fitted on training_windows(docs), of at most languages x rows x windows rows of 128 bytes; None if no row
     is labelled. The same rows give the same network."""
     small_batches(docs.sparkSession)
-    rows = sorted((r["lang"], r["at"], bytes(r["window"])) for r in training_windows(docs).collect())
+    rows = sorted((r["lang"], r["key"] or "", r["at"], bytes(r["window"])) for r in training_windows(docs).collect())
     langs = sorted({r[0] for r in rows})
     if not rows:
         return None
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, WINDOW)
+    x = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, WINDOW)
     y = np.array([langs.index(r[0]) for r in rows])
     return ByteCNN(langs).fit(x, y) if len(langs) > 1 else ByteCNN(langs)
 
 
-def identify(docs: DataFrame, net: ByteCNN | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score. All windows of the whole text vote with their log probabilities; the score is
-    the softmax of the votes' mean. Texts that are null or have no letter, and all texts if there is no network, give
+def identify(docs: DataFrame, net: ByteCNN | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with lang_pred and lang_score, or columns of other names, which replace those of docs that have them.
+
+    All windows of the whole text vote with their log probabilities; the score is the softmax of the votes' mean. Texts that are null or have no letter, and all texts if there is no network, give
     `und` with score 0. Rows are scored alone, so repeated rows agree; other columns stay as they are."""
     small_batches(docs.sparkSession)
     langs, raw = (net.langs, net.to_bytes()) if net else ([], b"")
@@ -199,7 +209,18 @@ def identify(docs: DataFrame, net: ByteCNN | None, text: str = "text") -> DataFr
             out.append({"lang_pred": langs[k], "lang_score": float(z[k] / z.sum())})
         return pa.array(out, pa.struct([("lang_pred", pa.string()), ("lang_score", pa.float64())]))
 
-    return docs.withColumn("_lang", predict(F.col(text))).withColumns({"lang_pred": F.col("_lang.lang_pred"), "lang_score": F.col("_lang.lang_score")}).drop("_lang")
+    both = fresh(docs, "_lang")
+    found = docs.withColumn(both, predict(F.col(text)))
+    return found.withColumns({out[0]: F.col(both)["lang_pred"], out[1]: F.col(both)["lang_score"]}).drop(both)
+
+
+def recognised(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
+    """The rows of docs in whose text the network recognises a language, columns as they are. Without a network, because no
+    row has a label, every text with a letter stays."""
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    pred, score = fresh(docs, "_pred"), fresh(docs, "_score")
+    return identify(docs, net, out=(pred, score)).where(F.col(pred) != UNKNOWN).drop(pred, score)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
