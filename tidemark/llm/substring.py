@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, with_row_key, written
+from .common import fresh, small_batches, table, with_row_key, written
 
 #: A span is the shortest run of at least so many consecutive sentences with at least so many words.
 SENTENCES, WORDS = 2, 25
@@ -28,7 +28,6 @@ _WIDE_END = re.compile(_END.removeprefix(b"[.!?]|"))
 _UNSPACED = re.compile(rb"[\xe3-\xe9]")
 _WORD = re.compile(rb"\S+\s*")
 _WORD_UNSPACED = re.compile(rb"(?:[\xe3-\xe9][\x80-\xbf]{2}|[^\s\xe3-\xe9]+)\s*")
-LAST = 2**63 - 1
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -105,27 +104,36 @@ def _cut(texts: pa.Array, covered: pa.Array) -> pa.Array:
     return pa.array(out, _CUT)
 
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """docs with a _key that tells rows of one doc_id but different texts apart: the row key where doc_id is null or has
+def told_apart(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a key that tells rows of one doc_id but different texts apart: the row key where doc_id is null or has
     several texts, else 0, which takes next to no room in a shuffle of spans."""
-    keyed = with_row_key(docs)
-    shared = written(keyed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a < b").select(F.col("doc_id").alias("_shared")))
-    both = keyed.join(shared, F.col("doc_id") == F.col("_shared"), "left")
-    return both.withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_shared").isNotNull(), F.col("_key")).otherwise(F.lit(0).cast("long"))).drop("_shared")
+    keyed = with_row_key(docs, key)
+    shared, by = fresh(keyed, "_shared"), fresh(keyed, "_by")
+    named = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(shared)).agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    several = written(named.where("a < b").select(shared))
+    # rows without an id are no one's match, and are dealt by their key rather than all to one task
+    both = keyed.withColumn(by, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col(key).cast("string"))))
+    both = both.join(several, F.col("doc_id").isNotNull() & (F.col(by) == F.col(shared).cast("string")), "left")
+    own = F.when(F.col("doc_id").isNull() | F.col(shared).isNotNull(), F.col(key)).otherwise(F.lit(0).cast("long"))
+    return both.withColumn(key, own).drop(shared, by)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, _key, runs) of each document that has spans which another place has first.
+    """(nameless, doc_id, key, runs) of each document of docs(doc_id, key, text) that has spans which another place has first.
 
     All spans of all documents are written once. Their hashes are grouped, with map-side combine, to the first place
-    (smallest doc_id, null last, then smallest _key) that has each; those that stand twice or more are written too and joined back to the spans, both sides shuffled, so
-    that adaptive execution splits a passage which a third of all documents share. No task gathers a passage's places."""
+    (smallest doc_id, null last, then smallest key) that has each; those that stand twice or more are written too and joined
+    back to the spans, both sides shuffled, so that adaptive execution splits a passage which a third of all documents share.
+    No task gathers a passage's places. Spans are told apart by 64 bits: among 10^12 of them about 30 000 pairs agree by
+    chance, so that one sentence in tens of millions goes without a twin; wider hashes don't fit the disk budget."""
     small_batches(docs.sparkSession)
     each = F.explode(F.arrow_udf(_spans, "array<struct<start:int,n:int,h:long,own_first:boolean>>")(F.col("text")))
-    every = written(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "_key", each.alias("s")).select("doc_id", "_key", "s.start", "s.n", "s.h", "s.own_first"))
-    firsts = written(every.groupBy("h").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("h", "first"))
-    again = every.join(firsts, "h").where((F.struct("doc_id", "_key") > F.col("first")) | ~F.col("own_first"))
-    return again.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    whose = ["nameless", "doc_id", "key"]
+    named = docs.select(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key", each.alias("s"))
+    every = written(named.select(*whose, "s.start", "s.n", "s.h", "s.own_first"))
+    firsts = written(every.groupBy("h").agg(F.min(F.struct(*whose)).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("h", "first"))
+    again = every.join(firsts, "h").where((F.struct(*whose) > F.col("first")) | ~F.col("own_first"))
+    return again.groupBy(*whose).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -133,14 +141,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     A span's first place, in the document with the smallest doc_id (null last), stays; spans that repeat inside a text
     count too. Rows are one document only if they agree in doc_id and text: those are cut alike. Of different texts that
-    share a doc_id, or have none, the one with the smallest row key is the first. Null and empty texts have no sentence and come back as they are; other columns stay. A document's
-    runs are at most its sentences."""
-    keyed = told_apart(docs)
-    runs = repeats(keyed.select("doc_id", "_key", "text")).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
-    out = keyed.join(runs, (F.col("_key") == F.col("_k")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("_d")), "left")
+    share a doc_id, or have none, the one with the smallest row key is the first. Null and empty texts have no sentence and
+    come back as they are; other columns stay, but for one named n_removed, which is replaced. A document's runs are at most
+    its sentences."""
+    key, cut, gone = (fresh(docs, x) for x in ("_key", "_cut", "_gone"))
+    keyed = told_apart(docs, key)
+    found = repeats(keyed.select("doc_id", F.col(key).alias("key"), "text")).select(F.struct("nameless", "doc_id", "key").alias(cut), F.col("runs").alias(gone))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col(key).alias("key"))
+    out = keyed.join(found, place == F.col(cut), "left")
     # only texts that lose something go to Python
-    out = out.withColumn("_c", F.arrow_udf(_cut, "struct<text:string,n_removed:long>")(F.when(F.col("runs").isNotNull(), F.col("text")), F.col("runs")))
-    return out.withColumns({"text": F.coalesce("_c.text", "text"), "n_removed": F.coalesce("_c.n_removed", F.lit(0).cast("long"))}).drop("_c", "_d", "_k", "_key", "runs")
+    out = out.withColumn(cut, F.arrow_udf(_cut, "struct<text:string,n_removed:long>")(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone)))
+    return out.withColumns({"text": F.coalesce(F.col(cut)["text"], "text"), "n_removed": F.coalesce(F.col(cut)["n_removed"], F.lit(0).cast("long"))}).drop(cut, gone, key)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
