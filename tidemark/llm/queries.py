@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, mixing
 from .decontam import op8_decontamination
 from .langid import op9_language_id
 from .licenses import op2_licenses
@@ -39,17 +39,26 @@ SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE is_base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)), ','), '') AS labels, coalesce(max(CAST(hit AS DOUBLE) / grams), 0.0) AS score
 FROM d LEFT JOIN f USING (rid) GROUP BY d.rid, d.doc_id"""
 
-_MIXING = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-p AS (SELECT *, CASE rk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w, 2.0::DOUBLE * source_size AS cap FROM (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source)),
-q AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM p),
+_MIXING = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS size,
+  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS place FROM documents),
+u AS (SELECT *, size * copies AS words FROM (SELECT doc_id, source, size, place, count(*) AS copies FROM d GROUP BY ALL)),
+p AS (SELECT *, CASE rk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w, 2.0::DOUBLE * source_size AS cap
+  FROM (SELECT source, sum(words) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM u GROUP BY source)),
+q AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+  sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM p),
 v AS (SELECT *, first_value((total - full_) / rest_w) OVER (ORDER BY CASE WHEN (total - full_) / rest_w * w <= cap THEN 0 ELSE 1 END, cap / w, rk) AS level FROM q),
-t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, level * w) AS target FROM v),
-c AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-i AS (SELECT *, greatest(0, least(size, floor(target) - (upto + pass * source_size - size))) AS words, (upto + pass * source_size) / target AS vf FROM c CROSS JOIN (VALUES (0), (1)) AS x(pass)),
-o AS (SELECT *, coalesce(sum(words) OVER (ORDER BY vf, source NULLS FIRST, doc_id NULLS FIRST, pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mix_start FROM i WHERE words > 0),
-g AS (SELECT doc_id, source, size, sum(words) AS taken, min(mix_start) AS first_start FROM o GROUP BY ALL)
-SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, CAST(g.first_start AS BIGINT) AS first_start
-FROM c LEFT JOIN g ON c.doc_id IS NOT DISTINCT FROM g.doc_id AND c.source IS NOT DISTINCT FROM g.source AND c.size = g.size"""
+t AS (SELECT source, rk, CAST(source_size AS BIGINT) AS source_size, least(cap, level * w) AS target FROM v),
+b AS (SELECT CAST(floor(least(1.5::DOUBLE * sum(source_size), sum(cap))) AS BIGINT) AS budget FROM p),
+c AS (SELECT u.*, t.rk, t.source_size, t.target, CAST(ceil(t.target / {mixing.PACKETS}) AS BIGINT) AS packet,
+  coalesce(sum(words) OVER (PARTITION BY u.source ORDER BY place, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_
+  FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
+i AS (SELECT *, begin_ + pass * source_size AS at_, unnest(range(CAST(ceil(words / packet) AS BIGINT))) AS slice FROM c CROSS JOIN (VALUES (0), (1)) AS x(pass) WHERE words > 0 AND target > 0),
+k AS (SELECT *, least(packet, words - slice * packet) AS n_words, (at_ + slice * packet + least(packet, words - slice * packet)) / target AS vf FROM i),
+o AS (SELECT *, coalesce(sum(n_words) OVER (ORDER BY vf, rk, place, doc_id NULLS FIRST, pass, slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mix_start FROM k),
+g AS (SELECT doc_id, source, size, place, sum(least(n_words, budget - mix_start)) AS taken, min(mix_start) AS first_start FROM o CROSS JOIN b WHERE mix_start < budget GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(words_ // copies + CASE WHEN copy < words_ % copies THEN 1 ELSE 0 END AS BIGINT) AS taken, CAST(first_start AS BIGINT) AS first_start
+FROM (SELECT c.doc_id, c.size, c.source_size, c.target, c.copies, coalesce(g.taken, 0) AS words_, g.first_start, unnest(range(c.copies)) AS copy
+  FROM c LEFT JOIN g ON c.doc_id IS NOT DISTINCT FROM g.doc_id AND c.source IS NOT DISTINCT FROM g.source AND c.size = g.size AND c.place = g.place)"""
 
 ORACLE: dict[str, str] = {"op2_licenses": _LICENSES, "op4_mixing": _MIXING}
