@@ -18,26 +18,27 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_substring_ded
 
 
 def _templates() -> str:
-    rows = []
-    every = [(v, k, True) for k, v in licenses.BASE.items()] + [(k, v, False) for k, v in licenses.NOTICES.items()]
-    for i, (label, phrase, base) in enumerate(every):
-        w = phrase.replace(".", " ").split()
-        rows += [f"({i}, '{label}', {str(base).lower()}, {j}, {len(w) - 1}, '{w[j]}', '{w[j + 1]}')" for j in range(len(w) - 1)]
-    return f"(VALUES {', '.join(rows)}) AS t(template, label, is_base, at_, grams, w0, w1)"
+    text = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
+    rows = ", ".join(f"({', '.join(map(text, row))})" for row in licenses.grams())
+    return f"(VALUES {rows}) AS t(template, label, kind, at_, n, k, drift, must, w0, w1, w2, w3)"
 
 
 _LICENSES = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}') AS w FROM documents),
-g AS (SELECT rid, i - 1 AS i, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w)))) AS i FROM d)),
-v AS (SELECT rid, i, template, label, is_base, grams, at_, i - at_ AS diagonal FROM g JOIN {_templates()} ON a = w0 AND b = w1),
-l AS (SELECT rid, template, diagonal, label, is_base, grams, list(DISTINCT at_) AS ats FROM v GROUP BY ALL),
-s AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {licenses.DRIFT} THEN 0 ELSE 1 END AS fresh FROM l WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal)),
-u AS (SELECT *, CASE WHEN is_base THEN diagonal ELSE sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) END AS run FROM s),
-r AS (SELECT rid, template, run, label, is_base, grams, len(list_distinct(flatten(list(ats)))) AS hit, min(diagonal) AS start FROM u GROUP BY ALL),
-f AS (SELECT * FROM r WHERE CASE WHEN is_base THEN hit = grams ELSE hit >= {licenses.SHARE} * grams AND hit >= least({licenses.LEAST_VOTES}, grams) END)
-SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE is_base) AS n_base, CAST(min(start) FILTER (WHERE is_base) AS BIGINT) AS first_word, CAST(max(start) FILTER (WHERE is_base) AS BIGINT) AS last_word,
-  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE is_base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)), ','), '') AS labels, coalesce(max(CAST(hit AS DOUBLE) / grams), 0.0) AS score
-FROM d LEFT JOIN f USING (rid) GROUP BY d.rid, d.doc_id"""
+g AS (SELECT rid, i - 1 AS i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, w[i + 3] AS e FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w)))) AS i FROM d)),
+v AS (SELECT *, i - at_ AS diagonal FROM g JOIN {_templates()} ON a = w0 AND b = w1 AND (w2 IS NULL OR c = w2) AND (w3 IS NULL OR e = w3)),
+s AS (SELECT *, unnest(range(diagonal - drift, diagonal + 1)) AS start FROM v),
+o AS (SELECT rid, template, start FROM s WHERE diagonal = start GROUP BY ALL),
+m AS (SELECT rid, template, label, kind, n, k, start, at_, must, min(i) AS i FROM s SEMI JOIN o USING (rid, template, start) GROUP BY ALL),
+x AS (SELECT * FROM m QUALIFY coalesce(i > max(i) OVER (PARTITION BY rid, template, start ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)),
+y AS (SELECT *, least(k, coalesce(at_ - lag(at_) OVER (PARTITION BY rid, template, start ORDER BY at_), k)) AS fresh FROM x),
+r AS (SELECT rid, template, label, kind, n, start, sum(fresh) / CAST(n AS DOUBLE) AS share, bool_or(must) AS must FROM y GROUP BY rid, template, label, kind, n, start),
+f AS (SELECT * FROM r WHERE CASE WHEN kind = 'notice' THEN share >= {licenses.SHARE} AND must ELSE share = 1 END),
+q AS (SELECT * FROM f QUALIFY kind <> 'short' OR coalesce(max(start + n) OVER (PARTITION BY rid, kind ORDER BY start, n DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < start + n)
+SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE kind = 'base') AS n_base, CAST(min(start) FILTER (WHERE kind = 'base') AS BIGINT) AS first_word,
+  CAST(max(start) FILTER (WHERE kind = 'base') AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE kind = 'base')), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)), ','), '') AS labels, coalesce(max(share), 0.0) AS score
+FROM d LEFT JOIN q USING (rid) GROUP BY d.rid, d.doc_id"""
 
 _MIXING = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS size,
