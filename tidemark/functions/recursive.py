@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .columns import KEY, last_rows, so_far
 
 
+#: Rows of a chunk at most: (1 - a) ** -ROWS is within a double's range for every a up to 0.8.
+ROWS = 400
+
+
 @dataclass(frozen=True)
 class Smooth:
     """out: the smoothed column x with weight alpha, NULL before `least` values. The first value seeds the average."""
@@ -31,13 +35,15 @@ def ema(x: str, out: str, n: int) -> Smooth:
 def smooth(df: DataFrame, specs: list[Smooth], chunk: str = "7 days", key: tuple = KEY) -> DataFrame:
     """df with a column for each of specs. NULLs of x may only lead a series.
 
-    A chunk should hold a few hundred rows (powers of 1 - a must stay within a double's range): pass a shorter one for
-    finer bars."""
+    Chunks of time are what is dealt over the cluster; each is cut again after ROWS rows, because powers of 1 - a must stay
+    within a double's range, however fine the bars are."""
     seconds = F.lit(_seconds(chunk))
     at = F.col("ts").cast("timestamp_ntz")
     epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
     out = df.withColumn("_c", F.floor(epoch / seconds))
-    w = Window.partitionBy(*key, "_c").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    nth = F.row_number().over(Window.partitionBy(*key, "_c").orderBy("ts"))
+    out = out.withColumn("_s", F.floor((nth - 1) / ROWS).cast("int"))
+    w = Window.partitionBy(*key, "_c", "_s").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     for i, s in enumerate(specs):
         q = 1 - s.alpha
         out = out.withColumn(f"_j{i}", F.count(s.x).over(w).cast("double"))
@@ -45,25 +51,29 @@ def smooth(df: DataFrame, specs: list[Smooth], chunk: str = "7 days", key: tuple
     ends = []
     for i, s in enumerate(specs):
         ends += [F.max(f"_j{i}").alias(f"n{i}"), F.coalesce(F.max_by(f"_l{i}", "ts"), F.lit(0.0)).alias(f"b{i}"), F.min_by(s.x, F.when(F.col(s.x).isNotNull(), F.col("ts"))).alias(f"f{i}")]
-    chunks = out.groupBy(*key, "_c").agg(*ends)
+    chunks = out.groupBy(*key, "_c", "_s").agg(*ends)
     fields = [f"{k}{i}" for i in range(len(specs)) for k in "nbf"]
-    per = chunks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_c", *fields))).alias("list"))
-    kind = "array<struct<_c:bigint," + ",".join(f"y{i}:double,m{i}:double" for i in range(len(specs))) + ">>"
+    per = chunks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_c", "_s", *fields))).alias("list"))
+    kind = "array<struct<_c:bigint,_s:int," + ",".join(f"y{i}:double,m{i}:double" for i in range(len(specs))) + ">>"
     zero = F.struct(F.array().cast(kind).alias("out"), *[F.lit(None).cast("double").alias(f"y{i}") for i in range(len(specs))], *[F.lit(0.0).alias(f"m{i}") for i in range(len(specs))])
 
     def step(state, c):
         # what a chunk starts from: the end of the one before, or its first value where nothing came before
         into = [F.coalesce(state[f"y{i}"], c[f"f{i}"]) for i in range(len(specs))]
-        here = F.struct(c["_c"].alias("_c"), *[x for i in range(len(specs)) for x in (into[i].alias(f"y{i}"), state[f"m{i}"].alias(f"m{i}"))])
+        here = F.struct(c["_c"].alias("_c"), c["_s"].alias("_s"), *[x for i in range(len(specs)) for x in (into[i].alias(f"y{i}"), state[f"m{i}"].alias(f"m{i}"))])
         ys = [(F.pow(F.lit(1 - s.alpha), c[f"n{i}"]) * into[i] + c[f"b{i}"]).alias(f"y{i}") for i, s in enumerate(specs)]
         return F.struct(F.concat(state["out"], F.array(here)).alias("out"), *ys, *[(state[f"m{i}"] + c[f"n{i}"]).alias(f"m{i}") for i in range(len(specs))])
 
     carry = per.select(*key, F.explode(F.aggregate("list", zero, step, lambda s: s["out"])).alias("k")).select(*key, "k.*")
-    out = out.join(carry, [*key, "_c"])
+    # a row a chunk of time, so that the join goes by what the windows are partitioned by
+    states = [c for i in range(len(specs)) for c in (f"y{i}", f"m{i}")]
+    carry = carry.groupBy(*key, "_c").agg(F.array_sort(F.collect_list(F.struct("_s", *states))).alias("_k"))
+    out = out.join(carry, [*key, "_c"]).withColumn("_k", F.get("_k", F.col("_s")))
+    out = out.withColumns({c: F.col(f"_k.{c}") for c in states})
     for i, s in enumerate(specs):
         y = F.coalesce(F.col(f"_l{i}"), F.lit(0.0)) + F.pow(F.lit(1 - s.alpha), F.col(f"_j{i}")) * F.col(f"y{i}")
         out = out.withColumn(s.out, F.when((F.col(f"_j{i}") > 0) | (F.col(f"m{i}") > 0), F.when(F.col(f"m{i}") + F.col(f"_j{i}") >= s.least, y)))
-    return out.drop("_c", *[f"{k}{i}" for i in range(len(specs)) for k in ("_j", "_l", "y", "m")])
+    return out.drop("_c", "_s", "_k", *[f"{k}{i}" for i in range(len(specs)) for k in ("_j", "_l", "y", "m")])
 
 
 def _seconds(chunk: str) -> float:

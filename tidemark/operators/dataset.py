@@ -106,11 +106,11 @@ def rolling_cut(rows: DataFrame, as_of: Column, days: int, least: int) -> DataFr
 
 
 def weighted_sample(rows: DataFrame, weight: str = "weight", seed: str = "7") -> DataFrame:
-    """Rows drawn with replacement, on average weight / mean weight times each; `draws` says how often. The draw comes from
-    a hash of the key, so reruns agree: a Poisson count by inversion."""
+    """Rows drawn with replacement, on average weight / mean weight of the interval times each; `draws` says how often: the
+    whole part of that ratio, and once more with the rest's probability. The draw comes from a hash of the key, so reruns
+    agree; a ratio of any size gets all its draws."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "symbol", "interval", F.col("ts").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    lam = F.col(weight) / F.avg(weight).over(Window.partitionBy("interval"))
-    d = rows.withColumns({"_u": u, "_l": lam})
-    step = lambda s, k: F.struct((s["p"] * F.col("_l") / F.greatest(k, F.lit(1))).alias("p"), (s["c"] + s["p"] * F.col("_l") / F.greatest(k, F.lit(1))).alias("c"), (s["n"] + F.when(F.col("_u") > s["c"], 1).otherwise(0)).alias("n"))
-    zero = F.struct(F.exp(-F.col("_l")).alias("p"), F.exp(-F.col("_l")).alias("c"), F.lit(0).alias("n"))
-    return d.withColumn("draws", F.aggregate(F.sequence(F.lit(1), F.lit(20)), zero, step, lambda s: s["n"])).where("draws > 0").drop("_u", "_l")
+    mean = rows.groupBy("interval").agg(F.avg(weight).alias("_mean"))  # a row an interval
+    ratio = F.try_divide(F.col(weight), F.col("_mean"))
+    draws = F.floor(ratio) + F.when(u < ratio - F.floor(ratio), 1).otherwise(0)
+    return rows.join(F.broadcast(mean), "interval").withColumn("draws", draws.cast("long")).where("draws > 0").drop("_mean").select(*rows.columns, "draws")

@@ -91,11 +91,12 @@ def trend(bars: DataFrame) -> DataFrame:
     return d.drop(*[x for x in d.columns if x.startswith("_")])
 
 
-#: The 41 columns of compute().
+#: The 41 columns of compute() in the order in which models take them.
 NAMES = (
     ["ema_9_dist", "ema_21_dist", "ema_50_dist", "macd_norm", "macd_signal_norm", "macd_hist_norm", "adx", "adx_pos", "adx_neg", "rsi_14", "stoch_rsi_k", "stoch_rsi_d", "williams_r", "roc_12", "bb_width", "bb_pct", "atr_pct", "kc_width", "kc_dist"]
-    + ["obv_roc", "acc_dist_roc", "vol_sma_ratio", "vol_z_score", "vwap_dist", "pct_change_1", "pct_change_4", "pct_change_24", "pct_change_72", "pct_change_168", "price_position_48", "price_position_168", "momentum_accel", "atr_expansion", "vol_price_ratio"]
+    + ["obv_roc", "acc_dist_roc", "vol_sma_ratio", "vol_z_score", "vwap_dist", "pct_change_1", "pct_change_4", "pct_change_24", "pct_change_72", "pct_change_168"]
     + ["candle_body_ratio", "upper_wick_ratio", "lower_wick_ratio", "ema_9_21_cross", "ema_21_50_cross", "price_vs_bb_upper", "price_vs_bb_lower"]
+    + ["price_position_48", "price_position_168", "momentum_accel", "atr_expansion", "vol_price_ratio"]
 )
 
 

@@ -85,16 +85,37 @@ def filled_outer(a: DataFrame, b: DataFrame, value: str, key: str = "symbol") ->
     return both.select(key, "ts", F.last("a", ignorenulls=True).over(w).alias("a_value"), F.last("b", ignorenulls=True).over(w).alias("b_value"))
 
 
-def pair_correlations(returns: DataFrame, value: str = "ret", unit: str = "symbol", least: int = 24, high: float = 0.70, points: int = 10) -> DataFrame:
-    """(a, b, points, r, is_correlated) for a <= b: units with enough values, all cut to the shortest tail, aligned by
-    rank from the end. The join key is the rank, so every task has all units of some ranks and no pair is skewed."""
-    back = F.row_number().over(Window.partitionBy(unit).orderBy(F.desc("ts")))
-    n = F.count(value).over(Window.partitionBy(unit))
-    r = returns.where(F.col(value).isNotNull()).select(unit, value, back.alias("back"), n.alias("n")).where(F.col("n") >= least)
-    shortest = r.agg(F.min("n").alias("m"))
-    r = r.join(F.broadcast(shortest), F.col("back") <= F.col("m"))  # one row
-    a, b = r.select("back", F.col(unit).alias("a"), F.col(value).alias("x")), r.select("back", F.col(unit).alias("b"), F.col(value).alias("y"))
-    out = a.join(b, "back").where("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("points"), F.corr("x", "y").alias("r"))
+def pair_correlations(
+    returns: DataFrame, value: str = "ret", unit: str = "symbol", least: int = 24, high: float = 0.70, points: int = 10, tail: str = "shared", within: tuple = (), block: int = 4096, groups: int = 8
+) -> DataFrame:
+    """(a, b, points, r, is_correlated) for a <= b: units with enough values, aligned by rank from the end, over the shortest
+    of all tails ("shared") or each pair's own shorter one ("pair"). Units are paired within the columns of `within` only,
+    which come first in the output then. The output is one row a pair.
+
+    A unit's values go in arrays of `block` ranks, and a pair of arrays gives the sums of its products, so that no row is
+    made for a pair and a rank; units are dealt to groups, and each two groups meet in a task of their own."""
+    back = F.row_number().over(Window.partitionBy(*within, unit).orderBy(F.desc("ts")))
+    whole = Window.partitionBy(*within, unit)
+    r = returns.where(F.col(value).isNotNull()).select(*within, unit, F.col(value).cast("double").alias("v"), back.alias("back"), F.count(F.lit(1)).over(whole).alias("n"), F.avg(value).over(whole).alias("mean"))
+    r = r.where(F.col("n") >= least)
+    if tail == "shared":
+        shortest = r.groupBy(*within).agg(F.min("n").alias("m"))
+        r = (r.join(shortest, list(within)) if within else r.crossJoin(F.broadcast(shortest))).where("back <= m")  # one row
+    # less the unit's mean, which changes no correlation but keeps the sums small
+    x = r.groupBy(*within, unit, F.floor((F.col("back") - 1) / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("back", (F.col("v") - F.col("mean")).alias("v")))).alias("x"))
+    x = x.select(*within, F.col(unit).alias("u"), "block", F.transform("x", lambda e: e["v"]).alias("x"), F.pmod(F.xxhash64(unit), F.lit(groups)).alias("g"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))
+    a = x.select(*within, "block", F.col("u").alias("a"), F.col("x").alias("x"), F.col("g").alias("ga"), every.alias("gb"))
+    b = x.select(*within, "block", F.col("u").alias("b"), F.col("x").alias("y"), F.col("g").alias("gb"), every.alias("ga"))
+    met = a.join(b, [*within, "block", "ga", "gb"]).where("a <= b").withColumn("k", F.least(F.size("x"), F.size("y")))
+    met = met.withColumns({"x": F.slice("x", F.lit(1), F.col("k")), "y": F.slice("y", F.lit(1), F.col("k"))})
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    product = lambda c, d: total(F.zip_with(c, d, lambda v, w: v * w))
+    sums = {"sx": total("x"), "sy": total("y"), "sxx": product("x", "x"), "syy": product("y", "y"), "sxy": product("x", "y")}
+    out = met.select(*within, "a", "b", "k", *[c.alias(n) for n, c in sums.items()]).groupBy(*within, "a", "b").agg(F.sum("k").alias("points"), *[F.sum(n).alias(n) for n in sums])
+    n, sx, sy = F.col("points"), F.col("sx"), F.col("sy")
+    spread = F.sqrt((n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy))
+    out = out.select(*within, "a", "b", "points", F.when(spread > 0, (n * F.col("sxy") - sx * sy) / spread).alias("r"))
     return out.withColumn("is_correlated", (F.abs("r") >= high) & (F.col("points") >= points))
 
 

@@ -41,30 +41,26 @@ def score(models, rows: DataFrame, features: list[str]) -> DataFrame:
     return d.withColumn("direction", argmax3("prob_up", "prob_flat", "prob_down")).drop("_features", "_raw", "rawPrediction", "prediction")
 
 
-def permuted(rows: DataFrame, feature: str, seed: int) -> DataFrame:
-    """rows with a feature's values dealt anew within each series, by an order that a hash of the time gives."""
+def permuted(rows: DataFrame, features: list[str], repeats: int) -> DataFrame:
+    """A copy of rows for each feature and repeat, with feature_name, in which that feature's values are dealt anew within
+    each series, by an order that a hash of the time gives; and, as feature_name NULL, a copy for each repeat as they are."""
     w = Window.partitionBy("symbol", "interval")
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col("ts").cast("string")).cast("binary"))
     a = rows.withColumn("_r", F.row_number().over(w.orderBy("ts")))
-    b = rows.select("symbol", "interval", F.col(feature).alias("_v"), F.row_number().over(w.orderBy(mark, "ts")).alias("_r"))
-    return a.drop(feature).join(b, ["symbol", "interval", "_r"]).withColumnRenamed("_v", feature).drop("_r")
+    mark = F.md5(F.concat_ws(":", "_k", F.col("ts").cast("string")).cast("binary"))
+    b = rows.select("symbol", "interval", "ts", F.struct(*features).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_k"))
+    b = b.select("symbol", "interval", "_v", F.row_number().over(Window.partitionBy("symbol", "interval", "_k").orderBy(mark, "ts")).alias("_r"))
+    d = a.join(b, ["symbol", "interval", "_r"]).withColumn("feature_name", F.explode(F.array(F.lit(None).cast("string"), *map(F.lit, features))))
+    return d.withColumns({f: F.when(F.col("feature_name") == f, F.col(f"_v.{f}")).otherwise(F.col(f)) for f in features}).drop("_r", "_v")
 
 
-def permutation_importance(models, rows: DataFrame, features: list[str], repeats: int = 2) -> DataFrame:
-    """(feature_name, importance): how much accuracy falls, on average, when a feature's values are shuffled."""
-
-    def accuracy(d: DataFrame) -> DataFrame:
-        names = F.when(F.col("label") == 0, "UP").when(F.col("label") == 1, "FLAT").otherwise("DOWN")
-        return score(models, d, features).agg(F.avg((F.col("direction") == names).cast("double")).alias("acc"))
-
-    rows = rows.where("label IS NOT NULL")
-    base = accuracy(rows).select(F.col("acc").alias("base"))
-    out = None
-    for f in features:
-        for k in range(repeats):
-            one = accuracy(permuted(rows, f, k)).select(F.lit(f).alias("feature_name"), "acc")
-            out = one if out is None else out.union(one)
-    return out.crossJoin(base).groupBy("feature_name").agg(F.avg(F.col("base") - F.col("acc")).alias("importance"))  # one row
+def permutation_importance(models, rows: DataFrame, features: list[str], repeats: int = 5) -> DataFrame:
+    """(feature_name, importance): how much accuracy falls, on average, when a feature's values are shuffled. All copies are
+    scored in one pass."""
+    names = F.when(F.col("label") == 0, "UP").when(F.col("label") == 1, "FLAT").otherwise("DOWN")
+    copies = permuted(rows.where("label IS NOT NULL"), features, repeats)
+    acc = score(models, copies, features).groupBy("feature_name").agg(F.avg((F.col("direction") == names).cast("double")).alias("acc"))
+    base = acc.where("feature_name IS NULL").select(F.col("acc").alias("base"))
+    return acc.where("feature_name IS NOT NULL").crossJoin(F.broadcast(base)).select("feature_name", (F.col("base") - F.col("acc")).alias("importance"))  # one row
 
 
 def fold_means(predictions: DataFrame, item: list[str]) -> DataFrame:
@@ -85,10 +81,12 @@ def symbol_statistics(returns: DataFrame, value: str = "ret", n: int = 500, leas
 
 
 def clusters(stats: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """stats with the cluster of each symbol, by k-means over standardised statistics."""
+    """stats with the cluster of each symbol, by k-means over standardised statistics; 0 for all if they are fewer than k."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
 
+    if stats.limit(k).count() < k:
+        return stats.withColumn("cluster", F.lit(0))
     names = ["mean", "std", "skew", "kurtosis", "autocorrelation"]
     d = _assembled(stats, names)
     d = StandardScaler(inputCol="_features", outputCol="_x", withMean=True).fit(d).transform(d)

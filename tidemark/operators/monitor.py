@@ -28,14 +28,16 @@ def kl_drift(recent: DataFrame, baseline: DataFrame, by: list[str], least: int =
 
 
 def calibration(scored: DataFrame, bins: int = 10, limit: float = 0.15, clamp_last: bool = False) -> DataFrame:
-    """One row: n, ece, is_degraded. Bins of the largest probability, closed below; 1.0 is in none unless clamp_last."""
+    """One row: n, ece, is_degraded, over the rows that are in a bin. Bins of the largest probability, closed below; 1.0 is in
+    none unless clamp_last. No rows give an error of 0."""
     p = F.greatest("prob_up", "prob_flat", "prob_down")
     b = F.floor(p * bins)
     b = F.least(b, F.lit(bins - 1)) if clamp_last else b
     d = scored.select(p.alias("p"), b.alias("b"), F.col("was_correct").cast("double").alias("ok"))
-    n = d.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("conf"), F.avg("ok").alias("acc"))
-    g = n.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("b") < bins, F.col("n") * F.abs(F.col("conf") - F.col("acc"))).otherwise(0.0)).alias("e"))
-    return g.select("n", (F.col("e") / F.col("n")).alias("ece"), (F.col("e") / F.col("n") > limit).alias("is_degraded"))
+    n = d.where(F.col("b") < bins).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("conf"), F.avg("ok").alias("acc"))
+    g = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))), F.lit(0.0)).alias("e"))
+    ece = F.col("e") / F.greatest("n", F.lit(1))
+    return g.select("n", ece.alias("ece"), (ece > limit).alias("is_degraded"))
 
 
 def sharpe(x: Column, periods: float = 8760) -> Column:

@@ -46,29 +46,37 @@ def position_limits(candidates: DataFrame, positions: DataFrame, correlated: Dat
 
 
 class Drawdown:
-    """NORMAL, REDUCED at one drawdown, HALTED at a deeper one; out of HALTED into RECOVERING when equity has come back by
-    a share of what it had then, and from there to NORMAL over so many periods. multiplier is the size that is allowed."""
+    """Trading state by drawdown from the highest equity so far: NORMAL, REDUCED from one drawdown on, HALTED from a deeper
+    one. HALTED ends in RECOVERING, when equity has risen by a share of the halting drawdown since it halted; RECOVERING ends
+    in NORMAL under the first drawdown and in HALTED again at the deeper one. multiplier is the size that is allowed: in
+    RECOVERING it grows from the reduced one to the whole over so many periods. Nothing happens before equity is positive."""
 
-    def __init__(self, reduce: float = 0.05, halt: float = 0.10, back: float = 0.05, ramp: int = 24):
-        self.reduce, self.halt, self.back, self.ramp = reduce, halt, back, ramp
-        self.state, self.peak, self.halted_at, self.periods = "NORMAL", float("-inf"), 0.0, 0
+    def __init__(self, reduce: float = 0.05, halt: float = 0.10, recovery: float = 0.5, ramp: int = 24, reduced: float = 0.5):
+        self.reduce, self.halt, self.back, self.ramp, self.reduced = reduce, halt, recovery * halt, ramp, reduced
+        self.state, self.peak, self.halted_at, self.periods = "NORMAL", 0.0, 0.0, 0
+
+    def after(self, drawdown: float, equity: float) -> str:
+        """The state that follows the present one."""
+        if self.state == "HALTED":
+            return "RECOVERING" if self.halted_at > 0 and equity / self.halted_at - 1 >= self.back else "HALTED"
+        if drawdown >= self.halt:
+            return "HALTED"
+        if drawdown < self.reduce:
+            return "NORMAL"
+        return "RECOVERING" if self.state == "RECOVERING" else "REDUCED"
 
     def update(self, equity: float) -> tuple[str, float, float]:
         self.peak = max(self.peak, equity)
-        dd = (self.peak - equity) / self.peak if self.peak > 0 else 0.0
-        if self.state == "HALTED":
-            if equity >= self.halted_at * (1 + self.back):
-                self.state, self.periods, self.peak = "RECOVERING", 0, equity
-        elif dd >= self.halt:
-            self.state, self.halted_at = "HALTED", equity
-        elif self.state == "RECOVERING":
-            self.periods += 1
-            if self.periods >= self.ramp:
-                self.state = "NORMAL"
-        else:
-            self.state = "REDUCED" if dd >= self.reduce else "NORMAL"
-        multiplier = {"NORMAL": 1.0, "REDUCED": 0.5, "HALTED": 0.0, "RECOVERING": min(1.0, self.periods / self.ramp)}[self.state]
-        return self.state, dd, multiplier
+        drawdown = 0.0
+        if self.peak > 0:
+            drawdown = (self.peak - equity) / self.peak
+            state = self.after(drawdown, equity)
+            if state == "HALTED" != self.state:
+                self.halted_at = equity
+            self.periods = self.periods + 1 if state == self.state else 0
+            self.state = state
+        grown = self.reduced + (1 - self.reduced) * min(1.0, self.periods / max(1, self.ramp))
+        return self.state, drawdown, {"NORMAL": 1.0, "REDUCED": self.reduced, "HALTED": 0.0, "RECOVERING": grown}[self.state]
 
 
 def drawdown_states(equity: DataFrame, key: str = "portfolio", **limits) -> DataFrame:

@@ -43,6 +43,16 @@ def daily_accuracy(scored: DataFrame) -> DataFrame:
     return scored.groupBy("interval", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("total"), hit.alias("correct"), F.round(100 * hit / F.count(F.lit(1)), 1).alias("pct"))
 
 
+def interval_accuracy(scored: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """(interval, n, accuracy) of what was scored in the last days; intervals without any have no row."""
+    return scored_since(scored, as_of, days).groupBy("interval").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("was_correct").cast("double"), F.lit(0.0))).alias("accuracy"))
+
+
+def accuracy_history(log: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """The accuracy log's entries of the last days, newest first."""
+    return log.where(F.col("run_date") >= F.date_sub(as_of.cast("date"), days)).orderBy(F.desc("run_date"))
+
+
 def sample_weights(scored: DataFrame, least: int = 5, most: float = 5.0) -> DataFrame:
     """(symbol, n_preds, error_rate, weight): 1 + error over the mean error of the symbols kept, at most `most`."""
     s = scored.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_preds"), (1 - F.avg(F.col("was_correct").cast("double"))).alias("error_rate")).where(F.col("n_preds") >= least)
@@ -91,6 +101,24 @@ def sharpe_grid(scored: DataFrame, low: float, high: float, n: int = 50, periods
     return g.withColumn("sharpe", F.when((F.col("rows") < 2) | (F.col("_sd") < 1e-10) | F.col("_sd").isNull(), 0.0).otherwise(F.try_divide(F.col("mean_pnl"), F.col("_sd")) * F.sqrt(F.lit(periods)))).drop("_sd")
 
 
+def sharpe_threshold(grid: DataFrame, current: float, low: float, high: float, keep: float = 0.7) -> DataFrame:
+    """One row of sharpe_grid()'s: best (of equal Sharpe ratios the smallest threshold), its sharpe, and the threshold to use:
+    `keep` of the current one and the rest of the best, within low and high."""
+    best = grid.orderBy(F.desc(F.round("sharpe", 9)), "threshold").limit(1)
+    new = F.greatest(F.lit(low), F.least(F.lit(high), (1 - keep) * F.col("threshold") + keep * current))
+    return best.select(F.col("threshold").alias("best"), "sharpe", new.alias("threshold"))
+
+
+def model_sharpes(versions: DataFrame, interval: str) -> DataFrame:
+    """(model, sharpe) of one interval: of versions(model, interval, sharpe, updated_at) the last of each model."""
+    return versions.where(F.col("interval") == interval).groupBy("model").agg(F.max_by("sharpe", "updated_at").alias("sharpe"))
+
+
+def retired_features(status: DataFrame, interval: str) -> DataFrame:
+    """The features of an interval that are retired, of retirement()'s rows."""
+    return status.where((F.col("interval") == interval) & F.col("is_retired")).select("feature_name")
+
+
 def pnl_weights(scored: DataFrame, least: int = 5) -> DataFrame:
     """(symbol, n_preds, weight): 1 + mean loss over mean gain, within 0.5 and 5; 1 for few rows."""
     m = F.abs("actual_magnitude")
@@ -122,7 +150,11 @@ def retirement(importance: DataFrame, threshold: float = 0.001, runs: int = 3) -
 
 
 def simulated_equity(scored: DataFrame, start: float = 10_000.0, n: int = 200) -> DataFrame:
-    """One row: equity after the newest n scored predictions, up by the move if right, down by half of it if wrong."""
-    newest = scored.where("actual_magnitude IS NOT NULL").orderBy(F.desc("ts"), "symbol").limit(n)
-    f = F.when(F.col("direction") == "FLAT", 1.0).when(F.col("was_correct"), 1 + F.abs("actual_magnitude")).otherwise(F.greatest(F.lit(1e-6), 1 - 0.5 * F.abs("actual_magnitude")))
-    return newest.agg(F.count(F.lit(1)).alias("n"), (start * F.exp(F.sum(F.log(f)))).alias("equity"))
+    """One row: equity after the predictions scored last, up by the predicted move of each that was right, down by half of
+    it if wrong; FLAT ones, and moves that are NULL, leave it. `start` without any."""
+    newest = scored.where("scored_at IS NOT NULL").orderBy(F.desc("scored_at"), "symbol").limit(n)
+    move = F.coalesce(F.abs("magnitude"), F.lit(0.0))
+    f = F.when(F.col("direction") == "FLAT", 1.0).when(F.col("was_correct"), 1 + move).otherwise(1 - 0.5 * move)
+    # a product: of the factors' sizes through their logarithms, with the sign of how many are below 0
+    product = F.exp(F.sum(F.log(F.nullif(F.abs(f), F.lit(0.0))))) * F.when(F.count_if(f < 0) % 2 == 1, -1).otherwise(1)
+    return newest.agg(F.count(F.lit(1)).alias("n"), (start * F.when(F.count_if(f == 0) > 0, 0.0).otherwise(F.coalesce(product, F.lit(1.0)))).alias("equity"))

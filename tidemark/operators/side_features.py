@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import lagged, last_rows, pct, ratio, rolling, zscore
 
 S = ("symbol",)
+#: Names and order of the features of each kind, as models take them.
 ORDERBOOK = ["ob_imbalance", "ob_spread_bps", "ob_depth_ratio", "ob_total_depth", "ob_imbalance_change", "ob_spread_change"]
 DERIVATIVES = ["oi_change_pct", "oi_zscore", "liq_imbalance", "liq_spike", "ls_ratio", "ls_ratio_extreme"]
 FUNDING = ["fr_rate", "fr_rate_zscore", "fr_rate_momentum", "fr_mark_spot_divergence"]
@@ -21,9 +22,11 @@ def total(a: Column | str) -> Column:
 
 
 def orderbook(books: DataFrame) -> DataFrame:
-    """books(symbol, ts, bid_vols, ask_vols, spread, mid_price) with the six book features."""
+    """books(symbol, ts, bid_vols, ask_vols, spread, mid_price) with the six book features; an imbalance that is stored with a
+    book is taken as it is."""
     d = books.withColumns({"_b": total("bid_vols"), "_a": total("ask_vols")})
-    d = d.withColumns({"ob_imbalance": ratio("_b", F.col("_b") + F.col("_a")), "ob_spread_bps": 1e4 * ratio("spread", "mid_price"), "ob_depth_ratio": ratio("_b", "_a"), "ob_total_depth": F.col("_b") + F.col("_a")})
+    imbalance = F.col("imbalance").try_cast("double") if "imbalance" in books.columns else ratio("_b", F.col("_b") + F.col("_a"))
+    d = d.withColumns({"ob_imbalance": imbalance, "ob_spread_bps": 1e4 * ratio("spread", "mid_price"), "ob_depth_ratio": ratio("_b", "_a"), "ob_total_depth": F.col("_b") + F.col("_a")})
     return d.withColumns({"ob_imbalance_change": F.col("ob_imbalance") - lagged("ob_imbalance", 1, S), "ob_spread_change": F.col("ob_spread_bps") - lagged("ob_spread_bps", 1, S)}).drop("_b", "_a")
 
 
@@ -38,12 +41,21 @@ def book_walls(books: DataFrame) -> DataFrame:
     return d.withColumns(walls("bid") | walls("ask")).withColumn("imbalance_delta", F.col("_i") - lagged("_i", 4, S)).drop("_i")
 
 
+def wall_distances(books: DataFrame) -> DataFrame:
+    """books(.., bid_prices, bid_vols, ask_prices, ask_vols, spread, mid_price, atr) with spread_pct, and how far the largest
+    bid and ask are from the mid price, in ATR."""
+    wall = lambda side: F.get(F.col(f"{side}_prices"), F.array_position(f"{side}_vols", F.array_max(f"{side}_vols")).cast("int") - 1)
+    return books.withColumns(
+        {"spread_pct": ratio("spread", "mid_price"), "bid_wall_dist": ratio(F.col("mid_price") - wall("bid"), F.col("atr")), "ask_wall_dist": ratio(wall("ask") - F.col("mid_price"), F.col("atr"))}
+    )
+
+
 def derivatives(d: DataFrame, n: int = 24) -> DataFrame:
     """d(symbol, ts, oi_close, long_vol, short_vol, ratio) with open-interest, liquidation and long/short features."""
-    d = d.withColumn("_t", F.col("long_vol") + F.col("short_vol"))
+    d = d.withColumn("_t", F.coalesce("long_vol", F.lit(0.0)) + F.coalesce("short_vol", F.lit(0.0)) + 1e-10)
     return d.withColumns(
         {
-            "oi_change_pct": pct("oi_close", 1, S), "oi_zscore": zscore("oi_close", 7 * n, key=S), "liq_imbalance": (F.col("long_vol") - F.col("short_vol")) / (F.col("_t") + 1e-10),
+            "oi_change_pct": pct("oi_close", 1, S), "oi_zscore": zscore("oi_close", 7 * n, key=S), "liq_imbalance": (F.coalesce("long_vol", F.lit(0.0)) - F.coalesce("short_vol", F.lit(0.0))) / F.col("_t"),
             "liq_spike": ratio(F.col("_t"), rolling(F.avg, "_t", n, key=S)), "ls_ratio": F.col("ratio"), "ls_ratio_extreme": zscore("ratio", n, key=S),
         }
     ).drop("_t")

@@ -8,7 +8,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import backtest, ensemble, joins, monitor, risk
 from tidemark.plans.market import at, scored
 from tidemark.plans.registry import query
-from tidemark.plans.sql import CONVICTION, S, r, sql
+from tidemark.plans.sql import CONVICTION, S, pct, r, sql
 from tidemark.sources import bars
 
 H = bars.candles
@@ -26,11 +26,23 @@ def signal_scores(spark, d):
 @query(sql(f"""SELECT {IDS}, direction, {r('score', 'score')}, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY round(score, 9) DESC, symbol) AS rk FROM (SELECT *, {CONVICTION} * greatest(prob_up, prob_down) * abs(magnitude) * 100 AS score FROM predictions)) WHERE rk <= 3"""))
 def ranked_signals(spark, d):
     """Strongest predictions of each time."""
+    p = bars.predictions(spark, d).withColumn("score", C.signal_score(*_P, "magnitude"))
+    return ensemble.ranked(p, 3).select(*ID, "direction", "score", "rank")
+
+
+@query(
+    sql(f"""WITH s AS (SELECT *, {CONVICTION} * greatest(prob_up, prob_down) * abs(magnitude) * 100 AS score, count(*) FILTER (WHERE direction = 'DOWN') OVER (PARTITION BY ts) AS falls FROM predictions),
+    q AS (SELECT *, CASE WHEN falls >= 4 THEN 'HALTED' WHEN falls = 3 THEN 'REDUCED' ELSE 'NORMAL' END AS state, row_number() OVER (PARTITION BY ts ORDER BY round(score, 9) DESC, symbol) AS rk FROM s)
+    SELECT {IDS}, state, {r('score', 'score')}, CAST(rk AS INTEGER) AS rank FROM q WHERE rk <= CASE state WHEN 'HALTED' THEN 0 WHEN 'REDUCED' THEN 2 ELSE 4 END""")
+)
+def allowed_signals(spark, d):
+    """The strongest signals of each time, fewer or none by the drawdown state (the market's breadth stands for it here)."""
     from pyspark.sql import Window
 
     p = bars.predictions(spark, d).withColumn("score", C.signal_score(*_P, "magnitude"))
-    rank = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc(F.round("score", 9)), "symbol"))
-    return p.withColumn("rank", rank).where("rank <= 3").select(*ID, "direction", "score", "rank")
+    falls = F.count_if(F.col("direction") == "DOWN").over(Window.partitionBy("ts"))
+    p = p.withColumn("state", F.when(falls >= 4, "HALTED").when(falls == 3, "REDUCED").otherwise("NORMAL"))
+    return ensemble.ranked(p, 4, state=F.col("state")).select(*ID, "state", "score", "rank")
 
 
 @query(sql("""SELECT symbol, ts, direction FROM predictions ORDER BY ts DESC, symbol LIMIT 50"""))
@@ -43,12 +55,15 @@ _ENT = "-({0} * ln({0}) + {1} * ln({1}) + {2} * ln({2}))"
 
 @query(
     sql(f"""WITH g AS (SELECT {IDS}, sum(w * prob_up) / sum(w) AS u, sum(w * prob_flat) / sum(w) AS f, sum(w * prob_down) / sum(w) AS dn, sum(w * magnitude) / sum(w) AS magnitude, CAST(greatest(count(*) FILTER (WHERE direction = 'UP'), count(*) FILTER (WHERE direction = 'FLAT'), count(*) FILTER (WHERE direction = 'DOWN')) AS DOUBLE) / count(*) AS agreement,
-      (stddev_pop(prob_up) + stddev_pop(prob_flat) + stddev_pop(prob_down)) / 3 AS uncertainty, count(*) AS models FROM (SELECT *, CASE model WHEN 'm0' THEN 1.5 WHEN 'm1' THEN 0.01 ELSE 0.5 END AS w FROM model_predictions) GROUP BY ALL)
+      (stddev_pop(prob_up) + stddev_pop(prob_flat) + stddev_pop(prob_down)) / 3 + avg(k / 1000.0) AS uncertainty, count(*) AS models
+      FROM (SELECT *, CASE model WHEN 'm0' THEN 1.5 WHEN 'm1' THEN 0.01 ELSE 0.5 END AS w FROM model_predictions WHERE NOT (symbol = 'view' AND model <> 'm0')) GROUP BY ALL)
     SELECT {IDS}, {r('u / (u + f + dn + 1e-10)', 'prob_up')}, {r('dn / (u + f + dn + 1e-10)', 'prob_down')}, {r('magnitude', 'magnitude')}, {r('agreement', 'agreement')}, {r('uncertainty', 'uncertainty')}, models FROM g""")
 )
 def model_ensemble(spark, d):
+    """Models by their Sharpe ratios, with uncertainties of their own; one symbol has a single model."""
     sharpes = spark.createDataFrame([("m0", 1.5), ("m1", -0.3), ("m2", 0.5)], "model string, sharpe double")
-    return ensemble.combine_models(bars.model_predictions(spark, d), sharpes).select(*ID, "prob_up", "prob_down", "magnitude", "agreement", "uncertainty", "models")
+    p = bars.model_predictions(spark, d).where("NOT (symbol = 'view' AND model <> 'm0')").withColumn("uncertainty", F.col("k") / 1000)
+    return ensemble.combine_models(p, sharpes).select(*ID, "prob_up", "prob_down", "magnitude", "agreement", "uncertainty", "models")
 
 
 @query(
@@ -60,13 +75,13 @@ def sample_uncertainty(spark, d):
 
 
 @query(
-    sql(f"""WITH k AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY ts DESC) AS back, CASE direction WHEN 'UP' THEN 0.0 WHEN 'FLAT' THEN 1.0 ELSE 2.0 END AS c FROM model_predictions WHERE symbol = 'click')
-    SELECT x.model AS a, y.model AS b, count(*) AS points, {r('corr(x.c, y.c)', 'r')}, abs(corr(x.c, y.c)) >= 0.7 AND count(*) >= 10 AS is_correlated FROM k x JOIN k y ON x.back = y.back AND x.model <= y.model GROUP BY 1, 2""")
+    sql(f"""WITH k AS (SELECT symbol, model, row_number() OVER (PARTITION BY symbol, model ORDER BY ts DESC) AS back, CASE direction WHEN 'UP' THEN 0.0 WHEN 'FLAT' THEN 1.0 ELSE 2.0 END AS c FROM model_predictions)
+    SELECT symbol, x.model AS a, y.model AS b, count(*) AS points, {r('corr(x.c, y.c)', 'r')}, abs(corr(x.c, y.c)) >= 0.7 AND count(*) >= 10 AS is_correlated FROM k x JOIN k y USING (symbol, back) WHERE x.model <= y.model GROUP BY 1, 2, 3""")
 )
 def model_diversity(spark, d):
-    p = bars.model_predictions(spark, d).where("symbol = 'click'")
+    """How alike the models' directions are, symbol by symbol."""
     c = F.when(F.col("direction") == "UP", 0.0).when(F.col("direction") == "FLAT", 1.0).otherwise(2.0)
-    return joins.pair_correlations(p.withColumn("c", c), "c", "model", 10)
+    return joins.pair_correlations(bars.model_predictions(spark, d).withColumn("c", c), "c", "model", 10, within=("symbol",))
 
 
 _LO = lambda a, b: f"1 / (1 + exp(-(0.6 * ln({a} / (1 - {a})) + 0.4 * ln({b} / (1 - {b})))))"
@@ -75,13 +90,19 @@ _LO = lambda a, b: f"1 / (1 + exp(-(0.6 * ln({a} / (1 - {a})) + 0.4 * ln({b} / (
 @query(
     sql(f"""WITH s AS (SELECT symbol, time_bucket(INTERVAL '60 minutes', ts) AS ts, arg_max(struct_pack(u := prob_up, f := prob_flat, dn := prob_down, m := magnitude, di := direction), ts) AS b FROM predictions_15 GROUP BY ALL),
     j AS (SELECT p.*, b.m AS bm, b.di AS bd, b.u AS bu, b.f AS bf, b.dn AS bdn, {_LO('prob_up', 'b.u')} AS ou, {_LO('prob_flat', 'b.f')} AS ofl, {_LO('prob_down', 'b.dn')} AS od FROM predictions p JOIN s ON p.symbol = s.symbol AND p.ts = s.ts),
-    k AS (SELECT *, 0.6 * magnitude + 0.4 * bm AS mg, CASE WHEN direction = bd THEN 'STRONG' WHEN ((direction = 'UP' AND bd = 'DOWN') OR (direction = 'DOWN' AND bd = 'UP')) AND abs(bm) > 0.01 THEN 'CONFLICT' ELSE 'PARTIAL' END AS agreement,
-      sqrt({CONVICTION} * greatest(0.0, 1 - {_ENT.format('bu', 'bf', 'bdn')} / ln(3))) AS conviction FROM j)
-    SELECT symbol, ts, {r('ou / (ou + ofl + od)', 'prob_up')}, {r('od / (ou + ofl + od)', 'prob_down')}, {r('mg', 'magnitude')}, agreement, {r('conviction', 'conviction')}, {r("conviction * greatest(ou, od) / (ou + ofl + od) * abs(mg) * 100 * CASE agreement WHEN 'STRONG' THEN 1.5 WHEN 'PARTIAL' THEN 1 ELSE 0.3 END", 'score')} FROM k""")
+    k AS (SELECT *, 0.6 * magnitude + 0.4 * bm AS mg, CASE WHEN direction = bd AND direction = 'FLAT' THEN 'BOTH FLAT' WHEN direction = bd THEN 'STRONG ' || direction
+        WHEN bd = 'FLAT' THEN 'WEAK ' || direction WHEN direction = 'FLAT' THEN 'TIMING ' || bd WHEN abs(bm) < 0.01 AND NOT abs(magnitude) < 0.01 THEN 'PULLBACK ' || direction
+        WHEN abs(magnitude) < 0.01 AND NOT abs(bm) < 0.01 THEN 'TIMING ' || bd ELSE 'CONFLICT' END AS agreement_label,
+      sqrt({CONVICTION} * greatest(0.0, 1 - {_ENT.format('bu', 'bf', 'bdn')} / ln(3))) AS conviction, ou / (ou + ofl + od) AS cu, ofl / (ou + ofl + od) AS cf, od / (ou + ofl + od) AS cd FROM j),
+    l AS (SELECT *, CASE WHEN agreement_label LIKE 'STRONG %' THEN 'STRONG' WHEN agreement_label = 'CONFLICT' THEN 'CONFLICT' ELSE 'PARTIAL' END AS agreement FROM k),
+    s2 AS (SELECT *, greatest(0.0, 1 - {_ENT.format('cu', 'cf', 'cd')} / ln(3)) * greatest(cu, cd) * abs(mg) * 100 * CASE agreement WHEN 'STRONG' THEN 1.5 WHEN 'PARTIAL' THEN 1 ELSE 0.3 END AS score FROM l)
+    SELECT symbol, ts, {r('cu', 'prob_up')}, {r('cd', 'prob_down')}, {r('mg', 'magnitude')}, agreement, agreement_label, {r('conviction', 'conviction')}, {r('score', 'score')},
+      CAST(row_number() OVER (PARTITION BY ts ORDER BY round(score, 9) DESC, symbol) AS INTEGER) AS rank FROM s2""")
 )
 def timeframe_blend(spark, d):
     q = bars.predictions(spark, d, 15).withColumn("at", F.col("ts")).withColumn("ts", F.window("ts", "60 minutes")["start"])
-    return ensemble.combine_timeframes(bars.predictions(spark, d), q).select("symbol", "ts", "prob_up", "prob_down", "magnitude", "agreement", "conviction", "score")
+    blend = ensemble.ranked(ensemble.combine_timeframes(bars.predictions(spark, d), q), 10)
+    return blend.select("symbol", "ts", "prob_up", "prob_down", "magnitude", "agreement", "agreement_label", "conviction", "score", "rank")
 
 
 @query(sql("""SELECT ts, count(*) FILTER (WHERE direction = 'UP') AS n_up, count(*) FILTER (WHERE direction = 'DOWN') AS n_down, count(*) FILTER (WHERE direction = 'FLAT') AS n_flat FROM predictions GROUP BY 1"""))
@@ -129,11 +150,18 @@ def stops_and_costs(spark, d):
     return x.select(*ID, stop.alias("stop"), take.alias("take"), risk.round_trip_cost(F.col("close"), F.col("k"), funding=0.0001).alias("cost"))
 
 
-@query()
+@query(
+    sql(f"""WITH x AS (SELECT symbol, ts, {pct('close')} AS ret FROM candles_60), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n FROM x WHERE ret IS NOT NULL),
+    p AS (SELECT a.symbol AS a, b.symbol AS b FROM k a JOIN k b ON a.back = b.back AND a.symbol <> b.symbol AND a.n >= 24 AND b.n >= 24 GROUP BY 1, 2 HAVING abs(corr(a.ret, b.ret)) >= 0.02 AND count(*) >= 10),
+    c AS (SELECT symbol, arg_max(close, ts) * 10 AS notional FROM candles_60 GROUP BY 1), o AS (SELECT CAST(1500 * count(*) AS DOUBLE) AS open_notional FROM c WHERE symbol IN ('click', 'view')),
+    q AS (SELECT c.symbol, c.notional, o.open_notional, (SELECT count(*) FROM p WHERE p.a = c.symbol AND p.b IN (SELECT symbol FROM c WHERE symbol IN ('click', 'view'))) AS n_correlated FROM c CROSS JOIN o),
+    t AS (SELECT *, CASE WHEN notional > 1000 THEN 'single' WHEN open_notional + notional > 5000 THEN 'total' WHEN n_correlated >= 2 THEN 'correlated' END AS reason FROM q)
+    SELECT symbol, {r('notional', 'notional')}, open_notional, n_correlated, reason, reason IS NULL AS may_open FROM t""")
+)
 def position_limits(spark, d):
-    """Candidates against open positions and correlated symbols."""
+    """Candidates against open positions and correlated symbols, each pair over its own common tail."""
     x = H(spark, d).withColumn("ret", C.pct("close"))
-    pairs = joins.pair_correlations(x, high=0.02)
+    pairs = joins.pair_correlations(x, high=0.02, tail="pair")
     last = joins.latest(x, 1)
     return risk.position_limits(last.select("symbol", (F.col("close") * 10).alias("notional")), last.where("symbol IN ('click', 'view')").select("symbol", F.lit(1500.0).alias("notional")), pairs, 10_000.0, most_correlated=2)
 
@@ -170,10 +198,34 @@ def trade_exits(spark, d):
     return closed(spark, d)[0]
 
 
-@query(
-    sql(f"""WITH {_NX}, o AS (SELECT a.symbol, a."interval", a.ts, min(z.ts) AS ots FROM trd a JOIN sig z ON z.symbol = a.symbol AND z."interval" = a."interval" AND z.ts > a.ts AND z.action <> a.action GROUP BY ALL)
-    SELECT trd.symbol, trd."interval", trd.ts, CASE WHEN cut THEN ots ELSE exit_ts END AS exit_ts, CASE WHEN cut THEN 'reversal' ELSE exit_reason END AS exit_reason FROM (SELECT trd.*, o.ots, coalesce(o.ots < exit_ts OR (o.ots = exit_ts AND exit_reason IN ('time', 'end_of_backtest')), false) AS cut FROM trd LEFT JOIN o USING (symbol, "interval", ts)) trd""")
-)
+_RV = f"""{_NX}, o AS (SELECT a.symbol, a."interval", a.ts, min(z.ts) AS ots FROM trd a JOIN sig z ON z.symbol = a.symbol AND z."interval" = a."interval" AND z.ts > a.ts AND z.action <> a.action GROUP BY ALL),
+  fin AS (SELECT t.symbol, t."interval", t.ts, t.action, t.entry_price, CASE WHEN cut THEN ots ELSE exit_ts END AS exit_ts, CASE WHEN cut THEN z.close ELSE exit_price END AS exit_price, CASE WHEN cut THEN 'reversal' ELSE exit_reason END AS exit_reason
+    FROM (SELECT trd.*, o.ots, coalesce(o.ots < exit_ts OR (o.ots = exit_ts AND exit_reason IN ('time', 'end_of_backtest')), false) AS cut FROM trd LEFT JOIN o USING (symbol, "interval", ts)) t
+    LEFT JOIN b z ON z.symbol = t.symbol AND z."interval" = t."interval" AND z.ts = t.ots)"""
+# Of each series' trades in time order, the first, and then each that begins when the one before it is over; with its profit.
+_BK = f"""{_RV}, ch AS (SELECT *, row_number() OVER ({S}) AS i FROM fin),
+  gr AS (SELECT symbol, "interval", i, true AS keep, exit_ts AS free FROM ch WHERE i = 1 UNION ALL
+    SELECT ch.symbol, ch."interval", ch.i, ch.ts >= gr.free, CASE WHEN ch.ts >= gr.free THEN ch.exit_ts ELSE gr.free END FROM gr JOIN ch ON ch.symbol = gr.symbol AND ch."interval" = gr."interval" AND ch.i = gr.i + 1),
+  bk AS (SELECT ch.*, 1000 * CASE WHEN action = 'LONG' THEN 1 ELSE -1 END * (exit_price - entry_price) / nullif(entry_price, 0) - 2.2 AS net_pnl FROM ch JOIN gr USING (symbol, "interval", i) WHERE keep)"""
+_EQ = f"""{_BK}, mk AS (SELECT b."interval", b.ts, sum(1000 * CASE WHEN action = 'LONG' THEN 1 ELSE -1 END * (b.close - entry_price) / nullif(entry_price, 0)) AS unrealized FROM bk JOIN b ON b.symbol = bk.symbol AND b."interval" = bk."interval" AND b.ts > bk.ts AND b.ts < bk.exit_ts GROUP BY ALL),
+  cl AS (SELECT "interval", exit_ts AS ts, sum(net_pnl) AS net FROM bk GROUP BY ALL),
+  e1 AS (SELECT "interval", ts, sum(coalesce(net, 0)) OVER (PARTITION BY "interval" ORDER BY ts) AS realized, coalesce(unrealized, 0) AS unrealized FROM (SELECT DISTINCT "interval", ts FROM candles_60) LEFT JOIN mk USING ("interval", ts) LEFT JOIN cl USING ("interval", ts)),
+  eq AS (SELECT *, 10000 + realized + unrealized AS equity FROM e1)"""
+
+
+def _performance(curve: str, by: str) -> str:
+    """Expressions that end in `perf`: figures of each run of a curve."""
+    w = f"(PARTITION BY {by} ORDER BY ts)"
+    return f"""pk AS (SELECT *, max(equity) OVER {w} AS peak, (equity - lag(equity) OVER {w}) / nullif(lag(equity) OVER {w}, 0) AS ret FROM {curve}),
+  dd AS (SELECT *, (equity - peak) / nullif(peak, 0) AS dr FROM pk), ru AS (SELECT *, sum(CASE WHEN dr < 0 THEN 0 ELSE 1 END) OVER {w} AS g FROM dd),
+  lo AS (SELECT {by}, max(run) AS longest_drawdown FROM (SELECT {by}, g, count(*) FILTER (WHERE dr < 0) AS run FROM ru GROUP BY ALL) GROUP BY ALL),
+  st AS (SELECT {by}, count(ret) AS periods, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) * sqrt(8766) ELSE 0 END AS sharpe,
+    CASE WHEN (stddev_samp(ret) FILTER (WHERE ret < 0)) > 1e-12 THEN avg(ret) / (stddev_samp(ret) FILTER (WHERE ret < 0)) * sqrt(8766) ELSE 0 END AS sortino, min(dr) AS max_drawdown FROM dd GROUP BY ALL),
+  an AS (SELECT *, CASE WHEN periods > 0 AND total_return > -1 THEN pow(1 + total_return, least(8766, 8766 / periods)) - 1 END AS annual_return FROM st),
+  perf AS (SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM an JOIN lo USING ({by}))"""
+
+
+@query(sql(f"""WITH {_RV} SELECT {IDS}, exit_ts, exit_reason FROM fin"""))
 def trade_reversals(spark, d):
     t, e = closed(spark, d)
     return backtest.with_reversals(t, e, H(spark, d)).select(*ID, "exit_ts", "exit_reason")
@@ -184,18 +236,21 @@ def book(spark, d):
     return backtest.profit(backtest.one_at_a_time(backtest.with_reversals(t, e, H(spark, d))))
 
 
-@query()
+@query(sql(f"""WITH {_BK} SELECT {IDS}, action, exit_ts, exit_reason, {r('net_pnl', 'net_pnl')} FROM bk""", recursive=True))
 def backtest_trades(spark, d):
     """One open trade a series, with profit after costs."""
     return book(spark, d).select(*ID, "action", "exit_ts", "exit_reason", "net_pnl")
 
 
-@query()
+@query(sql(f"""WITH {_EQ} SELECT "interval", ts, {r('realized', 'realized')}, {r('unrealized', 'unrealized')}, {r('equity', 'equity')} FROM eq""", recursive=True))
 def backtest_equity(spark, d):
     return backtest.equity_curve(book(spark, d), H(spark, d))
 
 
-@query()
+_FIGURES = ["total_return", "sharpe", "sortino", "max_drawdown", "annual_return", "calmar"]
+
+
+@query(sql(f"""WITH {_EQ}, {_performance('eq', '"interval"')} SELECT "interval", periods, longest_drawdown, {', '.join(r(c, c, 4) for c in _FIGURES)} FROM perf""", recursive=True), digits=4)
 def backtest_performance(spark, d):
     return backtest.performance(backtest.equity_curve(book(spark, d), H(spark, d)), ["interval"])
 
@@ -233,7 +288,12 @@ def backtest_folds(spark, d):
     return backtest.folds(H(spark, d), 3, 100).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("bars"), F.min("ts").alias("first_ts"))
 
 
-@query()
+@query(
+    sql(f"""WITH {_EQ}, n AS (SELECT "interval", ts, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY ts) AS n, count(*) OVER (PARTITION BY symbol, "interval") AS total FROM candles_60),
+    fo AS (SELECT DISTINCT "interval", ts, CAST(floor((n - 1 - 100) / greatest(floor((total - 100) / 4), 1)) AS BIGINT) AS fold FROM n), ef AS (SELECT eq.*, fold FROM eq JOIN fo USING ("interval", ts) WHERE fold BETWEEN 1 AND 3), {_performance('ef', '"interval", fold')}
+    SELECT "interval", count(*) AS folds, {r('avg(sharpe)', 'sharpe', 4)}, {r('avg(total_return)', 'total_return', 4)}, {r('min(max_drawdown)', 'max_drawdown', 4)}, count(*) FILTER (WHERE sharpe < -1) AS blocked_folds FROM perf GROUP BY 1""", recursive=True),
+    digits=4,
+)
 def walk_forward_summary(spark, d):
     """Performance per fold and its mean, with what would block a deployment."""
     b = backtest.folds(H(spark, d), 3, 100)
@@ -244,11 +304,30 @@ def walk_forward_summary(spark, d):
     return g.join(bad, "interval", "left").withColumn("blocked_folds", F.coalesce("blocked_folds", F.lit(0).cast("long")))
 
 
-@query()
+MACHINE = sql(
+    f"""WITH curve AS (SELECT symbol AS portfolio, ts, (100 + total) * CASE WHEN last < 15 THEN 0.8 WHEN last < 35 THEN 0.93 ELSE 1 END AS equity, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i
+      FROM (SELECT symbol, ts, close AS last, sum(close) OVER (PARTITION BY symbol ORDER BY ts) / 100 AS total FROM candles_user)),
+    m AS (SELECT DISTINCT portfolio, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS ts, 0.0::DOUBLE AS equity, 'NORMAL' AS state, 0.0::DOUBLE AS peak, 0.0::DOUBLE AS drawdown, 0.0::DOUBLE AS halted, CAST(0 AS BIGINT) AS periods FROM curve
+      UNION ALL SELECT portfolio, i, ts, equity, now, peak, drawdown, CASE WHEN now = 'HALTED' AND before <> 'HALTED' THEN equity ELSE halted END, CASE WHEN now = before THEN periods + 1 ELSE 0 END
+      FROM (SELECT *, CASE WHEN before = 'HALTED' THEN CASE WHEN halted > 0 AND (equity - halted) / halted * 100 >= 5 THEN 'RECOVERING' ELSE 'HALTED' END
+          WHEN before = 'RECOVERING' THEN CASE WHEN 100 * drawdown < 5 THEN 'NORMAL' WHEN 100 * drawdown >= 10 THEN 'HALTED' ELSE 'RECOVERING' END
+          WHEN 100 * drawdown >= 10 THEN 'HALTED' WHEN 100 * drawdown >= 5 THEN 'REDUCED' ELSE 'NORMAL' END AS now
+        FROM (SELECT c.portfolio, c.i, c.ts, c.equity, m.state AS before, greatest(m.peak, c.equity) AS peak, (greatest(m.peak, c.equity) - c.equity) / greatest(m.peak, c.equity) AS drawdown, m.halted, m.periods
+          FROM m JOIN curve c ON c.portfolio = m.portfolio AND c.i = m.i + 1)))
+    SELECT portfolio, ts, equity, state, {r('drawdown', 'drawdown')}, {r("CASE state WHEN 'NORMAL' THEN 1 WHEN 'REDUCED' THEN 0.5 WHEN 'HALTED' THEN 0 ELSE 0.5 + 0.5 * least(1, periods / 24) END", 'multiplier')} FROM m WHERE i > 0""",
+    recursive=True,
+)
+
+
+def dipping_equity(spark, d):
+    """Curves of all users that fall when the day's last value is small."""
+    e = bars.user_candles(spark, d).select(F.col("symbol").alias("portfolio"), "ts", F.col("close").alias("last"), (F.sum("close").over(C.so_far("symbol")) / 100).alias("total"))
+    return e.select("portfolio", "ts", ((100 + F.col("total")) * F.when(F.col("last") < 15, 0.8).when(F.col("last") < 35, 0.93).otherwise(1.0)).alias("equity"))
+
+
+@query(MACHINE.replace("ts, equity, state", f"ts, {r('equity', 'equity')}, state"))
 def drawdown_machine(spark, d):
-    e = bars.user_candles(spark, d).select(F.col("symbol").alias("portfolio"), "ts", F.sum("close").over(C.so_far("symbol")).alias("equity"))
-    e = e.withColumn("equity", F.when(F.dayofmonth("ts") % 9 == 0, 0.85 * F.col("equity")).otherwise(F.col("equity")))
-    return risk.drawdown_states(e)
+    return risk.drawdown_states(dipping_equity(spark, d))
 
 
 @query(
@@ -275,11 +354,14 @@ def prediction_drift(spark, d):
 
 
 @query(
-    sql(f"""WITH c AS (SELECT floor(p * 10) AS b, count(*) AS n, avg(p) AS conf, avg(ok) AS acc FROM (SELECT greatest(prob_up, prob_flat, prob_down) AS p, CAST(actual_direction = direction AS DOUBLE) AS ok FROM scored) GROUP BY 1), t AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(CASE WHEN b < 10 THEN n * abs(conf - acc) ELSE 0 END) / sum(n) AS ece FROM c)
+    sql(f"""WITH c AS (SELECT floor(p * 10) AS b, count(*) AS n, avg(p) AS conf, avg(ok) AS acc FROM (SELECT CASE WHEN k >= 90 THEN 1.0 ELSE greatest(prob_up, prob_flat, prob_down) END AS p, CAST(actual_direction = direction AS DOUBLE) AS ok FROM scored)
+      WHERE p < 1 GROUP BY 1), t AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(n * abs(conf - acc)) / sum(n) AS ece FROM c)
     SELECT n, {r('ece', 'ece')}, ece > 0.15 AS is_degraded FROM t""")
 )
 def calibration_error(spark, d):
-    return monitor.calibration(scored(spark, d).where("scored_at IS NOT NULL"))
+    """Some predictions are certain: they are in no bin."""
+    s = scored(spark, d).where("scored_at IS NOT NULL")
+    return monitor.calibration(s.withColumn("prob_up", F.when(F.col("k") >= 90, 1.0).otherwise(F.col("prob_up"))))
 
 
 _PNL = "CASE WHEN direction = 'UP' THEN actual_magnitude WHEN direction = 'DOWN' THEN -actual_magnitude ELSE 0 END"

@@ -88,19 +88,57 @@ def trend_indicators(spark, d):
     return indicators.trend(H(spark, d)).select(*ID, "atr", "atr_pct", "rsi_14", "adx_pos", "adx_neg", "macd_norm", "ema_21_dist", "ema_9_21_cross")
 
 
-@query(
-    sql(f"""{_RECURSIVE}, x AS (SELECT *, CASE WHEN i >= 15 THEN coalesce(100 * abs(100 * p / nullif(atr1, 0) - 100 * q / nullif(atr1, 0)) / nullif(100 * p / nullif(atr1, 0) + 100 * q / nullif(atr1, 0), 0), 0) END AS dx, CASE WHEN i >= 26 THEN e12 - e26 END AS macd FROM rec),
+_SECOND = f"""{_RECURSIVE}, x AS (SELECT *, CASE WHEN i >= 15 THEN coalesce(100 * abs(100 * p / nullif(atr1, 0) - 100 * q / nullif(atr1, 0)) / nullif(100 * p / nullif(atr1, 0) + 100 * q / nullif(atr1, 0), 0), 0) END AS dx, CASE WHEN i >= 26 THEN e12 - e26 END AS macd FROM rec),
     y AS (SELECT *, avg(dx) OVER {w(14)} AS dx14 FROM x),
     z AS (SELECT symbol, "interval", i, ts, close, macd, macd AS sig, CAST(NULL AS DOUBLE) AS adx FROM y WHERE i = 1 UNION ALL
       SELECT y.symbol, y."interval", y.i, y.ts, y.close, y.macd, CASE WHEN y.i <= 26 THEN y.macd ELSE z.sig + (y.macd - z.sig) * 2 / 10 END, CASE WHEN y.i = 28 THEN y.dx14 WHEN y.i > 28 THEN z.adx + (y.dx - z.adx) / 14 END
-      FROM z JOIN y ON y.symbol = z.symbol AND y."interval" = z."interval" AND y.i = z.i + 1)
-    SELECT {IDS}, {r('adx', 'adx')}, {r('CASE WHEN i >= 34 THEN sig END / close', 'macd_signal_norm')}, {r('(macd - CASE WHEN i >= 34 THEN sig END) / close', 'macd_hist_norm')} FROM z""", recursive=True)
+      FROM z JOIN y ON y.symbol = z.symbol AND y."interval" = z."interval" AND y.i = z.i + 1)"""
+
+
+@query(
+    sql(f"""{_SECOND} SELECT {IDS}, {r('adx', 'adx')}, {r('CASE WHEN i >= 34 THEN sig END / close', 'macd_signal_norm')}, {r('(macd - CASE WHEN i >= 34 THEN sig END) / close', 'macd_hist_norm')} FROM z""", recursive=True)
 )
 def second_order_indicators(spark, d):
     return indicators.trend(H(spark, d)).select(*ID, "adx", "macd_signal_norm", "macd_hist_norm")
 
 
-@query()
+def _if(n: int, x: str) -> str:
+    return f"(CASE WHEN i >= {n} THEN {x} END)"
+
+
+_SIGNAL = _if(34, "sig")
+_EMA = {n: _if(n, f"e{n}") for n in (9, 21, 50)}
+_OVER_ATR = lambda x: div(f"close - ({x})", "atr")
+_CROSS = lambda a, b: f"coalesce(CAST({_EMA[a]} > {_EMA[b]} AS DOUBLE), 0)"
+#: Each indicator as an expression over the columns that _ALL puts together.
+_INDICATORS = {
+    **{f"ema_{n}_dist": _OVER_ATR(_EMA[n]) for n in (9, 21, 50)},
+    "macd_norm": div("macd", "close"), "macd_signal_norm": div(_SIGNAL, "close"), "macd_hist_norm": div(f"macd - {_SIGNAL}", "close"),
+    "adx": "adx", "adx_pos": "100 * p / nullif(atr1, 0)", "adx_neg": "100 * q / nullif(atr1, 0)", "rsi_14": "rsi", "stoch_rsi_k": "stoch_k", "stoch_rsi_d": roll("avg", "stoch_k", 3),
+    "williams_r": "-100 * " + div("h14 - close", "h14 - l14"), "roc_12": "100 * " + pct("close", 12), "bb_width": "100 * " + div("4 * sd", "mid"), "bb_pct": div("close - (mid - 2 * sd)", "4 * sd"),
+    "atr_pct": div("atr", "close"), "kc_width": div("ku - kl", "close"), "kc_dist": _OVER_ATR("(ku + kl) / 2"),
+    "obv_roc": pct("obv", 5), "acc_dist_roc": pct("ad", 5), "vol_sma_ratio": "ratio20", "vol_z_score": z("volume", 20), "vwap_dist": _OVER_ATR("vwap"),
+    **{f"pct_change_{k}": pct("close", k) for k in (1, 4, 24, 72, 168)},
+    "candle_body_ratio": div("close - open", "high - low"), "upper_wick_ratio": div("high - greatest(open, close)", "high - low"), "lower_wick_ratio": div("least(open, close) - low", "high - low"),
+    "ema_9_21_cross": _CROSS(9, 21), "ema_21_50_cross": _CROSS(21, 50), "price_vs_bb_upper": _OVER_ATR("mid + 2 * sd"), "price_vs_bb_lower": _OVER_ATR("mid - 2 * sd"),
+    "price_position_48": _pos(48), "price_position_168": _pos(168), "momentum_accel": pct("close", 4) + " - " + pct("close", 24) + " / 6",
+    "atr_expansion": div("atr", roll("avg", "atr", 48)), "vol_price_ratio": div("ratio20", "CASE WHEN mv <> 0 THEN 100 * mv + 0.01 END"),
+}
+_ALL = f"""{_SECOND},
+  w0 AS (SELECT *, lag(close) OVER ({S}) AS pc, (high + low + close) / 3 AS tp, {roll('max', 'high', 14)} AS h14, {roll('min', 'low', 14)} AS l14, {roll('avg', 'close', 20)} AS mid, {roll('stddev_pop', 'close', 20)} AS sd,
+    {roll('avg', '((4 * high - 2 * low + close) / 3)', 20)} AS ku, {roll('avg', '((-2 * high + 4 * low + close) / 3)', 20)} AS kl FROM candles_60),
+  w1 AS (SELECT *, sum(CASE WHEN close < pc THEN -volume ELSE volume END) OVER ({S} ROWS UNBOUNDED PRECEDING) AS obv, sum(coalesce({div('volume * ((close - low) - (high - close))', 'high - low')}, 0)) OVER ({S} ROWS UNBOUNDED PRECEDING) AS ad,
+    {div('volume', roll('avg', 'volume', 20))} AS ratio20, abs({pct('close')}) AS mv, {div(f"sum(tp * volume) OVER {w(24)}", f"sum(volume) OVER {w(24)}")} AS vwap FROM w0),
+  w2 AS (SELECT w1.*, rec.i, e9, e21, e50, atr, atr1, p, q, CASE WHEN rec.i < 14 THEN NULL WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END AS rsi, z.macd, z.sig, z.adx
+    FROM w1 JOIN rec USING (symbol, "interval", ts) JOIN z USING (symbol, "interval", ts)),
+  w3 AS (SELECT *, {div(f"rsi - {roll('min', 'rsi', 14)}", f"{roll('max', 'rsi', 14)} - {roll('min', 'rsi', 14)}")} AS stoch FROM w2),
+  w4 AS (SELECT *, {roll('avg', 'stoch', 3)} AS stoch_k FROM w3)"""
+
+
+@query(
+    sql(f"""{_ALL} SELECT {IDS}, {', '.join(r(c, c, 4) for c in ('open', 'high', 'low', 'close', 'volume', 'atr'))}, {', '.join(r(x, n, 4) for n, x in _INDICATORS.items())} FROM w4""", recursive=True),
+    digits=4,
+)
 def all_indicators(spark, d):
     """The 41 columns together."""
     return indicators.compute(H(spark, d))
@@ -132,7 +170,17 @@ def order_book_walls(spark, d):
 
 
 @query(
-    sql(f"""WITH t AS (SELECT *, long_vol + short_vol AS tot FROM derivatives) SELECT symbol, ts, {r(pct('oi_close', 1, 'symbol'), 'oi_change_pct')}, {r(z('oi_close', 168, None, 'symbol'), 'oi_zscore')}, {r('(long_vol - short_vol) / (tot + 1e-10)', 'liq_imbalance')},
+    sql(f"""WITH w AS (SELECT symbol, ts, list_max(bid_vols) AS b, list_max(ask_vols) AS a, (bid_vols[1] + ask_vols[1]) / 2 AS mid, ask_vols[1] - bid_vols[1] AS spread FROM order_book)
+    SELECT symbol, ts, {r('spread / mid', 'spread_pct')}, {r('(mid - b) / (mid / 50 + 1)', 'bid_wall_dist')}, {r('(a - mid) / (mid / 50 + 1)', 'ask_wall_dist')} FROM w""")
+)
+def order_book_wall_distances(spark, d):
+    """How far the largest orders are from the mid price; volumes stand for the prices, a part of the mid price for the ATR."""
+    b = books(spark, d).withColumns({"bid_prices": F.col("bid_vols"), "ask_prices": F.col("ask_vols"), "atr": F.col("mid_price") / 50 + 1})
+    return side_features.wall_distances(b).select("symbol", "ts", "spread_pct", "bid_wall_dist", "ask_wall_dist")
+
+
+@query(
+    sql(f"""WITH t AS (SELECT *, long_vol + short_vol + 1e-10 AS tot FROM derivatives) SELECT symbol, ts, {r(pct('oi_close', 1, 'symbol'), 'oi_change_pct')}, {r(z('oi_close', 168, None, 'symbol'), 'oi_zscore')}, {r('(long_vol - short_vol) / tot', 'liq_imbalance')},
     {r(div('tot', roll('avg', 'tot', 24, None, 'symbol')), 'liq_spike')}, {r('ratio', 'ls_ratio')}, {r(z('ratio', 24, None, 'symbol'), 'ls_ratio_extreme')} FROM t""")
 )
 def derivatives_features(spark, d):
@@ -140,10 +188,10 @@ def derivatives_features(spark, d):
 
 
 @query(
-    sql(f"""SELECT symbol, ts, {r('funding_rate', 'fr_rate')}, {r(z('funding_rate * 1000', 24, None, 'symbol'), 'fr_rate_zscore')}, {r('funding_rate - ' + lag('funding_rate', 1, 'symbol'), 'fr_rate_momentum')}, {r('(mark_price - last_price) / nullif(last_price, 0)', 'fr_mark_spot_divergence')} FROM funding""")
+    sql(f"""SELECT symbol, ts, {r('funding_rate', 'fr_rate')}, {r(z('funding_rate', 24, None, 'symbol'), 'fr_rate_zscore')}, {r('funding_rate - ' + lag('funding_rate', 1, 'symbol'), 'fr_rate_momentum')}, {r('(mark_price - last_price) / nullif(last_price, 0)', 'fr_mark_spot_divergence')} FROM funding""")
 )
 def funding_features(spark, d):
-    return side_features.funding(bars.funding(spark, d).withColumn("fr", F.col("funding_rate")), 24).withColumn("fr_rate_zscore", C.zscore(F.col("fr") * 1000, 24, key=("symbol",))).select("symbol", "ts", *side_features.FUNDING)
+    return side_features.funding(bars.funding(spark, d), 24).select("symbol", "ts", *side_features.FUNDING)
 
 
 _LD = f"""WITH rt AS (SELECT *, {pct('close')} AS ret FROM candles_60), mk AS (SELECT "interval", ts, sum(volume) AS market FROM candles_60 GROUP BY ALL),
@@ -257,7 +305,11 @@ def rolling_days_cut(spark, d):
     return dataset.rolling_cut(bars.user_candles(spark, d), F.lit("2024-01-31").cast("timestamp_ntz"), 21, 20).select(*ID)
 
 
-@query()
+@query(
+    sql(f"""WITH c AS (SELECT *, CASE WHEN symbol = 'click' THEN 3.0 ELSE 1.0 END::DOUBLE AS weight, CAST('0x' || substr(md5('7|' || symbol || '|' || "interval" || '|' || CAST(ts AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM candles_60),
+    x AS (SELECT *, weight / avg(weight) OVER (PARTITION BY "interval") AS ratio FROM c), y AS (SELECT *, CAST(floor(ratio) AS BIGINT) + CASE WHEN u < ratio - floor(ratio) THEN 1 ELSE 0 END AS draws FROM x)
+    SELECT {IDS}, weight, draws FROM y WHERE draws > 0""")
+)
 def weighted_sample(spark, d):
     """Draws with replacement by symbol weight, repeatable."""
     x = H(spark, d).withColumn("weight", F.when(F.col("symbol") == "click", 3.0).otherwise(1.0))

@@ -23,15 +23,15 @@ def rows(spark, d):
 def boosted_scores(spark, d):
     """Direction and magnitude of each symbol's later rows, from models fitted on its earlier ones."""
     x = rows(spark, d)
-    models = ml.fit_boosting(x.where("part = 'train'"), FEATURES, iterations=3, depth=3)
+    models = ml.fit_boosting(x.where("part = 'train'"), FEATURES)
     return ml.score(models, x.where("part = 'val'"), FEATURES).select(*ID, "prob_up", "prob_flat", "prob_down", "magnitude", "direction")
 
 
 @query()
 def permutation_importance(spark, d):
     x = rows(spark, d)
-    models = ml.fit_boosting(x.where("part = 'train'"), FEATURES[:2], iterations=2, depth=2)
-    return ml.permutation_importance(models, x.where("part = 'val'"), FEATURES[:2], 1)
+    models = ml.fit_boosting(x.where("part = 'train'"), FEATURES)
+    return ml.permutation_importance(models, x.where("part = 'val'"), FEATURES)
 
 
 @query(sql(f"""SELECT symbol, "interval", ts, {r('avg(prob_up)', 'prob_up')}, {r('avg(prob_down)', 'prob_down')}, {r('avg(magnitude)', 'magnitude')}, count(*) AS folds FROM model_predictions GROUP BY 1, 2, 3"""))

@@ -8,6 +8,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import dataset, indicators, joins, quality, scoring
 from tidemark.plans.registry import query
 from tidemark.plans.sql import S, div, pct, r, roll, sql
+from tidemark.session import shared_folder
 from tidemark.sources import bars, payloads, store
 
 H = bars.candles
@@ -179,7 +180,7 @@ def history_payloads(spark, d):
     return payloads.history(raw, names, {"c": "oi_close"})
 
 
-@query(sql("""SELECT symbol || 'USDT' AS symbol, ts, positive, negative, neutral, positive + negative AS total FROM news"""))
+@query(sql("""SELECT symbol || 'USDT' AS symbol, ts, positive, negative, neutral, positive + negative + neutral AS total FROM news"""))
 def news_payloads(spark, d):
     n = bars.news(spark, d)
     post = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), F.array(F.struct(F.lower("symbol").alias("code"))).alias("currencies"), F.struct("positive", "negative", F.col("neutral").alias("important")).alias("votes"))
@@ -194,9 +195,9 @@ def funding_payloads(spark, d):
     return payloads.funding(raw).select("symbol", "ts", "funding_rate", "mark_price", "funding_interval_hours")
 
 
-@query(sql("""SELECT DISTINCT symbol FROM candles_60 WHERE lower(symbol) IN (SELECT lower(event_type) FROM events WHERE user_id % 2 = 0 GROUP BY 1 HAVING count(*) > 10)"""))
+@query(sql("""SELECT DISTINCT symbol FROM candles_60 WHERE lower(symbol) IN (SELECT lower(event_type) FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1 HAVING count(*) > 10)"""))
 def tradeable_symbols(spark, d):
-    spot = bars.read(spark, d, "events").where("user_id % 2 = 0").groupBy(F.col("event_type").alias("pair")).agg(F.when(F.count(F.lit(1)) > 10, 1).otherwise(0).alias("is_open"))
+    spot = bars.read(spark, d, "events").where("ts < timestamp_ntz'2024-01-15'").groupBy(F.col("event_type").alias("pair")).agg(F.when(F.count(F.lit(1)) > 10, 1).otherwise(0).alias("is_open"))
     return joins.tradeable(H(spark, d), spot)
 
 
@@ -207,10 +208,10 @@ def futures_only_symbols(spark, d):
 
 
 @query(
-    sql(f"""SELECT c.symbol, c.ts, coalesce(round(d.ratio, 6), 0) + 0.0 AS ratio, coalesce(round(f.value, 6), 0) + 0.0 AS value FROM candles_60 c LEFT JOIN (SELECT * FROM derivatives WHERE hour(ts) % 2 = 0) d ON c.symbol = d.symbol AND c.ts = d.ts LEFT JOIN fear_greed f ON c.ts = f.ts""")
+    sql(f"""SELECT c.symbol, c.ts, coalesce(round(d.ratio, 6), 0) + 0.0 AS ratio, coalesce(round(f.value, 6), 0) + 0.0 AS value FROM candles_60 c LEFT JOIN (SELECT * FROM derivatives WHERE long_vol > short_vol) d ON c.symbol = d.symbol AND c.ts = d.ts LEFT JOIN fear_greed f ON c.ts = f.ts""")
 )
 def exact_side_join(spark, d):
-    side = bars.derivatives(spark, d).where("hour(ts) % 2 = 0")
+    side = bars.derivatives(spark, d).where("long_vol > short_vol")
     x = joins.exact(H(spark, d), side, ["ratio"])
     return joins.exact(x, bars.fear_greed(spark, d), ["value"], ["ts"]).select("symbol", "ts", "ratio", "value")
 
@@ -299,6 +300,27 @@ def daily_accuracy(spark, d):
     return scoring.daily_accuracy(scored(spark, d).where("scored_at IS NOT NULL"))
 
 
+@query(
+    sql(f"""SELECT "interval", count(*) AS n, {r('avg(CASE WHEN actual_direction = direction THEN 1.0 ELSE 0.0 END)', 'accuracy')}
+    FROM scored WHERE scored_at >= TIMESTAMP '2024-01-24' GROUP BY 1""")
+)
+def recent_interval_accuracy(spark, d):
+    """Accuracy of each interval's predictions that were scored in the last week."""
+    return scoring.interval_accuracy(scored(spark, d), at("2024-01-31"), 7)
+
+
+@query(
+    sql(f"""SELECT CAST(scored_at AS DATE) AS run_date, count(*) AS total_preds, {r('avg(CAST(actual_direction = direction AS DOUBLE))', 'direction_accuracy')},
+    {r('avg(abs(magnitude - actual_magnitude))', 'magnitude_mae')} FROM scored GROUP BY 1 HAVING CAST(scored_at AS DATE) >= DATE '2024-01-21'""")
+)
+def accuracy_history(spark, d):
+    """The daily accuracy log of the last ten days."""
+    s = scored(spark, d).where("scored_at IS NOT NULL")
+    error = F.avg(F.abs(F.col("magnitude") - F.col("actual_magnitude")))
+    log = s.groupBy(F.to_date("scored_at").alias("run_date")).agg(F.count(F.lit(1)).alias("total_preds"), F.avg(F.col("was_correct").cast("double")).alias("direction_accuracy"), error.alias("magnitude_mae"))
+    return scoring.accuracy_history(log, at("2024-01-31"), 10)
+
+
 @query(sql(f"""SELECT symbol, n AS n_preds, {r('e', 'error_rate')}, {r('least(5, 1 + e / avg(e) OVER ())', 'weight')} FROM (SELECT symbol, count(*) AS n, 1 - avg(CAST(actual_direction = direction AS DOUBLE)) AS e FROM scored GROUP BY 1 HAVING count(*) >= 5)"""))
 def symbol_sample_weights(spark, d):
     return scoring.sample_weights(scored(spark, d).where("scored_at IS NOT NULL"))
@@ -346,6 +368,27 @@ def threshold_grid_sharpe(spark, d):
     return scoring.sharpe_grid(scored(spark, d).where("scored_at IS NOT NULL"), 0.1, 0.8)
 
 
+@query(
+    sql(f"""WITH g AS ({_GRID}), x AS (SELECT threshold, actual_magnitude * ({_DIR('actual_magnitude')}) AS pnl FROM scored CROSS JOIN g),
+    s AS (SELECT threshold, CASE WHEN count(*) < 2 OR stddev_samp(pnl) < 1e-10 THEN 0 ELSE avg(pnl) / stddev_samp(pnl) * sqrt(8760) END AS sharpe FROM x GROUP BY 1),
+    b AS (SELECT * FROM s ORDER BY round(sharpe, 9) DESC, threshold LIMIT 1)
+    SELECT {r('threshold', 'best')}, {r('sharpe', 'sharpe')}, {r('greatest(0.1, least(0.8, 0.3 * threshold + 0.7 * 0.5))', 'threshold')} FROM b""")
+)
+def sharpe_threshold(spark, d):
+    """The threshold with the best Sharpe ratio, smoothed with the current one."""
+    grid = scoring.sharpe_grid(scored(spark, d).where("scored_at IS NOT NULL"), 0.1, 0.8)
+    return scoring.sharpe_threshold(grid, 0.5, 0.1, 0.8)
+
+
+@query(
+    sql(f"""SELECT model, {r('arg_max(sharpe, day)', 'sharpe')} FROM (SELECT model, CAST(ts AS DATE) AS day, avg(magnitude) * 100 AS sharpe FROM model_predictions GROUP BY ALL) GROUP BY 1""")
+)
+def model_sharpes(spark, d):
+    """The last stored Sharpe ratio of each model."""
+    p = bars.model_predictions(spark, d).groupBy("model", "interval", F.to_date("ts").alias("updated_at")).agg((100 * F.avg("magnitude")).alias("sharpe"))
+    return scoring.model_sharpes(p, "60")
+
+
 @query(sql(f"""SELECT direction AS label, count(*) AS n, {r('least(3, 3 * (1 / count(*)) / sum(1 / count(*)) OVER ())', 'weight')} FROM predictions GROUP BY 1"""))
 def class_weights(spark, d):
     return scoring.class_weights(bars.predictions(spark, d), "direction")
@@ -375,13 +418,21 @@ def feature_retirement(spark, d):
 
 
 @query(
-    sql(f"""SELECT count(*) AS n, {r("10000 * exp(sum(ln(CASE WHEN direction = 'FLAT' THEN 1 WHEN actual_direction = direction THEN 1 + abs(actual_magnitude) ELSE greatest(1e-6, 1 - 0.5 * abs(actual_magnitude)) END)) / 100)", 'equity', 2)} FROM (SELECT * FROM scored ORDER BY ts DESC, symbol LIMIT 200)"""),
-    digits=2,
+    sql(f"""WITH {_IMP} SELECT feature_name FROM (SELECT *, max(CASE WHEN importance >= 0.02 THEN run_date END) OVER (PARTITION BY "interval", feature_name) AS g FROM imp)
+    GROUP BY 1 HAVING count(*) FILTER (WHERE g IS NULL OR run_date > g) >= 3""")
+)
+def retired_features(spark, d):
+    return scoring.retired_features(scoring.retirement(importance(spark, d), 0.02), "60")
+
+
+@query(
+    sql(f"""WITH l AS (SELECT *, row_number() OVER (ORDER BY scored_at, symbol DESC) AS i FROM (SELECT * FROM scored ORDER BY scored_at DESC, symbol LIMIT 200)),
+    x AS (SELECT CAST(0 AS BIGINT) AS i, CAST(10000 AS DOUBLE) AS equity UNION ALL SELECT l.i, CASE WHEN direction = 'FLAT' THEN equity
+      WHEN direction = actual_direction THEN equity + equity * abs(magnitude) ELSE equity - equity * abs(magnitude) * 0.5 END FROM x JOIN l ON l.i = x.i + 1)
+    SELECT max(i) AS n, {r('arg_max(equity, i)', 'equity')} FROM x""", recursive=True)
 )
 def simulated_equity(spark, d):
-    """The hundredth root keeps this noisy series printable; the operator itself returns the product."""
-    x = scoring.simulated_equity(scored(spark, d).where("scored_at IS NOT NULL"))
-    return x.withColumn("equity", 10_000 * F.pow(F.col("equity") / 10_000, F.lit(0.01)))
+    return scoring.simulated_equity(scored(spark, d))
 
 
 @query(sql(f"""SELECT symbol, {r('sum(value)', 'total')} FROM e GROUP BY 1"""))
@@ -420,10 +471,17 @@ def other_exchange_payloads(spark, d):
     return payloads.other_funding(f.select(F.to_json(F.array(item)).alias("payload")))
 
 
-@query(sql("""SELECT p.symbol, p.ts, CASE WHEN hour(p.ts) % 2 = 0 THEN s.actual_direction END AS actual_direction FROM predictions p LEFT JOIN scored s ON p.symbol = s.symbol AND p.ts = s.ts"""))
+@query(sql(f"""SELECT symbol, ts, {r('oi_close', 'oi_value')} FROM derivatives"""))
+def other_interest_payloads(spark, d):
+    """Another exchange's open interest, a payload a symbol and time."""
+    x = F.struct("symbol", F.col("oi_close").cast("string").alias("openInterest"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"))
+    return payloads.other_interest(bars.derivatives(spark, d).select(F.to_json(x).alias("payload")))
+
+
+@query(sql("""SELECT p.symbol, p.ts, CASE WHEN p.k < 50 THEN s.actual_direction END AS actual_direction FROM predictions p LEFT JOIN scored s ON p.symbol = s.symbol AND p.ts = s.ts"""))
 def update_outcomes(spark, d):
     """Outcomes of some predictions set by key, the others left as they are."""
-    new = scored(spark, d).where("scored_at IS NOT NULL AND hour(ts) % 2 = 0")
+    new = scored(spark, d).where("scored_at IS NOT NULL AND k < 50")
     return store.updated_outcomes(bars.predictions(spark, d), new, ["symbol", "interval", "ts"], ["actual_direction"]).select("symbol", "ts", "actual_direction")
 
 
@@ -445,11 +503,9 @@ def interval_scaled_direction(spark, d):
 @query(sql("""SELECT "interval", count(*) AS candles, count(DISTINCT symbol) AS symbols FROM candles_60 GROUP BY 1"""))
 def bulk_copy(spark, d):
     """A table copied twice into a partitioned store in the shared folder; the second copy adds nothing."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     for _ in range(2):
         store.append_new(H(spark, d), path, ["symbol", "interval", "ts"], ["interval"])
     back = spark.read.parquet(path).withColumn("interval", F.col("interval").cast("string"))

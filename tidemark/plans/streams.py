@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns as C
+from tidemark.plans.backtests import MACHINE, dipping_equity
 from tidemark.plans.registry import query
 from tidemark.plans.sql import div, r, sql
+from tidemark.session import shared_folder
 from tidemark.sources import bars
 from tidemark.streaming import jobs
 
@@ -15,11 +16,9 @@ LTZ = lambda c="ts": F.col(c).cast("timestamp")
 
 def stream(spark, df):
     """A stream of a derived table's rows, through Parquet in the shared folder."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{base.rstrip('/')}/source-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
     df = df.withColumn("ts", LTZ())
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
@@ -59,7 +58,10 @@ def stream_outcomes(spark, d):
     return out.withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("ts", "scored_at")})
 
 
-@query()
+@query(
+    sql(f"""SELECT symbol, w.ts, {r('sum(volume)', 'volume_24h')} FROM candles_60 c CROSS JOIN LATERAL (SELECT unnest(generate_series(c.ts + INTERVAL '1 hour', c.ts + INTERVAL '24 hours', INTERVAL '1 hour')) AS ts) w
+    WHERE w.ts <= (SELECT max(ts) - INTERVAL '2 hours' FROM candles_60) GROUP BY 1, 2""")
+)
 def stream_volume_24h(spark, d):
     s = stream(spark, bars.candles(spark, d).select("symbol", "ts", "volume"))
     return jobs.drain(jobs.volume_24h(s)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -71,9 +73,9 @@ def stream_drift(spark, d):
     return jobs.drain(jobs.drift_monitor(s))
 
 
-@query()
+@query(MACHINE.replace("ts, equity, state", "ts, state"))
 def stream_circuit_breaker(spark, d):
-    e = bars.user_candles(spark, d).select(F.col("symbol").alias("portfolio"), "ts", F.sum("close").over(C.so_far("symbol")).alias("equity"))
+    e = dipping_equity(spark, d)
     return jobs.drain(jobs.circuit_breaker(stream(spark, e))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

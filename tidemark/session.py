@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +40,16 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session, whose executors
+    are the driver, gets a new temporary one; on a cluster each machine would write to its own disk, so that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = context.applicationId
+        found = _LOCAL[app] = _LOCAL.get(app) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return found.rstrip("/")

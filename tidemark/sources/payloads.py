@@ -71,7 +71,14 @@ def news(raw: DataFrame) -> DataFrame:
     d = d.select("x", F.explode("x.currencies").alias("c"))
     n = lambda v: F.coalesce(F.col(f"x.votes.{v}"), F.lit(0).cast("long"))
     out = d.select(F.concat(F.upper("c.code"), F.lit("USDT")).alias("symbol"), F.try_to_timestamp(F.substring("x.published_at", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("ts"), n("positive").alias("positive"), n("negative").alias("negative"), n("important").alias("neutral"))
-    return out.withColumn("total", F.col("positive") + F.col("negative"))
+    return out.withColumn("total", F.col("positive") + F.col("negative") + F.col("neutral"))
+
+
+def other_interest(raw: DataFrame) -> DataFrame:
+    """Open interest of another exchange: a payload for each symbol; without a time it counts as 1970, without a value as 0."""
+    x = F.from_json("payload", "struct<symbol:string,openInterest:string,time:bigint>")
+    d = raw.select(x.alias("x")).where("x.symbol IS NOT NULL")
+    return d.select(F.col("x.symbol").alias("symbol"), F.timestamp_millis(F.coalesce("x.time", F.lit(0).cast("long"))).cast("timestamp_ntz").alias("ts"), number(F.col("x.openInterest"), 0.0).alias("oi_value"))
 
 
 def other_funding(raw: DataFrame, suffix: str = "USDT") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -14,19 +14,21 @@ def new_rows(batch: DataFrame, target: DataFrame | None, key: list[str], arrival
 
 
 def append_new(batch: DataFrame, path: str, key: list[str], partition_by: list[str], arrival: str | None = None) -> int:
-    """Appends the batch's new rows to a partitioned Parquet table; only partitions that the batch touches are read for the
-    keys. Returns how many were written."""
+    """Appends the batch's new rows to a partitioned Parquet table and returns how many there were, as the write counts them.
+    Stored keys are joined by partition as well, so that Spark prunes what the batch doesn't touch. One writer at a time: two
+    could both find a key new."""
     spark = batch.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     target = None
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         target = spark.read.parquet(path)
-        for c in partition_by:  # partition values of a batch are few
-            target = target.where(F.col(c).isin([r[0] for r in batch.select(c).distinct().collect()]))
-    fresh = new_rows(batch, target, key, arrival)
-    before = 0 if target is None else spark.read.parquet(path).count()
+        kinds = {c: batch.schema[c].dataType for c in partition_by}
+        target = target.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
+        target = target.join(batch.select(*partition_by).distinct(), partition_by, "left_semi") if partition_by else target
+    written = Observation()
+    fresh = new_rows(batch, target, key, arrival).observe(written, F.count(F.lit(1)).alias("rows"))
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path).count() - before
+    return written.get["rows"]
 
 
 def upserted(target: DataFrame, batch: DataFrame, key: list[str], version: str) -> DataFrame:

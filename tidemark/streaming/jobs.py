@@ -99,12 +99,12 @@ def freshness(stream: DataFrame, source: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a streaming query over all that is there now, into Parquet in the shared folder (append) or a memory table, and
     returns what came out."""
-    import tempfile
     import uuid
 
+    from tidemark.session import shared_folder
+
     spark: SparkSession = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     name = f"drained_{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
     query = writer.format("parquet").option("path", f"{at}/rows").start() if mode == "append" else writer.format("memory").queryName(name).start()
