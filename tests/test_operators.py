@@ -58,10 +58,10 @@ def test_indicators_are_complete_bounded_and_scale_free(walk):
     assert np.allclose(a[170:], b[170:], rtol=1e-6, atol=1e-8)
 
 
-@pytest.mark.parametrize("chunk", ["1 day", "7 days", "1000 days"])
-def test_smoothing_in_chunks_is_the_plain_recursion(walk, chunk):
+@pytest.mark.parametrize("rows", [60, 150, None])
+def test_smoothing_in_blocks_is_the_plain_recursion(walk, rows):
     x = walk.withColumn("late", F.when(F.col("ts") >= F.lit("2025-01-03").cast("timestamp_ntz"), F.col("volume")))
-    got = smooth(x, [ema("close", "e", 21), Smooth("late", "w", 1 / 14, 5)], chunk).toPandas().sort_values(["symbol", "ts"])
+    got = smooth(x, [ema("close", "e", 21), Smooth("late", "w", 1 / 14, 5)], rows=rows).toPandas().sort_values(["symbol", "ts"])
     for _, g in got.groupby("symbol"):
         want = g["close"].ewm(span=21, adjust=False, min_periods=21).mean()
         assert np.allclose(g["e"].astype(float), want, rtol=1e-10, equal_nan=True)

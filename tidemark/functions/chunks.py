@@ -10,14 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import KEY
-from .recursive import _seconds
+from .columns import KEY, seconds
 
 
 def numbered(rows: DataFrame, out: str = "_n", bucket: str = "1 day", key: tuple = KEY) -> DataFrame:
     """rows with their number (from 0) in their series by time; no task sees more than a bucket's rows of a series."""
     at = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    d = rows.withColumn("_b", F.floor(at / _seconds(bucket)))
+    d = rows.withColumn("_b", F.floor(at / seconds(bucket)))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     offsets = d.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     inside = F.row_number().over(Window.partitionBy(*key, "_b").orderBy("ts"))

@@ -23,6 +23,12 @@ def so_far(*key: str) -> WindowSpec:
     return series(*key).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def seconds(span: str) -> float:
+    """Of a span like "7 days"."""
+    n, unit = span.split()
+    return float(n) * {"minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

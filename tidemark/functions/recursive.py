@@ -1,21 +1,22 @@
-"""Recursive smoothing on Spark: y[n] = (1 - a) y[n-1] + a x[n], without a task per symbol.
+"""Recursive smoothing on Spark: y[n] = (1 - a) y[n-1] + a x[n], by windows alone.
 
-One step is affine, so a series can be cut into chunks of time. Within a chunk the sum of x over powers of (1 - a) is an
-ordinary running sum; each chunk then only needs what the chunk before ended with, and that is a fold over one small row
-a chunk. All of it is windows, aggregates and a join: long histories of few symbols spread over the cluster."""
+One step is affine, so the rows of a series can be cut into blocks: within a block the sum of x over powers of (1 - a) is an
+ordinary running sum, and a block only needs what the one before it ended with. That end needs the one before it, and so on,
+but each counts (1 - a) to the power of a block's rows less: a block is long enough that very few of them still show in a
+double. So no block waits for all before it, a series is read once and sorted by the same key as for every other window."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import KEY, last_rows, so_far
+from .columns import KEY, last_rows, series, so_far
 
-
-#: Rows of a chunk at most: (1 - a) ** -ROWS is within a double's range for every a up to 0.8.
-ROWS = 400
+#: Powers of 1 - a in a block stay within exp of this; what counts less than exp of that doesn't show in a double.
+LARGEST, LEAST = 550.0, 40.0
 
 
 @dataclass(frozen=True)
@@ -32,58 +33,37 @@ def ema(x: str, out: str, n: int) -> Smooth:
     return Smooth(x, out, 2 / (n + 1), n)
 
 
-def smooth(df: DataFrame, specs: list[Smooth], chunk: str = "7 days", key: tuple = KEY) -> DataFrame:
-    """df with a column for each of specs. NULLs of x may only lead a series.
-
-    Chunks of time are what is dealt over the cluster; each is cut again after ROWS rows, because powers of 1 - a must stay
-    within a double's range, however fine the bars are."""
-    seconds = F.lit(_seconds(chunk))
-    at = F.col("ts").cast("timestamp_ntz")
-    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
-    out = df.withColumn("_c", F.floor(epoch / seconds))
-    nth = F.row_number().over(Window.partitionBy(*key, "_c").orderBy("ts"))
-    out = out.withColumn("_s", F.floor((nth - 1) / ROWS).cast("int"))
-    w = Window.partitionBy(*key, "_c", "_s").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    for i, s in enumerate(specs):
-        q = 1 - s.alpha
-        out = out.withColumn(f"_j{i}", F.count(s.x).over(w).cast("double"))
-        out = out.withColumn(f"_l{i}", s.alpha * F.pow(F.lit(q), F.col(f"_j{i}")) * F.sum(F.col(s.x) * F.pow(F.lit(q), -F.col(f"_j{i}"))).over(w))
-    ends = []
-    for i, s in enumerate(specs):
-        ends += [F.max(f"_j{i}").alias(f"n{i}"), F.coalesce(F.max_by(f"_l{i}", "ts"), F.lit(0.0)).alias(f"b{i}"), F.min_by(s.x, F.when(F.col(s.x).isNotNull(), F.col("ts"))).alias(f"f{i}")]
-    chunks = out.groupBy(*key, "_c", "_s").agg(*ends)
-    fields = [f"{k}{i}" for i in range(len(specs)) for k in "nbf"]
-    per = chunks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_c", "_s", *fields))).alias("list"))
-    kind = "array<struct<_c:bigint,_s:int," + ",".join(f"y{i}:double,m{i}:double" for i in range(len(specs))) + ">>"
-    zero = F.struct(F.array().cast(kind).alias("out"), *[F.lit(None).cast("double").alias(f"y{i}") for i in range(len(specs))], *[F.lit(0.0).alias(f"m{i}") for i in range(len(specs))])
-
-    def step(state, c):
-        # what a chunk starts from: the end of the one before, or its first value where nothing came before
-        into = [F.coalesce(state[f"y{i}"], c[f"f{i}"]) for i in range(len(specs))]
-        here = F.struct(c["_c"].alias("_c"), c["_s"].alias("_s"), *[x for i in range(len(specs)) for x in (into[i].alias(f"y{i}"), state[f"m{i}"].alias(f"m{i}"))])
-        ys = [(F.pow(F.lit(1 - s.alpha), c[f"n{i}"]) * into[i] + c[f"b{i}"]).alias(f"y{i}") for i, s in enumerate(specs)]
-        return F.struct(F.concat(state["out"], F.array(here)).alias("out"), *ys, *[(state[f"m{i}"] + c[f"n{i}"]).alias(f"m{i}") for i in range(len(specs))])
-
-    carry = per.select(*key, F.explode(F.aggregate("list", zero, step, lambda s: s["out"])).alias("k")).select(*key, "k.*")
-    # a row a chunk of time, so that the join goes by what the windows are partitioned by
-    states = [c for i in range(len(specs)) for c in (f"y{i}", f"m{i}")]
-    carry = carry.groupBy(*key, "_c").agg(F.array_sort(F.collect_list(F.struct("_s", *states))).alias("_k"))
-    out = out.join(carry, [*key, "_c"]).withColumn("_k", F.get("_k", F.col("_s")))
-    out = out.withColumns({c: F.col(f"_k.{c}") for c in states})
-    for i, s in enumerate(specs):
-        y = F.coalesce(F.col(f"_l{i}"), F.lit(0.0)) + F.pow(F.lit(1 - s.alpha), F.col(f"_j{i}")) * F.col(f"y{i}")
-        out = out.withColumn(s.out, F.when((F.col(f"_j{i}") > 0) | (F.col(f"m{i}") > 0), F.when(F.col(f"m{i}") + F.col(f"_j{i}") >= s.least, y)))
-    return out.drop("_c", "_s", "_k", *[f"{k}{i}" for i in range(len(specs)) for k in ("_j", "_l", "y", "m")])
-
-
-def _seconds(chunk: str) -> float:
-    n, unit = chunk.split()
-    return float(n) * {"minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
-
-
-def wilder_seeded(df: DataFrame, x: str, out: str, n: int = 14, key: tuple = KEY) -> DataFrame:
-    """df with `out`: x where a Wilder average of n starts with the plain mean of the first n values and goes on by 1/n;
-    smooth it with alpha 1/n. NULL before."""
-    have = F.count(x).over(so_far(*key))
-    mean = F.avg(x).over(last_rows(n, *key))
-    return df.withColumn(out, F.when(F.col(x).isNull(), None).when(have == n, mean).when(have > n, F.col(x)))
+def memory(alpha: float) -> int:
+    """Rows after which a value no longer shows in an average of this weight: the halo that a piece of a series needs."""
+    return math.ceil(-LEAST / math.log1p(-alpha))
+
+
+def smooth(df: DataFrame, specs: list[Smooth], key: tuple = KEY, rows: int | None = None) -> DataFrame:
+    """df with a column for each of specs; weights are under 1. NULLs of x may only lead a series. Blocks have `rows` rows, or
+    as many as the largest weight allows."""
+    rates = [-math.log1p(-s.alpha) for s in specs]
+    rows = rows or int(LARGEST / max(rates))
+    earlier = math.ceil(LEAST / (rows * min(rates)))  # blocks before the last one that still show
+    many = range(len(specs))
+    d = df.withColumns({"_sm_n": F.row_number().over(series(*key)) - 1} | {f"_sm_k{i}": F.count(s.x).over(so_far(*key)) for i, s in enumerate(specs)})
+    d = d.withColumns({"_sm_b": F.floor(F.col("_sm_n") / rows), "_sm_j": (F.col("_sm_n") % rows).cast("double")})
+    inside = Window.partitionBy(*key, "_sm_b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    # the first value counts whole, not by its weight
+    part = lambda i, s: F.sum(F.col(s.x) * F.when(F.col(f"_sm_k{i}") == 1, 1 / s.alpha).otherwise(1.0) * F.exp(rates[i] * F.col("_sm_j"))).over(inside)
+    d = d.withColumns({f"_sm_l{i}": F.coalesce(s.alpha * part(i, s) * F.exp(-rates[i] * F.col("_sm_j")), F.lit(0.0)) for i, s in enumerate(specs)})
+    d = d.withColumns({f"_sm_y{i}": F.col(f"_sm_l{i}") for i in many})
+    before = series(*key).rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(earlier):
+        end = lambda i: F.last(F.when(F.col("_sm_j") == rows - 1, F.col(f"_sm_y{i}")), ignorenulls=True).over(before)
+        d = d.withColumns({f"_sm_e{i}": F.coalesce(end(i), F.lit(0.0)) for i in many})
+        d = d.withColumns({f"_sm_y{i}": F.col(f"_sm_l{i}") + F.exp(-rates[i] * (F.col("_sm_j") + 1)) * F.col(f"_sm_e{i}") for i in many})
+    d = d.withColumns({s.out: F.when(F.col(f"_sm_k{i}") >= s.least, F.col(f"_sm_y{i}")) for i, s in enumerate(specs)})
+    return d.drop("_sm_n", "_sm_b", "_sm_j", *[f"{c}{i}" for i in many for c in ("_sm_k", "_sm_l", "_sm_y", "_sm_e")])
+
+
+def wilder_seeded(df: DataFrame, columns: dict[str, str], n: int = 14, key: tuple = KEY) -> DataFrame:
+    """df with a column `out` for each {x: out}: x where a Wilder average of n starts with the plain mean of the first n
+    values and goes on by 1/n; smooth it with alpha 1/n. NULL before."""
+    have = {x: F.count(x).over(so_far(*key)) for x in columns}
+    mean = {x: F.avg(x).over(last_rows(n, *key)) for x in columns}
+    return df.withColumns({out: F.when(F.col(x).isNull(), None).when(have[x] == n, mean[x]).when(have[x] > n, F.col(x)) for x, out in columns.items()})

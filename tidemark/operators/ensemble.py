@@ -91,11 +91,11 @@ def breadth(predictions: DataFrame, by: list[str]) -> DataFrame:
     return predictions.groupBy(*by).agg(*[F.count_if(F.col("direction") == c).alias(f"n_{c.lower()}") for c in ("UP", "DOWN", "FLAT")])
 
 
-def decayed_performance(scores: DataFrame, key: list[str], value: str = "value", decay: float = 0.95, chunk: str = "7 days") -> DataFrame:
+def decayed_performance(scores: DataFrame, key: list[str], value: str = "value", decay: float = 0.95) -> DataFrame:
     """(key, n, score): s <- decay s + (1 - decay) value in time order, from the first value."""
     from tidemark.functions.recursive import Smooth, smooth
 
-    d = smooth(scores.withColumn(value, F.col(value).cast("double")), [Smooth(value, "_s", 1 - decay)], chunk, tuple(key))
+    d = smooth(scores.withColumn(value, F.col(value).cast("double")), [Smooth(value, "_s", 1 - decay)], tuple(key))
     return d.groupBy(*key).agg(F.count(value).alias("n"), F.max_by("_s", "ts").alias("score"))
 
 

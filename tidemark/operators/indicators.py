@@ -70,14 +70,13 @@ def trend(bars: DataFrame) -> DataFrame:
         }
     )
     d = d.withColumns({"_up": F.when(F.col("_pc").isNotNull(), F.col("_up")), "_dn": F.when(F.col("_pc").isNotNull(), F.col("_dn"))})
-    for x in ("_tr", "_tr1", "_pdm", "_ndm"):
-        d = wilder_seeded(d, x, f"{x}s")
+    d = wilder_seeded(d, {x: f"{x}s" for x in ("_tr", "_tr1", "_pdm", "_ndm")})
     a = 1 / 14
     d = smooth(d, [ema("close", f"ema_{n}", n) for n in (9, 12, 21, 26, 50)] + [Smooth("_trs", "atr", a), Smooth("_tr1s", "_atr1", a), Smooth("_pdms", "_p", a), Smooth("_ndms", "_n", a), Smooth("_up", "_u", a, 13), Smooth("_dn", "_d", a, 13)])
     plus, minus = 100 * ratio("_p", "_atr1"), 100 * ratio("_n", "_atr1")
     d = d.withColumns({"macd": F.col("ema_12") - F.col("ema_26"), "adx_pos": plus, "adx_neg": minus})
     d = d.withColumn("_dx", F.when(F.col("adx_pos").isNotNull(), F.coalesce(100 * ratio(F.abs(F.col("adx_pos") - F.col("adx_neg")), F.col("adx_pos") + F.col("adx_neg")), F.lit(0.0))))
-    d = wilder_seeded(d, "_dx", "_dxs")
+    d = wilder_seeded(d, {"_dx": "_dxs"})
     d = smooth(d, [ema("macd", "macd_signal", 9), Smooth("_dxs", "adx", a)])
     rsi = F.when(F.col("_d") == 0, 100.0).otherwise(100 - 100 / (1 + ratio("_u", "_d")))
     out = {"rsi_14": F.when(F.col("_u").isNotNull(), rsi), "atr_pct": ratio("atr", "close"), "macd_norm": ratio("macd", "close"), "macd_signal_norm": ratio("macd_signal", "close"), "macd_hist_norm": ratio(F.col("macd") - F.col("macd_signal"), c)}

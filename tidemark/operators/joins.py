@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import KEY, series, so_far
-from tidemark.functions.recursive import _seconds
+from tidemark.functions.columns import KEY, seconds, series, so_far
 
 
 def tradeable(futures: DataFrame, spot: DataFrame) -> DataFrame:
@@ -45,8 +44,8 @@ def as_of(bars: DataFrame, side: DataFrame, features: list[str], key: str = "sym
     right = side.select(key, "ts", F.lit(0).alias("_side"), snap.alias("_snap"))
     both = left.unionByName(right, allowMissingColumns=True)
     at = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    both = both.withColumn("_b", F.floor(at / _seconds(bucket)))
-    last = right.withColumn("_b", F.floor(at / _seconds(bucket))).groupBy(key, "_b").agg(F.max("_snap").alias("_before"))
+    both = both.withColumn("_b", F.floor(at / seconds(bucket)))
+    last = right.withColumn("_b", F.floor(at / seconds(bucket))).groupBy(key, "_b").agg(F.max("_snap").alias("_before"))
     following = F.lead("_b").over(Window.partitionBy(key).orderBy("_b"))  # a row a bucket that has side rows
     last = last.withColumn("_next", following)
     # the last snapshot of a bucket holds for the buckets up to the next one that has any; the newest holds from then on
