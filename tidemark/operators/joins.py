@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,30 +35,49 @@ def exact(bars: DataFrame, side: DataFrame, features: list[str], on: list[str] |
     return out.withColumns({f: F.coalesce(f, F.lit(fill)) for f in features})
 
 
-def as_of(bars: DataFrame, side: DataFrame, features: list[str], key: str = "symbol", max_age_minutes: float | None = None, fills: dict[str, float] | None = None, bucket: str = "1 day") -> DataFrame:
-    """bars with the features of the latest side row at or before each; NULL, or the fill, without one or if it is older
+@dataclass
+class Side:
+    """A side series(key, ts, features): used while no older than the age (0: at its very time only), else its fills."""
+
+    rows: DataFrame
+    features: list[str]
+    max_age_minutes: float | None = None
+    fills: dict[str, float] = field(default_factory=dict)
+
+
+def as_of_all(bars: DataFrame, sides: list[Side], key: str = "symbol", bucket: str = "1 day") -> DataFrame:
+    """bars with the features of each side's latest row at or before each; NULL, or the fill, without one or if it is older
     than the limit. Of side rows at the same time the last by its features counts.
 
-    Both sides are stacked and the last snapshot is carried forward within buckets of time, so a symbol's history is not
-    one task's; what a bucket begins with comes from the side series alone, one row a symbol and bucket. No range join."""
-    snap = F.struct(F.col("ts").alias("at"), *features)
-    left = bars.withColumns({"_side": F.lit(1), "_snap": F.lit(None).cast(side.select(snap.alias("s")).schema["s"].dataType)})
-    right = side.select(key, "ts", F.lit(0).alias("_side"), snap.alias("_snap"))
-    both = left.unionByName(right, allowMissingColumns=True)
+    All sides are stacked on the bars once, and their last snapshots are carried forward together within buckets of time, so
+    that a symbol's history is not one task's and the bars are shuffled once, however many sides there are. What a bucket
+    begins with is carried over one row a symbol and bucket. No range join."""
+    snaps = [f"_snap{i}" for i in range(len(sides))]
+    own = [F.struct(F.col("ts").alias("at"), *s.features) for s in sides]
+    kinds = [s.rows.select(o.alias("s")).schema["s"].dataType for s, o in zip(sides, own, strict=True)]
+    both = bars.withColumns({"_side": F.lit(1)} | {n: F.lit(None).cast(k) for n, k in zip(snaps, kinds, strict=True)})
+    for n, s, o in zip(snaps, sides, own, strict=True):
+        both = both.unionByName(s.rows.select(key, "ts", F.lit(0).alias("_side"), o.alias(n)), allowMissingColumns=True)
     at = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     both = both.withColumn("_b", F.floor(at / seconds(bucket)))
-    last = right.withColumn("_b", F.floor(at / seconds(bucket))).groupBy(key, "_b").agg(F.max("_snap").alias("_before"))
-    following = F.lead("_b").over(Window.partitionBy(key).orderBy("_b"))  # a row a bucket that has side rows
-    last = last.withColumn("_next", following)
-    # the last snapshot of a bucket holds for the buckets up to the next one that has any; the newest holds from then on
-    before = last.where("_next IS NOT NULL").select(key, F.explode(F.sequence(F.col("_b") + 1, F.col("_next"))).alias("_b"), "_before")
-    newest = last.where("_next IS NULL").select(key, F.col("_b").alias("_from"), F.col("_before").alias("_newest"))
-    w = Window.partitionBy(key, "_b").orderBy("ts", "_side", "_snap").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_snap", F.last("_snap", ignorenulls=True).over(w)).where("_side = 1").join(before, [key, "_b"], "left").join(newest, key, "left")
-    out = out.withColumn("_snap", F.coalesce("_snap", "_before", F.when(F.col("_b") > F.col("_from"), F.col("_newest")))).drop("_b", "_before", "_from", "_newest")
-    fresh = F.lit(True) if max_age_minutes is None else F.timestamp_diff("SECOND", F.col("_snap.at"), F.col("ts")) <= 60 * max_age_minutes
-    got = {f: F.when(fresh, F.col(f"_snap.{f}")) for f in features}
-    return out.withColumns({f: F.coalesce(x, F.lit((fills or {}).get(f))) if f in (fills or {}) else x for f, x in got.items()}).drop("_side", "_snap")
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    carry = both.groupBy(key, "_b").agg(*[F.max(n).alias(f"{n}_c") for n in snaps])
+    carry = carry.withColumns({f"{n}_c": F.last(f"{n}_c", ignorenulls=True).over(earlier) for n in snaps})
+    w = Window.partitionBy(key, "_b").orderBy("ts", "_side", *snaps).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in snaps}).where("_side = 1").join(carry, [key, "_b"])
+    out = out.withColumns({n: F.coalesce(n, f"{n}_c") for n in snaps})
+    got = {}
+    for n, s in zip(snaps, sides, strict=True):
+        fresh = F.lit(True) if s.max_age_minutes is None else F.timestamp_diff("SECOND", F.col(f"{n}.at"), F.col("ts")) <= 60 * s.max_age_minutes
+        for f in s.features:
+            x = F.when(fresh, F.col(f"{n}.{f}"))
+            got[f] = F.coalesce(x, F.lit(s.fills[f])) if f in s.fills else x
+    return out.withColumns(got).drop("_side", "_b", *snaps, *[f"{n}_c" for n in snaps])
+
+
+def as_of(bars: DataFrame, side: DataFrame, features: list[str], key: str = "symbol", max_age_minutes: float | None = None, fills: dict[str, float] | None = None, bucket: str = "1 day") -> DataFrame:
+    """as_of_all() of one side."""
+    return as_of_all(bars, [Side(side, features, max_age_minutes, fills or {})], key, bucket)
 
 
 def outcomes(predictions: DataFrame, bars: DataFrame, threshold: float = 0.005) -> DataFrame:

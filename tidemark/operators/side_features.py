@@ -95,12 +95,14 @@ def news(n: DataFrame, rows: int = 168) -> DataFrame:
 
 def feature_vector(bars: DataFrame, sides: list[tuple[DataFrame, list[str], str]]) -> DataFrame:
     """bars with the features of each side series, as of each candle ("as_of"), at its exact time ("exact") or by time
-    alone ("time"); missing ones are 0."""
-    from tidemark.operators.joins import as_of, exact
+    alone ("time"); missing ones are 0. The series by symbol go over the bars together."""
+    from tidemark.operators.joins import Side, as_of_all, exact
 
+    by_symbol = [Side(side, names, 0 if how == "exact" else None, dict.fromkeys(names, 0.0)) for side, names, how in sides if how != "time"]
     for side, names, how in sides:
-        bars = as_of(bars, side, names, fills=dict.fromkeys(names, 0.0)) if how == "as_of" else exact(bars, side, names, ["ts"] if how == "time" else None)
-    return bars
+        if how == "time":
+            bars = exact(bars, side, names, ["ts"])
+    return as_of_all(bars, by_symbol) if by_symbol else bars
 
 
 def exchange(own_funding: DataFrame, other_funding: DataFrame, interest: DataFrame, own_interest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

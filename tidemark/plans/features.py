@@ -339,13 +339,46 @@ def interest_divergence(spark, d):
     return side_features.exchange(bars.funding(spark, d), bars.funding(spark, d, 6), oi, oi)[1]
 
 
-@query()
+_NAMED = ("click", "view", "purchase", "signup", "error")
+_AT = lambda table, alias: f"LEFT JOIN {table} {alias} ON c.symbol = {alias}.symbol AND c.ts = {alias}.ts"
+_ASOF = lambda table, alias: f"ASOF LEFT JOIN {table} {alias} ON c.symbol = {alias}.symbol AND c.ts >= {alias}.ts"
+_ZZ = lambda x, n, least=None: z(x, n, least, "symbol")
+_CORR = f"CASE WHEN count(CASE WHEN ret IS NOT NULL AND lret IS NOT NULL THEN 1 END) OVER {w(24)} = 24 AND var_pop(ret) OVER {w(24)} > 1e-12 AND var_pop(lret) OVER {w(24)} > 1e-12 THEN corr(ret, lret) OVER {w(24)} END"
+_digits = lambda name: 9 if name.startswith(("fr_", "funding_")) else 4
+#: The features of the sides, as columns of the relations that the SQL joins.
+_SIDES = {
+    **{f"ob_{x}": f"b.{x}" for x in ("imbalance", "spread_bps", "depth_ratio", "total_depth", "imbalance_change", "spread_change")},
+    **{x: f"v.{x}" for x in side_features.DERIVATIVES}, **{x: f"f.{x}" for x in side_features.FUNDING}, **{x: f"l.{x}" for x in side_features.CROSS},
+    "fear_greed_index": "g.x", "fear_greed_change": "g.change", "news_sentiment_score": "n.score", "news_volume_zscore": "n.volume", "funding_rate_spread": "e2.spread", "oi_divergence": "oi.change",
+}
+
+
+@query(
+    sql(f"""{_ALL}, feat AS (SELECT {IDS}, {', '.join(f'{x} AS {n}' for n, x in _INDICATORS.items())} FROM w4),
+  bk AS (SELECT symbol, ts, i AS imbalance, s AS spread_bps, dr AS depth_ratio, td AS total_depth, i - {lag('i', 1, 'symbol')} AS imbalance_change, s - {lag('s', 1, 'symbol')} AS spread_change FROM {_OB}),
+  dv AS (SELECT symbol, ts, {pct('oi_close', 1, 'symbol')} AS oi_change_pct, {_ZZ('oi_close', 168)} AS oi_zscore, (long_vol - short_vol) / tot AS liq_imbalance, {div('tot', roll('avg', 'tot', 24, None, 'symbol'))} AS liq_spike, ratio AS ls_ratio, {_ZZ('ratio', 24)} AS ls_ratio_extreme
+    FROM (SELECT *, long_vol + short_vol + 1e-10 AS tot FROM derivatives)),
+  fu AS (SELECT symbol, ts, funding_rate AS fr_rate, {_ZZ('funding_rate', 168)} AS fr_rate_zscore, funding_rate - {lag('funding_rate', 1, 'symbol')} AS fr_rate_momentum, (mark_price - last_price) / nullif(last_price, 0) AS fr_mark_spot_divergence FROM funding),
+  rt AS (SELECT *, {pct('close')} AS ret FROM candles_60), mt AS (SELECT "interval", ts, sum(volume) AS market FROM candles_60 GROUP BY ALL),
+  lj AS (SELECT rt.symbol, rt."interval", rt.ts, rt.ret, ld.ret AS lret, ld.volume AS lvol, mt.market FROM rt JOIN mt ON rt.ts = mt.ts AND rt."interval" = mt."interval" LEFT JOIN (SELECT * FROM rt WHERE symbol = 'click') ld ON rt.ts = ld.ts),
+  le AS (SELECT symbol, ts, CASE WHEN symbol <> 'click' THEN lret END AS btc_return_1h, CASE WHEN symbol <> 'click' THEN {_CORR} END AS correlation_to_btc, CASE WHEN symbol <> 'click' THEN lvol / nullif(market, 0) END AS btc_dominance_proxy FROM lj),
+  fg AS (SELECT ts, value / 100 AS x, value / 100 - lag(value / 100) OVER (ORDER BY ts) AS change FROM fear_greed),
+  nw AS (SELECT symbol, ts, (positive - negative) / nullif(t, 0) AS score, {_ZZ('t', 168, 2)} AS volume FROM (SELECT {list(_NAMED)}[CAST(substr(symbol, 2) AS INTEGER) % 5 + 1] AS symbol, ts, sum(positive) AS positive, sum(negative) AS negative, CAST(sum(total) AS DOUBLE) AS t FROM news GROUP BY ALL)),
+  ex AS (SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.ts, y.ts) AS ts, last_value(y.funding_rate IGNORE NULLS) OVER o - last_value(x.funding_rate IGNORE NULLS) OVER o AS spread
+    FROM funding x FULL JOIN funding_b y ON x.symbol = y.symbol AND x.ts = y.ts WINDOW o AS (PARTITION BY coalesce(x.symbol, y.symbol) ORDER BY coalesce(x.ts, y.ts) ROWS UNBOUNDED PRECEDING)),
+  oi AS (SELECT symbol, ts, {pct('oi_close', 1, 'symbol')} AS change FROM derivatives)
+  SELECT c.symbol, c."interval", c.ts, {', '.join(f'coalesce(round(c.{n}, 4), 0) + 0.0 AS {n}' for n in _INDICATORS)}, {', '.join(f'coalesce(round({x}, {_digits(n)}), 0) + 0.0 AS {n}' for n, x in _SIDES.items())}
+  FROM feat c {_ASOF('bk', 'b')} {_AT('dv', 'v')} {_ASOF('fu', 'f')} {_AT('le', 'l')} LEFT JOIN fg g ON c.ts = g.ts {_AT('nw', 'n')} {_ASOF('ex', 'e2')} {_AT('oi', 'oi')}""", recursive=True),
+    digits=9,
+)
 def model_features(spark, d):
     """All 66 features of every hourly candle, missing ones 0."""
     c = indicators.compute(H(spark, d))
     oi = bars.derivatives(spark, d).withColumn("oi_value", F.col("oi_close"))
     spread, change = side_features.exchange(bars.funding(spark, d), bars.funding(spark, d, 6), oi)
-    news = side_features.news(bars.news(spark, d).withColumn("symbol", F.element_at(F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup", "error")]), (F.abs(F.xxhash64("symbol")) % 5 + 1).cast("int"))).groupBy("symbol", "ts").agg(*[F.sum(x).alias(x) for x in ("positive", "negative", "neutral", "total")]))
+    named = F.get(F.array(*[F.lit(x) for x in _NAMED]), F.substring("symbol", 2, 9).cast("int") % len(_NAMED))
+    news = bars.news(spark, d).withColumn("symbol", named).groupBy("symbol", "ts").agg(*[F.sum(x).alias(x) for x in ("positive", "negative", "neutral", "total")])
+    news = side_features.news(news)
     c = c.join(side_features.cross_asset(H(spark, d), "click").select(*ID, *side_features.CROSS), ID, "left")
     sides = [
         (side_features.orderbook(books(spark, d)), side_features.ORDERBOOK, "as_of"),
@@ -357,4 +390,4 @@ def model_features(spark, d):
         (change, ["oi_divergence"], "exact"),
     ]
     out = side_features.feature_vector(c, sides)
-    return out.select(*ID, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in side_features.feature_columns()])
+    return out.select(*ID, *[F.coalesce(F.round(x, _digits(x)), F.lit(0.0)).alias(x) for x in side_features.feature_columns()])
