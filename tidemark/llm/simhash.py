@@ -59,7 +59,8 @@ def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("variants are made for a radius of 2")
     flips = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted = prints.repartition(tasks, "fp").select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("variant"))
+    # by a hash of them: by themselves they may be partitioned already, and few in number, into few tasks
+    emitted = prints.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("variant"))
     met = emitted.groupBy("variant").agg(F.collect_list("fp").alias("ball")).where(F.size("ball") > 1)
     links = met.select(F.array_min("ball").alias("b"), F.explode("ball").alias("a")).where("a <> b").distinct()
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
