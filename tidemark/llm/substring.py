@@ -8,8 +8,9 @@ from zlib import crc32
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import fresh, small_batches, table, with_row_key, written
 
@@ -106,8 +107,11 @@ def _cut(texts: pa.Array, covered: pa.Array) -> pa.Array:
 
 def told_apart(docs: DataFrame, key: str) -> DataFrame:
     """docs with a key that tells rows of one doc_id but different texts apart: the row key where doc_id is null or has
-    several texts, else 0, which takes next to no room in a shuffle of spans."""
+    several texts, else 0, which takes next to no room in a shuffle of spans. Ids that aren't whole numbers say nothing of
+    the order, so their rows all have the row key."""
     keyed = with_row_key(docs, key)
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return keyed
     shared, by = fresh(keyed, "_shared"), fresh(keyed, "_by")
     named = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(shared)).agg(F.min(key).alias("a"), F.max(key).alias("b"))
     several = written(named.where("a < b").select(shared))
@@ -119,7 +123,8 @@ def told_apart(docs: DataFrame, key: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(nameless, doc_id, key, runs) of each document of docs(doc_id, key, text) that has spans which another place has first.
+    """(place, runs) of each document of docs(doc_id, key, text) that has spans which another place has first; place is (not
+    doc_id, not key), bits turned, so that the largest is the first and a null doc_id comes last.
 
     All spans of all documents are written once. Their hashes are grouped, with map-side combine, to the first place
     (smallest doc_id, null last, then smallest key) that has each; those that stand twice or more are written too and joined
@@ -128,12 +133,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     chance, so that one sentence in tens of millions goes without a twin; wider hashes don't fit the disk budget."""
     small_batches(docs.sparkSession)
     each = F.explode(F.arrow_udf(_spans, "array<struct<start:int,n:int,h:long,own_first:boolean>>")(F.col("text")))
-    whose = ["nameless", "doc_id", "key"]
-    named = docs.select(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key", each.alias("s"))
-    every = written(named.select(*whose, "s.start", "s.n", "s.h", "s.own_first"))
-    firsts = written(every.groupBy("h").agg(F.min(F.struct(*whose)).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("h", "first"))
-    again = every.join(firsts, "h").where((F.struct(*whose) > F.col("first")) | ~F.col("own_first"))
-    return again.groupBy(*whose).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    every = written(docs.select("doc_id", "key", each.alias("s")).select("doc_id", "key", "s.start", "s.n", "s.h", "s.own_first"))
+    firsts = every.groupBy("h").agg(F.max(_place("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("places"))
+    firsts = written(firsts.where("places > 1").select("h", "first"))
+    again = every.join(firsts, "h").where((_place("doc_id", "key") < F.col("first")) | ~F.col("own_first"))
+    return again.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs")).select(_place("doc_id", "key").alias("place"), "runs")
+
+
+def _place(doc_id: str, key: str) -> Column:
+    return F.struct(F.bitwise_not(F.col(doc_id).try_cast("long")).alias("doc_id"), F.bitwise_not(key).alias("key"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -146,9 +154,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     its sentences."""
     key, cut, gone = (fresh(docs, x) for x in ("_key", "_cut", "_gone"))
     keyed = told_apart(docs, key)
-    found = repeats(keyed.select("doc_id", F.col(key).alias("key"), "text")).select(F.struct("nameless", "doc_id", "key").alias(cut), F.col("runs").alias(gone))
-    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col(key).alias("key"))
-    out = keyed.join(found, place == F.col(cut), "left")
+    found = repeats(keyed.select("doc_id", F.col(key).alias("key"), "text")).select(F.col("place").alias(cut), F.col("runs").alias(gone))
+    out = keyed.join(found, _place("doc_id", key) == F.col(cut), "left")
     # only texts that lose something go to Python
     out = out.withColumn(cut, F.arrow_udf(_cut, "struct<text:string,n_removed:long>")(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone)))
     return out.withColumns({"text": F.coalesce(F.col(cut)["text"], "text"), "n_removed": F.coalesce(F.col(cut)["n_removed"], F.lit(0).cast("long"))}).drop(cut, gone, key)
