@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ship
+from tidemark.session import shared_folder, ship
 
 #: Rows of one Arrow batch that goes to a Python worker; at 120 KB a text this is 30 MB.
 ARROW_ROWS = 256
@@ -19,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds what a Python worker holds at once, and sees to it that workers have this package."""
+    """Bounds what a Python worker holds at once, and sees to it that workers have this package. There is no such bound for
+    one function alone, so the session's is set, but only where it has Spark's default: a caller's own setting stays."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -37,15 +39,6 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: Paths of the tables that written() has made and that are still there.
 MADE: list[str] = []
 
