@@ -128,10 +128,115 @@ def test_blend_sums_to_one_and_conflicts_shrink(spark):
     assert all(r["prob_up"] + r["prob_flat"] + r["prob_down"] == pytest.approx(1) for r in got.values())
 
 
+def test_agreement_of_every_pair_of_directions(spark):
+    # (a, b, size of a's move, of b's) and what they are called; exactly 1 % isn't small
+    cases = [
+        ("UP", "UP", 0.001, 0.001, "STRONG", "STRONG UP"), ("DOWN", "DOWN", 0.02, 0.02, "STRONG", "STRONG DOWN"), ("FLAT", "FLAT", 0.0, 0.0, "PARTIAL", "BOTH FLAT"),
+        ("DOWN", "FLAT", 0.02, 0.0, "PARTIAL", "WEAK DOWN"), ("FLAT", "UP", 0.0, 0.02, "PARTIAL", "TIMING UP"), ("UP", "DOWN", 0.02, -0.005, "PARTIAL", "PULLBACK UP"),
+        ("UP", "DOWN", 0.005, -0.02, "PARTIAL", "TIMING DOWN"), ("UP", "DOWN", 0.005, -0.005, "CONFLICT", "CONFLICT"), ("DOWN", "UP", -0.02, 0.02, "CONFLICT", "CONFLICT"), ("UP", "DOWN", 0.01, -0.01, "CONFLICT", "CONFLICT"),
+    ]
+    df = spark.createDataFrame(cases, "a string, b string, x double, y double, class string, label string").withColumn("got", ensemble.agreement_label("a", "b", "x", "y"))
+    for r in df.withColumn("kind", ensemble.agreement(F.col("got"))).collect():
+        assert (r["kind"], r["got"]) == (r["class"], r["label"]), r
+
+
+def test_single_model_passes_through_and_uncertainties_add(spark):
+    cols = "symbol string, interval string, ts int, model string, prob_up double, prob_flat double, prob_down double, magnitude double, uncertainty double"
+    rows = [("A", "60", 1, "m", 0.6, 0.3, 0.2, 0.01, 0.25), ("B", "60", 1, "m", 0.5, 0.3, 0.2, 0.01, 0.2), ("B", "60", 1, "n", 0.7, 0.1, 0.2, 0.03, 0.4)]
+    got = {r["symbol"]: r for r in ensemble.combine_models(spark.createDataFrame(rows, cols)).collect()}
+    assert (got["A"]["prob_up"], got["A"]["uncertainty"], got["A"]["agreement"]) == (0.6, 0.25, 1.0)
+    assert got["B"]["uncertainty"] == pytest.approx((0.1 + 0.1 + 0.0) / 3 + 0.3)
+
+
+def test_calibration_leaves_certain_rows_out(spark):
+    from tidemark.operators import monitor
+
+    df = spark.createDataFrame([(1.0, 0.0, 0.0, False)] * 5 + [(0.95, 0.05, 0.0, True)] * 5, "prob_up double, prob_flat double, prob_down double, was_correct boolean")
+    got = monitor.calibration(df).collect()[0]
+    assert got["n"] == 5 and got["ece"] == pytest.approx(0.05)
+    assert monitor.calibration(df.limit(0)).collect()[0]["ece"] == 0
+
+
+def test_simulated_equity_grows_by_the_predicted_move(spark):
+    rows = [(i, "A", "UP" if i < 3 else "FLAT", 0.1, 9.0, i % 2 == 0) for i in range(5)] + [(9, "A", "DOWN", None, 1.0, True)]
+    df = spark.createDataFrame(rows, "scored_at int, symbol string, direction string, magnitude double, actual_magnitude double, was_correct boolean")
+    assert scoring.simulated_equity(df).collect()[0]["equity"] == pytest.approx(10_000 * 1.1 * 0.95 * 1.1)
+    assert scoring.simulated_equity(df, n=1).collect()[0]["equity"] == 10_000
+    assert scoring.simulated_equity(df.limit(0)).collect()[0]["equity"] == 10_000
+
+
 def test_drawdown_machine():
-    m = risk.Drawdown(ramp=2)
-    got = [m.update(x)[0] for x in (100, 94, 96, 89, 90, 93.5, 94, 94)]
-    assert got == ["NORMAL", "REDUCED", "NORMAL", "HALTED", "HALTED", "RECOVERING", "RECOVERING", "NORMAL"]
+    m = risk.Drawdown(ramp=4)
+    got = [m.update(x) for x in (0, 100, 94, 96, 89, 90, 93.5, 94, 94, 96, 91, 89, 120)]
+    assert [g[0] for g in got] == ["NORMAL", "NORMAL", "REDUCED", "NORMAL", "HALTED", "HALTED", "RECOVERING", "RECOVERING", "RECOVERING", "NORMAL", "REDUCED", "HALTED", "RECOVERING"]
+    # the size grows from the reduced one while recovering; the peak stays
+    assert [g[2] for g in got[6:9]] == [0.5, 0.625, 0.75] and got[4][2] == 0 and got[8][1] == pytest.approx(0.06)
+
+
+def test_fine_bars_smooth_without_overflow(spark):
+    rng = np.random.default_rng(1)
+    close = 100 * np.cumprod(1 + rng.normal(0, 0.001, 6000))
+    got = indicators.trend(bars(spark, [float(x) for x in close], minutes=1)).toPandas().sort_values("ts")
+    for n in (9, 21, 50):
+        assert np.allclose(got[f"ema_{n}"].astype(float), pd.Series(close).ewm(span=n, adjust=False, min_periods=n).mean(), rtol=1e-12, equal_nan=True)
+    assert np.isfinite(got["macd"].astype(float)[200:]).all()
+
+
+def test_samples_of_heavy_rows_are_all_drawn(spark):
+    rows = bars(spark, [1.0] * 200).withColumn("weight", F.when(F.col("ts") == F.lit(T0).cast("timestamp_ntz"), 1000.0).otherwise(1.0))
+    got = dataset.weighted_sample(rows).collect()
+    assert abs(next(r["draws"] for r in got if r["weight"] > 1) - 1000 / (1199 / 200)) <= 1
+    assert sorted(map(str, got)) == sorted(map(str, dataset.weighted_sample(rows.repartition(5)).collect()))
+
+
+def test_pairs_use_their_own_tails(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=60)
+    rows = [(s, T0 + dt.timedelta(hours=60 - i), float(v)) for s, n, k in (("A", 60, 1.0), ("B", 60, -2.0), ("C", 30, 3.0)) for i, v in enumerate(k * x[:n])]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ret double")
+    own = {(r["a"], r["b"]): r for r in joins.pair_correlations(df, tail="pair", block=16).collect()}
+    assert own["A", "B"]["points"] == 60 and own["A", "C"]["points"] == 30 and own["A", "B"]["r"] == pytest.approx(-1) and own["A", "C"]["r"] == pytest.approx(1)
+    assert {r["points"] for r in joins.pair_correlations(df, block=16).collect()} == {30} and len(own) == 6
+
+
+def test_fewer_symbols_than_clusters_are_one_cluster(walk):
+    from tidemark.operators import ml
+
+    stats = ml.symbol_statistics(walk.withColumn("ret", C.pct("close")))
+    assert {r["cluster"] for r in ml.clusters(stats, 5).collect()} == {0} and len({r["cluster"] for r in ml.clusters(stats, 2).collect()}) == 2
+
+
+def test_stored_imbalance_and_windows_without_liquidations(spark):
+    from tidemark.operators import side_features
+
+    b = spark.createDataFrame([("A", T0, [1.0], [1.0], 1.0, 2.0, 0.9)], "symbol string, ts timestamp_ntz, bid_vols array<double>, ask_vols array<double>, spread double, mid_price double, imbalance double")
+    assert side_features.orderbook(b).collect()[0]["ob_imbalance"] == 0.9 and side_features.orderbook(b.drop("imbalance")).collect()[0]["ob_imbalance"] == 0.5
+    d = spark.createDataFrame([("A", T0 + dt.timedelta(hours=i), 1.0, 0.0, 0.0, 1.0) for i in range(30)], "symbol string, ts timestamp_ntz, oi_close double, long_vol double, short_vol double, ratio double")
+    got = side_features.derivatives(d).orderBy("ts").collect()
+    assert got[0]["liq_spike"] is None and got[29]["liq_spike"] == pytest.approx(1.0)
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.session import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+
+    assert shared_folder(session("spark://m:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(session("local[4]")) == shared_folder(session("local[4]"))
+    for master in ("spark://m:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))
+
+
+def test_sides_are_carried_together(spark):
+    b = bars(spark, [1.0, 2.0, 3.0])
+    one = spark.createDataFrame([("A", T0 + dt.timedelta(minutes=m), float(m)) for m in (-3000, 10, 60)], "symbol string, ts timestamp_ntz, v double")
+    two = spark.createDataFrame([("A", T0 + dt.timedelta(minutes=120), 7.0), ("A", T0 + dt.timedelta(minutes=60), 6.0), ("A", T0 + dt.timedelta(minutes=60), 5.0)], "symbol string, ts timestamp_ntz, w double")
+    got = joins.as_of_all(b, [joins.Side(one, ["v"]), joins.Side(two, ["w"], 0, {"w": 0.0})]).orderBy("ts").collect()
+    assert [(r["v"], r["w"]) for r in got] == [(-3000.0, 0.0), (60.0, 6.0), (60.0, 7.0)]
 
 
 def test_stop_comes_before_target_and_entry_bar_is_not_checked(spark):
@@ -199,7 +304,13 @@ def test_windows_in_pieces_are_the_whole_windows(walk):
 def test_feature_list_has_66_names():
     from tidemark.operators.side_features import feature_columns
 
-    assert len(feature_columns()) == len(set(feature_columns())) == 66
+    names = feature_columns()
+    assert len(names) == len(set(names)) == 66
+    # shapes, crosses and band distances come before places in the range
+    assert names[28:41] == [
+        "pct_change_168", "candle_body_ratio", "upper_wick_ratio", "lower_wick_ratio", "ema_9_21_cross", "ema_21_50_cross", "price_vs_bb_upper", "price_vs_bb_lower",
+        "price_position_48", "price_position_168", "momentum_accel", "atr_expansion", "vol_price_ratio",
+    ]
 
 
 def test_foreign_model_scores_in_batches(walk):

@@ -36,7 +36,7 @@ def test_against_sql(spark, duck, name):
         assert a == b or all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1e-5 * max(1, abs(x))) for x, y in zip(a, b, strict=True)), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - {"boosted_scores", "permutation_importance"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_runs(spark, name):
     df = registry.QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0
