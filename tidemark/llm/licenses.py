@@ -56,6 +56,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 4
 #: A notice is found where its grams vote on diagonals at most DRIFT apart and, in order, cover so much of its words.
 SHARE, DRIFT = 0.7, 4
+#: Grams of templates that are broadcast, about 200 bytes each; a larger table is left to a shuffled join.
+BROADCAST = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,19 +84,19 @@ def grams(base: dict = BASE, short: dict = SHORT, notices: dict = NOTICES) -> li
 
 def templates(spark, **parts) -> DataFrame:
     """grams() as a table with a hash h of the first two words; as many rows as the templates have words, a few hundred. The
-    row at -1 meets the mark that every document emits."""
+    row at -1 meets the mark that every document emits. Up to BROADCAST rows it is broadcast; Spark can't tell its size."""
     names = "template int, label string, kind string, at int, n int, k int, drift int, must boolean, w0 string, w1 string, w2 string, w3 string"
     rows = [(-1, "", "mark", -1, 0, 0, 0, False, None, None, None, None), *grams(**parts)]
-    return spark.createDataFrame(rows, names).withColumn("h", F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("w0", "w1")))
+    out = spark.createDataFrame(rows, names).withColumn("h", F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("w0", "w1")))
+    return F.broadcast(out) if len(rows) <= BROADCAST else out
 
 
 def votes(docs: DataFrame, parts: DataFrame) -> DataFrame:
     """(doc_id, key, i, template, label, kind, n, k, drift, must, at, diagonal) for each k-gram of a document that stands in a
     template, all its words verified, and a row with template -1 for each document.
 
-    All rolling k-grams of the corpus are joined to the templates' by hash. Nothing is shuffled before the join, and only
-    matches are after it. The templates are small, but the caller may give others, so Spark decides by their size whether
-    they are broadcast."""
+    All rolling k-grams of the corpus are joined to the templates' by hash. With templates that are broadcast nothing is
+    shuffled before the join, and only matches are after it."""
     w = F.col("w")
     every = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(i.alias("i"), F.xxhash64(F.get(w, i), F.get(w, i + 1)).alias("h"), *[F.get(w, i + j).alias(f"g{j}") for j in range(K)]))
     none = [F.lit(None).cast("string").alias(f"g{j}") for j in range(K)]
