@@ -136,10 +136,11 @@ def luhn(s):
 def test_pii(docs, rows):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     n = lambda s: sum(c.isdigit() for c in s)
-    ok = {"email": lambda s: True, "ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "card": lambda s: 12 <= n(s) <= 19 and luhn(s), "phone": lambda s: 9 <= n(s) <= 15}
+    small = lambda x: len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255
+    ok = {"email": lambda s: True, "ip": lambda s: all(map(small, s.split("."))), "card": lambda s: 12 <= n(s) <= 19 and luhn(s), "phone": lambda s: 9 <= n(s) <= 15}
     want = []
     for d, t, *_ in rows:
-        found = [(m.start(), i, k, m.end()) for i, (k, p) in enumerate(kinds.items()) for m in re.finditer(p, t or "") if ok[k](m[0])] if d != 10_011 else []
+        found = [(m.start(), i, k, m.end()) for i, (k, p) in enumerate(kinds.items()) for m in re.finditer(p, t or "") if ok[k](m[0])]
         text = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
         want.append((d, *(sum(f[2] == k for f in found) for k in kinds), hashlib.sha256(text.encode()).hexdigest()))
     from pyspark.sql import functions as F
@@ -147,8 +148,7 @@ def test_pii(docs, rows):
     s = F.col("pii_spans")
     counts = [F.size(F.filter(s, pii._is(k))) for k in pii.BASE]
     out = pii.find(docs).select("doc_id", *counts, F.sha2(pii.joined(F.filter(s, lambda x: x["rank"] < 4)).cast("binary"), 256))
-    same([r for r in out.collect() if r[0] != 10_011], [r for r in want if r[0] != 10_011])
-    assert len(out.where("doc_id = 10011").collect()) == 1  # long runs of digits, dots and signs end in time
+    same(out.collect(), want)
 
 
 def test_redaction_and_iban(spark):
@@ -193,19 +193,37 @@ def test_mixing(docs, rows):
     for s in names:
         mine = [r for r in got if r["source"] == s]
         assert mine[0]["target"] == pytest.approx(target[s]) and mine[0]["source_size"] == total[s]
-        assert abs(sum(r["taken"] for r in mine) - target[s]) <= 1
+        assert abs(sum(r["taken"] for r in mine) - target[s]) <= max(1, target[s] / mixing.PACKETS + 1)
         assert all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
     again = mixing.taken(mixing.sized(docs.repartition(7))).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_mix_is_one_stream_in_order_of_finish_times(docs):
-    items = mixing.in_order(mixing.mix(mixing.sized(docs))).orderBy("mix_start").collect()
+def test_mix_is_one_stream_cut_at_the_budget(docs):
+    sizes = mixing.sized(docs)
+    from pyspark.sql import functions as F
+
+    groups = sizes.groupBy("doc_id", "source", "size", "place").agg(F.count(F.lit(1)).alias("copies"))
+    targets, budget = mixing.source_targets(groups)
+    items = mixing.mix(mixing.placed(groups, targets), budget).orderBy("mix_start").collect()
     at = 0
     for a in items:
-        assert a["mix_start"] == at
-        at += a["words"]
-    assert [a["virtual_finish"] for a in items] == sorted(a["virtual_finish"] for a in items)
+        assert a["mix_start"] == at and 0 < a["taken"] <= a["n_words"]
+        at += a["taken"]
+    assert at == budget
+    times = [a["virtual_finish"] for a in items]
+    assert times == sorted(times)
+    # what is taken is a prefix of the order: nothing that finishes earlier is left out
+    every = mixing.packets(mixing.placed(groups, targets)).where(F.col("virtual_finish") < times[-1]).agg(F.sum("n_words")).first()[0]
+    assert every <= budget
+
+
+def test_mix_of_rows_without_ids_is_spread_out(spark):
+    rows = spark.range(40_000).selectExpr("cast(null as long) AS doc_id", "concat('word ', id) AS text", "'s' AS source")
+    groups = mixing.sized(rows).selectExpr("*", "1L AS copies")
+    targets, _ = mixing.source_targets(groups)
+    d = mixing.placed(groups, targets)
+    assert d.selectExpr("conv(substring(place, 1, 1), 16, 10) AS x").groupBy("x").count().count() == 16 and d.select("begin").distinct().count() == 40_000
 
 
 def test_substring(spark):
@@ -287,7 +305,7 @@ def test_token_counts_against_the_tokenizers_library(docs, rows):
     t = Tokenizer(models.Unigram(own, unk_id=0, byte_fallback=False))
     mine = tokens.Unigram()
     for _, text, *_ in rows:
-        if text and "\x00" not in text and len(text) < 20_000:
+        if text and "\x00" not in text:
             pieces = t.encode(tokens.SPACE + text.replace(" ", tokens.SPACE), add_special_tokens=False)
             want = sum(len(tokens_text.encode()) if i == 0 else 1 for i, tokens_text in zip(pieces.ids, pieces.tokens, strict=True))
             assert mine.count(text) == want, text[:80]
@@ -313,35 +331,78 @@ def test_held_out_is_crc32(docs, rows):
 
 def test_levenshtein_automaton_over_the_trie():
     def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            row, last = [i + 1], row
-            for j, y in enumerate(b):
-                row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
-        return row[-1]
+        d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
 
     terms = {"idiot": 1.0, "moron": 1.0, "pathetic": 1.0, "scum": 1.0, "worthless": 1.0}
-    lex = toxicity.Lexicon(terms)
-    for w in ("idiot", "idiott", "idot", "1diot", "iddiot", "morons", "mornn", "pathetc", "scum", "scums", "scu", "worthles", "xworthless", "worhtless", "table"):
-        best = min(((distance(w, t), t) for t in terms if len(t) >= 5 or t == w), default=None)
-        want = (w, 0) if w in terms else (best[1], best[0]) if best and best[0] <= 1 and len(w) >= 5 else None
-        got = lex.near(w)
-        # words of under five letters match exactly only
-        assert got == (want if len(w) >= 5 or w in terms else None), w
+    lex = toxicity.Lexicon(terms, {"achl": 0.7, "achlich": 0.9}, frozenset({"morons"}))
+    words = "idiot idiott idot idoit 1diot iddiot morons mornn mroon moorn pathetc pathteic scum scums scu worthles xworthless worhtless wortlhess table".split()
+    for w in words:
+        best = min(((distance(w, t), t) for t in terms if len(t) >= 5), default=None)
+        want = (w, 0) if w in terms else (best[1], best[0]) if best and best[0] <= 1 and len(w) >= 5 and w != "morons" else None
+        assert lex.near(w) == want, w
+    # stems take what begins with them, the longest first
+    assert lex.near("achlichkeit") == ("achlich", 0) and lex.near("achlos") == ("achl", 0) and lex.near("ach") is None
+
 
+def test_each_term_raises_the_score_less_if_misspelled_or_quoted():
+    import numpy as np
 
-def test_quoted_terms_weigh_less():
     match = toxicity.Matcher(toxicity.Lexicon({"idiot": 1.0}))
-    plain, quoted = toxicity.features("you are an idiot my friend", match), toxicity.features('the text has "idiot" in it', match)
-    assert plain[0] > quoted[0] and quoted[2] > 0 and plain[3] > 0
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = np.array([toxicity.features("you are an idiot and more words" if t and rng.random() < 0.7 else "plain words only here", match) for t in y])
+    for weights in (toxicity.fit(x, y), toxicity.DEFAULT_WEIGHTS):
+        assert (weights[1:] >= 0).all()
+        texts = ("plain words only here", 'the text has "idiot" in it', "they said the idiot in it", "the text has idoit in it", "the text has idiot in it")
+        got = toxicity.probability(np.array([toxicity.features(t, match) for t in texts]), weights).tolist()
+        assert got[0] < got[1] and got[0] < got[2] and max(got[1], got[2]) < got[3] < got[4]
     assert toxicity.features(None, match) == toxicity.features("", match) == [0.0] * toxicity.FEATURES
 
 
+def test_planted_misspellings_are_found_by_the_automaton_only(spark):
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    lexicon, weights = toxicity.train(docs, labels)
+    assert {"trash", "clown", "disgusting", "idiot", "pathetic"} <= set(lexicon.terms) and "verein" not in lexicon.terms
+    rng = random.Random(4)
+
+    def misspelled(w):
+        i = rng.randrange(1, len(w) - 1)
+        return rng.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i + 1 :], w[:i] + rng.choice("xyz01") + w[i + 1 :], w[:i] + w[i] + w[i:]])
+
+    held = docs.join(labels, "doc_id").where(held_out(docs["doc_id"]))
+    clean = [r["text"] for r in held.where("toxic = 0 AND length(text) BETWEEN 200 AND 3000").orderBy("doc_id").limit(300).collect()]
+    rows = []
+    for i, t in enumerate(clean):
+        w = t.split()
+        for kind in ("clean", "exact", "misspelled"):
+            own = list(w)
+            for at in sorted(rng.sample(range(len(w)), 3), reverse=True):
+                term = rng.choice(["idiot", "pathetic", "worthless", "trash", "clown", "disgusting"])
+                own.insert(at, {"clean": "", "exact": term, "misspelled": misspelled(term)}[kind])
+            rows.append((3 * i + len(kind) % 3, kind, " ".join(own)))
+    got = toxicity.scored(spark.createDataFrame(rows, "doc_id long, kind string, text string"), lexicon, weights).collect()
+    share = {k: sum(r["toxicity"] >= 0.5 for r in got if r["kind"] == k) / len(clean) for k in ("clean", "exact", "misspelled")}
+    assert share["clean"] <= 0.02 and share["exact"] >= 0.98 and share["misspelled"] >= 0.9, share
+
+
 def test_keep_first_handles_nulls_repeats_and_extra_columns(spark):
     a, b, c = "one two three four five six", "quite another text that shares nothing", "a third text with words of its own"
     rows = [(3, a, "x"), (1, a, "y"), (1, a, "z"), (2, b, "x"), (None, b, "n"), (None, c, "n"), (None, c, "m"), (4, "", "e"), (5, None, "e")]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("1", a), ("2", b), ("4", ""), ("None", c)]
+    # unrelated texts that share an id each stay, whole repeats once, and reruns agree
+    mixed = spark.createDataFrame([(7, a, "x"), (7, b, "x"), (7, b, "x"), (7, a + " and more", "y"), (None, c, "n")], "doc_id long, text string, _a string")
+    got = sorted(simhash.keep_first(mixed).collect(), key=str)
+    assert {r["text"] for r in got} >= {b, c} and len({r["text"] for r in got}) == len(got) and got == sorted(simhash.keep_first(mixed.repartition(3)).collect(), key=str)
     assert simhash.keep_first(spark.createDataFrame([], "doc_id long, text string, fp string")).count() == 0
 
 
