@@ -60,20 +60,25 @@ def with_reversals(trades: DataFrame, entries: DataFrame, bars: DataFrame) -> Da
 
 def one_at_a_time(trades: DataFrame, key: list[str] | None = None) -> DataFrame:
     """The trades that a series can hold one after the other: the earliest, then the next that begins at its exit or later.
-    A greedy chain, so each series' trades (signal rows, not bars) go through one small function."""
+    Trades that begin when all before them are over start a run of their own, so that a small function with the greedy chain
+    gets the trades of one run (signal rows that overlap), not those of a series."""
     key = key or list(KEY)
     schema = trades.schema
+    w = Window.partitionBy(*key).orderBy("ts", "exit_ts")
+    over = F.max("exit_ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    trades = trades.withColumn("_fresh", F.when(F.col("ts") < over, 0).otherwise(1))
+    trades = trades.withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
+        rows = rows.sort_values(["ts", "exit_ts"])
         keep, free = [], None
         for at, end in zip(rows["ts"], rows["exit_ts"], strict=True):
             keep.append(free is None or at >= free)
             if keep[-1]:
                 free = end
-        return rows[keep]
+        return rows.loc[keep, schema.names]
 
-    return trades.groupBy(*key).applyInPandas(chain, schema)
+    return trades.groupBy(*key, "_run").applyInPandas(chain, schema)
 
 
 def profit(trades: DataFrame, notional: float = 1000.0) -> DataFrame:
