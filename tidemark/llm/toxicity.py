@@ -81,15 +81,17 @@ class Lexicon:
                 for c in t:
                     node = node.setdefault(c, {})
                 node[kind] = t
-        # a term within one edit of a word agrees with it in the whole of its first or of its second half, but for a swap of
-        # its middle letters
+        # a term within one edit of a word agrees with it in the whole of its first or of its second half, or in all but
+        # its two middle letters, which are swapped
         self.heads: dict[int, set] = {}
         self.tails: dict[int, set] = {}
+        self.swaps: set = set()
         for t in terms:
+            n = len(t) // 2
             if len(t) >= 5:
-                for n in {len(t) // 2, len(t) // 2 - 1}:
-                    self.heads.setdefault(n, set()).add(t[:n])
-                self.tails.setdefault(len(t) - len(t) // 2, set()).add(t[len(t) // 2 :])
+                self.heads.setdefault(n, set()).add(t[:n])
+                self.tails.setdefault(len(t) - n, set()).add(t[n:])
+                self.swaps.add((t[: n - 1], t[n + 1 :]))
 
     def weight(self, term: str) -> float:
         return self.terms.get(term) or self.stems[term]
@@ -110,7 +112,9 @@ class Lexicon:
         if len(word) < 5 or k < 1 or word in self.ordinary:
             return None
         if k == 1 and not (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())):
-            return None
+            n = len(word) // 2
+            if (word[: n - 1], word[n + 1 :]) not in self.swaps:
+                return None
         auto = Levenshtein(word, k)
         todo, best = [(self.root, auto.start())], None
         while todo:
@@ -192,28 +196,41 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
     over the words' number). So are contexts, the words before a term, because copies of one passage make many rows
     toxic by the same words: a term's contexts must be a good part of its places. Half of the rows propose terms, the other
     half must bear them out where it has them. Stems are beginnings of four to six letters that several such words share,
-    judged alike. Weights grow with support. Clean rows also name the ordinary words within an edit of a term, which are no
+    none with more than half of the contexts, judged alike. Weights grow with support. Clean rows also name the ordinary words within an edit of a term, which are no
     misspellings. All of it is counted in aggregates over rows; what comes to the driver is `terms` terms, as many stems,
     and words next to them at most."""
     w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD.pattern), F.lit(0))
     pairs = F.transform(F.col("w"), lambda x, i: F.struct(x.alias("word"), F.when(i > 0, F.get(F.col("w"), i - 1)).otherwise("").alias("before")))
     half = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(2)) == 0
-    base = rows.select((F.col("toxic") == 1).alias("bad"), half.alias("half"), F.xxhash64("text").alias("row"), w.alias("w"))
-    each = base.select("bad", "half", "row", F.explode(pairs).alias("p")).select("bad", "half", "row", "p.word", "p.before").where(F.length("word") >= 4)
-    stem = F.explode(F.concat(F.array(F.struct(F.col("word").alias("part"), F.lit(False).alias("is_stem"))), F.filter(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda n: F.when(F.length("word") > n, F.struct(F.substring("word", F.lit(1), n).alias("part"), F.lit(True).alias("is_stem")))), F.isnotnull)))
-    part = each.select("bad", "half", "row", "word", "before", stem.alias("s")).select("s.*", "bad", "half", "row", "word", "before")
-    # a row once for each of its parts, then contexts once
-    per_row = part.groupBy("part", "is_stem", "row", "bad", "half").agg(F.count(F.lit(1)).alias("n")).groupBy("part", "is_stem").agg(
-        F.count_if("bad").alias("bad_rows"), F.count_if(~F.col("bad")).alias("good_rows"), F.count_if(F.col("bad") & F.col("half")).alias("bad_first"), F.count_if(~F.col("bad") & F.col("half")).alias("good_first")
+    base = written(rows.select((F.col("toxic") == 1).alias("bad"), half.alias("half"), F.xxhash64("text").alias("row"), w.alias("w")))
+
+    def exploded(bad: bool) -> DataFrame:
+        own = base.where("bad" if bad else "NOT bad")
+        return own.select("half", "row", F.explode(pairs).alias("p")).select("half", "row", "p.word", "p.before").where(F.length("word") >= 4)
+
+    whole = F.struct(F.col("word").alias("part"), F.lit(False).alias("is_stem"))
+    begins = F.transform(F.sequence(F.lit(4), F.lit(6)), lambda n: F.when(F.length("word") > n, F.struct(F.substring("word", F.lit(1), n).alias("part"), F.lit(True).alias("is_stem"))))
+    parts = F.explode(F.concat(F.array(whole), F.filter(begins, F.isnotnull)))
+
+    def rows_with(part: DataFrame, name: str) -> DataFrame:
+        per_row = part.groupBy("part", "is_stem", "row", "half").agg(F.count(F.lit(1)).alias("n"))
+        return per_row.groupBy("part", "is_stem").agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.count_if("half").alias(f"{name}_first"))
+
+    bad = exploded(True).select("half", "row", "word", "before", parts.alias("s")).select("s.*", "half", "row", "word", "before")
+    by_word = bad.groupBy("part", "is_stem", "word", "before").agg(F.count(F.lit(1)).alias("n")).groupBy("part", "is_stem", "word").agg(
+        F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("places")
     )
-    in_context = part.where("bad").groupBy("part", "is_stem", "word", "before").agg(F.count(F.lit(1)).alias("n")).groupBy("part", "is_stem").agg(
-        F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("places"), F.countDistinct("word").alias("words")
+    in_context = by_word.groupBy("part", "is_stem").agg(
+        F.sum("contexts").alias("contexts"), F.sum("places").alias("places"), F.count(F.lit(1)).alias("words"), F.max("contexts").alias("largest")
     )
-    stats = written(per_row.join(in_context, ["part", "is_stem"]))
-    total = base.agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).first()
-    tried = stats.count()
+    found = written(rows_with(bad, "bad").join(in_context, ["part", "is_stem"]))
+    tried, total = found.count(), base.agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).first()
     if not total["bad"] or not tried:
         return Lexicon(dict.fromkeys(SEED_TERMS, 0.8))
+    # clean rows are only asked for what could be a term
+    asked = written(found.where("contexts >= 3 AND bad_rows >= 2 AND contexts >= 0.4 * places"))
+    good = exploded(False).select("half", "row", parts.alias("s")).select("s.*", "half", "row").join(asked.select("part", "is_stem"), ["part", "is_stem"], "left_semi")
+    stats = asked.join(rows_with(good, "good"), ["part", "is_stem"], "left").fillna(0, ["good_rows", "good_first"])
     share = (total["bad"] + 1) / (total["bad"] + total["good"] + 2)
 
     def surprise(bad: str, good: str) -> Column:
@@ -223,23 +240,28 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
         kl = F.when(F.col(bad) > 0, p * F.log(p / share)).otherwise(0.0) + F.when(F.col(good) > 0, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
         return F.when(p > share, n * kl).otherwise(0.0)
 
-    d = stats.withColumns({"bad_second": F.col("bad_rows") - F.col("bad_first"), "good_second": F.col("good_rows") - F.col("good_first")})
-    telling = (surprise("bad_rows", "good_rows") > math.log(tried)) & (F.col("bad_rows") >= 8 * F.col("good_rows")) & (F.col("contexts") >= 0.4 * F.col("places")) & (F.col("contexts") >= 3)
+    d = written(stats).withColumns({"bad_second": F.col("bad_rows") - F.col("bad_first"), "good_second": F.col("good_rows") - F.col("good_first")})
+    telling = (surprise("bad_rows", "good_rows") > math.log(tried)) & (F.col("bad_rows") >= 8 * F.col("good_rows"))
     # either half proposes what the other one doesn't contradict
     borne_out = (F.col("bad_first") >= 2 * F.col("good_first")) & (F.col("bad_second") >= 2 * F.col("good_second"))
-    good = d.where(telling & borne_out)
+    terms_of = d.where(telling & borne_out)
+
+    def contexts(found: DataFrame) -> dict[str, int]:
+        return {r["part"]: r["contexts"] for r in found.orderBy(F.desc("contexts"), "part").limit(terms).collect()}
 
-    def weights(found: DataFrame) -> dict[str, float]:
-        return {r["part"]: min(1.0, 0.5 + r["contexts"] / 20) for r in found.orderBy(F.desc("contexts"), "part").limit(terms).collect()}
+    def weights(found: dict[str, int]) -> dict[str, float]:
+        return {x: min(1.0, 0.5 + n / 20) for x, n in found.items()}
 
-    chosen = {t: 0.8 for t in SEED_TERMS} | weights(good.where("NOT is_stem"))
-    lexicon = Lexicon(chosen, weights(good.where((F.col("words") >= 3) & F.col("is_stem"))))
-    return Lexicon(lexicon.terms, lexicon.stems, ordinary_words(each, lexicon, terms))
+    stems = contexts(terms_of.where((F.col("words") >= 3) & (F.col("largest") <= 0.5 * F.col("contexts")) & F.col("is_stem")))
+    # a stem that is little more than a longer one goes: it would take in words that no row spoke of
+    shorter = {x[:n] for x, c in stems.items() for n in (4, 5) if n < len(x) and x[:n] in stems and c >= 0.8 * stems[x[:n]]}
+    lexicon = Lexicon({t: 0.8 for t in SEED_TERMS} | weights(contexts(terms_of.where("NOT is_stem"))), weights({x: n for x, n in stems.items() if x not in shorter}))
+    return Lexicon(lexicon.terms, lexicon.stems, ordinary_words(exploded(False), lexicon, terms))
 
 
 def ordinary_words(each: DataFrame, lexicon: Lexicon, most: int = TERMS) -> frozenset:
-    """Words of clean rows (bad, row, word) that are within an edit of a term, in two rows or more; the commonest if they are
-    more than `most`."""
+    """Words of clean rows (row, word) that are within an edit of a term, in two rows or more; the commonest if they are more
+    than `most`."""
     terms, stems = lexicon.terms, lexicon.stems
     kept: dict = {}
 
@@ -249,8 +271,9 @@ def ordinary_words(each: DataFrame, lexicon: Lexicon, most: int = TERMS) -> froz
             kept["l"] = Lexicon(terms, stems)
         return pa.array([bool((found := kept["l"].near(w)) and found[1]) for w in words.to_pylist()], pa.bool_())
 
-    seen = each.where(~F.col("bad")).groupBy("word").agg(F.count_distinct("row").alias("rows")).where("rows > 1")
-    return frozenset(r["word"] for r in seen.where(close("word")).orderBy(F.desc("rows"), "word").limit(most).collect())
+    # each word is looked at once: a filter on the words alone would be moved to before they are made distinct
+    seen = each.where(F.length("word") >= 5).groupBy("word").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count(F.lit(1)).alias("places")).where("a <> b")
+    return frozenset(r["word"] for r in seen.where(close.asNondeterministic()("word")).orderBy(F.desc("places"), "word").limit(most).collect())
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray | None = None, text: str = "text") -> DataFrame:
