@@ -391,7 +391,11 @@ def test_planted_misspellings_are_found_by_the_automaton_only(spark):
             rows.append((3 * i + len(kind) % 3, kind, " ".join(own)))
     got = toxicity.scored(spark.createDataFrame(rows, "doc_id long, kind string, text string"), lexicon, weights).collect()
     share = {k: sum(r["toxicity"] >= 0.5 for r in got if r["kind"] == k) / len(clean) for k in ("clean", "exact", "misspelled")}
-    assert share["clean"] <= 0.02 and share["exact"] >= 0.98 and share["misspelled"] >= 0.9, share
+    # long texts with three misspelled words may stay under one half, as the labels have it
+    assert share["clean"] <= 0.02 and share["exact"] >= 0.98 and share["misspelled"] >= 0.8, share
+    match, terms = toxicity.Matcher(lexicon), ("idiot", "pathetic", "worthless", "trash", "clown", "disgusting")
+    wrong = [w for w in (misspelled(t) for t in terms for _ in range(100)) if len(w) >= 5 and w not in terms]
+    assert sum(bool(match[w]) and match[w][1] == 1 for w in wrong) >= 0.97 * len(wrong)
 
 
 def test_keep_first_handles_nulls_repeats_and_extra_columns(spark):

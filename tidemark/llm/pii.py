@@ -140,14 +140,16 @@ def spans(docs: DataFrame, text: Column, out: str) -> DataFrame:
     none = F.array().cast("array<string>")
     both = {found[k]: F.when(may_hold(text, k), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS}
     both |= {gaps[k]: F.when(may_hold(text, k), F.transform(F.split(text, PATTERNS[k], -1), F.length)).otherwise(F.array().cast("array<int>")) for k in KINDS}
+    # columns of their own, step by step: within a lambda an expression would be worked out anew each time
+    steps, places = {k: fresh(docs, f"_s_{k}") for k in KINDS}, {k: fresh(docs, f"_p_{k}") for k in KINDS}
     docs = docs.withColumns(both)
+    docs = docs.withColumns({steps[k]: F.zip_with(F.slice(gaps[k], F.lit(1), F.size(found[k])), F.transform(found[k], F.length), _plus) for k in KINDS})
+    docs = docs.withColumns({places[k]: running(F.col(steps[k]), _plus) for k in KINDS})
     each = []
     for k in KINDS:
-        m, g = F.col(found[k]), F.col(gaps[k])
-        steps = F.zip_with(F.slice(g, F.lit(1), F.size(m)), F.transform(m, F.length), _plus)
-        at = F.zip_with(running(steps, _plus), F.slice(g, F.lit(1), F.size(m)), _plus)
-        each.append(F.filter(F.transform(F.arrays_zip(m.alias("m"), at.alias("at")), _ranked(k)), F.isnotnull))
-    return docs.withColumn(out, F.array_sort(F.concat(*each))).drop(*both)
+        at = F.zip_with(places[k], F.slice(gaps[k], F.lit(1), F.size(found[k])), _plus)
+        each.append(F.filter(F.transform(F.arrays_zip(F.col(found[k]).alias("m"), at.alias("at")), _ranked(k)), F.isnotnull))
+    return docs.withColumn(out, F.array_sort(F.concat(*each))).drop(*both, *steps.values(), *places.values())
 
 
 def score(cut: Column, span: Column) -> Column:
@@ -176,15 +178,16 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFra
 def redact(docs: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:
     """docs with the text's spans of at least the given score replaced by [KIND]; of spans that overlap, the first stands
     for all and what they cover goes. Null texts stay null, and all other columns as they are."""
-    kept, upto, cut = (fresh(docs, x) for x in ("_kept", "_upto", "_cut"))
+    kept, ends, upto, cut = (fresh(docs, x) for x in ("_kept", "_ends", "_upto", "_cut"))
     d = find(docs, text, kept).withColumn(kept, F.filter(kept, lambda s: s["score"] >= least))
+    d = d.withColumn(ends, F.transform(kept, lambda s: s["end"]))
     # of each span the furthest end before it: one that starts there or later begins a new run of spans
-    d = d.withColumn(upto, running(F.transform(kept, lambda s: s["end"]), _larger)).withColumn(cut, F.when(F.size(kept) > 0, blocks(F.col(text))))
+    d = d.withColumn(upto, running(F.col(ends), _larger)).withColumn(cut, F.when(F.size(kept) > 0, blocks(F.col(text))))
     heads = F.filter(F.arrays_zip(F.col(kept).alias("s"), F.col(upto).alias("upto")), lambda x: x["s"]["start"] >= x["upto"])
     parts = F.transform(heads, lambda x: F.concat(piece(F.col(cut), x["upto"], x["s"]["start"] - x["upto"]), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")))
-    end = F.array_max(F.transform(kept, lambda s: s["end"]))
+    end = F.array_max(ends)
     clean = F.concat(F.array_join(parts, ""), piece(F.col(cut), end, F.length(text) - end))
-    return d.withColumn(text, F.when(F.size(kept) > 0, clean).otherwise(F.col(text))).drop(kept, upto, cut)
+    return d.withColumn(text, F.when(F.size(kept) > 0, clean).otherwise(F.col(text))).drop(kept, ends, upto, cut)
 
 
 def joined(found: Column) -> Column:
