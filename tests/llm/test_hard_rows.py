@@ -138,7 +138,8 @@ def test_recall_of_paraphrased_items(spark):
             for i in rng.sample(range(len(ws)), n):
                 out[i] = f"q{rng.randrange(10**6)}"
         elif how == "left out":
-            out = [w for i, w in enumerate(ws) if i not in set(rng.sample(range(len(ws)), n))]
+            gone = set(rng.sample(range(len(ws)), n))
+            out = [w for i, w in enumerate(ws) if i not in gone]
         else:  # neighbours swapped
             for i in rng.sample(range(len(ws) - 1), n):
                 out[i], out[i + 1] = out[i + 1], out[i]
@@ -147,7 +148,7 @@ def test_recall_of_paraphrased_items(spark):
     rows, plan = [], []
     items = [(r["item_id"], words(r["text"])) for r in bench.orderBy("item_id").collect()]
     for how in ("replaced", "left out", "swapped"):
-        for share in (0.05, 0.1, 0.2):
+        for share in (0.05, 0.1, 0.2, 0.3):
             for k, ws in rng.sample(items, min(60, len(items))):
                 if len(ws) >= 12:
                     host = rng.choice(hosts)
@@ -162,7 +163,8 @@ def test_recall_of_paraphrased_items(spark):
         hit[how, share] += (i, k) in found
     recall = {k: round(hit[k] / all_[k], 2) for k in all_}
     print("recall of paraphrases:", recall)
-    assert all(recall[how, share] >= 0.9 for how in ("replaced", "left out", "swapped") for share in (0.05, 0.1)), recall
+    # of items with 30 % of their words gone the answer must stand, so fewer are found
+    assert all(r >= 0.9 for (_, share), r in recall.items() if share <= 0.2), recall
 
 
 def test_language_network_pass_and_padding():
