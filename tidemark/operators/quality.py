@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import KEY, lagged, pct, series
+from tidemark.functions.columns import KEY, pct, series
 
 
 def minutes_of(interval: Column | str) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import chunks
-from tidemark.functions import columns as C
 from tidemark.functions.recursive import ema, smooth
 from tidemark.operators import dataset, indicators, regime, side_features
 from tidemark.plans.registry import query
