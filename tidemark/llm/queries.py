@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from itertools import permutations
+
+from . import audit, licenses, mixing
+from .audit import op13_filter_audit
+from .bpe import op11_bpe
 from .decontam import op8_decontamination
 from .langid import op9_language_id
 from .licenses import op2_licenses
@@ -13,8 +17,15 @@ from .simhash import op10_simhash
 from .substring import op3_substring_dedup
 from .tokens import op6_token_counts
 from .toxicity import op1_toxicity
+from .whitening import op12_whitening
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_substring_dedup, op4_mixing, op5_pii, op6_token_counts, op7_quality, op8_decontamination, op9_language_id, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_licenses, op3_substring_dedup, op4_mixing, op5_pii, op6_token_counts, op7_quality, op8_decontamination, op9_language_id, op10_simhash,
+        op11_bpe, op12_whitening, op13_filter_audit,
+    )
+}
 
 
 def _templates() -> str:
@@ -62,4 +73,33 @@ SELECT doc_id, size, source_size, target, CAST(words_ // copies + CASE WHEN copy
 FROM (SELECT c.doc_id, c.size, c.source_size, c.target, c.copies, coalesce(g.taken, 0) AS words_, g.first_start, unnest(range(c.copies)) AS copy
   FROM c LEFT JOIN g ON c.doc_id IS NOT DISTINCT FROM g.doc_id AND c.source IS NOT DISTINCT FROM g.source AND c.size = g.size AND c.place = g.place)"""
 
-ORACLE: dict[str, str] = {"op2_licenses": _LICENSES, "op4_mixing": _MIXING}
+
+def _steps() -> str:
+    """Every order and step: its filter's bit and the bits of those before it."""
+    rows = []
+    for order in permutations(audit.FILTERS):
+        before = 0
+        for step, f in enumerate(order, 1):
+            own = 1 << audit.FILTERS.index(f)
+            rows.append(f"('{''.join(order)}', {step}, {own}, {before})")
+            before |= own
+    return f"(VALUES {', '.join(rows)}) AS s(filter_order, step, own, before)"
+
+
+_AUDIT = rf"""
+WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+f AS (SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), d.doc_id IS NULL AND min(d.doc_id) OVER (PARTITION BY t) IS NOT NULL) THEN 16 ELSE 0 END AS bits
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, bits, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM f GROUP BY ALL),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE bits & (before | own) = 0) AS kept, sum(n) FILTER (WHERE bits & own > 0 AND bits & before = 0) AS removed,
+  sum(n) FILTER (WHERE bits & own > 0 AND bits & before > 0) AS redundant, sum(n) FILTER (WHERE bits = own) AS unique_fails,
+  sum(g) FILTER (WHERE bits & own > 0 AND bits & before = 0) AS good_lost, sum(x) FILTER (WHERE bits & own > 0 AND bits & before = 0) AS toxic_lost
+  FROM c CROSS JOIN {_steps()} GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in audit.REPORT[:-1])},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r"""
+
+ORACLE: dict[str, str] = {"op2_licenses": _LICENSES, "op4_mixing": _MIXING, "op13_filter_audit": _AUDIT}
