@@ -318,3 +318,57 @@ def test_foreign_model_scores_in_batches(walk):
 
     got = score_with(walk, ["close", "open"], lambda x: pd.DataFrame({"up": (x["close"] > x["open"]).astype(float)}), "up double").collect()
     assert len(got) == 1500 and all(r["up"] == float(r["close"] > r["open"]) for r in got)
+
+
+def chained(rows):
+    """Of each series' trades in time order, the first and then each that begins when the one before it is over."""
+    kept, free = [], {}
+    for r in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        if r[0] not in free or r[1] >= free[r[0]]:
+            kept.append(r)
+            free[r[0]] = r[2]
+    return kept
+
+
+def test_long_chains_of_trades(spark, monkeypatch):
+    import random
+
+    rng, rows = random.Random(2), []
+    for k, n, gap, hold in (("a", 700, 1, 24), ("b", 90, 5, 3), (None, 60, 2, 9), ("c", 50, 1, 200), ("d", 80, 1, 1), ("e", 1, 1, 1)):
+        t = 0
+        for _ in range(n):
+            t += rng.randrange(1, gap + 1)
+            rows.append((k, T0 + dt.timedelta(minutes=t), T0 + dt.timedelta(minutes=t + rng.randrange(1, hold + 1))))
+    frame = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, exit_ts timestamp_ntz").withColumn("interval", F.lit("1")).repartition(4)
+    order = lambda x: sorted(map(tuple, x), key=lambda r: (r[0] or "", r[1], r[2]))
+    for block in (1024, 16):
+        monkeypatch.setattr(backtest, "BLOCK", block)
+        assert order(backtest.one_at_a_time(frame).select("symbol", "ts", "exit_ts").collect()) == order(chained(rows))
+
+
+def test_hard_trades(spark):
+    hours = lambda *x: [None if h is None else T0 + dt.timedelta(hours=h) for h in x]
+    rows = [("A", *hours(0, 0)), ("A", *hours(0, 0)), ("A", *hours(1, None)), ("A", *hours(2, 3)), ("B", *hours(None, 3)), ("B", *hours(4, 4)), ("B", *hours(4, 6)), ("B", *hours(5, 7))]
+    frame = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, exit_ts timestamp_ntz")
+    got = backtest.one_at_a_time(frame, ["symbol"]).collect()
+    assert sorted((r.symbol, r.ts.hour, r.exit_ts and r.exit_ts.hour) for r in got if r.exit_ts) == [("A", 0, 0), ("A", 0, 0), ("B", 4, 4), ("B", 4, 6)]
+    assert [(r.symbol, r.ts.hour) for r in got if not r.exit_ts] == [("A", 1)]
+    assert backtest.one_at_a_time(frame.where("false"), ["symbol"]).collect() == []
+
+
+def test_first_opposite_signal_reverses(spark):
+    b = bars(spark, [100.0] * 8)
+    times = [r.ts for r in b.orderBy("ts").collect()]
+    e = spark.createDataFrame([("A", "60", times[i], a) for i, a in ((0, "LONG"), (1, "LONG"), (3, "SHORT"), (6, "LONG"), (7, "SHORT"))], "symbol string, interval string, ts timestamp_ntz, action string")
+    got = {r.ts.hour: (r.exit_ts.hour, r.exit_reason, r.bars_held, len(r.path)) for r in backtest.exits(b, e, reverse=True).collect()}
+    assert got == {0: (3, "reversal", 3, 2), 1: (3, "reversal", 2, 1), 3: (6, "reversal", 3, 2), 6: (7, "reversal", 1, 0)}
+    assert backtest.exits(b, e, hold=3).where("exit_reason = 'time'").count() == 3
+    t = backtest.profit(backtest.one_at_a_time(backtest.exits(b, e, reverse=True)))
+    own, other = (backtest.equity_curve(x, b).orderBy("ts").collect() for x in (t, t.drop("path")))
+    assert own == other and len(own) == 8
+
+
+def test_annual_return_spans_all_points(spark):
+    curve = spark.createDataFrame([("x", T0 + dt.timedelta(hours=i), v) for i, v in enumerate((100.0, 120.0, 90.0, 110.0))], "run string, ts timestamp_ntz, equity double")
+    r = backtest.performance(curve, ["run"], 8.0).first()
+    assert r.periods == 4 and r.annual_return == pytest.approx(1.1 ** (8 / 4) - 1) and r.calmar == pytest.approx((1.1**2 - 1) / 0.25)

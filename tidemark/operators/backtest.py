@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import KEY, series
 from tidemark.operators.risk import round_trip_cost
+from tidemark.session import stored
 
 
 def signals(predictions: DataFrame, conviction_least: float = 0.3, move_least: float = 0.002, prob_least: float = 0.45, most: int | None = None) -> DataFrame:
@@ -21,64 +22,122 @@ def signals(predictions: DataFrame, conviction_least: float = 0.3, move_least: f
     return d.withColumn("_r", F.row_number().over(Window.partitionBy("interval", "ts").orderBy(F.desc("strength"), "symbol"))).where(F.col("_r") <= most).drop("_r")
 
 
-def exits(bars: DataFrame, entries: DataFrame, stop: float = 0.02, take: float = 0.03, hold: int = 24) -> DataFrame:
-    """entries(symbol, interval, ts, action) with entry_price, exit_ts, exit_price, exit_reason, bars_held.
+def exits(bars: DataFrame, entries: DataFrame, stop: float = 0.02, take: float = 0.03, hold: int = 24, reverse: bool = False) -> DataFrame:
+    """entries(symbol, interval, ts, action) with entry_price, exit_ts, exit_price, exit_reason, bars_held and path, the
+    (ts, close) of the bars between entry and exit.
 
     Each entry looks at the `hold` bars after it: the first one whose low or high passes the stop (first) or the target
     fills there, the last one closes at its close, and so does the last bar of the history. The bars after an entry are
-    gathered by a bounded window frame, no join on ranges."""
+    gathered by a bounded window frame, no join on ranges. With reverse, the first opposite entry after it closes the trade
+    at that bar's close, unless the stop or the target came first or on that bar; a window that runs back in time finds it."""
     ahead = series().rowsBetween(1, hold)
     b = bars.select(*KEY, "ts", "close", F.collect_list(F.struct("ts", "high", "low", "close")).over(ahead).alias("next"))
-    d = entries.select(*KEY, "ts", "action").join(b, [*KEY, "ts"]).where(F.size("next") > 0)
+    d = entries.select(*KEY, "ts", "action").join(b, [*KEY, "ts"])
     long = F.col("action") == "LONG"
+    if reverse:
+        later = Window.partitionBy(*KEY).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
+        nearest = lambda a: F.last(F.when(F.col("action") == a, F.struct("ts", "close")), ignorenulls=True).over(later)
+        d = d.withColumn("_o", F.when(long, nearest("SHORT")).otherwise(nearest("LONG")))
+    d = d.where(F.size("next") > 0)
     p = F.col("close")
     sl, tp = F.when(long, p * (1 - stop)).otherwise(p * (1 + stop)), F.when(long, p * (1 + take)).otherwise(p * (1 - take))
     d = d.withColumns({"_sl": sl, "_tp": tp, "entry_price": p})
     stopped = lambda x: F.when(F.col("action") == "LONG", x["low"] <= F.col("_sl")).otherwise(x["high"] >= F.col("_sl"))
     taken = lambda x: F.when(F.col("action") == "LONG", x["high"] >= F.col("_tp")).otherwise(x["low"] <= F.col("_tp"))
-    d = d.withColumn("_hit", F.filter(F.transform("next", lambda x, i: F.struct(x["ts"].alias("ts"), stopped(x).alias("sl"), taken(x).alias("tp"), (i + 1).alias("n"))), lambda x: x["sl"] | x["tp"]))
-    h, last = F.get("_hit", 0), F.element_at("next", -1)
+    looked = lambda x, i: F.struct(x["ts"].alias("ts"), stopped(x).alias("sl"), taken(x).alias("tp"), (i + 1).alias("n"))
+    d = d.withColumn("_hit", F.get(F.filter(F.transform("next", looked), lambda x: x["sl"] | x["tp"]), F.lit(0)))
+    h, last = F.col("_hit"), F.element_at("next", -1)
     reason = F.when(h["sl"], "stop_loss").when(h["tp"], "take_profit").when(F.size("next") == hold, "time").otherwise("end_of_backtest")
-    return d.select(
-        *KEY, "ts", "action", "entry_price", F.coalesce(h["ts"], last["ts"]).alias("exit_ts"), F.when(h["sl"], F.col("_sl")).when(h["tp"], F.col("_tp")).otherwise(last["close"]).alias("exit_price"),
-        reason.alias("exit_reason"), F.coalesce(h["n"], F.size("next")).cast("long").alias("bars_held"),
-    )
-
-
-def with_reversals(trades: DataFrame, entries: DataFrame, bars: DataFrame) -> DataFrame:
-    """trades cut short by the first opposite signal after the entry: they close at that bar's close, unless the stop or
-    the target came first or on that bar."""
-    w = Window.partitionBy(*KEY).orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
-    s = entries.join(bars.select(*KEY, "ts", "close"), [*KEY, "ts"])
-    opposite = lambda a: F.first(F.when(F.col("action") == a, F.struct("ts", "close")), ignorenulls=True).over(w)
-    s = s.withColumns({"_l": opposite("LONG"), "_s": opposite("SHORT")})
-    s = s.select(*KEY, "ts", F.when(F.col("action") == "LONG", F.col("_s")).otherwise(F.col("_l")).alias("_o"))
-    d = trades.join(s, [*KEY, "ts"])
-    cut = F.col("_o").isNotNull() & ((F.col("_o.ts") < F.col("exit_ts")) | ((F.col("_o.ts") == F.col("exit_ts")) & F.col("exit_reason").isin("time", "end_of_backtest")))
-    return d.withColumns({"exit_price": F.when(cut, F.col("_o.close")).otherwise(F.col("exit_price")), "exit_reason": F.when(cut, "reversal").otherwise(F.col("exit_reason")), "exit_ts": F.when(cut, F.col("_o.ts")).otherwise(F.col("exit_ts"))}).drop("_o")
+    d = d.withColumns({
+        "exit_ts": F.coalesce(h["ts"], last["ts"]), "exit_price": F.when(h["sl"], F.col("_sl")).when(h["tp"], F.col("_tp")).otherwise(last["close"]),
+        "exit_reason": reason, "bars_held": F.coalesce(h["n"], F.size("next")).cast("long"),
+    })
+    if reverse:
+        o = F.col("_o")
+        cut = o.isNotNull() & ((o["ts"] < F.col("exit_ts")) | ((o["ts"] == F.col("exit_ts")) & F.col("exit_reason").isin("time", "end_of_backtest")))
+        d = d.withColumn("_cut", cut)
+        d = d.withColumns({
+            "exit_ts": F.when(F.col("_cut"), o["ts"]).otherwise(F.col("exit_ts")), "exit_price": F.when(F.col("_cut"), o["close"]).otherwise(F.col("exit_price")),
+            "exit_reason": F.when(F.col("_cut"), "reversal").otherwise(F.col("exit_reason")),
+        })
+    between = F.filter("next", lambda x: x["ts"] < F.col("exit_ts"))
+    held = F.size(between).cast("long") + 1 if reverse else F.col("bars_held")
+    path = F.transform(between, lambda x: F.struct(x["ts"].alias("ts"), x["close"].alias("close")))
+    return d.select(*KEY, "ts", "action", "entry_price", "exit_ts", "exit_price", "exit_reason", held.alias("bars_held"), path.alias("path"))
+
+
+#: Trades of a run that are folded together; also how far one step of the chain over a long run goes.
+BLOCK = 1024
 
 
 def one_at_a_time(trades: DataFrame, key: list[str] | None = None) -> DataFrame:
     """The trades that a series can hold one after the other: the earliest, then the next that begins at its exit or later.
-    Trades that begin when all before them are over start a run of their own, so that a small function with the greedy chain
-    gets the trades of one run (signal rows that overlap), not those of a series."""
-    key = key or list(KEY)
-    schema = trades.schema
-    w = Window.partitionBy(*key).orderBy("ts", "exit_ts")
-    over = F.max("exit_ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    trades = trades.withColumn("_fresh", F.when(F.col("ts") < over, 0).otherwise(1))
-    trades = trades.withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "exit_ts"])
-        keep, free = [], None
-        for at, end in zip(rows["ts"], rows["exit_ts"], strict=True):
-            keep.append(free is None or at >= free)
-            if keep[-1]:
-                free = end
-        return rows.loc[keep, schema.names]
+    Trades without a time are left out, one without an exit ends its series.
 
-    return trades.groupBy(*key, "_run").applyInPandas(chain, schema)
+    Trades that overlap no other are kept at once, by a window. The others form runs; there each trade points to the one that
+    would follow it, found by a sorted window over starts and exits, and the chain from a run's first trade is walked in
+    blocks of at most BLOCK trades, folded as arrays. Of a run of several blocks, the first trade of the chain in each
+    block comes from pointer jumping over those trades alone that a block can be entered by: as many rounds, of two joins, as
+    the logarithm of the number of blocks."""
+    key = key or list(KEY)
+    kind = trades.schema["exit_ts"].dataType.simpleString()
+    w = Window.partitionBy(*key).orderBy("ts", "_end")
+    d = trades.where("ts IS NOT NULL").withColumn("_end", F.coalesce("exit_ts", F.lit("9999-12-31").cast(kind)))
+    d = d.withColumns({"_n": F.row_number().over(w).cast("long"), "_over": F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    d = d.withColumn("_fresh", F.when(F.col("ts") < F.col("_over"), 0).otherwise(1)).drop("_over")
+    d = d.withColumns({"_run": F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_alone": (F.col("_fresh") == 1) & (F.lead("_fresh", 1, 1).over(w) == 1)})
+    d = stored(d)
+    alone, runs = d.where("_alone"), d.where("NOT _alone")
+    if not runs.isEmpty():
+        of = F.to_json(F.struct(*key, "_run")).alias("_of")  # a name of its own for each run, series without a name included
+        kept = _chain(runs.select(of, F.col("_n").alias("n"), F.col("ts").alias("start"), F.col("_end").alias("end")))
+        alone = alone.unionByName(runs.withColumn("_of", of).join(kept.withColumnRenamed("n", "_n"), ["_of", "_n"], "left_semi").drop("_of"))
+    return alone.select(trades.columns)
+
+
+def _chain(runs: DataFrame) -> DataFrame:
+    """(_of, n) of the trades kept, of runs(_of, n, start, end) numbered in order of their starts."""
+    begins = runs.select("_of", F.col("start").alias("at"), F.lit(0).alias("ends"), "n")
+    events = begins.union(runs.select("_of", F.col("end").alias("at"), F.lit(1).alias("ends"), "n"))
+    # back in time, starts before exits at the same time: the first start at or after each exit
+    back = Window.partitionBy("_of").orderBy(F.desc("at"), "ends").rowsBetween(Window.unboundedPreceding, 0)
+    found = events.withColumn("to", F.min(F.when(F.col("ends") == 0, F.col("n"))).over(back)).where("ends = 1")
+    to = F.when(F.col("to").isNotNull(), F.greatest("to", F.col("n") + 1)).alias("to")
+    links = stored(found.select("_of", "n", to, F.floor(F.col("n") / BLOCK).alias("block")))
+    firsts = links.groupBy("_of").agg(F.min("n").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
+    entries = firsts.select("_of", "n")
+    longer = stored(firsts.where("low < high").select("_of", "n"))
+    if not longer.isEmpty():
+        entries = entries.union(_entries(links.join(longer.select("_of"), "_of", "left_semi"), longer)).distinct()
+    entries = entries.select("_of", F.floor(F.col("n") / BLOCK).alias("block"), F.col("n").alias("entry"))
+    rows = links.groupBy("_of", "block").agg(F.array_sort(F.collect_list(F.struct("n", "to"))).alias("x")).join(entries, ["_of", "block"])
+    state = lambda next_, kept: F.struct(next_.alias("next"), kept.alias("kept")).cast("struct<next: bigint, kept: array<bigint>>")
+    begin = state(F.col("entry"), F.array())
+    walk = lambda a, t: F.when(t["n"] == a["next"], state(t["to"], F.array_append(a["kept"], t["n"]))).otherwise(a)
+    return rows.select("_of", F.explode(F.aggregate("x", begin, walk, lambda a: a["kept"])).alias("n"))
+
+
+def _entries(links: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(_of, n): the trades by which the chains that begin at firsts enter blocks."""
+
+    def leave(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each trade of a block the first one outside that the chain through it comes to; at most BLOCK rows."""
+        rows = rows.sort_values("n", ascending=False)
+        out: dict[int, int | None] = {}
+        for n, to in zip(rows["n"], rows["to"], strict=True):
+            to = None if pd.isna(to) else int(to)
+            out[n] = out.get(to, to)
+        return rows.assign(to=pd.array([out[n] for n in rows["n"]], dtype="Int64"))[["_of", "n", "to"]]
+
+    leaps = links.groupBy("_of", "block").applyInPandas(leave, "_of string, n bigint, to bigint").where("to IS NOT NULL")
+    leaps, on = stored(leaps), firsts
+    nodes = on.union(leaps.select("_of", F.col("to").alias("n"))).distinct()
+    jump = stored(leaps.join(nodes, ["_of", "n"], "left_semi"))
+    while not jump.isEmpty():
+        on = stored(on.union(on.join(jump, ["_of", "n"]).select("_of", F.col("to").alias("n"))).distinct())
+        further = jump.select("_of", F.col("n").alias("to"), F.col("to").alias("further"))
+        jump = stored(jump.join(further, ["_of", "to"]).select("_of", "n", F.col("further").alias("to")))
+    return on
 
 
 def profit(trades: DataFrame, notional: float = 1000.0) -> DataFrame:
@@ -88,38 +147,56 @@ def profit(trades: DataFrame, notional: float = 1000.0) -> DataFrame:
     return trades.withColumns({"gross_pnl": gross, "costs": round_trip_cost(F.lit(notional))}).withColumn("net_pnl", F.col("gross_pnl") - F.col("costs"))
 
 
-def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 10_000.0, notional: float = 1000.0) -> DataFrame:
-    """(interval, ts, realized, unrealized, equity): closed trades' net profit so far plus open ones marked at each close.
+def with_path(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """trades that exits() didn't make, with path: the (ts, close) of the bars strictly between entry and exit.
 
-    A trade meets the bars that it is open on through its bar numbers (24 at most), an equi-join."""
+    A trade meets its bars through their numbers, an equi-join; entry and exit must be times of bars."""
     n = bars.select(*KEY, "ts", "close", F.row_number().over(series()).alias("n"))
-    t = trades.join(n.select(*KEY, "ts", F.col("n").alias("_from")), [*KEY, "ts"]).join(n.select(*KEY, F.col("ts").alias("exit_ts"), F.col("n").alias("_to")), [*KEY, "exit_ts"])
-    open_ = t.where("_to - _from > 1").select(*KEY, "action", "entry_price", F.explode(F.sequence(F.col("_from") + 1, F.col("_to") - 1)).alias("n")).join(n, [*KEY, "n"])
-    move = F.try_divide(F.col("close") - F.col("entry_price"), F.col("entry_price"))
-    marks = open_.groupBy("interval", "ts").agg((notional * F.sum(F.when(F.col("action") == "LONG", move).otherwise(-move))).alias("unrealized"))
-    closed = trades.groupBy("interval", F.col("exit_ts").alias("ts")).agg(F.sum("net_pnl").alias("net"))
-    times = bars.select("interval", "ts").distinct()
-    d = times.join(closed, ["interval", "ts"], "left").join(marks, ["interval", "ts"], "left").withColumn("unrealized", F.coalesce("unrealized", F.lit(0.0)))
+    t = trades.withColumn("_id", F.monotonically_increasing_id()).join(n.select(*KEY, "ts", F.col("n").alias("_from")), [*KEY, "ts"])
+    t = t.join(n.select(*KEY, F.col("ts").alias("exit_ts"), F.col("n").alias("_to")), [*KEY, "exit_ts"])
+    at = t.where("_to - _from > 1").select("_id", *KEY, F.explode(F.sequence(F.col("_from") + 1, F.col("_to") - 1)).alias("n"))
+    path = at.join(n, [*KEY, "n"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("path"))
+    return t.join(path, "_id", "left").withColumn("path", F.coalesce("path", F.array().cast(path.schema["path"].dataType))).drop("_id", "_from", "_to")
+
+
+def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 10_000.0, notional: float = 1000.0) -> DataFrame:
+    """(interval, ts, realized, unrealized, equity) at all times of bars: closed trades' net profit so far plus open ones
+    marked at each close. A trade brings the closes that it is marked at, its path; one pass over trades and one over bars'
+    times are added up by time, before the running sum and so before any sort."""
+    t = trades if "path" in trades.columns else with_path(trades, bars)
+    move = lambda close: F.try_divide(close - F.col("entry_price"), F.col("entry_price")) * F.when(F.col("action") == "LONG", notional).otherwise(-notional)
+    none = F.lit(0.0)
+    marks = F.transform("path", lambda x: F.struct(x["ts"].alias("ts"), none.alias("net"), move(x["close"]).alias("mark")))
+    ends = F.array(F.struct(F.col("exit_ts").alias("ts"), F.col("net_pnl").alias("net"), none.alias("mark")))
+    happens = t.select("interval", F.explode(F.concat(marks, ends)).alias("e")).select("interval", "e.ts", "e.net", "e.mark")
+    times = bars.select("interval", "ts", none.alias("net"), none.alias("mark"))
+    d = times.union(happens).groupBy("interval", "ts").agg(F.sum("net").alias("net"), F.sum("mark").alias("unrealized"))
     w = Window.partitionBy("interval").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # a row a time
-    d = d.withColumn("realized", F.sum(F.coalesce("net", F.lit(0.0))).over(w)).drop("net")
+    d = d.select("interval", "ts", F.sum("net").over(w).alias("realized"), "unrealized")
     return d.withColumn("equity", capital + F.col("realized") + F.col("unrealized"))
 
 
 def performance(equity: DataFrame, by: list[str], periods_per_year: float = 365.25 * 24) -> DataFrame:
-    """Per run: periods, total and annualised return, Sharpe, Sortino, worst drawdown, longest drawdown, Calmar."""
+    """Per run: periods (points of the curve), total and annualised return, Sharpe, Sortino, worst drawdown, longest drawdown,
+    Calmar. The annualised return takes the curve to span as many periods as it has points."""
     from tidemark.operators.risk import drawdown_series
 
-    w = Window.partitionBy(*by).orderBy("ts")
-    d = drawdown_series(equity, by).withColumn("_r", F.try_divide(F.col("equity") - F.lag("equity").over(w), F.lag("equity").over(w)))
-    root = F.sqrt(F.lit(periods_per_year))
+    own = [f"_by{i}" for i in range(len(by))]  # the keys may have names that are used on the way
+    w = Window.partitionBy(*own).orderBy("ts")
+    before = F.lag("equity").over(w)
+    d = drawdown_series(equity.select(*[F.col(c).alias(o) for c, o in zip(by, own, strict=True)], "ts", "equity"), own)
+    d = d.withColumn("_r", F.try_divide(F.col("equity") - before, before))
+    root, year = F.sqrt(F.lit(periods_per_year)), F.lit(periods_per_year)
     sd, down = F.stddev_samp("_r"), F.stddev_samp(F.when(F.col("_r") < 0, F.col("_r")))
-    g = d.groupBy(*by).agg(
-        F.count("_r").alias("periods"), (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("total_return"),
-        F.when(sd > 1e-12, F.avg("_r") / F.nullif(sd, F.lit(0.0)) * root).otherwise(0.0).alias("sharpe"), F.when(down > 1e-12, F.avg("_r") / F.nullif(down, F.lit(0.0)) * root).otherwise(0.0).alias("sortino"),
-        F.min("drawdown").alias("max_drawdown"), F.max("run").alias("longest_drawdown"),
-    )
-    g = g.withColumn("annual_return", F.when((F.col("periods") > 0) & (F.col("total_return") > -1), F.pow(1 + F.col("total_return"), F.least(F.lit(periods_per_year), F.try_divide(F.lit(periods_per_year), F.col("periods")))) - 1))
-    return g.withColumn("calmar", F.try_divide(F.col("annual_return"), F.abs("max_drawdown")))
+    figure = lambda s: F.when(s > 1e-12, F.avg("_r") / F.nullif(s, F.lit(0.0)) * root).otherwise(0.0)
+    g = d.groupBy(*own).agg(
+        F.count("equity").alias("periods"), (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("total_return"),
+        figure(sd).alias("sharpe"), figure(down).alias("sortino"), F.min("drawdown").alias("max_drawdown"), F.max("run").alias("longest_drawdown"),
+    )
+    grown = F.pow(1 + F.col("total_return"), F.try_divide(year, F.col("periods"))) - 1
+    g = g.withColumn("annual_return", F.when((F.col("periods") > 1) & (F.col("total_return") > -1), grown))
+    g = g.withColumn("calmar", F.try_divide(F.col("annual_return"), F.abs("max_drawdown")))
+    return g.select(*[F.col(o).alias(c) for c, o in zip(by, own, strict=True)], *[c for c in g.columns if c not in own])
 
 
 def trade_statistics(trades: DataFrame, by: list[str]) -> DataFrame:

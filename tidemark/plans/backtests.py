@@ -188,14 +188,13 @@ _NX = f"""sig AS (SELECT symbol, "interval", ts, CASE WHEN direction = 'UP' AND
 
 
 def closed(spark, d):
-    e = entries(spark, d)
-    return backtest.exits(H(spark, d), e), e
+    return backtest.exits(H(spark, d), entries(spark, d))
 
 
 @query(sql(f"""WITH {_NX} SELECT {IDS}, action, {r('entry_price', 'entry_price')}, exit_ts, {r('exit_price', 'exit_price')}, exit_reason, bars_held FROM trd"""))
 def trade_exits(spark, d):
     """Stop, target or time exit of every signal."""
-    return closed(spark, d)[0]
+    return closed(spark, d).drop("path")
 
 
 _RV = f"""{_NX}, o AS (SELECT a.symbol, a."interval", a.ts, min(z.ts) AS ots FROM trd a JOIN sig z ON z.symbol = a.symbol AND z."interval" = a."interval" AND z.ts > a.ts AND z.action <> a.action GROUP BY ALL),
@@ -219,21 +218,19 @@ def _performance(curve: str, by: str) -> str:
     return f"""pk AS (SELECT *, max(equity) OVER {w} AS peak, (equity - lag(equity) OVER {w}) / nullif(lag(equity) OVER {w}, 0) AS ret FROM {curve}),
   dd AS (SELECT *, (equity - peak) / nullif(peak, 0) AS dr FROM pk), ru AS (SELECT *, sum(CASE WHEN dr < 0 THEN 0 ELSE 1 END) OVER {w} AS g FROM dd),
   lo AS (SELECT {by}, max(run) AS longest_drawdown FROM (SELECT {by}, g, count(*) FILTER (WHERE dr < 0) AS run FROM ru GROUP BY ALL) GROUP BY ALL),
-  st AS (SELECT {by}, count(ret) AS periods, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) * sqrt(8766) ELSE 0 END AS sharpe,
+  st AS (SELECT {by}, count(*) AS periods, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) * sqrt(8766) ELSE 0 END AS sharpe,
     CASE WHEN (stddev_samp(ret) FILTER (WHERE ret < 0)) > 1e-12 THEN avg(ret) / (stddev_samp(ret) FILTER (WHERE ret < 0)) * sqrt(8766) ELSE 0 END AS sortino, min(dr) AS max_drawdown FROM dd GROUP BY ALL),
-  an AS (SELECT *, CASE WHEN periods > 0 AND total_return > -1 THEN pow(1 + total_return, least(8766, 8766 / periods)) - 1 END AS annual_return FROM st),
+  an AS (SELECT *, CASE WHEN periods > 1 AND total_return > -1 THEN pow(1 + total_return, 8766.0 / periods) - 1 END AS annual_return FROM st),
   perf AS (SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM an JOIN lo USING ({by}))"""
 
 
 @query(sql(f"""WITH {_RV} SELECT {IDS}, exit_ts, exit_reason FROM fin"""))
 def trade_reversals(spark, d):
-    t, e = closed(spark, d)
-    return backtest.with_reversals(t, e, H(spark, d)).select(*ID, "exit_ts", "exit_reason")
+    return backtest.exits(H(spark, d), entries(spark, d), reverse=True).select(*ID, "exit_ts", "exit_reason")
 
 
 def book(spark, d):
-    t, e = closed(spark, d)
-    return backtest.profit(backtest.one_at_a_time(backtest.with_reversals(t, e, H(spark, d))))
+    return backtest.profit(backtest.one_at_a_time(backtest.exits(H(spark, d), entries(spark, d), reverse=True)))
 
 
 @query(sql(f"""WITH {_BK} SELECT {IDS}, action, exit_ts, exit_reason, {r('net_pnl', 'net_pnl')} FROM bk""", recursive=True))
@@ -257,8 +254,8 @@ def backtest_performance(spark, d):
 
 @query(
     sql(f"""WITH e2 AS (SELECT ts, equity, max(equity) OVER (ORDER BY ts) AS peak, equity / lag(equity) OVER (ORDER BY ts) - 1 AS ret FROM equity), dd AS (SELECT *, (equity - peak) / peak AS dr, sum(CASE WHEN equity < peak THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS g FROM e2), rn AS (SELECT g, count(*) FILTER (WHERE dr < 0) AS run FROM dd GROUP BY g),
-    m AS (SELECT count(ret) AS periods, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS tot, avg(ret) / stddev_samp(ret) * sqrt(365.25) AS sharpe, avg(ret) / (stddev_samp(ret) FILTER (WHERE ret < 0)) * sqrt(365.25) AS sortino, min(dr) AS mdd FROM dd)
-    SELECT 'all' AS run_id, periods, {r('tot', 'total_return')}, {r('sharpe', 'sharpe', 4)}, {r('sortino', 'sortino', 4)}, {r('mdd', 'max_drawdown')}, (SELECT CAST(max(run) AS BIGINT) FROM rn) AS longest_drawdown, {r('pow(1 + tot, least(365.25, 365.25 / periods)) - 1', 'annual_return')} FROM m""")
+    m AS (SELECT count(*) AS periods, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS tot, avg(ret) / stddev_samp(ret) * sqrt(365.25) AS sharpe, avg(ret) / (stddev_samp(ret) FILTER (WHERE ret < 0)) * sqrt(365.25) AS sortino, min(dr) AS mdd FROM dd)
+    SELECT 'all' AS run_id, periods, {r('tot', 'total_return')}, {r('sharpe', 'sharpe', 4)}, {r('sortino', 'sortino', 4)}, {r('mdd', 'max_drawdown')}, (SELECT CAST(max(run) AS BIGINT) FROM rn) AS longest_drawdown, {r('pow(1 + tot, 365.25 / periods) - 1', 'annual_return')} FROM m""")
 )
 def performance_report(spark, d):
     e = bars.equity(spark, d).withColumn("run_id", F.lit("all"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,3 +54,29 @@ def shared_folder(spark: SparkSession) -> str:
         app = context.applicationId
         found = _LOCAL[app] = _LOCAL.get(app) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return found.rstrip("/")
+
+
+#: Paths of the tables that stored() has made and that are still there.
+STORED: list[str] = []
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for rows that are read more than once: they are worked out once, and the
+    lineage ends there."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    STORED.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Removes the tables of stored(), once the results that read them have been written."""
+    for path in list(STORED):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        STORED.remove(path)
