@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,24 +16,68 @@ def new_rows(batch: DataFrame, target: DataFrame | None, key: list[str], arrival
     return d if target is None else d.join(target.select(*key), key, "left_anti")
 
 
+#: Partition values of a batch up to which a read of stored keys names them, so that other partitions are not listed.
+MOST_PARTITIONS = 1000
+
+
+def _touched(target: DataFrame, batch: DataFrame, partition_by: list[str]) -> DataFrame:
+    """The rows of target in the partitions that the batch has rows for: by a filter on partition columns alone, which prunes
+    files before any is read; of a batch over very many partitions by a semi-join."""
+    values = batch.select(*partition_by).distinct().limit(MOST_PARTITIONS + 1).collect() if partition_by else []
+    if len(values) > MOST_PARTITIONS:
+        return target.join(batch.select(*partition_by).distinct(), partition_by, "left_semi")
+    if len(partition_by) == 1 and all(v[0] is not None for v in values):
+        return target.where(F.col(partition_by[0]).isin([v[0] for v in values]))
+    same = [reduce(and_, (F.col(c).eqNullSafe(F.lit(v[c])) for c in partition_by)) for v in values]
+    return target.where(reduce(or_, same)) if same else target
+
+
 def append_new(batch: DataFrame, path: str, key: list[str], partition_by: list[str], arrival: str | None = None) -> int:
     """Appends the batch's new rows to a partitioned Parquet table and returns how many there were, as the write counts them.
-    Stored keys are joined by partition as well, so that Spark prunes what the batch doesn't touch. One writer at a time: two
-    could both find a key new."""
+    Stored keys are read from the partitions alone that the batch touches. One writer at a time: two could both find a key
+    new."""
     spark = batch.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     target = None
-    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if exists(spark, path):
         target = spark.read.parquet(path)
-        kinds = {c: batch.schema[c].dataType for c in partition_by}
-        target = target.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
-        target = target.join(batch.select(*partition_by).distinct(), partition_by, "left_semi") if partition_by else target
+        target = target.withColumns({c: F.col(c).cast(batch.schema[c].dataType) for c in partition_by})
+        target = _touched(target, batch, partition_by)
     written = Observation()
     fresh = new_rows(batch, target, key, arrival).observe(written, F.count(F.lit(1)).alias("rows"))
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
     return written.get["rows"]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def batches_done(spark: SparkSession, path: str) -> DataFrame | None:
+    """(stream, batch_id, rows, at): the batches of streams that the table at path has taken in; None before the first. The
+    folder's name begins with an underscore, so readers of the table don't see it."""
+    ledger = f"{path}/_batches"
+    return spark.read.parquet(ledger) if exists(spark, ledger) else None
+
+
+def take_batch(batch: DataFrame, batch_id: int, path: str, key: list[str], partition_by: list[str], stream: str, arrival: str | None = None) -> int:
+    """append_new for a micro-batch of a stream, once: a batch that the ledger has is a replay and is dropped. A batch that
+    was written but not entered, as when the driver was lost between the two, finds its keys stored and adds none twice.
+    Returns the number of new rows."""
+    spark = batch.sparkSession
+    done = batches_done(spark, path)
+    if done is not None and not done.where((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).isEmpty():
+        return 0
+    batch = batch.persist()
+    try:
+        rows = append_new(batch, path, key, partition_by, arrival)
+    finally:
+        batch.unpersist()
+    entry = spark.range(1).select(F.lit(stream).alias("stream"), F.lit(batch_id).cast("long").alias("batch_id"), F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("at"))
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/_batches")
+    return rows
+
+
 def upserted(target: DataFrame, batch: DataFrame, key: list[str], version: str) -> DataFrame:
     """Target and batch with the highest version of each key; columns that the newer row lacks become NULL."""
     both = target.unionByName(batch, allowMissingColumns=True)
