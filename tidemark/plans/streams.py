@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.backtests import MACHINE, dipping_equity
@@ -125,3 +128,24 @@ def stream_circuit_breaker(spark, d):
 def stream_freshness(spark, d):
     out = jobs.drain(jobs.freshness(ticks(spark, d), "events"), "complete")
     return out.select("source", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+# A source's alarm comes in a batch without rows of it, once its limit lies before the watermark, which is the newest time of
+# the batches before: of the batch that its next rows come in (or two after the last one), two earlier.
+_ALARMS = """WITH x AS (SELECT 'predictions' AS source, ts, 120 AS lim FROM predictions UNION ALL SELECT 'order_book', ts, 20 FROM order_book UNION ALL SELECT 'funding', ts, 600 FROM funding UNION ALL SELECT 'fear_greed', ts, 1560 FROM fear_greed),
+  b AS (SELECT *, dense_rank() OVER (ORDER BY floor(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) / 5)) AS b FROM x),
+  m AS (SELECT b, max(max(ts)) OVER (ORDER BY b) AS newest FROM b GROUP BY b),
+  g AS (SELECT source, b, max(ts) AS last_ts, any_value(lim) AS lim FROM b GROUP BY source, b),
+  n AS (SELECT *, coalesce(lead(b) OVER (PARTITION BY source ORDER BY b), (SELECT max(b) + 2 FROM m)) - 2 AS seen FROM g)
+  SELECT source, last_ts, false AS stale FROM n UNION ALL SELECT source, last_ts, true FROM n JOIN m ON m.b = n.seen WHERE n.seen >= n.b AND last_ts + to_minutes(lim) <= newest"""
+
+
+@query(sql(_ALARMS))
+def stream_freshness_alarms(spark, d):
+    """Newest time of each of four sources after each batch, and an alarm for each source that its limit finds stale."""
+    limits = {"predictions": 120.0, "order_book": 20.0, "funding": 600.0, "fear_greed": 1560.0}
+    tables = {"predictions": bars.predictions, "order_book": bars.order_book, "funding": bars.funding, "fear_greed": bars.fear_greed}
+    rows = [t(spark, d).select(F.lit(name).alias("name"), "ts") for name, t in tables.items()]
+    s = stream(spark, reduce(DataFrame.unionByName, rows), five_days())
+    alarms = jobs.freshness_alarms({name: s.where(F.col("name") == name) for name in tables}, limits, "event")
+    return jobs.drain(alarms, "update").select("source", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "stale")
