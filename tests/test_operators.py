@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.recursive import Smooth, ema, smooth
-from tidemark.operators import backtest, dataset, ensemble, indicators, joins, quality, regime, risk, scoring
+from tidemark.operators import backtest, dataset, ensemble, indicators, joins, monitor, quality, regime, risk, scoring
 from tidemark.sources import payloads, store
 
 BAR = "symbol string, interval string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -185,10 +185,25 @@ def test_fine_bars_smooth_without_overflow(spark):
 def test_samples_of_heavy_rows_are_all_drawn(spark):
     rows = bars(spark, [1.0] * 200).withColumn("weight", F.when(F.col("ts") == F.lit(T0).cast("timestamp_ntz"), 1000.0).otherwise(1.0))
     got = dataset.weighted_sample(rows).collect()
-    assert abs(next(r["draws"] for r in got if r["weight"] > 1) - 1000 / (1199 / 200)) <= 1
+    mean = 1000 / (1199 / 200)
+    assert abs(next(r["draws"] for r in got if r["weight"] > 1) - mean) < 5 * mean**0.5
     assert sorted(map(str, got)) == sorted(map(str, dataset.weighted_sample(rows.repartition(5)).collect()))
 
 
+def test_draws_are_poisson(spark):
+    rows = spark.range(20_000).select(F.lit("A").alias("symbol"), F.when(F.col("id") % 2 == 0, "x").alias("interval"), F.col("id").alias("ts"), F.when(F.col("id") < 10, 0.0).when(F.col("id") < 5_000, 3.0).otherwise(1.0).alias("weight"))
+    mean = rows.agg(F.avg("weight")).first()[0]
+    got = dataset.weighted_sample(rows).toPandas().set_index("ts")["draws"].reindex(range(20_000), fill_value=0)
+    assert (got[:10] == 0).all() and abs(got.sum() / 20_000 - 1) < 0.03
+    for part, lam in ((got[10:5_000], 3 / mean), (got[5_000:], 1 / mean)):
+        assert abs(part.mean() / lam - 1) < 0.05 and abs(part.var() / lam - 1) < 0.08
+        assert abs((part == 0).mean() - np.exp(-lam)) < 0.02
+    big = spark.range(3_000).select(dataset.poisson(F.lit(1234.5), lambda i: F.concat_ws("|", i.cast("string"), F.col("id").cast("string"))).alias("n")).toPandas()["n"]
+    assert abs(big.mean() / 1234.5 - 1) < 0.01 and abs(big.var() / 1234.5 - 1) < 0.15
+    odd = bars(spark, [1.0] * 3).withColumn("weight", F.lit(None).cast("double"))
+    assert dataset.weighted_sample(odd).collect() == []
+
+
 def test_pairs_use_their_own_tails(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=60)
@@ -313,11 +328,20 @@ def test_feature_list_has_66_names():
     ]
 
 
-def test_foreign_model_scores_in_batches(walk):
+def test_foreign_model_is_loaded_once_a_worker(walk, tmp_path):
     from tidemark.operators.ml import score_with
 
-    got = score_with(walk, ["close", "open"], lambda x: pd.DataFrame({"up": (x["close"] > x["open"]).astype(float)}), "up double").collect()
-    assert len(got) == 1500 and all(r["up"] == float(r["close"] > r["open"]) for r in got)
+    log = tmp_path / "loads"
+
+    def load():
+        with log.open("a") as f:
+            f.write("x")
+        return lambda x: pd.DataFrame({"up": (x["close"] > x["open"]).astype(float), "gap": x["close"] - x["open"]})
+
+    rows = walk.repartition(12).withColumn("open", F.when(F.col("open") > 0, F.col("open")))
+    got = score_with(rows, ["close", "open"], load, "up double, gap double", batch=10).collect()
+    assert len(got) == 1500 and all(r["up"] == float(r["close"] > r["open"]) and r["gap"] == r["close"] - r["open"] for r in got)
+    assert 1 <= len(log.read_text()) <= 4, "a load a worker, of 12 tasks and 150 batches"
 
 
 def chained(rows):
@@ -372,3 +396,151 @@ def test_annual_return_spans_all_points(spark):
     curve = spark.createDataFrame([("x", T0 + dt.timedelta(hours=i), v) for i, v in enumerate((100.0, 120.0, 90.0, 110.0))], "run string, ts timestamp_ntz, equity double")
     r = backtest.performance(curve, ["run"], 8.0).first()
     assert r.periods == 4 and r.annual_return == pytest.approx(1.1 ** (8 / 4) - 1) and r.calmar == pytest.approx((1.1**2 - 1) / 0.25)
+
+
+def test_running_totals_in_two_levels(spark, walk):
+    from tidemark.functions import chunks
+
+    rows = walk.withColumn("v", F.when(F.hour("ts") != 3, F.col("volume"))).withColumn("w", F.lit(None).cast("double"))
+    got = chunks.running_totals(rows, {"total": "v", "none": "w"}, "7 hours").orderBy("symbol", "ts").toPandas()
+    for _, g in got.groupby("symbol"):
+        assert np.allclose(g["total"], g["v"].fillna(0).cumsum()) and g["none"].isna().all()
+    plan = chunks.running_totals(rows, {"total": "v"}, "7 hours")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(symbol" in plan and all("_b" in w.split(",")[2] for w in plan.split("windowspecdefinition(")[1:] if "ts#" in w.split(")")[0])
+    late = spark.createDataFrame([(None, "60", T0, 2.0), (None, "60", T0 + dt.timedelta(days=2), 3.0), ("A", "60", None, 5.0)], "symbol string, interval string, ts timestamp_ntz, v double")
+    assert sorted(r["t"] for r in chunks.running_totals(late, {"t": "v"}).collect()) == [2.0, 5.0, 5.0]
+
+
+def test_volume_in_pieces_is_the_whole(walk):
+    whole = indicators.volume(walk).orderBy("symbol", "ts").toPandas()
+    parts = indicators.volume_in_pieces(walk, size=60, bucket="9 hours").orderBy("symbol", "ts").toPandas()
+    assert list(whole.columns) == list(parts.columns) and len(whole) == len(parts)
+    for c in ("obv_roc", "acc_dist_roc", "vol_sma_ratio", "vol_z_score", "vwap", "vol_price_ratio"):
+        assert np.allclose(whole[c].astype(float), parts[c].astype(float), equal_nan=True), c
+
+
+def test_drawdown_machine_streams_long_curves(spark):
+    n = 40_000
+    value = 100 + 30 * F.sin(F.col("id") / 700) + 12 * F.sin(F.col("id") / 11)
+    curve = spark.range(n).select(F.when(F.col("id") % 3 != 0, "p").when(F.col("id") % 2 == 0, "q").alias("portfolio"), F.col("id").alias("ts"), value.alias("equity")).repartition(7)
+    got = risk.drawdown_states(curve).toPandas()
+    assert len(got) == n
+    for name, g in got.groupby("portfolio", dropna=False):
+        g, m = g.sort_values("ts"), risk.Drawdown()
+        assert [m.update(x)[0] for x in g["equity"]] == g["state"].tolist(), name
+        assert set(g["state"]) == {"NORMAL", "REDUCED", "HALTED", "RECOVERING"}
+    assert "FlatMapGroups" not in risk.drawdown_states(curve)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_correlations_of_many_groups(spark):
+    rng = np.random.default_rng(5)
+    values = {f"u{i}": rng.normal(size=rng.integers(20, 70)).round(3) for i in range(23)}
+    values["u3"] = np.ones(40)
+    rows = [("k" if i % 2 else "l", u, T0 + dt.timedelta(hours=int(h)), float(v)) for i, (u, x) in enumerate(values.items()) for h, v in enumerate(x)]
+    frame = spark.createDataFrame([*rows, ("k", "u1", T0 + dt.timedelta(days=99), None)], "kind string, symbol string, ts timestamp_ntz, ret double")
+    for within in ((), ("kind",)):
+        got = joins.pair_correlations(frame, tail="pair", within=within, block=16, together=4).collect()
+        kind = {u: "k" if i % 2 else "l" for i, u in enumerate(values)}
+        units = sorted(u for u, x in values.items() if len(x) >= 24)
+        want = {(a, b) for a in units for b in units if a <= b and (not within or kind[a] == kind[b])}
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+        for r in got:
+            n = min(len(values[r.a]), len(values[r.b]))
+            x, y = values[r.a][-n:], values[r.b][-n:]
+            assert r.points == n
+            if "u3" in (r.a, r.b):
+                assert r.r is None
+            else:
+                assert r.r == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+
+
+def test_feature_correlations_leave_out_missing_values(spark):
+    from tidemark.operators.ml import feature_correlations
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4)) + 1e6
+    x[:, 1] = x[:, 0] * -2 + rng.normal(size=400) * 0.01
+    x[:, 3] = 7.0
+    x[rng.random((400, 4)) < 0.2] = np.nan
+    rows = [[None if np.isnan(v) and i % 2 else float(v) for v in r] for i, r in enumerate(x)]
+    got = feature_correlations(spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5), list("abcd"), -1.0).collect()
+    frame = pd.DataFrame(x, columns=list("abcd")).corr()
+    assert {(r.a, r.b): r.r for r in got} == {(p, q): pytest.approx(frame.loc[p, q], abs=6e-5) for p, q in (("a", "b"), ("a", "c"), ("b", "c"))}
+
+
+def test_importance_is_the_rise_in_loss(spark, walk):
+    import hashlib
+
+    from tidemark.operators import ml
+
+    rows = walk.where("symbol <> 'CCC' OR hour(ts) = 1").withColumns({"x1": F.sin(F.col("volume")), "x2": F.cos(F.col("open")), "x3": F.lit(1.0)})
+    rows = rows.withColumns({"label": (F.when(F.col("x1") > 0.3, 0).when(F.col("x1") < -0.3, 2).otherwise(1)), "forward_pct": F.col("x1") * 2})
+
+    def fixed(d):
+        e = [F.exp(2 * F.col("x1")), F.lit(1.0), F.exp(-2 * F.col("x1") + 0.1 * F.col("x2"))]
+        total = e[0] + e[1] + e[2]
+        return d.withColumns({"prob_up": e[0] / total, "prob_flat": e[1] / total, "prob_down": e[2] / total, "magnitude": 1.5 * F.col("x1")})
+
+    repeats = 3
+    got = {r.feature_name: r.importance for r in ml.permutation_importance(fixed, rows, ["x1", "x2", "x3"], repeats).collect()}
+    frame = rows.select("symbol", F.col("ts").cast("string").alias("at"), "ts", "x1", "x2", "x3", "label", "forward_pct").toPandas()
+
+    def loss(x):
+        e = np.column_stack([np.exp(2 * x["x1"]), np.ones(len(x)), np.exp(-2 * x["x1"] + 0.1 * x["x2"])])
+        p = (e / e.sum(axis=1, keepdims=True))[np.arange(len(x)), x["label"]]
+        off = (1.5 * x["x1"] - x["forward_pct"]).abs()
+        return float((-np.log(p) + np.where(off <= 1, off**2 / 2, off - 0.5)).mean())
+
+    frame["mark"] = [hashlib.md5(t.encode()).hexdigest() for t in frame["at"]]
+    frame = frame.sort_values(["symbol", "mark"], ignore_index=True)
+    for f in ("x1", "x2", "x3"):
+        total = 0.0
+        for k in range(1, repeats + 1):
+            moved = frame.copy()
+            moved[f] = frame.groupby("symbol")[f].transform(lambda v, k=k: np.roll(v.to_numpy(), -k))
+            total += loss(moved)
+        assert got[f] == pytest.approx(total / repeats - loss(frame), abs=1e-9), f
+    assert got["x1"] > 0.5 and abs(got["x3"]) < 1e-12 and got["x1"] > got["x2"]
+    few = rows.where("symbol = 'AAA'").orderBy("ts").limit(2)
+    assert ml.permutation_importance(fixed, few, ["x1", "x2"], 5).count() == 2
+
+
+def test_temperature_search_against_a_fine_grid(spark):
+    rng = np.random.default_rng(3)
+    for sharp in (0.3, 1.0, 4.0):
+        logits = rng.normal(size=(4000, 3)) * 1.5
+        true = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        y = [rng.choice(3, p=p) for p in true]
+        said = np.exp(logits * sharp)
+        said /= said.sum(axis=1, keepdims=True)
+        frame = spark.createDataFrame([(*map(float, p), ("UP", "FLAT", "DOWN")[k]) for p, k in zip(said, y, strict=True)], "prob_up double, prob_flat double, prob_down double, actual_direction string").cache()
+        t, nll = monitor.fitted_temperature(frame)
+        grid = np.arange(0.05, 8, 0.0005)
+        logs = np.log(np.maximum(said, 1e-12))
+        at = [np.mean(np.log(np.exp(logs / g).sum(axis=1)) - logs[np.arange(4000), y] / g) for g in grid[::20]]
+        near = grid[::20][int(np.argmin(at))]
+        fine = grid[(grid > near - 0.02) & (grid < near + 0.02)]
+        best = fine[int(np.argmin([np.mean(np.log(np.exp(logs / g).sum(axis=1)) - logs[np.arange(4000), y] / g) for g in fine]))]
+        assert abs(t - best) < 1e-3 + 2e-3 * (t == 1.0) and nll <= min(at) + 1e-9
+        frame.unpersist()
+    sure = spark.createDataFrame([(1.0, 0.0, 0.0, "UP")] * 5, "prob_up double, prob_flat double, prob_down double, actual_direction string")
+    assert monitor.fitted_temperature(sure)[0] >= monitor.COLDEST
+    assert monitor.fitted_temperature(sure.where("false"))[0] == 1.0
+
+
+def test_sketched_coverage_adds_up(spark):
+    from tidemark.operators import quality
+
+    rows = spark.range(60_000).select(F.concat(F.lit("s"), F.col("id") % 20_000).alias("symbol"), F.when(F.col("id") % 3 == 0, "60").otherwise("15").alias("interval"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"))
+    sketches = quality.coverage_sketches(rows.withColumn("day", F.to_date("ts")), ["day"])
+    got = {r.interval: r for r in quality.sketched_coverage(sketches).collect()}
+    for r in quality.coverage(rows).collect():
+        s = got[r.interval]
+        assert abs(s.symbols / r.symbols - 1) < 0.05 and (s.candles, s.first_ts, s.last_ts) == (r.candles, r.first_ts, r.last_ts)
+
+
+def test_few_rows_keep_the_threshold(spark):
+    for n in (19, 20):
+        rows = spark.range(n).select((F.col("id") / 1000).alias("magnitude"), (F.col("id") / 900 - 0.01).alias("actual_magnitude"))
+        got = scoring.sharpe_threshold(scoring.sharpe_grid(rows, 0.002, 0.015), 0.0049, 0.002, 0.015).first()
+        assert (got.threshold == 0.0049) == (n < 20), n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,12 +107,37 @@ def rolling_cut(rows: DataFrame, as_of: Column, days: int, least: int) -> DataFr
     return d.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least).drop("_n")
 
 
+#: Mean up to which a Poisson draw is made at once; a larger one is the sum of several.
+AT_ONCE = 100.0
+
+
+def poisson(mean: Column, mark: Callable[[Column], Column]) -> Column:
+    """A Poisson draw by inverting the distribution at u, mark's hash as a number from 0 to 1; mark takes the number of the
+    part, as a mean over AT_ONCE is the sum of equal parts drawn with a hash each."""
+
+    def part(i: Column) -> Column:
+        u = F.conv(F.substring(F.md5(mark(i).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+        own = mean / F.ceil(mean / AT_ONCE)
+        most = F.ceil(own + 12 * F.sqrt(own) + 20).cast("int")  # beyond it there is less than u can show
+        begin = F.struct(F.exp(-own).alias("p"), F.exp(-own).alias("below"), F.lit(0).cast("long").alias("n"))
+
+        def further(s: Column, k: Column) -> Column:
+            p = s["p"] * own / k
+            return F.struct(p.alias("p"), (s["below"] + p).alias("below"), (s["n"] + F.when(u >= s["below"], 1).otherwise(0)).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(1), most), begin, further, lambda s: s["n"])
+
+    parts = F.sequence(F.lit(1), F.ceil(mean / AT_ONCE).cast("int"))
+    return F.when(mean > 0, F.aggregate(parts, F.lit(0).cast("long"), lambda s, i: s + part(i))).otherwise(0)
+
+
 def weighted_sample(rows: DataFrame, weight: str = "weight", seed: str = "7") -> DataFrame:
-    """Rows drawn with replacement, on average weight / mean weight of the interval times each; `draws` says how often: the
-    whole part of that ratio, and once more with the rest's probability. The draw comes from a hash of the key, so reruns
-    agree; a ratio of any size gets all its draws."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "symbol", "interval", F.col("ts").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    """Rows drawn with replacement, in proportion to weight and on average as many as there are: `draws`, a Poisson number of
+    mean weight / mean weight of the interval, which is what a row's count comes to when a large table is drawn from row by
+    row. It comes from a hash of the key, so reruns agree. A weight that is NULL or not above 0 is never drawn."""
     mean = rows.groupBy("interval").agg(F.avg(weight).alias("_mean"))  # a row an interval
-    ratio = F.try_divide(F.col(weight), F.col("_mean"))
-    draws = F.floor(ratio) + F.when(u < ratio - F.floor(ratio), 1).otherwise(0)
-    return rows.join(F.broadcast(mean), "interval").withColumn("draws", draws.cast("long")).where("draws > 0").drop("_mean").select(*rows.columns, "draws")
+    d = rows.join(mean, rows["interval"].eqNullSafe(mean["interval"])).drop(mean["interval"])
+    number = lambda i: F.when(i == 1, F.lit(seed)).otherwise(F.concat(F.lit(f"{seed}+"), i.cast("string")))
+    d = d.withColumn("_lambda", F.coalesce(F.try_divide(F.col(weight), F.col("_mean")), F.lit(0.0)))
+    d = d.withColumn("draws", poisson(F.col("_lambda"), lambda i: F.concat_ws("|", number(i), "symbol", "interval", F.col("ts").cast("string"))))
+    return d.where("draws > 0").select(*rows.columns, "draws")

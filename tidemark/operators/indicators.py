@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import chunks
 from tidemark.functions.columns import KEY, lagged, last_rows, pct, ratio, rolling, so_far
 from tidemark.functions.recursive import Smooth, ema, smooth, wilder_seeded
 
@@ -34,21 +35,37 @@ def bands(bars: DataFrame) -> DataFrame:
     return d.withColumns({"kc_upper": rolling(F.avg, "_u", 20), "kc_lower": rolling(F.avg, "_d", 20)}).withColumn("kc_width", ratio(F.col("kc_upper") - F.col("kc_lower"), c)).drop("_mid", "_sd", "_u", "_d")
 
 
+def flows(bars: DataFrame) -> DataFrame:
+    """bars with obv_flow and ad_flow, what a bar adds to on-balance volume and to accumulation/distribution."""
+    c, v, h, low = (F.col(x) for x in ("close", "volume", "high", "low"))
+    ad = F.coalesce(ratio(v * ((c - low) - (h - c)), h - low), F.lit(0.0))
+    return bars.withColumn("_pc", lagged("close")).withColumns({"obv_flow": F.when(c < F.col("_pc"), -v).otherwise(v), "ad_flow": ad}).drop("_pc")
+
+
 def volume(bars: DataFrame) -> DataFrame:
-    """On-balance volume and accumulation/distribution changes, volume ratios, VWAP."""
+    """On-balance volume and accumulation/distribution changes, volume ratios, VWAP. The two running totals are windows over a
+    whole series, unless bars bring them as obv and acc_dist (volume_in_pieces)."""
     c, v, h, low = (F.col(x) for x in ("close", "volume", "high", "low"))
-    d = bars.withColumns({"_pc": lagged("close"), "_tp": (h + low + c) / 3})
-    d = d.withColumns({"_obv": F.sum(F.when(c < F.col("_pc"), -v).otherwise(v)).over(so_far()), "_ad": F.sum(F.coalesce(ratio(v * ((c - low) - (h - c)), h - low), F.lit(0.0))).over(so_far())})
+    d = bars
+    if not {"obv", "acc_dist"} <= set(bars.columns):
+        d = flows(bars).withColumns({"obv": F.sum("obv_flow").over(so_far()), "acc_dist": F.sum("ad_flow").over(so_far())}).drop("obv_flow", "ad_flow")
+    d = d.withColumn("_tp", (h + low + c) / 3)
     sd = rolling(F.stddev_samp, "volume", 20)
     mean = rolling(F.avg, "volume", 20)
-    d = d.withColumns(
-        {
-            "obv_roc": pct("_obv", 5), "acc_dist_roc": pct("_ad", 5), "vol_sma_ratio": ratio(v, mean), "vol_z_score": F.when(sd > 1e-12, (v - mean) / sd),
-            "vwap": ratio(F.sum(F.col("_tp") * v).over(last_rows(24)), F.sum(v).over(last_rows(24))),
-        }
-    )
+    d = d.withColumns({
+        "obv_roc": pct("obv", 5), "acc_dist_roc": pct("acc_dist", 5), "vol_sma_ratio": ratio(v, mean), "vol_z_score": F.when(sd > 1e-12, (v - mean) / sd),
+        "vwap": ratio(F.sum(F.col("_tp") * v).over(last_rows(24)), F.sum(v).over(last_rows(24))),
+    })
     move = F.abs(pct("close"))
-    return d.withColumn("vol_price_ratio", ratio(F.col("vol_sma_ratio"), F.when(move != 0, 100 * move + 0.01))).drop("_pc", "_tp", "_obv", "_ad")
+    return d.withColumn("vol_price_ratio", ratio(F.col("vol_sma_ratio"), F.when(move != 0, 100 * move + 0.01))).drop("_tp", "obv", "acc_dist")
+
+
+def volume_in_pieces(bars: DataFrame, size: int = 50_000, bucket: str = "1 day") -> DataFrame:
+    """volume() of series of any length: what looks back some rows is worked out in pieces, the two running totals in two
+    levels, so no task sees a whole series."""
+    d = chunks.in_pieces(bars, flows, 1, size, bucket)
+    d = chunks.running_totals(d, {"obv": "obv_flow", "acc_dist": "ad_flow"}, bucket).drop("obv_flow", "ad_flow")
+    return chunks.in_pieces(d, volume, 24, size, bucket)
 
 
 def shape(bars: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,16 +110,19 @@ def filled_outer(a: DataFrame, b: DataFrame, value: str, key: str = "symbol") ->
 
 
 def pair_correlations(
-    returns: DataFrame, value: str = "ret", unit: str = "symbol", least: int = 24, high: float = 0.70, points: int = 10, tail: str = "shared", within: tuple = (), block: int = 4096, groups: int = 8
+    returns: DataFrame, value: str = "ret", unit: str = "symbol", least: int = 24, high: float = 0.70, points: int = 10, tail: str = "shared", within: tuple = (), block: int = 4096, together: int = 256
 ) -> DataFrame:
     """(a, b, points, r, is_correlated) for a <= b: units with enough values, aligned by rank from the end, over the shortest
     of all tails ("shared") or each pair's own shorter one ("pair"). Units are paired within the columns of `within` only,
     which come first in the output then. The output is one row a pair.
 
-    A unit's values go in arrays of `block` ranks, and a pair of arrays gives the sums of its products, so that no row is
-    made for a pair and a rank; units are dealt to groups, and each two groups meet in a task of their own."""
+    A unit's values go in arrays of `block` ranks. Units are dealt to groups of about `together`, as many as there are units
+    for, and two groups' arrays of a block meet once, in a task that holds their two matrices and gives the sums of all its
+    pairs as matrix products: memory stays the same however many units there are."""
     back = F.row_number().over(Window.partitionBy(*within, unit).orderBy(F.desc("ts")))
     whole = Window.partitionBy(*within, unit)
+    units = returns.groupBy(*within).agg(F.approx_count_distinct(unit).alias("n")).agg(F.max("n")).first()[0] or 0
+    groups = max(1, math.ceil(units / together))
     r = returns.where(F.col(value).isNotNull()).select(*within, unit, F.col(value).cast("double").alias("v"), back.alias("back"), F.count(F.lit(1)).over(whole).alias("n"), F.avg(value).over(whole).alias("mean"))
     r = r.where(F.col("n") >= least)
     if tail == "shared":
@@ -124,21 +131,43 @@ def pair_correlations(
     # less the unit's mean, which changes no correlation but keeps the sums small
     x = r.groupBy(*within, unit, F.floor((F.col("back") - 1) / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("back", (F.col("v") - F.col("mean")).alias("v")))).alias("x"))
     x = x.select(*within, F.col(unit).alias("u"), "block", F.transform("x", lambda e: e["v"]).alias("x"), F.pmod(F.xxhash64(unit), F.lit(groups)).alias("g"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))
-    a = x.select(*within, "block", F.col("u").alias("a"), F.col("x").alias("x"), F.col("g").alias("ga"), every.alias("gb"))
-    b = x.select(*within, "block", F.col("u").alias("b"), F.col("x").alias("y"), F.col("g").alias("gb"), every.alias("ga"))
-    met = a.join(b, [*within, "block", "ga", "gb"]).where("a <= b").withColumn("k", F.least(F.size("x"), F.size("y")))
-    met = met.withColumns({"x": F.slice("x", F.lit(1), F.col("k")), "y": F.slice("y", F.lit(1), F.col("k"))})
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    product = lambda c, d: total(F.zip_with(c, d, lambda v, w: v * w))
-    sums = {"sx": total("x"), "sy": total("y"), "sxx": product("x", "x"), "syy": product("y", "y"), "sxy": product("x", "y")}
-    out = met.select(*within, "a", "b", "k", *[c.alias(n) for n, c in sums.items()]).groupBy(*within, "a", "b").agg(F.sum("k").alias("points"), *[F.sum(n).alias(n) for n in sums])
+    upto = lambda a, b: F.explode(F.sequence(a, b).cast("array<bigint>"))
+    left = x.select(*within, "block", "u", "x", F.lit(0).alias("side"), F.col("g").alias("ga"), upto(F.col("g"), F.lit(groups - 1)).alias("gb"))
+    right = x.select(*within, "block", "u", "x", F.lit(1).alias("side"), upto(F.lit(0), F.col("g")).alias("ga"), F.col("g").alias("gb")).where("ga < gb")
+    names = ["points", "sx", "sy", "sxx", "syy", "sxy"]
+    kinds = [f"{c} {returns.schema[c].dataType.simpleString()}" for c in within] + [f"{c} {returns.schema[unit].dataType.simpleString()}" for c in "ab"]
+
+    def met(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Sums over the ranks that both units of a pair have, for all pairs of two groups in a block."""
+        a = rows[rows["side"] == 0]
+        b = a if key[len(within)] == key[len(within) + 1] else rows[rows["side"] == 1]
+        (va, ha), (vb, hb) = (_padded(s["x"], block) for s in (a, b))
+        sums = [ha @ hb.T, va @ hb.T, ha @ vb.T, (va * va) @ hb.T, ha @ (vb * vb).T, va @ vb.T]
+        i, j = np.nonzero(a["u"].to_numpy()[:, None] <= b["u"].to_numpy()[None, :]) if a is b else map(np.ravel, np.indices((len(a), len(b))))
+        first, second = a["u"].to_numpy(object)[i], b["u"].to_numpy(object)[j]
+        found = dict(zip(names, (x[i, j] for x in sums), strict=True))
+        turned = first > second
+        for p, q in (("sx", "sy"), ("sxx", "syy")):
+            found[p], found[q] = np.where(turned, found[q], found[p]), np.where(turned, found[p], found[q])
+        named = {c: [k] * len(i) for c, k in zip(within, key, strict=False)} | {"a": np.where(turned, second, first), "b": np.where(turned, first, second)}
+        return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in named.items()} | found)
+
+    met_rows = left.unionByName(right).groupBy(*within, "ga", "gb", "block").applyInPandas(met, ", ".join([*kinds, *[f"{n} double" for n in names]]))
+    out = met_rows.groupBy(*within, "a", "b").agg(*[F.sum(n).alias(n) for n in names]).withColumn("points", F.round("points").cast("long")).where("points > 0")
     n, sx, sy = F.col("points"), F.col("sx"), F.col("sy")
     spread = F.sqrt((n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy))
     out = out.select(*within, "a", "b", "points", F.when(spread > 0, (n * F.col("sxy") - sx * sy) / spread).alias("r"))
     return out.withColumn("is_correlated", (F.abs("r") >= high) & (F.col("points") >= points))
 
 
+def _padded(arrays: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays as rows of a matrix with zeros behind them, and where they have values."""
+    values, has = np.zeros((len(arrays), width)), np.zeros((len(arrays), width))
+    for i, x in enumerate(arrays):
+        values[i, : len(x)], has[i, : len(x)] = x, 1
+    return values, has
+
+
 def latest(bars: DataFrame, n: int, before: Column | None = None) -> DataFrame:
     """The newest n rows of each series (before a time), for all series at once."""
     d = bars if before is None else bars.where(F.col("ts") < before)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import series
@@ -42,25 +45,42 @@ def score(models, rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def permuted(rows: DataFrame, features: list[str], repeats: int) -> DataFrame:
-    """A copy of rows for each feature and repeat, with feature_name, in which that feature's values are dealt anew within
-    each series, by an order that a hash of the time gives; and, as feature_name NULL, a copy for each repeat as they are."""
-    w = Window.partitionBy("symbol", "interval")
-    a = rows.withColumn("_r", F.row_number().over(w.orderBy("ts")))
-    mark = F.md5(F.concat_ws(":", "_k", F.col("ts").cast("string")).cast("binary"))
-    b = rows.select("symbol", "interval", "ts", F.struct(*features).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_k"))
-    b = b.select("symbol", "interval", "_v", F.row_number().over(Window.partitionBy("symbol", "interval", "_k").orderBy(mark, "ts")).alias("_r"))
-    d = a.join(b, ["symbol", "interval", "_r"]).withColumn("feature_name", F.explode(F.array(F.lit(None).cast("string"), *map(F.lit, features))))
-    return d.withColumns({f: F.when(F.col("feature_name") == f, F.col(f"_v.{f}")).otherwise(F.col(f)) for f in features}).drop("_r", "_v")
-
-
-def permutation_importance(models, rows: DataFrame, features: list[str], repeats: int = 5) -> DataFrame:
-    """(feature_name, importance): how much accuracy falls, on average, when a feature's values are shuffled. All copies are
-    scored in one pass."""
-    names = F.when(F.col("label") == 0, "UP").when(F.col("label") == 1, "FLAT").otherwise("DOWN")
-    copies = permuted(rows.where("label IS NOT NULL"), features, repeats)
-    acc = score(models, copies, features).groupBy("feature_name").agg(F.avg((F.col("direction") == names).cast("double")).alias("acc"))
-    base = acc.where("feature_name IS NULL").select(F.col("acc").alias("base"))
-    return acc.where("feature_name IS NOT NULL").crossJoin(F.broadcast(base)).select("feature_name", (F.col("base") - F.col("acc")).alias("importance"))  # one row
+    """rows with partners, an array with the features of another row of its series for each repeat: in an order that a hash
+    of the time gives, the row so many places on, around the end. Over a series that deals each feature's values anew, as a
+    shuffle does. One window a series; rows grow by their partners and are not copied."""
+    mark = F.md5(F.col("ts").cast("string").cast("binary"))
+    w = Window.partitionBy("symbol", "interval").orderBy(mark, "ts")
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v, n, at = F.struct(*features), F.col("_n"), F.col("_i")
+    d = rows.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("symbol", "interval"))})
+    d = d.withColumns({"_first": F.array(*[F.nth_value(v, k).over(all_) for k in range(1, repeats + 1)])} | {f"_v{k}": F.lead(v, k).over(w) for k in range(1, repeats + 1)})
+    partner = [F.when(at + k < n, F.col(f"_v{k}")).otherwise(F.get("_first", F.pmod(at + k, n).cast("int"))) for k in range(1, repeats + 1)]
+    return d.withColumn("partners", F.array(*partner)).drop("_i", "_n", "_first", *[f"_v{k}" for k in range(1, repeats + 1)])
+
+
+def prediction_loss(label: Column, prob_up: Column, prob_flat: Column, prob_down: Column, magnitude: Column, actual: Column) -> Column:
+    """Cross entropy of the class (0 UP, 1 FLAT, else DOWN) and Huber loss (delta 1) of the magnitude, summed."""
+    own = F.when(label == 0, prob_up).when(label == 1, prob_flat).otherwise(prob_down)
+    off = F.abs(magnitude - actual)
+    return -F.log(F.greatest(own, F.lit(1e-15))) + F.when(off <= 1, off * off / 2).otherwise(off - 0.5)
+
+
+def permutation_importance(models, rows: DataFrame, features: list[str], repeats: int = 5, actual: str = "forward_pct") -> DataFrame:
+    """(feature_name, importance): how much the loss rises, on average, when a feature's values are shuffled within each
+    series. models are fit_boosting's, or a function that adds score()'s columns to rows.
+
+    Scored in one pass: a row is scored as it is and once for each feature and repeat with its partner's value, made in the
+    stage that scores it and shuffled by none; what a task adds up is two numbers a feature."""
+    predict = models if callable(models) else lambda d: score(models, d, features)
+    d = permuted(rows.where(F.col("label").isNotNull() & F.col(actual).isNotNull()), features, repeats)
+    own = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("k")))
+    each = F.array(*[F.struct(F.lit(f).alias("name"), F.lit(k).alias("k")) for f in features for k in range(repeats)])
+    d = d.withColumn("_c", F.explode(F.concat(own, each)))
+    d = d.withColumns({f: F.when(F.col("_c.name") == f, F.get("partners", F.col("_c.k"))[f]).otherwise(F.col(f)) for f in features}).withColumn("feature_name", F.col("_c.name"))
+    loss = prediction_loss(F.col("label"), *[F.col(c) for c in ("prob_up", "prob_flat", "prob_down", "magnitude")], F.col(actual))
+    g = predict(d.drop("partners", "_c")).groupBy("feature_name").agg(F.avg(loss).alias("loss"))
+    base = g.where("feature_name IS NULL").select(F.col("loss").alias("base"))
+    return g.where("feature_name IS NOT NULL").crossJoin(F.broadcast(base)).select("feature_name", (F.col("loss") - F.col("base")).alias("importance"))  # one row
 
 
 def fold_means(predictions: DataFrame, item: list[str]) -> DataFrame:
@@ -93,22 +113,54 @@ def clusters(stats: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed).fit(d).transform(d).drop("_features", "_x")
 
 
-def feature_correlations(rows: DataFrame, features: list[str], threshold: float = 0.95, chunk: int = 400) -> DataFrame:
-    """(a, b, r) of feature pairs whose absolute correlation passes the threshold, pairs in chunks of one aggregate each."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    out = None
-    for at in range(0, len(pairs), chunk):
-        part = pairs[at : at + chunk]
-        one = rows.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in part]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-        out = one if out is None else out.union(one)
-    return out.where(F.abs("r") > threshold).withColumn("r", F.round("r", 4))
-
-
-def score_with(rows: DataFrame, features: list[str], predict, schema: str) -> DataFrame:
-    """rows with the columns of schema that predict(features as a pandas frame) gives, Arrow batch by Arrow batch: the way in
-    for models from elsewhere. predict must return as many rows as it gets."""
-    @F.pandas_udf(f"struct<{schema}>")
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        return predict(x)
-
-    return rows.withColumn("_p", run(F.struct(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]))).select(*rows.columns, "_p.*")
+def feature_correlations(rows: DataFrame, features: list[str], threshold: float = 0.95) -> DataFrame:
+    """(a, b, r) of feature pairs whose absolute correlation passes the threshold, each over the rows that have both; NaN
+    counts as missing. Pairs with a constant side have none.
+
+    Two passes whatever the number of features: their means, then each task's sums of products of all pairs as matrix
+    products, added up by pair."""
+    means = rows.agg(*[F.avg(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f) for f in features]).first()
+    centre = np.array([means[f] or 0.0 for f in features])
+    i, j = np.triu_indices(len(features), 1)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(features), len(features)))
+        for batch in batches:
+            x = batch.to_numpy(float) - centre
+            has = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += [has.T @ has, x.T @ has, has.T @ x, (x * x).T @ has, has.T @ (x * x), x.T @ x]
+        yield pd.DataFrame({"i": i, "j": j} | {n: total[k][i, j] for k, n in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))})
+
+    names = F.array(*map(F.lit, features))
+    d = rows.select(*[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(sums, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    d = d.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    spread = lambda s, ss: F.col("n") * F.col(ss) - F.col(s) * F.col(s)
+    both = F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))
+    r = F.when((spread("sx", "sxx") > 0) & (spread("sy", "syy") > 0), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / both)
+    return d.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r")).where(F.abs("r") > threshold).withColumn("r", F.round("r", 4))
+
+
+def score_with(rows: DataFrame, features: list[str], load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, batch: int = 4096) -> DataFrame:
+    """rows with the columns of schema (all double) that a model from elsewhere gives: load() returns its predict function, of
+    a pandas frame of the features (a missing one is 0) to a frame with as many rows. A Python worker loads the model once
+    and keeps it for all its batches and tasks."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import StructType
+
+    names = StructType.fromDDL(schema).names
+
+    def make():
+        predict = load()
+
+        def run(x: np.ndarray) -> dict[str, np.ndarray]:
+            out = predict(pd.DataFrame(x, columns=features))
+            if len(out) != len(x):
+                raise ValueError(f"{len(out)} predictions of {len(x)} rows")
+            return {c: out[c].to_numpy(float) for c in names}
+
+        return run
+
+    run = predict_batch_udf(make, return_type=StructType.fromDDL(schema), batch_size=batch, input_tensor_shapes=[[len(features)]])
+    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    return rows.withColumn("_p", run(x)).select(*rows.columns, "_p.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +80,39 @@ def deploy_gate(evals: DataFrame, new: str, old: str, worse: float = 1.05) -> Da
 def temperature(scored: DataFrame, candidates: list[float]) -> DataFrame:
     """One row: temperature with the least mean negative log likelihood of softmax(log p / T) and that NLL; ties to the
     first; never worse than T = 1. All candidates go in one pass."""
+    g = _likelihoods(scored, sorted({1.0, *map(float, candidates)}))
+    return g.orderBy(F.round("nll", 9), "t").limit(1).select(F.col("t").alias("temperature"), "nll")
+
+
+def _likelihoods(scored: DataFrame, candidates: list[float]) -> DataFrame:
+    """(t, nll) of each candidate, in one pass: rows are multiplied in a narrow stage and added up before the shuffle."""
     ps = ("prob_up", "prob_flat", "prob_down")
-    d = scored.select(*ps, "actual_direction", F.explode(F.array(*[F.lit(float(t)) for t in sorted({1.0, *candidates})])).alias("t"))
+    d = scored.select(*ps, "actual_direction", F.explode(F.array(*map(F.lit, candidates))).alias("t"))
     e = {p: F.pow(F.greatest(F.col(p), F.lit(1e-12)), 1 / F.col("t")) for p in ps}
     own = F.when(F.col("actual_direction") == "UP", e["prob_up"]).when(F.col("actual_direction") == "FLAT", e["prob_flat"]).otherwise(e["prob_down"])
-    g = d.groupBy("t").agg(F.avg(-F.log(own / (e["prob_up"] + e["prob_flat"] + e["prob_down"]))).alias("nll"))
-    return g.orderBy(F.round("nll", 9), "t").limit(1).select(F.col("t").alias("temperature"), "nll")
+    return d.groupBy("t").agg(F.avg(-F.log(own / (e["prob_up"] + e["prob_flat"] + e["prob_down"]))).alias("nll"))
+
+
+#: No temperature is smaller, nor larger.
+COLDEST, HOTTEST = 0.01, 100.0
+
+
+def fitted_temperature(scored: DataFrame, tolerance: float = 1e-4, inside: int = 6) -> tuple[float, float]:
+    """(temperature, nll): the temperature from COLDEST to HOTTEST with the least mean negative log likelihood, to a relative
+    tolerance, and 1 unless it is better. Sections of one pass each: the likelihood is convex in 1/T, so it falls and then
+    rises, and of `inside` candidates the two next to the best one bound what the next pass looks at. (1, nan) without rows."""
+    low, high = math.log(COLDEST), math.log(HOTTEST)
+    best, least, whole = 1.0, math.inf, math.nan
+    while high - low > tolerance:
+        marks = [low + (high - low) * i / (inside + 1) for i in range(inside + 2)]
+        tried = {math.exp(m): m for m in marks} | {1.0: 0.0}
+        got = {r.t: r.nll for r in _likelihoods(scored, sorted(tried)).collect() if r.nll is not None}  # a row a candidate
+        if not got:
+            return 1.0, math.nan
+        whole = got[1.0]
+        values = [got[math.exp(m)] for m in marks]
+        at = values.index(min(values))
+        if values[at] < least:
+            best, least = math.exp(marks[at]), values[at]
+        low, high = marks[max(0, at - 1)], marks[min(len(marks) - 1, at + 1)]
+    return (best, least) if least < whole else (1.0, whole)

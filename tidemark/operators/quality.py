@@ -66,6 +66,19 @@ def coverage(bars: DataFrame) -> DataFrame:
     return bars.groupBy("interval").agg(F.countDistinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("candles"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def coverage_sketches(bars: DataFrame, partition: list[str], lg_k: int = 12) -> DataFrame:
+    """coverage() by partition, in a form that can be stored and added to: (partition.., interval, symbols_sketch, candles,
+    first_ts, last_ts). A partition that changes is worked out anew, the others are not read."""
+    by = [*partition, *(c for c in ["interval"] if c not in partition)]
+    return bars.groupBy(*by).agg(F.hll_sketch_agg("symbol", lg_k).alias("symbols_sketch"), F.count(F.lit(1)).alias("candles"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def sketched_coverage(sketches: DataFrame) -> DataFrame:
+    """coverage() from stored sketches, of one or more tables' partitions; symbols within about 2 % (lg_k 12), the rest exact."""
+    symbols = F.hll_sketch_estimate(F.hll_union_agg("symbols_sketch"))
+    return sketches.groupBy("interval").agg(symbols.alias("symbols"), F.sum("candles").alias("candles"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
 def freshness(tables: dict[str, tuple[DataFrame, float]], as_of: Column) -> DataFrame:
     """(source, last_ts, age_hours, is_stale) against each table's limit in hours; an empty table is stale."""
     out = None

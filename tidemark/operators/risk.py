@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,16 +82,24 @@ class Drawdown:
 
 
 def drawdown_states(equity: DataFrame, key: str = "portfolio", **limits) -> DataFrame:
-    """(key, ts, equity, state, drawdown, multiplier): the machine over each portfolio's curve, which is its own group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        machine = Drawdown(**limits)
-        got = [machine.update(x) for x in rows["equity"]]
-        return rows.assign(state=[g[0] for g in got], drawdown=[g[1] for g in got], multiplier=[g[2] for g in got])[[key, "ts", "equity", "state", "drawdown", "multiplier"]]
-
-    kind = equity.schema["ts"].dataType.simpleString()
-    return equity.select(key, "ts", "equity").groupBy(key).applyInPandas(run, f"{key} {equity.schema[key].dataType.simpleString()}, ts {kind}, equity double, state string, drawdown double, multiplier double")
+    """(key, ts, equity, state, drawdown, multiplier): the machine over each portfolio's curve.
+
+    Each row's state needs the one before it, so a curve stays in one task; but the task streams its sorted rows batch by
+    batch and holds the machine's four values, never a curve. Equal times go by equity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, own = Drawdown(**limits), object()
+        for rows in batches:
+            got = []
+            for of, value in zip(rows[key], rows["equity"], strict=True):
+                if of != own and not (pd.isna(of) and own is None):
+                    machine, own = Drawdown(**limits), None if pd.isna(of) else of
+                got.append(machine.update(value))
+            yield rows.assign(state=[g[0] for g in got], drawdown=[g[1] for g in got], multiplier=[g[2] for g in got])[[key, "ts", "equity", "state", "drawdown", "multiplier"]]
+
+    kinds = {c: equity.schema[c].dataType.simpleString() for c in (key, "ts")}
+    rows = equity.select(key, "ts", F.col("equity").cast("double").alias("equity")).repartition(key).sortWithinPartitions(key, "ts", "equity")
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, ts {kinds['ts']}, equity double, state string, drawdown double, multiplier double")
 
 
 def drawdown_series(equity: DataFrame, key: list[str]) -> DataFrame:

@@ -101,12 +101,13 @@ def sharpe_grid(scored: DataFrame, low: float, high: float, n: int = 50, periods
     return g.withColumn("sharpe", F.when((F.col("rows") < 2) | (F.col("_sd") < 1e-10) | F.col("_sd").isNull(), 0.0).otherwise(F.try_divide(F.col("mean_pnl"), F.col("_sd")) * F.sqrt(F.lit(periods)))).drop("_sd")
 
 
-def sharpe_threshold(grid: DataFrame, current: float, low: float, high: float, keep: float = 0.7) -> DataFrame:
+def sharpe_threshold(grid: DataFrame, current: float, low: float, high: float, keep: float = 0.7, least: int = 20) -> DataFrame:
     """One row of sharpe_grid()'s: best (of equal Sharpe ratios the smallest threshold), its sharpe, and the threshold to use:
-    `keep` of the current one and the rest of the best, within low and high."""
+    `keep` of the current one and the rest of the best, within low and high; the current one itself while the grid has fewer
+    than `least` rows."""
     best = grid.orderBy(F.desc(F.round("sharpe", 9)), "threshold").limit(1)
     new = F.greatest(F.lit(low), F.least(F.lit(high), (1 - keep) * F.col("threshold") + keep * current))
-    return best.select(F.col("threshold").alias("best"), "sharpe", new.alias("threshold"))
+    return best.select(F.col("threshold").alias("best"), "sharpe", F.when(F.col("rows") >= least, new).otherwise(current).alias("threshold"))
 
 
 def model_sharpes(versions: DataFrame, interval: str) -> DataFrame:

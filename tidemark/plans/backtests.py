@@ -403,6 +403,20 @@ def temperature_scaling(spark, d):
     return monitor.temperature(scored(spark, d).where("scored_at IS NOT NULL"), _T)
 
 
+@query(
+    sql(f"""WITH t AS (SELECT exp(ln(0.01) + unnest(range(4001)) * ln(10000) / 4000) AS t UNION ALL SELECT 1), x AS (SELECT CASE actual_direction WHEN 'UP' THEN 0 WHEN 'FLAT' THEN 1 ELSE 2 END AS y, ln(prob_up) AS a, ln(prob_flat) AS b, ln(prob_down) AS c FROM scored),
+    k AS (SELECT y, a, b, c, count(*) AS n FROM x GROUP BY ALL), g AS (SELECT t, sum(n * (ln(exp(a / t) + exp(b / t) + exp(c / t)) - CASE y WHEN 0 THEN a WHEN 1 THEN b ELSE c END / t)) / sum(n) AS nll FROM k CROSS JOIN t GROUP BY 1)
+    SELECT {r('min(nll)', 'nll', 4)}, {r('(SELECT any_value(nll) FROM g WHERE t = 1) - min(nll)', 'gain', 4)} FROM g"""),
+    digits=4,
+)
+def fitted_temperature(spark, d):
+    """What the best temperature gives over all scored rows, and how much better than 1 that is."""
+    x = scored(spark, d).where("scored_at IS NOT NULL")
+    t, nll = monitor.fitted_temperature(x)
+    plain = monitor.temperature(x, [1.0]).select(F.lit(nll).alias("nll"), (F.col("nll") - nll).alias("gain"))
+    return plain
+
+
 _PERF = """SELECT symbol, model, count(*) AS n, round(avg(magnitude), 9) AS score FROM model_predictions WHERE NOT (symbol = 'view' AND model <> 'm0' AND hour(ts) > 0) GROUP BY ALL"""
 
 

@@ -44,16 +44,25 @@ def band_indicators(spark, d):
     return indicators.bands(H(spark, d)).select(*ID, "bb_width", "bb_pct", "kc_width")
 
 
-@query(
-    sql(f"""WITH b AS (SELECT *, sum(CASE WHEN close < pc THEN -volume ELSE volume END) OVER ({S} ROWS UNBOUNDED PRECEDING) AS obv, sum(coalesce({div('volume * ((close - low) - (high - close))', 'high - low')}, 0)) OVER ({S} ROWS UNBOUNDED PRECEDING) AS ad
+_VOLUME = (
+    f"""WITH b AS (SELECT *, sum(CASE WHEN close < pc THEN -volume ELSE volume END) OVER ({S} ROWS UNBOUNDED PRECEDING) AS obv, sum(coalesce({div('volume * ((close - low) - (high - close))', 'high - low')}, 0)) OVER ({S} ROWS UNBOUNDED PRECEDING) AS ad
       FROM (SELECT *, lag(close) OVER ({S}) AS pc, (high + low + close) / 3 AS tp FROM candles_60)),
     v AS (SELECT *, {div('volume', roll('avg', 'volume', 20))} AS ratio20, abs({pct('close')}) AS mv FROM b)
     SELECT {IDS}, {r('ratio20', 'vol_sma_ratio', 4)}, {r(z('volume', 20), 'vol_z_score', 4)}, {r(pct('obv', 5), 'obv_roc', 4)}, {r(pct('ad', 5), 'acc_dist_roc', 4)},
-      {r(div(f"sum(tp * volume) OVER {w(24)}", f"sum(volume) OVER {w(24)}"), 'vwap', 4)}, {r(div('ratio20', 'CASE WHEN mv <> 0 THEN 100 * mv + 0.01 END'), 'vol_price_ratio', 4)} FROM v"""),
-    digits=4,
+      {r(div(f"sum(tp * volume) OVER {w(24)}", f"sum(volume) OVER {w(24)}"), 'vwap', 4)}, {r(div('ratio20', 'CASE WHEN mv <> 0 THEN 100 * mv + 0.01 END'), 'vol_price_ratio', 4)} FROM v"""
 )
+VOLUME = ("vol_sma_ratio", "vol_z_score", "obv_roc", "acc_dist_roc", "vwap", "vol_price_ratio")
+
+
+@query(sql(_VOLUME.replace("candles_60", "candles_15")), digits=4)
+def volume_in_pieces(spark, d):
+    """Volume features of long series: pieces with a halo, and running totals in two levels."""
+    return indicators.volume_in_pieces(H(spark, d, 15), size=400).select(*ID, *VOLUME)
+
+
+@query(sql(_VOLUME), digits=4)
 def volume_indicators(spark, d):
-    return indicators.volume(H(spark, d)).select(*ID, "vol_sma_ratio", "vol_z_score", "obv_roc", "acc_dist_roc", "vwap", "vol_price_ratio")
+    return indicators.volume(H(spark, d)).select(*ID, *VOLUME)
 
 
 @query(sql(f"""SELECT {IDS}, {r(div('close - open', 'high - low'), 'candle_body_ratio')}, {r(div('high - greatest(open, close)', 'high - low'), 'upper_wick_ratio')}, {r(div('least(open, close) - low', 'high - low'), 'lower_wick_ratio')} FROM candles_60"""))
@@ -306,7 +315,8 @@ def rolling_days_cut(spark, d):
 
 @query(
     sql(f"""WITH c AS (SELECT *, CASE WHEN symbol = 'click' THEN 3.0 ELSE 1.0 END::DOUBLE AS weight, CAST('0x' || substr(md5('7|' || symbol || '|' || "interval" || '|' || CAST(ts AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM candles_60),
-    x AS (SELECT *, weight / avg(weight) OVER (PARTITION BY "interval") AS ratio FROM c), y AS (SELECT *, CAST(floor(ratio) AS BIGINT) + CASE WHEN u < ratio - floor(ratio) THEN 1 ELSE 0 END AS draws FROM x)
+    x AS (SELECT *, weight / avg(weight) OVER (PARTITION BY "interval") AS m FROM c), k AS (SELECT *, unnest(range(60)) AS k FROM x),
+    q AS (SELECT *, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY symbol, "interval", ts ORDER BY k) AS below FROM k), y AS (SELECT {IDS}, weight, count(*) FILTER (WHERE u >= below) AS draws FROM q GROUP BY ALL)
     SELECT {IDS}, weight, draws FROM y WHERE draws > 0""")
 )
 def weighted_sample(spark, d):

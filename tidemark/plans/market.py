@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import dataset, indicators, joins, quality, scoring
 from tidemark.plans.registry import query
 from tidemark.plans.sql import S, div, pct, r, roll, sql
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, stored
 from tidemark.sources import bars, payloads, store
 
 H = bars.candles
@@ -76,11 +79,22 @@ def bad_candle_audit(spark, d):
     return quality.audit(bars.damaged(H(spark, d)))
 
 
-@query(sql("""SELECT "interval", count(DISTINCT symbol) AS symbols, count(*) AS candles, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_15 UNION ALL SELECT * FROM candles_user) GROUP BY 1"""))
+_COVERAGE = sql("""SELECT "interval", count(DISTINCT symbol) AS symbols, count(*) AS candles, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_15 UNION ALL SELECT * FROM candles_user) GROUP BY 1""")
+
+
+@query(_COVERAGE)
 def interval_coverage(spark, d):
     return quality.coverage(H(spark, d).unionByName(H(spark, d, 15)).unionByName(bars.user_candles(spark, d)))
 
 
+@query(_COVERAGE)
+def stored_coverage(spark, d):
+    """The same from stored sketches of each day's candles; so few symbols are counted exactly."""
+    tables = [H(spark, d), H(spark, d, 15), bars.user_candles(spark, d)]
+    sketches = [stored(quality.coverage_sketches(t.withColumn("day", F.to_date("ts")), ["day"])) for t in tables]
+    return quality.sketched_coverage(reduce(DataFrame.unionByName, sketches)).withColumn("symbols", F.col("symbols").cast("long"))
+
+
 @query(
     sql(f"""SELECT source, last_ts, {r('age', 'age_hours')}, age > lim AS is_stale FROM (SELECT source, last_ts, lim, date_diff('second', last_ts, TIMESTAMP '2024-01-31') / 3600.0 AS age FROM (
     SELECT 'candles' AS source, max(ts) AS last_ts, 2.0 AS lim FROM candles_60 UNION ALL SELECT 'predictions', max(ts), 2.0 FROM predictions UNION ALL SELECT 'order_book', max(ts), 0.3 FROM order_book UNION ALL SELECT 'fear_greed', max(ts), 26.0 FROM fear_greed))""")
