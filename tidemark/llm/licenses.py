@@ -58,6 +58,8 @@ K = 4
 SHARE, DRIFT = 0.7, 4
 #: Grams of templates that are broadcast, about 200 bytes each; a larger table is left to a shuffled join.
 BROADCAST = 50_000
+#: Copies of one row that are written out together.
+COPIES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -160,7 +162,10 @@ def scan(docs: DataFrame, **parts) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set(F.when(~is_mark, F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(~is_mark, F.col("share"))), F.lit(0.0)).alias("score"),
     )
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("key", "copies", "_copy")
+    # copies in two steps, so that no array is longer than COPIES
+    first = out.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    each = F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + COPIES, F.col("copies")) - 1))
+    return first.withColumn("_copy", each).drop("key", "copies", "_at", "_copy")
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
