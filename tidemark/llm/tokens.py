@@ -17,7 +17,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Below the lowest score by this much: what a character costs that no piece covers.
 UNKNOWN = 10.0
-CACHE = 800_000
+#: Units kept between texts: how many, and up to which length; longer ones are counted where they stand.
+CACHE, KEPT_LENGTH = 800_000, 64
 
 
 class Unigram(dict):
@@ -30,7 +31,7 @@ class Unigram(dict):
     a run counts its UTF-8 bytes if the vocabulary has byte pieces, else 1.
 
     No piece has a space sign after another character, so the best path parts there, and texts are counted unit by unit,
-    each kept in this dict up to a bound."""
+    short ones kept in this dict up to a bound."""
 
     def __init__(self, path: str = VOCABULARY):
         super().__init__()
@@ -50,9 +51,11 @@ class Unigram(dict):
         self.unit = re.compile("(?s).+" if not self.parts else f"\n|{SPACE}*[^{SPACE}\n]*" if lines else f"{SPACE}*[^{SPACE}]*")
 
     def __missing__(self, unit: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[unit] = n = self.viterbi(unit)
+        n = self.viterbi(unit)
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) > CACHE:
+                self.clear()
+            self[unit] = n
         return n
 
     def viterbi(self, text: str) -> int:

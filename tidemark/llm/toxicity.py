@@ -25,7 +25,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FEATURES = 4
 #: What is left of a term's weight if it is misspelled, and if it is quoted.
 MISSPELLED, QUOTED = 0.8, 0.4
-CACHE = 300_000
+#: Words kept between texts: how many, and up to which length.
+CACHE, KEPT_LENGTH = 300_000, 64
 
 
 class Levenshtein:
@@ -138,9 +139,11 @@ class Matcher(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str):
-        if len(self) > CACHE:
-            self.clear()
-        found = self[word] = self.lexicon.near(word)
+        found = self.lexicon.near(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = found
         return found
 
 
