@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,14 +83,14 @@ def placed(groups: DataFrame, targets: DataFrame) -> DataFrame:
     return base.withColumn("begin", F.col("_run") + F.col("_before")).drop("_run", "_before", "bucket", "n")
 
 
-def packets(documents: DataFrame) -> DataFrame:
+def packets(documents: DataFrame, most: float = 2.0) -> DataFrame:
     """The packets of placed documents: a row for each slice of a document and pass, with its words and virtual_finish: the
     source's words up to the slice's end, over the source's target.
 
-    A second pass follows the first. Sources with their full targets reach time 1 together, so what begins a packet after
+    One pass follows the other, as many as a target of `most` times its source's size needs. Sources with their full targets reach time 1 together, so what begins a packet after
     that can't be within the budget and isn't made."""
     packet = F.ceil(F.col("target") / PACKETS).cast("long")
-    d = documents.where("words > 0 AND target > 0").withColumn("packet", packet).withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = documents.where("words > 0 AND target > 0").withColumn("packet", packet).withColumn("pass", F.explode(F.array(*map(F.lit, range(math.ceil(most))))))
     d = d.withColumn("begin", F.col("begin") + F.col("pass") * F.col("source_size"))
     open_ = F.ceil("target").cast("long") + F.col("packet") - F.col("begin")
     d = d.withColumn("open", F.least(open_, F.col("words"))).where("open > 0")
@@ -98,14 +100,14 @@ def packets(documents: DataFrame) -> DataFrame:
     return d.withColumn("virtual_finish", (F.col("begin") + first + F.col("n_words")) / F.col("target")).drop("open", "packet", "begin")
 
 
-def mix(documents: DataFrame, budget: int) -> DataFrame:
+def mix(documents: DataFrame, budget: int, most: float = 2.0) -> DataFrame:
     """The packets of the mix, in one stream by virtual finish time: range-sorted over the cluster, mix_start counting the
     words before each, and cut off at the budget (`taken` words of each; the packet at the cut in part)."""
-    ordered = in_order(packets(documents), ["virtual_finish", "rank", "place", "doc_id", "pass", "slice"], "n_words", "mix_start")
+    ordered = in_order(packets(documents, most), ["virtual_finish", "rank", "place", "doc_id", "pass", "slice"], "n_words", "mix_start")
     return ordered.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("n_words"), F.lit(budget) - F.col("mix_start")))).where("taken > 0")
 
 
-def taken(docs: DataFrame, **shares) -> DataFrame:
+def taken(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs(doc_id, source, size, place), as sized() makes them, one row each with source_size, target, taken (words the mix
     takes, repeats counted) and first_start (where the mix first has it, null if never).
 
@@ -115,11 +117,11 @@ def taken(docs: DataFrame, **shares) -> DataFrame:
     source; documents of size 0 are never taken; an empty table gives no rows."""
     own = ["doc_id", "source", "size", "place"]
     groups = written(docs.groupBy(*own).agg(F.count(F.lit(1)).alias("copies")))
-    targets, budget = source_targets(groups, **shares)
+    targets, budget = source_targets(groups, weights, share, most)
     documents = written(placed(groups, targets))
     whole = [*own, "copies", "source_size", "target"]
     none = documents.select(*whole, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("mix_start"))
-    got = none.union(mix(documents, budget).select(*whole, "taken", "mix_start")).groupBy(*whole).agg(F.sum("taken").alias("words"), F.min("mix_start").alias("first_start"))
+    got = none.union(mix(documents, budget, most).select(*whole, "taken", "mix_start")).groupBy(*whole).agg(F.sum("taken").alias("words"), F.min("mix_start").alias("first_start"))
     # copies in two steps, so that no array is longer than COPIES
     first = got.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
     each = first.withColumn("_copy", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + COPIES, F.col("copies")) - 1)))
