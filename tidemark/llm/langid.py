@@ -14,8 +14,8 @@ from .common import fresh, held_out, small_batches, table
 #: Bytes of a window; the last window of a text is filled up with zero bytes, which no filter may start on.
 WINDOW = 128
 #: Training takes at most about this many labelled rows of each language, and so many windows of each row, of so many
-#: languages, the commonest: what comes to the driver is bounded by the product of the three.
-ROWS_PER_LANG, WINDOWS_PER_ROW, MOST_LANGS = 600, 6, 200
+#: languages, the commonest; of many languages fewer rows each, so that about MOST_WINDOWS windows come to the driver.
+ROWS_PER_LANG, WINDOWS_PER_ROW, MOST_LANGS, MOST_WINDOWS = 600, 6, 200, 60_000
 WIDTHS, FILTERS, EMBED, EPOCHS, RATE, BATCH = (2, 3, 4), 16, 12, 6, 0.004, 128
 UNKNOWN = "und"
 #: A filter's output where it may not start.
@@ -143,6 +143,7 @@ def training_windows(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, per_ro
     hashes stay if there are more than twice as many as meant. Rows without a letter or language give none."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("string").alias("key"), "lang", "text")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    rows_per_lang = min(rows_per_lang, MOST_WINDOWS // (per_row * max(1, len(counts))))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], min(1.0, rows_per_lang / r["n"])).otherwise(share)
