@@ -16,6 +16,8 @@ from .common import fresh, small_batches, table, with_row_key, written
 
 #: A span is the shortest run of at least so many consecutive sentences with at least so many words.
 SENTENCES, WORDS = 2, 25
+#: A line, or a whole text, of several sentences that has fewer words than a span, but so many, is a span as a whole.
+SHORT = 8
 #: Sentences of more words are cut before each word whose hash is the least of some window of so many words of the sentence,
 #: so that the same words are cut alike wherever they stand. Two places of one passage agree in their pieces but for LONGEST
 #: or 2 * WINDOW - 2 words at each end: a passage of WORDS + 2 * LONGEST words (51) always holds a whole span.
@@ -45,33 +47,49 @@ def _cuts(words: list[bytes], window: int = WINDOW) -> list[int]:
 def sentences(raw: bytes, longest: int = LONGEST) -> list[bytes]:
     """The text in pieces that join to the whole text: sentences, those of more than `longest` words cut by their words.
     Marks are whole characters and white space is ASCII, so no character is split."""
+    return [piece for piece, _ in _pieces(raw, longest)]
+
+
+def _pieces(raw: bytes, longest: int = LONGEST) -> list[tuple[bytes, bool]]:
+    """Each piece, and whether a sentence ends with it."""
     out = []
     for s in (_SENTENCE_WIDE if _WIDE_END.search(raw) else _SENTENCE).findall(raw):
         if not s:
             continue
         plain = _words(s.lower())
         if len(plain) <= longest:
-            out.append(s)
+            out.append((s, True))
             continue
         words = (_WORD_UNSPACED if _UNSPACED.search(s) else _WORD).findall(s)
         words[0] = s[: len(s) - sum(map(len, words))] + words[0]
         cuts = _cuts(plain)
-        out += [b"".join(words[i:j]) for i, j in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+        out += [(b"".join(words[i:j]), j == len(words)) for i, j in zip(cuts, [*cuts[1:], len(words)], strict=True)]
     return out
 
 
 def spans(raw: bytes, n_sentences: int = SENTENCES, n_words: int = WORDS) -> list[tuple[int, int, int, bool]]:
     """(start, length, hash, is the text's first with that hash) of the span that begins at each sentence, places counted in
     sentences; the hash covers the words, A-Z lower-cased, so white space doesn't matter. Starts too near the text's end
-    have none, and blank pieces begin none."""
+    have none, and blank pieces begin none. Lines and texts of several sentences that are too short for a span, but have
+    SHORT words, are spans of their own."""
     words: list[bytes] = []
-    upto = [0]
-    for s in sentences(raw):
-        words += _words(s.lower())
+    upto, runs = [0], []
+    line, ends, all_ends = 0, 0, 0  # where the line began, and its and the text's sentences so far
+    pieces = _pieces(raw)
+    for i, (s, last) in enumerate(pieces):
+        own = _words(s.lower())
+        words += own
         upto.append(len(words))
-    line = b" ".join(words)
+        ends += last and bool(own)
+        if b"\n" in s or i + 1 == len(pieces):
+            if ends >= n_sentences and SHORT <= upto[-1] - upto[line] < n_words:
+                runs.append((line, i + 1))
+            line, ends, all_ends = i + 1, 0, all_ends + ends
+    if all_ends >= n_sentences and SHORT <= len(words) < n_words and runs != [(0, len(pieces))]:
+        runs.append((0, len(pieces)))
+    text = b" ".join(words)
     begin = [0, *accumulate(len(w) + 1 for w in words)]
-    out, end, seen = [], 0, set()
+    end = 0
     for i in range(len(upto) - 1):
         end = max(end, i + n_sentences)
         while end < len(upto) and upto[end] - upto[i] < n_words:
@@ -79,9 +97,12 @@ def spans(raw: bytes, n_sentences: int = SENTENCES, n_words: int = WORDS) -> lis
         if end >= len(upto):
             break
         if upto[i + 1] > upto[i]:
-            h = xxhash.xxh64_intdigest(line[begin[upto[i]] : begin[upto[end]] - 1]) - (1 << 63)
-            out.append((i, end - i, h, h not in seen))
-            seen.add(h)
+            runs.append((i, end))
+    out, seen = [], set()
+    for i, j in runs:
+        h = xxhash.xxh64_intdigest(text[begin[upto[i]] : begin[upto[j]] - 1]) - (1 << 63)
+        out.append((i, j - i, h, h not in seen))
+        seen.add(h)
     return out
 
 
