@@ -245,3 +245,82 @@ def test_audit_sql(spark):
     cur = c.execute(ORACLE["op13_filter_audit"])
     columns = [x[0] for x in cur.description]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(cur.fetchall())
+
+
+def test_short_repeats_go(spark):
+    from tidemark.llm import substring
+
+    short = "Hello there my friend. This is a test of it. See you all again."
+    rows = [(i, short) for i in range(5)] + [(5, "One sentence of words alone that stands on its line\nYes. No.\n"), (6, "One sentence of words alone that stands on its line\nYes. No.\n")]
+    rows += [(7, "Something before.\n" + short + "\nSomething after it."), (None, None), (8, "")]
+    got = {r.doc_id: r for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and all(got[i].text == "" for i in range(1, 5))
+    assert "friend" not in got[7].text and "before" in got[7].text and "after" in got[7].text
+    # one sentence a line is no run of several; the whole text, of three sentences, is
+    assert got[6].text == "" and got[5].n_removed == 0
+    assert substring.spans(b"Yes. No. Yes. No.") == [] and len(substring.spans(b"One sentence alone with some nine or ten words. ")) == 0
+
+
+def test_short_items_are_reported_and_ids_keep_their_type(spark):
+    from tidemark.llm import decontam
+
+    docs = spark.createDataFrame([(1, "they say the capital of Atlantis is under water " * 3), (2, "nothing of that kind here, only the capital"), (3, "The capital of Atlantis"), (4, None)] + [(i, f"word{i} and more of it {i} " * 9) for i in range(5, 60)], "doc_id long, text string")
+    items = spark.createDataFrame([("a1", "the capital of atlantis"), ("b", "word7 and more of it 7 word7 and more of it"), (None, "under water is")], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.short for r in decontam.leaks(docs, items).collect()}
+    assert got[1, "a1"] and got[3, "a1"] is False and got[7, "b"] is False and (2, "a1") not in got
+    kept = lambda **how: {r.doc_id for r in decontam.decontaminated(docs, items, **how).collect()}
+    assert {1, 2, 4} <= kept() and not kept() & {3, 7}
+    assert 1 not in kept(short=True) and {2, 4} <= kept(short=True)
+
+
+def test_mixing_makes_as_many_passes_as_most_allows(spark):
+    from tidemark.llm import mixing
+
+    docs = spark.createDataFrame([(i, "w " * (50 + i % 7), "s") for i in range(100)], "doc_id long, text string, source string")
+    got = mixing.taken(mixing.sized(docs), share=3.0, most=4.0).collect()
+    size = got[0].source_size
+    assert got[0].target == 3 * size and abs(sum(r.taken for r in got) - 3 * size) <= 3 * size / mixing.PACKETS + 1
+    assert max(r.taken / r.size for r in got) <= 4
+
+
+def test_caches_hold_short_words_only():
+    from tidemark.llm import tokens
+
+    t = tokens.Unigram()
+    texts = ["漢字" * 5000 + str(i) for i in range(5)] + ["plain words here"]
+    counts = [t.count(x) for x in texts]
+    assert counts[0] > 0 and sum(map(len, t)) < 1000 and [t.count(x) for x in texts] == counts
+
+
+def test_many_equal_rows_are_written_out_in_steps(spark, monkeypatch):
+    from tidemark.llm import licenses
+
+    monkeypatch.setattr(licenses, "COPIES", 7)
+    docs = spark.createDataFrame([(None, "")] * 50 + [(1, "all rights reserved")] * 15 + [(2, "x")], "doc_id long, text string")
+    got = licenses.scan(docs).groupBy("doc_id", "n_base").count().collect()
+    assert sorted((r.doc_id or 0, r.n_base, r["count"]) for r in got) == [(0, 0, 50), (1, 1, 15), (2, 0, 1)]
+
+
+def test_training_windows_are_bounded_in_all(spark, monkeypatch):
+    from tidemark.llm import langid
+
+    docs = spark.createDataFrame([(i, f"some text number {i} of it", f"l{i % 20}") for i in range(2000)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_WINDOWS", 600)
+    n = langid.training_windows(docs).count()
+    assert 0 < n <= 1200
+
+
+def test_short_noise_is_rejected():
+    import random
+    import string
+
+    import zstandard
+
+    from tidemark.llm import quality
+
+    rng, zip_ = random.Random(4), zstandard.ZstdCompressor(level=quality.LEVEL)
+    noise = lambda n: " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=rng.randrange(3, 9))) for _ in range(60))[:n]
+    kept = [quality.judge(noise(rng.randrange(145, 200)), zip_)[7] for _ in range(200)]
+    assert sum(kept) <= 4
+    prose = "it was a quiet day in the small town and the people who had come to see the market went home with what they had bought there in the early morning"
+    assert quality.judge(prose, zip_)[7]
