@@ -22,7 +22,7 @@ from .common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Characters of text that are split, indexed and encoded together; a piece of a longer text ends at white space.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 PIECE = 1_000_000
 #: Words kept between blocks: how many, and up to which length. Longer words are encoded where they stand.
 KEPT_WORDS, KEPT_LENGTH = 400_000, 64
@@ -287,7 +287,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, text: str = "text", out: st
     """docs with the ids of each whole text, an array of int; null and empty texts have none.
 
     Rows are encoded alone, so repeated rows agree; other columns stay, one named out is replaced. A task holds a block of
-    texts of about 4 million characters, or one text, at a time. The file at path is read on the executors."""
+    texts of about 2 million characters, or one text, at a time. The file at path is read on the executors."""
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("array<int>")
