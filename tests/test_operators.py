@@ -544,3 +544,55 @@ def test_few_rows_keep_the_threshold(spark):
         rows = spark.range(n).select((F.col("id") / 1000).alias("magnitude"), (F.col("id") / 900 - 0.01).alias("actual_magnitude"))
         got = scoring.sharpe_threshold(scoring.sharpe_grid(rows, 0.002, 0.015), 0.0049, 0.002, 0.015).first()
         assert (got.threshold == 0.0049) == (n < 20), n
+
+
+def test_models_are_chosen_with_enough_records(spark):
+    rows = [("a", "r", "m1", 5, 0.9), ("a", "r", "m2", 500, 0.2), ("b", "r", "m1", 5, 0.9), ("b", "r", "m2", 5, 0.1), ("c", "r", "m1", 400, 0.5), ("c", "r", "m2", 400, 0.4)]
+    perf = spark.createDataFrame(rows, "symbol string, regime string, model string, n long, score double")
+    got = {r.symbol: r.model for r in ensemble.selected_models(perf, 100).collect()}
+    assert got == {"a": "m2", "b": "m1", "c": "m1"}
+
+
+def known_regimes(spark, n=400):
+    """Features of four kinds of hours far apart from each other."""
+    rng, rows = np.random.default_rng(9), []
+    for i in range(4 * n):
+        kind = i % 4
+        ret, vol = ((0.02, 0.01), (-0.02, 0.01), (0.0, 0.004), (0.0, 0.08))[kind]
+        rows.append((kind, *(float(x) for x in (ret + rng.normal(0, 0.001), 3 * ret + rng.normal(0, 0.002), vol + rng.normal(0, 0.0005), 4 * abs(ret) + rng.normal(0, 0.002), rng.normal(0, 0.05)))))
+    return spark.createDataFrame(rows, "kind int, ret1 double, ret4 double, vol24 double, trend double, volume_change double")
+
+
+def test_mixture_finds_known_regimes(spark):
+    got = regime.fitted(known_regimes(spark)).groupBy("kind", "regime").count().collect()
+    most = {}
+    for r in got:
+        most[r.kind] = max(most.get(r.kind, (0, "")), (r["count"], r.regime))
+    assert {k: name for k, (_, name) in most.items()} == {0: "UP", 1: "DOWN", 2: "RANGING", 3: "HIGH_VOL"}
+    assert all(c >= 380 for c, _ in most.values())
+
+
+def test_boosting_learns_known_classes(spark):
+    from tidemark.operators import ml
+
+    d = spark.range(1500).select(F.lit("A").alias("symbol"), F.lit("60").alias("interval"), F.col("id").alias("ts"), F.sin(F.col("id")).alias("x"), F.cos(F.col("id") * 7).alias("noise"))
+    d = d.withColumns({"label": F.when(F.col("x") > 0.4, 0).when(F.col("x") < -0.4, 2).otherwise(1), "forward_pct": F.col("x") * 0.1}).cache()
+    got = ml.score(ml.fit_boosting(d, ["x", "noise"]), d, ["x", "noise"]).toPandas()
+    assert np.allclose(got[["prob_up", "prob_flat", "prob_down"]].sum(axis=1), 1)
+    names = np.array(["UP", "FLAT", "DOWN"])[got["label"]]
+    assert (got["direction"] == names).mean() > 0.97 and np.abs(got["magnitude"] - got["forward_pct"]).mean() < 0.01
+    few = ml.fit_boosting(d, ["x", "noise"], iterations=3)
+    importance = {r.feature_name: r.importance for r in ml.permutation_importance(few, d, ["x", "noise"], 2).collect()}
+    assert importance["x"] > 0.1 > abs(importance["noise"])
+
+
+def test_clusters_of_known_symbols(spark):
+    from tidemark.operators import ml
+
+    rng = np.random.default_rng(2)
+    rows = [(f"{kind}{i}", 100, float(m + rng.normal(0, 1e-5)), float(s), float(k), 3.0, float(a)) for kind, m, s, k, a in (("calm", 0.0, 0.01, 0.0, 0.0), ("wild", 0.0, 0.2, 2.0, -0.3), ("trend", 0.01, 0.05, 0.5, 0.4)) for i in range(12)]
+    got = ml.clusters(spark.createDataFrame(rows, "symbol string, n long, mean double, std double, skew double, kurtosis double, autocorrelation double"), 3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.symbol.rstrip("0123456789"), set()).add(r.cluster)
+    assert all(len(c) == 1 for c in by.values()) and len(set.union(*by.values())) == 3

@@ -18,8 +18,8 @@ def unscored(predictions: DataFrame) -> DataFrame:
     return predictions.where("scored_at IS NULL AND ts IS NOT NULL")
 
 
-def accuracy_report(scored: DataFrame, threshold: float) -> DataFrame:
-    """One row: total_preds, direction_accuracy, magnitude_mae, precision and recall of each class. Actual classes are made
+def accuracy_report(scored: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each value of by (the days of an accuracy log, say): total_preds, direction_accuracy, magnitude_mae, precision and recall of each class. Actual classes are made
     anew with the current threshold."""
     d = scored.withColumn("_a", direction("actual_magnitude", threshold))
     hit = F.col("_a") == F.col("direction")
@@ -28,7 +28,7 @@ def accuracy_report(scored: DataFrame, threshold: float) -> DataFrame:
         both = F.count_if((F.col("_a") == c) & (F.col("direction") == c))
         aggs.append(F.coalesce(F.try_divide(both, F.count_if(F.col("direction") == c)), F.lit(0.0)).alias(f"{c.lower()}_precision"))
         aggs.append(F.coalesce(F.try_divide(both, F.count_if(F.col("_a") == c)), F.lit(0.0)).alias(f"{c.lower()}_recall"))
-    return d.agg(*aggs).withColumn("flat_threshold_used", F.lit(threshold))
+    return d.groupBy(*(by or [])).agg(*aggs).withColumn("flat_threshold_used", F.lit(threshold))
 
 
 def best_and_worst(scored: DataFrame, n: int = 5, least: int = 3) -> DataFrame:

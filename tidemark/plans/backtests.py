@@ -417,11 +417,11 @@ def fitted_temperature(spark, d):
     return plain
 
 
-_PERF = """SELECT symbol, model, count(*) AS n, round(avg(magnitude), 9) AS score FROM model_predictions WHERE NOT (symbol = 'view' AND model <> 'm0' AND hour(ts) > 0) GROUP BY ALL"""
+_PERF = """SELECT symbol, model, count(*) AS n, round(avg(magnitude), 9) AS score FROM model_predictions GROUP BY ALL"""
 
 
 def model_performance(spark, d):
-    p = bars.model_predictions(spark, d).where("NOT (symbol = 'view' AND model <> 'm0' AND hour(ts) > 0)")
+    p = bars.model_predictions(spark, d)
     return p.groupBy("symbol", F.col("interval").alias("regime"), "model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("magnitude"), 9).alias("score"))
 
 
@@ -431,8 +431,8 @@ def model_performance_summary(spark, d):
 
 
 @query(
-    sql(f"""WITH p AS ({_PERF}), b AS (SELECT symbol, arg_max(model, (score, model)) AS model FROM p WHERE n >= 100 GROUP BY 1), t AS (SELECT arg_max(model, (round(m, 9), model)) AS top FROM (SELECT model, avg(score) AS m FROM p GROUP BY 1))
+    sql(f"""WITH p AS ({_PERF}), b AS (SELECT symbol, arg_max(model, (score, model)) AS model FROM p WHERE n >= 300 GROUP BY 1), t AS (SELECT arg_max(model, (round(m, 9), model)) AS top FROM (SELECT model, avg(score) AS m FROM p GROUP BY 1))
     SELECT s.symbol, coalesce(b.model, t.top) AS model FROM (SELECT DISTINCT symbol FROM p) s LEFT JOIN b USING (symbol) CROSS JOIN t""")
 )
 def selected_models(spark, d):
-    return ensemble.selected_models(model_performance(spark, d), 100).select("symbol", "model")
+    return ensemble.selected_models(model_performance(spark, d), 300).select("symbol", "model")

@@ -178,12 +178,14 @@ def order_book_walls(spark, d):
 
 
 @query(
-    sql(f"""WITH w AS (SELECT symbol, ts, list_max(bid_vols) AS b, list_max(ask_vols) AS a, (bid_vols[1] + ask_vols[1]) / 2 AS mid, ask_vols[1] - bid_vols[1] AS spread FROM order_book)
-    SELECT symbol, ts, {r('spread / mid', 'spread_pct')}, {r('(mid - b) / (mid / 50 + 1)', 'bid_wall_dist')}, {r('(a - mid) / (mid / 50 + 1)', 'ask_wall_dist')} FROM w""")
+    sql(f"""WITH w AS (SELECT symbol, ts, (bid_vols[1] + ask_vols[1]) / 2 AS mid, ask_vols[1] - bid_vols[1] AS spread, list_position(bid_vols, list_max(bid_vols)) AS b, list_position(ask_vols, list_max(ask_vols)) AS a FROM order_book)
+    SELECT symbol, ts, {r('spread / mid', 'spread_pct')}, {r('0.25 * b / (mid / 50 + 1)', 'bid_wall_dist')}, {r('0.5 * a / (mid / 50 + 1)', 'ask_wall_dist')} FROM w""")
 )
 def order_book_wall_distances(spark, d):
-    """How far the largest orders are from the mid price; volumes stand for the prices, a part of the mid price for the ATR."""
-    b = books(spark, d).withColumns({"bid_prices": F.col("bid_vols"), "ask_prices": F.col("ask_vols"), "atr": F.col("mid_price") / 50 + 1})
+    """How far the largest orders are from the mid price; bids are priced 0.25 apart under it, asks 0.5 apart over it, and a
+    part of the mid price stands for the ATR."""
+    level = lambda side, step: F.transform(f"{side}_vols", lambda _, i: F.col("mid_price") + (i + 1) * step)
+    b = books(spark, d).withColumns({"bid_prices": level("bid", -0.25), "ask_prices": level("ask", 0.5), "atr": F.col("mid_price") / 50 + 1})
     return side_features.wall_distances(b).select("symbol", "ts", "spread_pct", "bid_wall_dist", "ask_wall_dist")
 
 

@@ -325,14 +325,12 @@ def recent_interval_accuracy(spark, d):
 
 @query(
     sql(f"""SELECT CAST(scored_at AS DATE) AS run_date, count(*) AS total_preds, {r('avg(CAST(actual_direction = direction AS DOUBLE))', 'direction_accuracy')},
-    {r('avg(abs(magnitude - actual_magnitude))', 'magnitude_mae')} FROM scored GROUP BY 1 HAVING CAST(scored_at AS DATE) >= DATE '2024-01-21'""")
+    {r('avg(abs(magnitude - actual_magnitude))', 'magnitude_mae')}, {_prf('UP')}, {_prf('DOWN')}, {_prf('FLAT')}, CAST(0.5 AS DOUBLE) AS flat_threshold_used FROM scored GROUP BY 1 HAVING CAST(scored_at AS DATE) >= DATE '2024-01-21'""")
 )
 def accuracy_history(spark, d):
     """The daily accuracy log of the last ten days."""
-    s = scored(spark, d).where("scored_at IS NOT NULL")
-    error = F.avg(F.abs(F.col("magnitude") - F.col("actual_magnitude")))
-    log = s.groupBy(F.to_date("scored_at").alias("run_date")).agg(F.count(F.lit(1)).alias("total_preds"), F.avg(F.col("was_correct").cast("double")).alias("direction_accuracy"), error.alias("magnitude_mae"))
-    return scoring.accuracy_history(log, at("2024-01-31"), 10)
+    s = scored(spark, d).where("scored_at IS NOT NULL").withColumn("run_date", F.to_date("scored_at"))
+    return scoring.accuracy_history(scoring.accuracy_report(s, 0.5, ["run_date"]), at("2024-01-31"), 10)
 
 
 @query(sql(f"""SELECT symbol, n AS n_preds, {r('e', 'error_rate')}, {r('least(5, 1 + e / avg(e) OVER ())', 'weight')} FROM (SELECT symbol, count(*) AS n, 1 - avg(CAST(actual_direction = direction AS DOUBLE)) AS e FROM scored GROUP BY 1 HAVING count(*) >= 5)"""))
@@ -425,18 +423,18 @@ def low_importance_features(spark, d):
 
 @query(
     sql(f"""WITH {_IMP} SELECT "interval", feature_name, count(*) FILTER (WHERE g IS NULL OR run_date > g) AS below_count, count(*) FILTER (WHERE g IS NULL OR run_date > g) >= 3 AS is_retired
-    FROM (SELECT *, max(CASE WHEN importance >= 0.02 THEN run_date END) OVER (PARTITION BY "interval", feature_name) AS g FROM imp) GROUP BY 1, 2""")
+    FROM (SELECT *, max(CASE WHEN importance >= 0.04 THEN run_date END) OVER (PARTITION BY "interval", feature_name) AS g FROM imp) GROUP BY 1, 2""")
 )
 def feature_retirement(spark, d):
-    return scoring.retirement(importance(spark, d), 0.02)
+    return scoring.retirement(importance(spark, d), 0.04)
 
 
 @query(
-    sql(f"""WITH {_IMP} SELECT feature_name FROM (SELECT *, max(CASE WHEN importance >= 0.02 THEN run_date END) OVER (PARTITION BY "interval", feature_name) AS g FROM imp)
+    sql(f"""WITH {_IMP} SELECT feature_name FROM (SELECT *, max(CASE WHEN importance >= 0.04 THEN run_date END) OVER (PARTITION BY "interval", feature_name) AS g FROM imp)
     GROUP BY 1 HAVING count(*) FILTER (WHERE g IS NULL OR run_date > g) >= 3""")
 )
 def retired_features(spark, d):
-    return scoring.retired_features(scoring.retirement(importance(spark, d), 0.02), "60")
+    return scoring.retired_features(scoring.retirement(importance(spark, d), 0.04), "60")
 
 
 @query(
