@@ -324,3 +324,16 @@ def test_short_noise_is_rejected():
     assert sum(kept) <= 4
     prose = "it was a quiet day in the small town and the people who had come to see the market went home with what they had bought there in the early morning"
     assert quality.judge(prose, zip_)[7]
+
+
+def test_license_names_and_versions(spark):
+    from tidemark.llm import licenses
+
+    header = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"
+    want = {
+        "GPL version 3": "gpl-3", "GNU GPL version 2 or later": "gpl-2", "License: Apache 2": "apache-2.0", "License: MIT": "mit", "Boost Software License 1.0": "boost",
+        "Artistic License 2.0": "artistic-2.0", "Attribution-NonCommercial 4.0 International": "cc-by-nc", header: "gpl,gpl-3", "CC BY-ND-NC": "cc-by,cc-by-nc-nd",
+        "SPDX-License-Identifier: ISC OR MIT": "isc,mit", "MPL 1 1 in the match": "", "EPL 2-0 win": "", "licensed under the MPL 2.0": "mpl-2.0", "LGPL v2.1": "lgpl-2.1",
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == list(want.values())

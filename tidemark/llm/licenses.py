@@ -13,26 +13,51 @@ _CC = {"nc": ("nc", "noncommercial", "non commercial"), "sa": ("sa", "sharealike
 _GNU = {"gpl": ("gpl", "general public license"), "lgpl": ("lgpl", "lesser general public license"), "agpl": ("agpl", "affero general public license")}
 
 
+#: Names as license identifiers write them, with their labels.
+_SPDX = {"mit": "mit", "isc": "isc", "unlicense": "unlicense", "apache 2 0": "apache-2.0", "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "mpl 2 0": "mpl-2.0", "epl 2 0": "epl-2.0", "cc0 1 0": "cc0", "bsl 1 0": "boost"}
+#: What stands before or after a bare name and number that could be anything else: scores of games, say.
+_NAMED = ("license {}", "licence {}", "license is {}", "licensed under {}", "licensed under the {}", "under the {}", "{} license", "{} licence", "license identifier {}")
+
+
 def _short() -> dict[str, tuple[str, ...]]:
     """Names of licenses with the words that tell their versions and kinds apart; all their words must stand in a row."""
-    out = {
-        "mit": ("mit license", "mit licence", "license identifier mit"),
-        "isc": ("isc license", "license identifier isc"),
-        "unlicense": ("license identifier unlicense",),
+    out: dict[str, tuple[str, ...]] = {
+        "mit": ("mit license", "mit licence", "license mit", "licence mit", "licensed under mit", "under the mit"),
+        "isc": ("isc license", "isc licence", "license isc", "under the isc"),
         "cc0": ("cc0 1 0", "creative commons zero"),
         "bsd-2": ("bsd 2 clause", "simplified bsd license"),
         "bsd-3": ("bsd 3 clause", "new bsd license"),
+        "boost": ("boost software license",),
+        "artistic": ("artistic license 1 0", "artistic license version 1 0"),
+        "artistic-2.0": ("artistic license 2 0", "artistic license version 2 0", "artistic license 2"),
     }
+
+    def add(label: str, *phrases: str) -> None:
+        out[label] = tuple(dict.fromkeys((*out.get(label, ()), *phrases)))
+
     for name, label, versions in (("apache", "apache", ("1 1", "2 0")), ("mozilla public", "mpl", ("1 1", "2 0")), ("eclipse public", "epl", ("1 0", "2 0"))):
         for v in versions:
-            out[f"{label}-{v.replace(' ', '.')}"] = (f"{name} license version {v}", f"{name} license v {v}", f"{name} license {v}", f"{label} {v}")
+            own = f"{label}-{v.replace(' ', '.')}"
+            add(own, f"{name} license version {v}", f"{name} license v {v}", f"{name} license v{v}", f"{name} license {v}", *(c.format(f"{label} {v}") for c in _NAMED))
+    add("apache-2.0", "apache license version 2", *(c.format("apache 2") for c in _NAMED))
     for label, (short, name) in _GNU.items():
         for v in ("2", "2 1", "3"):
-            exact = (f"{name} version {v}", f"{name} v{v}", f"{short} {v}", f"{short} v{v}") + (() if " " in v else (f"{short} {v} 0",))
-            out[f"{label}-{v.replace(' ', '.')}"] = exact
+            own = f"{label}-{v.replace(' ', '.')}"
+            add(own, f"{name} version {v}", f"{name} v{v}", f"{name} v {v}", f"{short} {v}", f"{short} v{v}", f"{short} v {v}", f"{short} version {v}")
+            add(own, f"{name} as published by the free software foundation either version {v}", f"{name} as published by the free software foundation version {v}")
+            if " " not in v:
+                add(own, f"{short} {v} 0")
     for kinds in (("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")):
-        forms = [" ".join(_CC[k][i] for k in kinds) for i in range(3)]
-        out["cc-by-" + "-".join(kinds)] = (f"cc by {forms[0]}", *(f"creative commons attribution {f}" for f in forms[1:]))
+        own = "cc-by-" + "-".join(kinds)
+        for order in dict.fromkeys((kinds, kinds[::-1])):
+            forms = [" ".join(_CC[k][i] for k in order) for i in range(3)]
+            add(own, f"cc by {forms[0]}", *(f"creative commons attribution {f}" for f in forms[1:]))
+            add(own, *(f"attribution {f} {v}" for f in forms[1:] for v in ("2 0", "2 5", "3 0", "4 0")))
+    for name, label in _SPDX.items():
+        add(label, f"license identifier {name}")
+        for other in _SPDX:
+            if other != name:  # the first of the two has its label from the identifier before it
+                add(label, f"{other} or {name}", f"{other} and {name}")
     return out
 
 
