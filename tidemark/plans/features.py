@@ -21,8 +21,10 @@ def _pos(n: int) -> str:
 
 
 @query(
-    sql(f"""SELECT {IDS}, {r('-100 * ' + div(roll('max', 'high', 14) + ' - close', roll('max', 'high', 14) + ' - ' + roll('min', 'low', 14)), 'williams_r')}, {r('100 * ' + pct('close', 12), 'roc_12')},
-    {', '.join(r(pct('close', k), f'pct_change_{k}') for k in (1, 4, 24, 72, 168))}, {r(_pos(48), 'price_position_48')}, {r(_pos(168), 'price_position_168')}, {r(pct('close', 4) + ' - ' + pct('close', 24) + ' / 6', 'momentum_accel')} FROM candles_60""")
+    sql(f"""SELECT {IDS}, {r('-100 * ' + div(roll('max', 'high', 14) + ' - close', roll('max', 'high', 14) + ' - ' + roll('min', 'low', 14)), 'williams_r')},
+        {r('100 * ' + pct('close', 12), 'roc_12')},
+    {', '.join(r(pct('close', k), f'pct_change_{k}') for k in (1, 4, 24, 72, 168))}, {r(_pos(48), 'price_position_48')}, {r(_pos(168), 'price_position_168')},
+    {r(pct('close', 4) + ' - ' + pct('close', 24) + ' / 6', 'momentum_accel')} FROM candles_60""")
 )
 def momentum_indicators(spark, d):
     names = ["williams_r", "roc_12", *[f"pct_change_{k}" for k in (1, 4, 24, 72, 168)], "price_position_48", "price_position_168", "momentum_accel"]
@@ -37,19 +39,24 @@ def momentum_in_pieces(spark, d):
 
 
 @query(
-    sql(f"""WITH b AS (SELECT *, {roll('avg', 'close', 20)} AS mid, {roll('stddev_pop', 'close', 20)} AS sd, {roll('avg', '((4 * high - 2 * low + close) / 3)', 20)} AS ku, {roll('avg', '((-2 * high + 4 * low + close) / 3)', 20)} AS kl FROM candles_60)
-    SELECT {IDS}, {r('100 * ' + div('4 * sd', 'mid'), 'bb_width')}, {r(div('close - (mid - 2 * sd)', '4 * sd'), 'bb_pct')}, {r(div('ku - kl', 'close'), 'kc_width')} FROM b""")
+    sql(f"""WITH b AS (SELECT *, {roll('avg', 'close', 20)} AS mid, {roll('stddev_pop', 'close', 20)} AS sd,
+        {roll('avg', '((4 * high - 2 * low + close) / 3)', 20)} AS ku, {roll('avg', '((-2 * high + 4 * low + close) / 3)', 20)} AS kl FROM candles_60)
+    SELECT {IDS}, {r('100 * ' + div('4 * sd', 'mid'), 'bb_width')}, {r(div('close - (mid - 2 * sd)', '4 * sd'), 'bb_pct')},
+    {r(div('ku - kl', 'close'), 'kc_width')} FROM b""")
 )
 def band_indicators(spark, d):
     return indicators.bands(H(spark, d)).select(*ID, "bb_width", "bb_pct", "kc_width")
 
 
 _VOLUME = (
-    f"""WITH b AS (SELECT *, sum(CASE WHEN close < pc THEN -volume ELSE volume END) OVER ({S} ROWS UNBOUNDED PRECEDING) AS obv, sum(coalesce({div('volume * ((close - low) - (high - close))', 'high - low')}, 0)) OVER ({S} ROWS UNBOUNDED PRECEDING) AS ad
+    f"""WITH b AS (SELECT *, sum(CASE WHEN close < pc THEN -volume ELSE volume END) OVER ({S} ROWS UNBOUNDED PRECEDING) AS obv,
+        sum(coalesce({div('volume * ((close - low) - (high - close))', 'high - low')}, 0)) OVER ({S} ROWS UNBOUNDED PRECEDING) AS ad
       FROM (SELECT *, lag(close) OVER ({S}) AS pc, (high + low + close) / 3 AS tp FROM candles_60)),
     v AS (SELECT *, {div('volume', roll('avg', 'volume', 20))} AS ratio20, abs({pct('close')}) AS mv FROM b)
-    SELECT {IDS}, {r('ratio20', 'vol_sma_ratio', 4)}, {r(z('volume', 20), 'vol_z_score', 4)}, {r(pct('obv', 5), 'obv_roc', 4)}, {r(pct('ad', 5), 'acc_dist_roc', 4)},
-      {r(div(f"sum(tp * volume) OVER {w(24)}", f"sum(volume) OVER {w(24)}"), 'vwap', 4)}, {r(div('ratio20', 'CASE WHEN mv <> 0 THEN 100 * mv + 0.01 END'), 'vol_price_ratio', 4)} FROM v"""
+    SELECT {IDS}, {r('ratio20', 'vol_sma_ratio', 4)}, {r(z('volume', 20), 'vol_z_score', 4)}, {r(pct('obv', 5), 'obv_roc', 4)},
+    {r(pct('ad', 5), 'acc_dist_roc', 4)},
+      {r(div(f"sum(tp * volume) OVER {w(24)}", f"sum(volume) OVER {w(24)}"), 'vwap', 4)},
+      {r(div('ratio20', 'CASE WHEN mv <> 0 THEN 100 * mv + 0.01 END'), 'vol_price_ratio', 4)} FROM v"""
 )
 VOLUME = ("vol_sma_ratio", "vol_z_score", "obv_roc", "acc_dist_roc", "vwap", "vol_price_ratio")
 
@@ -65,20 +72,30 @@ def volume_indicators(spark, d):
     return indicators.volume(H(spark, d)).select(*ID, *VOLUME)
 
 
-@query(sql(f"""SELECT {IDS}, {r(div('close - open', 'high - low'), 'candle_body_ratio')}, {r(div('high - greatest(open, close)', 'high - low'), 'upper_wick_ratio')}, {r(div('least(open, close) - low', 'high - low'), 'lower_wick_ratio')} FROM candles_60"""))
+@query(sql(f"""SELECT {IDS}, {r(div('close - open', 'high - low'), 'candle_body_ratio')},
+    {r(div('high - greatest(open, close)', 'high - low'), 'upper_wick_ratio')}, {r(div('least(open, close) - low', 'high - low'), 'lower_wick_ratio')}
+    FROM candles_60"""))
 def candle_shapes(spark, d):
     return indicators.shape(H(spark, d)).select(*ID, "candle_body_ratio", "upper_wick_ratio", "lower_wick_ratio")
 
 
 # One pass over the rows of every symbol, by number: averages in a row are each other's input.
-_RECURSIVE = f"""WITH n AS (SELECT *, row_number() OVER ({S}) AS i, lag(close) OVER ({S}) AS pc, lag(high) OVER ({S}) AS ph, lag(low) OVER ({S}) AS pl FROM candles_60),
-  m AS (SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS up, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS dn,
-    CASE WHEN ph IS NULL THEN NULL WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pdm, CASE WHEN ph IS NULL THEN NULL WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS ndm FROM n),
-  k AS (SELECT *, avg(tr) OVER {w(14)} AS tr14, avg(CASE WHEN i > 1 THEN tr END) OVER {w(14)} AS trb14, avg(pdm) OVER {w(14)} AS pdm14, avg(ndm) OVER {w(14)} AS ndm14 FROM m),
-  rec AS (SELECT symbol, "interval", i, ts, close, close AS e9, close AS e12, close AS e21, close AS e26, close AS e50, CAST(NULL AS DOUBLE) AS atr, CAST(NULL AS DOUBLE) AS atr1, CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS q, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS v FROM k WHERE i = 1
-    UNION ALL SELECT k.symbol, k."interval", k.i, k.ts, k.close, r.e9 + (k.close - r.e9) * 2 / 10, r.e12 + (k.close - r.e12) * 2 / 13, r.e21 + (k.close - r.e21) * 2 / 22, r.e26 + (k.close - r.e26) * 2 / 27, r.e50 + (k.close - r.e50) * 2 / 51,
-      CASE WHEN k.i = 14 THEN k.tr14 WHEN k.i > 14 THEN r.atr + (k.tr - r.atr) / 14 END, CASE WHEN k.i = 15 THEN k.trb14 WHEN k.i > 15 THEN r.atr1 + (k.tr - r.atr1) / 14 END,
-      CASE WHEN k.i = 15 THEN k.pdm14 WHEN k.i > 15 THEN r.p + (k.pdm - r.p) / 14 END, CASE WHEN k.i = 15 THEN k.ndm14 WHEN k.i > 15 THEN r.q + (k.ndm - r.q) / 14 END,
+_RECURSIVE = f"""WITH n AS (SELECT *, row_number() OVER ({S}) AS i, lag(close) OVER ({S}) AS pc, lag(high) OVER ({S}) AS ph, lag(low) OVER ({S}) AS pl
+    FROM candles_60),
+  m AS (SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, CASE
+  WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS up, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS dn,
+    CASE WHEN ph IS NULL THEN NULL WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pdm, CASE WHEN ph IS NULL THEN NULL
+    WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS ndm FROM n),
+  k AS (SELECT *, avg(tr) OVER {w(14)} AS tr14, avg(CASE WHEN i > 1 THEN tr END) OVER {w(14)} AS trb14, avg(pdm) OVER {w(14)} AS pdm14, avg(ndm)
+  OVER {w(14)} AS ndm14 FROM m),
+  rec AS (SELECT symbol, "interval", i, ts, close, close AS e9, close AS e12, close AS e21, close AS e26, close AS e50, CAST(NULL AS DOUBLE) AS atr,
+  CAST(NULL AS DOUBLE) AS atr1, CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS q, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS v FROM k WHERE i = 1
+    UNION ALL SELECT k.symbol, k."interval", k.i, k.ts, k.close, r.e9 + (k.close - r.e9) * 2 / 10, r.e12 + (k.close - r.e12) * 2 / 13, r.e21 + (k.close - r.e21)
+    * 2 / 22, r.e26 + (k.close - r.e26) * 2 / 27, r.e50 + (k.close - r.e50) * 2 / 51,
+      CASE WHEN k.i = 14 THEN k.tr14 WHEN k.i > 14 THEN r.atr + (k.tr - r.atr) / 14 END, CASE WHEN k.i = 15 THEN k.trb14
+      WHEN k.i > 15 THEN r.atr1 + (k.tr - r.atr1) / 14 END,
+      CASE WHEN k.i = 15 THEN k.pdm14 WHEN k.i > 15 THEN r.p + (k.pdm - r.p) / 14 END, CASE WHEN k.i = 15 THEN k.ndm14 WHEN k.i > 15 THEN r.q + (k.ndm - r.q)
+      / 14 END,
       CASE WHEN k.i = 2 THEN k.up ELSE r.u + (k.up - r.u) / 14 END, CASE WHEN k.i = 2 THEN k.dn ELSE r.v + (k.dn - r.v) / 14 END
     FROM rec r JOIN k ON k.symbol = r.symbol AND k."interval" = r."interval" AND k.i = r.i + 1)"""
 
@@ -89,22 +106,28 @@ def exponential_averages(spark, d):
 
 
 @query(
-    sql(f"""{_RECURSIVE} SELECT {IDS}, {r('atr', 'atr')}, {r('atr / close', 'atr_pct')}, {r('CASE WHEN i < 14 THEN NULL WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END', 'rsi_14')}, {r('100 * p / nullif(atr1, 0)', 'adx_pos')}, {r('100 * q / nullif(atr1, 0)', 'adx_neg')},
-    {r('(CASE WHEN i >= 26 THEN e12 - e26 END) / close', 'macd_norm')}, {r('(close - CASE WHEN i >= 21 THEN e21 END) / nullif(atr, 0)', 'ema_21_dist')}, coalesce(CAST(CASE WHEN i >= 21 THEN e9 > e21 END AS DOUBLE), 0) AS ema_9_21_cross FROM rec""", recursive=True)
+    sql(f"""{_RECURSIVE} SELECT {IDS}, {r('atr', 'atr')}, {r('atr / close', 'atr_pct')},
+        {r('CASE WHEN i < 14 THEN NULL WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END', 'rsi_14')}, {r('100 * p / nullif(atr1, 0)', 'adx_pos')},
+        {r('100 * q / nullif(atr1, 0)', 'adx_neg')},
+    {r('(CASE WHEN i >= 26 THEN e12 - e26 END) / close', 'macd_norm')}, {r('(close - CASE WHEN i >= 21 THEN e21 END) / nullif(atr, 0)', 'ema_21_dist')},
+    coalesce(CAST(CASE WHEN i >= 21 THEN e9 > e21 END AS DOUBLE), 0) AS ema_9_21_cross FROM rec""", recursive=True)
 )
 def trend_indicators(spark, d):
     return indicators.trend(H(spark, d)).select(*ID, "atr", "atr_pct", "rsi_14", "adx_pos", "adx_neg", "macd_norm", "ema_21_dist", "ema_9_21_cross")
 
 
-_SECOND = f"""{_RECURSIVE}, x AS (SELECT *, CASE WHEN i >= 15 THEN coalesce(100 * abs(100 * p / nullif(atr1, 0) - 100 * q / nullif(atr1, 0)) / nullif(100 * p / nullif(atr1, 0) + 100 * q / nullif(atr1, 0), 0), 0) END AS dx, CASE WHEN i >= 26 THEN e12 - e26 END AS macd FROM rec),
+_SECOND = f"""{_RECURSIVE}, x AS (SELECT *, CASE WHEN i >= 15 THEN coalesce(100 * abs(100 * p / nullif(atr1, 0) - 100 * q / nullif(atr1, 0))
+    / nullif(100 * p / nullif(atr1, 0) + 100 * q / nullif(atr1, 0), 0), 0) END AS dx, CASE WHEN i >= 26 THEN e12 - e26 END AS macd FROM rec),
     y AS (SELECT *, avg(dx) OVER {w(14)} AS dx14 FROM x),
     z AS (SELECT symbol, "interval", i, ts, close, macd, macd AS sig, CAST(NULL AS DOUBLE) AS adx FROM y WHERE i = 1 UNION ALL
-      SELECT y.symbol, y."interval", y.i, y.ts, y.close, y.macd, CASE WHEN y.i <= 26 THEN y.macd ELSE z.sig + (y.macd - z.sig) * 2 / 10 END, CASE WHEN y.i = 28 THEN y.dx14 WHEN y.i > 28 THEN z.adx + (y.dx - z.adx) / 14 END
+      SELECT y.symbol, y."interval", y.i, y.ts, y.close, y.macd, CASE WHEN y.i <= 26 THEN y.macd ELSE z.sig + (y.macd - z.sig) * 2 / 10 END, CASE
+      WHEN y.i = 28 THEN y.dx14 WHEN y.i > 28 THEN z.adx + (y.dx - z.adx) / 14 END
       FROM z JOIN y ON y.symbol = z.symbol AND y."interval" = z."interval" AND y.i = z.i + 1)"""
 
 
 @query(
-    sql(f"""{_SECOND} SELECT {IDS}, {r('adx', 'adx')}, {r('CASE WHEN i >= 34 THEN sig END / close', 'macd_signal_norm')}, {r('(macd - CASE WHEN i >= 34 THEN sig END) / close', 'macd_hist_norm')} FROM z""", recursive=True)
+    sql(f"""{_SECOND} SELECT {IDS}, {r('adx', 'adx')}, {r('CASE WHEN i >= 34 THEN sig END / close', 'macd_signal_norm')},
+        {r('(macd - CASE WHEN i >= 34 THEN sig END) / close', 'macd_hist_norm')} FROM z""", recursive=True)
 )
 def second_order_indicators(spark, d):
     return indicators.trend(H(spark, d)).select(*ID, "adx", "macd_signal_norm", "macd_hist_norm")
@@ -133,18 +156,23 @@ _INDICATORS = {
     "atr_expansion": div("atr", roll("avg", "atr", 48)), "vol_price_ratio": div("ratio20", "CASE WHEN mv <> 0 THEN 100 * mv + 0.01 END"),
 }
 _ALL = f"""{_SECOND},
-  w0 AS (SELECT *, lag(close) OVER ({S}) AS pc, (high + low + close) / 3 AS tp, {roll('max', 'high', 14)} AS h14, {roll('min', 'low', 14)} AS l14, {roll('avg', 'close', 20)} AS mid, {roll('stddev_pop', 'close', 20)} AS sd,
+  w0 AS (SELECT *, lag(close) OVER ({S}) AS pc, (high + low + close) / 3 AS tp, {roll('max', 'high', 14)} AS h14, {roll('min', 'low', 14)} AS l14,
+  {roll('avg', 'close', 20)} AS mid, {roll('stddev_pop', 'close', 20)} AS sd,
     {roll('avg', '((4 * high - 2 * low + close) / 3)', 20)} AS ku, {roll('avg', '((-2 * high + 4 * low + close) / 3)', 20)} AS kl FROM candles_60),
-  w1 AS (SELECT *, sum(CASE WHEN close < pc THEN -volume ELSE volume END) OVER ({S} ROWS UNBOUNDED PRECEDING) AS obv, sum(coalesce({div('volume * ((close - low) - (high - close))', 'high - low')}, 0)) OVER ({S} ROWS UNBOUNDED PRECEDING) AS ad,
-    {div('volume', roll('avg', 'volume', 20))} AS ratio20, abs({pct('close')}) AS mv, {div(f"sum(tp * volume) OVER {w(24)}", f"sum(volume) OVER {w(24)}")} AS vwap FROM w0),
-  w2 AS (SELECT w1.*, rec.i, e9, e21, e50, atr, atr1, p, q, CASE WHEN rec.i < 14 THEN NULL WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END AS rsi, z.macd, z.sig, z.adx
+  w1 AS (SELECT *, sum(CASE WHEN close < pc THEN -volume ELSE volume END) OVER ({S} ROWS UNBOUNDED PRECEDING) AS obv,
+  sum(coalesce({div('volume * ((close - low) - (high - close))', 'high - low')}, 0)) OVER ({S} ROWS UNBOUNDED PRECEDING) AS ad,
+    {div('volume', roll('avg', 'volume', 20))} AS ratio20, abs({pct('close')}) AS mv,
+    {div(f"sum(tp * volume) OVER {w(24)}", f"sum(volume) OVER {w(24)}")} AS vwap FROM w0),
+  w2 AS (SELECT w1.*, rec.i, e9, e21, e50, atr, atr1, p, q, CASE WHEN rec.i < 14 THEN NULL WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END AS rsi, z.macd,
+  z.sig, z.adx
     FROM w1 JOIN rec USING (symbol, "interval", ts) JOIN z USING (symbol, "interval", ts)),
   w3 AS (SELECT *, {div(f"rsi - {roll('min', 'rsi', 14)}", f"{roll('max', 'rsi', 14)} - {roll('min', 'rsi', 14)}")} AS stoch FROM w2),
   w4 AS (SELECT *, {roll('avg', 'stoch', 3)} AS stoch_k FROM w3)"""
 
 
 @query(
-    sql(f"""{_ALL} SELECT {IDS}, {', '.join(r(c, c, 4) for c in ('open', 'high', 'low', 'close', 'volume', 'atr'))}, {', '.join(r(x, n, 4) for n, x in _INDICATORS.items())} FROM w4""", recursive=True),
+    sql(f"""{_ALL} SELECT {IDS}, {', '.join(r(c, c, 4) for c in ('open', 'high', 'low', 'close', 'volume', 'atr'))},
+        {', '.join(r(x, n, 4) for n, x in _INDICATORS.items())} FROM w4""", recursive=True),
     digits=4,
 )
 def all_indicators(spark, d):
@@ -162,7 +190,8 @@ def books(spark, d):
 
 
 @query(
-    sql(f"""SELECT symbol, ts, {r('i', 'ob_imbalance', 4)}, {r('s', 'ob_spread_bps', 4)}, {r('dr', 'ob_depth_ratio', 4)}, {r('td', 'ob_total_depth', 4)}, {r('i - ' + lag('i', 1, 'symbol'), 'ob_imbalance_change', 4)}, {r('s - ' + lag('s', 1, 'symbol'), 'ob_spread_change', 4)} FROM {_OB}"""),
+    sql(f"""SELECT symbol, ts, {r('i', 'ob_imbalance', 4)}, {r('s', 'ob_spread_bps', 4)}, {r('dr', 'ob_depth_ratio', 4)}, {r('td', 'ob_total_depth', 4)},
+        {r('i - ' + lag('i', 1, 'symbol'), 'ob_imbalance_change', 4)}, {r('s - ' + lag('s', 1, 'symbol'), 'ob_spread_change', 4)} FROM {_OB}"""),
     digits=4,
 )
 def order_book_features(spark, d):
@@ -170,16 +199,21 @@ def order_book_features(spark, d):
 
 
 @query(
-    sql(f"""SELECT symbol, ts, {r('list_max(bid_vols) / (list_sum(bid_vols) / len(bid_vols))', 'bid_wall_ratio')}, {r('list_max(ask_vols) / (list_sum(ask_vols) / len(ask_vols))', 'ask_wall_ratio')}, CAST(list_position(bid_vols, list_max(bid_vols)) AS BIGINT) AS bid_wall_level,
-    {r('list_sum(list_transform(bid_vols, lambda x: x * x)) / (list_sum(bid_vols) * list_sum(bid_vols))', 'bid_concentration')}, {r(f"{_B} / ({_B} + {_A}) - lag({_B} / ({_B} + {_A}), 4) OVER (PARTITION BY symbol ORDER BY ts)", 'imbalance_delta')} FROM order_book""")
+    sql(f"""SELECT symbol, ts, {r('list_max(bid_vols) / (list_sum(bid_vols) / len(bid_vols))', 'bid_wall_ratio')},
+        {r('list_max(ask_vols) / (list_sum(ask_vols) / len(ask_vols))', 'ask_wall_ratio')}, CAST(list_position(bid_vols, list_max(bid_vols)) AS BIGINT)
+        AS bid_wall_level,
+    {r('list_sum(list_transform(bid_vols, lambda x: x * x)) / (list_sum(bid_vols) * list_sum(bid_vols))', 'bid_concentration')},
+    {r(f"{_B} / ({_B} + {_A}) - lag({_B} / ({_B} + {_A}), 4) OVER (PARTITION BY symbol ORDER BY ts)", 'imbalance_delta')} FROM order_book""")
 )
 def order_book_walls(spark, d):
     return side_features.book_walls(bars.order_book(spark, d)).select("symbol", "ts", "bid_wall_ratio", "ask_wall_ratio", F.col("bid_wall_level").cast("long").alias("bid_wall_level"), "bid_concentration", "imbalance_delta")
 
 
 @query(
-    sql(f"""WITH w AS (SELECT symbol, ts, (bid_vols[1] + ask_vols[1]) / 2 AS mid, ask_vols[1] - bid_vols[1] AS spread, list_position(bid_vols, list_max(bid_vols)) AS b, list_position(ask_vols, list_max(ask_vols)) AS a FROM order_book)
-    SELECT symbol, ts, {r('spread / mid', 'spread_pct')}, {r('0.25 * b / (mid / 50 + 1)', 'bid_wall_dist')}, {r('0.5 * a / (mid / 50 + 1)', 'ask_wall_dist')} FROM w""")
+    sql(f"""WITH w AS (SELECT symbol, ts, (bid_vols[1] + ask_vols[1]) / 2 AS mid, ask_vols[1] - bid_vols[1] AS spread, list_position(bid_vols,
+        list_max(bid_vols)) AS b, list_position(ask_vols, list_max(ask_vols)) AS a FROM order_book)
+    SELECT symbol, ts, {r('spread / mid', 'spread_pct')}, {r('0.25 * b / (mid / 50 + 1)', 'bid_wall_dist')}, {r('0.5 * a / (mid / 50 + 1)', 'ask_wall_dist')}
+    FROM w""")
 )
 def order_book_wall_distances(spark, d):
     """How far the largest orders are from the mid price; bids are priced 0.25 apart under it, asks 0.5 apart over it, and a
@@ -190,26 +224,32 @@ def order_book_wall_distances(spark, d):
 
 
 @query(
-    sql(f"""WITH t AS (SELECT *, long_vol + short_vol + 1e-10 AS tot FROM derivatives) SELECT symbol, ts, {r(pct('oi_close', 1, 'symbol'), 'oi_change_pct')}, {r(z('oi_close', 168, None, 'symbol'), 'oi_zscore')}, {r('(long_vol - short_vol) / tot', 'liq_imbalance')},
-    {r(div('tot', roll('avg', 'tot', 24, None, 'symbol')), 'liq_spike')}, {r('ratio', 'ls_ratio')}, {r(z('ratio', 24, None, 'symbol'), 'ls_ratio_extreme')} FROM t""")
+    sql(f"""WITH t AS (SELECT *, long_vol + short_vol + 1e-10 AS tot FROM derivatives) SELECT symbol, ts, {r(pct('oi_close', 1, 'symbol'), 'oi_change_pct')},
+        {r(z('oi_close', 168, None, 'symbol'), 'oi_zscore')}, {r('(long_vol - short_vol) / tot', 'liq_imbalance')},
+    {r(div('tot', roll('avg', 'tot', 24, None, 'symbol')), 'liq_spike')}, {r('ratio', 'ls_ratio')}, {r(z('ratio', 24, None, 'symbol'), 'ls_ratio_extreme')}
+    FROM t""")
 )
 def derivatives_features(spark, d):
     return side_features.derivatives(bars.derivatives(spark, d)).select("symbol", "ts", *side_features.DERIVATIVES)
 
 
 @query(
-    sql(f"""SELECT symbol, ts, {r('funding_rate', 'fr_rate')}, {r(z('funding_rate', 24, None, 'symbol'), 'fr_rate_zscore')}, {r('funding_rate - ' + lag('funding_rate', 1, 'symbol'), 'fr_rate_momentum')}, {r('(mark_price - last_price) / nullif(last_price, 0)', 'fr_mark_spot_divergence')} FROM funding""")
+    sql(f"""SELECT symbol, ts, {r('funding_rate', 'fr_rate')}, {r(z('funding_rate', 24, None, 'symbol'), 'fr_rate_zscore')},
+        {r('funding_rate - ' + lag('funding_rate', 1, 'symbol'), 'fr_rate_momentum')},
+        {r('(mark_price - last_price) / nullif(last_price, 0)', 'fr_mark_spot_divergence')} FROM funding""")
 )
 def funding_features(spark, d):
     return side_features.funding(bars.funding(spark, d), 24).select("symbol", "ts", *side_features.FUNDING)
 
 
 _LD = f"""WITH rt AS (SELECT *, {pct('close')} AS ret FROM candles_60), mk AS (SELECT "interval", ts, sum(volume) AS market FROM candles_60 GROUP BY ALL),
-  j AS (SELECT rt.symbol, rt."interval", rt.ts, rt.ret, l.ret AS lret, l.volume AS lvol, mk.market FROM rt JOIN mk ON rt.ts = mk.ts AND rt."interval" = mk."interval" LEFT JOIN (SELECT * FROM rt WHERE symbol = 'click') l ON rt.ts = l.ts)"""
+  j AS (SELECT rt.symbol, rt."interval", rt.ts, rt.ret, l.ret AS lret, l.volume AS lvol, mk.market FROM rt JOIN mk ON rt.ts = mk.ts
+  AND rt."interval" = mk."interval" LEFT JOIN (SELECT * FROM rt WHERE symbol = 'click') l ON rt.ts = l.ts)"""
 
 
 @query(
-    sql(f"""{_LD} SELECT {IDS}, {r('lret', 'btc_return_1h')}, {r('lvol / nullif(market, 0)', 'btc_dominance_proxy')}, {r(f'''CASE WHEN count(CASE WHEN ret IS NOT NULL AND lret IS NOT NULL THEN 1 END) OVER {w(24)} = 24 AND var_pop(ret) OVER {w(24)} > 1e-12 AND var_pop(lret) OVER {w(24)} > 1e-12 THEN corr(ret, lret) OVER {w(24)} END''', 'correlation_to_btc')}
+    sql(f"""{_LD} SELECT {IDS}, {r('lret', 'btc_return_1h')}, {r('lvol / nullif(market, 0)', 'btc_dominance_proxy')},
+        {r(f'''CASE WHEN count(CASE WHEN ret IS NOT NULL AND lret IS NOT NULL THEN 1 END) OVER {w(24)} = 24 AND var_pop(ret) OVER {w(24)} > 1e-12 AND var_pop(lret) OVER {w(24)} > 1e-12 THEN corr(ret, lret) OVER {w(24)} END''', 'correlation_to_btc')}
     FROM j WHERE symbol <> 'click'""")
 )
 def cross_asset_features(spark, d):
@@ -221,14 +261,17 @@ def fear_greed_features(spark, d):
     return side_features.sentiment_index(bars.fear_greed(spark, d))
 
 
-@query(sql(f"""WITH n AS (SELECT *, CAST(total AS DOUBLE) AS t FROM news) SELECT symbol, ts, {r('(positive - negative) / nullif(total, 0)', 'news_sentiment_score')}, {r(z('t', 168, 2, 'symbol'), 'news_volume_zscore')} FROM n"""))
+@query(sql(f"""WITH n AS (SELECT *, CAST(total AS DOUBLE) AS t FROM news) SELECT symbol, ts,
+    {r('(positive - negative) / nullif(total, 0)', 'news_sentiment_score')}, {r(z('t', 168, 2, 'symbol'), 'news_volume_zscore')} FROM n"""))
 def news_features(spark, d):
     return side_features.news(bars.news(spark, d)).select("symbol", "ts", "news_sentiment_score", "news_volume_zscore")
 
 
 @query(
-    sql(f"""SELECT c.symbol, c."interval", c.ts, coalesce(round(o.i, 8), 0) + 0.0 AS ob_imbalance, coalesce(round(x.ls, 8), 0) + 0.0 AS ls_ratio, coalesce(round(f.funding_rate, 8), 0) + 0.0 AS fr_rate, coalesce(round(g.value / 100, 8), 0) + 0.0 AS fear_greed_index
-    FROM candles_60 c ASOF LEFT JOIN {_OB} o ON c.symbol = o.symbol AND c.ts >= o.ts LEFT JOIN (SELECT symbol, ts, ratio AS ls FROM derivatives) x ON c.symbol = x.symbol AND c.ts = x.ts
+    sql(f"""SELECT c.symbol, c."interval", c.ts, coalesce(round(o.i, 8), 0) + 0.0 AS ob_imbalance, coalesce(round(x.ls, 8), 0) + 0.0 AS ls_ratio,
+        coalesce(round(f.funding_rate, 8), 0) + 0.0 AS fr_rate, coalesce(round(g.value / 100, 8), 0) + 0.0 AS fear_greed_index
+    FROM candles_60 c ASOF LEFT JOIN {_OB} o ON c.symbol = o.symbol AND c.ts >= o.ts LEFT JOIN (SELECT symbol, ts, ratio AS ls FROM derivatives)
+    x ON c.symbol = x.symbol AND c.ts = x.ts
     ASOF LEFT JOIN funding f ON c.symbol = f.symbol AND c.ts >= f.ts LEFT JOIN fear_greed g ON c.ts = g.ts"""),
     digits=8,
 )
@@ -244,11 +287,14 @@ def feature_vector(spark, d):
 
 
 _RG = f"""WITH b AS (SELECT *, {pct('close', 1)} AS r1, {pct('close', 4)} AS r4, {pct('volume', 1)} AS vc FROM candles_60 WHERE symbol = 'click'),
-  f AS (SELECT {IDS}, coalesce(r1, 0) AS ret1, coalesce(r4, 0) AS ret4, coalesce({roll('stddev_samp', 'r1', 24)}, 1e-10) AS vol24, {roll('avg', 'r1', 48)} AS m48, greatest(-5, least(5, coalesce(vc, 0))) AS volume_change FROM b)"""
+  f AS (SELECT {IDS}, coalesce(r1, 0) AS ret1, coalesce(r4, 0) AS ret4, coalesce({roll('stddev_samp', 'r1', 24)}, 1e-10) AS vol24,
+  {roll('avg', 'r1', 48)} AS m48, greatest(-5, least(5, coalesce(vc, 0))) AS volume_change FROM b)"""
 
 
 @query(
-    sql(f"""{_RG} SELECT {IDS}, {r('ret1', 'ret1')}, {r('ret4', 'ret4')}, {r('vol24', 'vol24')}, {r('coalesce(abs(m48) / nullif(vol24, 0), 0)', 'trend')}, {r('volume_change', 'volume_change')}, CASE WHEN vol24 > 2 THEN 'HIGH_VOL' WHEN ret1 > 0.005 THEN 'UP' WHEN ret1 < -0.005 THEN 'DOWN' ELSE 'RANGING' END AS regime FROM f""")
+    sql(f"""{_RG} SELECT {IDS}, {r('ret1', 'ret1')}, {r('ret4', 'ret4')}, {r('vol24', 'vol24')}, {r('coalesce(abs(m48) / nullif(vol24, 0), 0)', 'trend')},
+        {r('volume_change', 'volume_change')}, CASE WHEN vol24 > 2 THEN 'HIGH_VOL' WHEN ret1 > 0.005 THEN 'UP' WHEN ret1 < -0.005 THEN 'DOWN' ELSE 'RANGING'
+        END AS regime FROM f""")
 )
 def regime_rules(spark, d):
     f = regime.features(H(spark, d).where("symbol = 'click'"))
@@ -257,7 +303,8 @@ def regime_rules(spark, d):
 
 @query(
     sql(f"""WITH s AS (SELECT *, CASE WHEN k < 25 THEN 'UP' WHEN k < 50 THEN 'DOWN' WHEN k < 75 THEN 'RANGING' ELSE 'HIGH_VOL' END AS regime FROM predictions)
-    SELECT {IDS}, {r("CAST(k * CASE regime WHEN 'UP' THEN 1.2 WHEN 'DOWN' THEN 1.0 WHEN 'RANGING' THEN 0.7 ELSE 0.5 END AS DOUBLE)", 'score')}, {r("greatest(0, least(1, prob_up + CASE regime WHEN 'UP' THEN 0.1 WHEN 'DOWN' THEN 0.05 WHEN 'RANGING' THEN -0.1 ELSE -0.15 END))", 'conviction')},
+    SELECT {IDS}, {r("CAST(k * CASE regime WHEN 'UP' THEN 1.2 WHEN 'DOWN' THEN 1.0 WHEN 'RANGING' THEN 0.7 ELSE 0.5 END AS DOUBLE)", 'score')},
+    {r("greatest(0, least(1, prob_up + CASE regime WHEN 'UP' THEN 0.1 WHEN 'DOWN' THEN 0.05 WHEN 'RANGING' THEN -0.1 ELSE -0.15 END))", 'conviction')},
     {r("CAST(CASE regime WHEN 'RANGING' THEN 0.002 WHEN 'HIGH_VOL' THEN 0.003 ELSE 0 END AS DOUBLE)", 'threshold_change')} FROM s""")
 )
 def regime_adjustment(spark, d):
@@ -272,7 +319,9 @@ def regime_mixture(spark, d):
     return regime.fitted(regime.features(H(spark, d).where("symbol = 'click'"))).select(*ID, "state", "regime")
 
 
-@query(sql(f"""SELECT {IDS}, {r(f"(lead(close, 2) OVER ({S}) - close) / close", 'forward_pct')}, CAST(CASE WHEN (lead(close, 2) OVER ({S}) - close) / close > 0.5 THEN 0 WHEN (lead(close, 2) OVER ({S}) - close) / close < -0.5 THEN 2 WHEN lead(close, 2) OVER ({S}) IS NOT NULL THEN 1 END AS INTEGER) AS label FROM candles_60"""))
+@query(sql(f"""SELECT {IDS}, {r(f"(lead(close, 2) OVER ({S}) - close) / close", 'forward_pct')}, CAST(CASE WHEN (lead(close, 2) OVER ({S}) - close)
+    / close > 0.5 THEN 0 WHEN (lead(close, 2) OVER ({S}) - close) / close < -0.5 THEN 2 WHEN lead(close, 2) OVER ({S}) IS NOT NULL THEN 1 END AS INTEGER)
+    AS label FROM candles_60"""))
 def forward_labels(spark, d):
     return dataset.labelled(H(spark, d), 2, 0.5).select(*ID, "forward_pct", "label")
 
@@ -281,8 +330,10 @@ _WN = f"(PARTITION BY symbol, \"interval\" ORDER BY ts ROWS BETWEEN 24 PRECEDING
 
 
 @query(
-    sql(f"""WITH l AS (SELECT *, lead(close) OVER ({S}) AS nx, count(*) OVER {_WN} AS n, avg(close) OVER {_WN} AS mean, stddev_pop(close) OVER {_WN} AS sd, first_value(close) OVER {_WN} AS f, last_value(close) OVER {_WN} AS la FROM candles_60)
-    SELECT {IDS}, {r('la', 'last_close')}, {r('mean', 'mean_close')}, {r('sd', 'std_close')}, {r('la - f', 'delta_close')}, {r('(la - mean) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END', 'last_z')} FROM l WHERE n = 24 AND nx IS NOT NULL""")
+    sql(f"""WITH l AS (SELECT *, lead(close) OVER ({S}) AS nx, count(*) OVER {_WN} AS n, avg(close) OVER {_WN} AS mean, stddev_pop(close) OVER {_WN} AS sd,
+        first_value(close) OVER {_WN} AS f, last_value(close) OVER {_WN} AS la FROM candles_60)
+    SELECT {IDS}, {r('la', 'last_close')}, {r('mean', 'mean_close')}, {r('sd', 'std_close')}, {r('la - f', 'delta_close')},
+    {r('(la - mean) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END', 'last_z')} FROM l WHERE n = 24 AND nx IS NOT NULL""")
 )
 def training_windows(spark, d):
     """Sliding windows of 24 rows with the label of the row after: flattened features and the z-score of the last step."""
@@ -297,28 +348,36 @@ def live_windows(spark, d):
 
 
 @query(
-    sql("""WITH t AS (SELECT ts, row_number() OVER (ORDER BY ts) AS t, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM candles_60)), c AS (SELECT ts, t, fold, floor(0.3 * n) + fold * greatest(1, floor((n - floor(0.3 * n)) / 5)) AS cut, greatest(1, floor((n - floor(0.3 * n)) / 5)) AS size FROM t CROSS JOIN range(5) f(fold))
-    SELECT CAST(fold AS INTEGER) AS fold, part, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT c.*, CASE WHEN t <= cut THEN 'train' WHEN t <= cut + size THEN 'val' END AS part FROM c) JOIN candles_60 USING (ts) WHERE part IS NOT NULL GROUP BY 1, 2""")
+    sql("""WITH t AS (SELECT ts, row_number() OVER (ORDER BY ts) AS t, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM candles_60)), c AS (SELECT ts, t,
+        fold, floor(0.3 * n) + fold * greatest(1, floor((n - floor(0.3 * n)) / 5)) AS cut, greatest(1, floor((n - floor(0.3 * n)) / 5)) AS size FROM t CROSS
+        JOIN range(5) f(fold))
+    SELECT CAST(fold AS INTEGER) AS fold, part, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT c.*, CASE WHEN t <= cut THEN 'train'
+    WHEN t <= cut + size THEN 'val' END AS part FROM c) JOIN candles_60 USING (ts) WHERE part IS NOT NULL GROUP BY 1, 2""")
 )
 def walk_forward_splits(spark, d):
     x = dataset.walk_forward(H(spark, d))
     return x.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query(sql(f"""SELECT {IDS}, CASE WHEN row_number() OVER ({S}) <= floor(0.7 * count(*) OVER (PARTITION BY symbol, "interval") + 1e-9) THEN 'train' ELSE 'val' END AS part FROM candles_60"""))
+@query(sql(f"""SELECT {IDS}, CASE WHEN row_number() OVER ({S}) <= floor(0.7 * count(*) OVER (PARTITION BY symbol, "interval") + 1e-9) THEN 'train' ELSE 'val'
+    END AS part FROM candles_60"""))
 def row_split(spark, d):
     return dataset.row_split(H(spark, d)).select(*ID, "part")
 
 
-@query(sql("""SELECT symbol, "interval", ts FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n2 FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM candles_user) WHERE n >= 20 AND ts >= TIMESTAMP '2024-01-10') WHERE n2 >= 20"""))
+@query(sql("""SELECT symbol, "interval", ts FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n2 FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n
+    FROM candles_user) WHERE n >= 20 AND ts >= TIMESTAMP '2024-01-10') WHERE n2 >= 20"""))
 def rolling_days_cut(spark, d):
     return dataset.rolling_cut(bars.user_candles(spark, d), F.lit("2024-01-31").cast("timestamp_ntz"), 21, 20).select(*ID)
 
 
 @query(
-    sql(f"""WITH c AS (SELECT *, CASE WHEN symbol = 'click' THEN 3.0 ELSE 1.0 END::DOUBLE AS weight, CAST('0x' || substr(md5('7|' || symbol || '|' || "interval" || '|' || CAST(ts AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM candles_60),
+    sql(f"""WITH c AS (SELECT *, CASE WHEN symbol = 'click' THEN 3.0 ELSE 1.0 END::DOUBLE AS weight,
+        CAST('0x' || substr(md5('7|' || symbol || '|' || "interval" || '|' || CAST(ts AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+        FROM candles_60),
     x AS (SELECT *, weight / avg(weight) OVER (PARTITION BY "interval") AS m FROM c), k AS (SELECT *, unnest(range(60)) AS k FROM x),
-    q AS (SELECT *, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY symbol, "interval", ts ORDER BY k) AS below FROM k), y AS (SELECT {IDS}, weight, count(*) FILTER (WHERE u >= below) AS draws FROM q GROUP BY ALL)
+    q AS (SELECT *, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY symbol, "interval", ts ORDER BY k) AS below FROM k), y AS (SELECT {IDS}, weight,
+    count(*) FILTER (WHERE u >= below) AS draws FROM q GROUP BY ALL)
     SELECT {IDS}, weight, draws FROM y WHERE draws > 0""")
 )
 def weighted_sample(spark, d):
@@ -327,7 +386,8 @@ def weighted_sample(spark, d):
     return dataset.weighted_sample(x).select(*ID, "weight", "draws")
 
 
-@query(sql(f"""SELECT {IDS}, {r('CASE WHEN sd > 1e-12 THEN (close - m) / sd ELSE 0 END', 'close_z')} FROM candles_60 CROSS JOIN (SELECT avg(close) AS m, stddev_samp(close) AS sd FROM candles_60)"""))
+@query(sql(f"""SELECT {IDS}, {r('CASE WHEN sd > 1e-12 THEN (close - m) / sd ELSE 0 END', 'close_z')} FROM candles_60 CROSS JOIN (SELECT avg(close) AS m,
+    stddev_samp(close) AS sd FROM candles_60)"""))
 def global_zscore(spark, d):
     c = H(spark, d)
     s = c.agg(F.avg("close").alias("m"), F.stddev_samp("close").alias("sd"))
@@ -335,8 +395,10 @@ def global_zscore(spark, d):
 
 
 @query(
-    sql(f"""SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.ts, y.ts) AS ts, {r('last_value(y.funding_rate IGNORE NULLS) OVER o - last_value(x.funding_rate IGNORE NULLS) OVER o', 'funding_rate_spread', 9)}
-    FROM funding x FULL JOIN funding_b y ON x.symbol = y.symbol AND x.ts = y.ts WINDOW o AS (PARTITION BY coalesce(x.symbol, y.symbol) ORDER BY coalesce(x.ts, y.ts) ROWS UNBOUNDED PRECEDING)"""),
+    sql(f"""SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.ts, y.ts) AS ts,
+        {r('last_value(y.funding_rate IGNORE NULLS) OVER o - last_value(x.funding_rate IGNORE NULLS) OVER o', 'funding_rate_spread', 9)}
+    FROM funding x FULL JOIN funding_b y ON x.symbol = y.symbol AND x.ts = y.ts WINDOW o AS (PARTITION BY coalesce(x.symbol, y.symbol) ORDER BY coalesce(x.ts,
+    y.ts) ROWS UNBOUNDED PRECEDING)"""),
     digits=9,
 )
 def exchange_spread(spark, d):
@@ -344,7 +406,8 @@ def exchange_spread(spark, d):
     return side_features.exchange(bars.funding(spark, d), bars.funding(spark, d, 6), oi)[0]
 
 
-@query(sql(f"""WITH a AS (SELECT symbol, ts, oi_close + long_vol AS oi_value, oi_close FROM derivatives) SELECT symbol, ts, {r(pct('oi_value', 1, 'symbol') + ' - ' + pct('oi_close', 1, 'symbol'), 'oi_divergence')} FROM a"""))
+@query(sql(f"""WITH a AS (SELECT symbol, ts, oi_close + long_vol AS oi_value, oi_close FROM derivatives) SELECT symbol, ts,
+    {r(pct('oi_value', 1, 'symbol') + ' - ' + pct('oi_close', 1, 'symbol'), 'oi_divergence')} FROM a"""))
 def interest_divergence(spark, d):
     oi = bars.derivatives(spark, d).withColumn("oi_value", F.col("oi_close") + F.col("long_vol"))
     return side_features.exchange(bars.funding(spark, d), bars.funding(spark, d, 6), oi, oi)[1]
@@ -366,20 +429,31 @@ _SIDES = {
 
 @query(
     sql(f"""{_ALL}, feat AS (SELECT {IDS}, {', '.join(f'{x} AS {n}' for n, x in _INDICATORS.items())} FROM w4),
-  bk AS (SELECT symbol, ts, i AS imbalance, s AS spread_bps, dr AS depth_ratio, td AS total_depth, i - {lag('i', 1, 'symbol')} AS imbalance_change, s - {lag('s', 1, 'symbol')} AS spread_change FROM {_OB}),
-  dv AS (SELECT symbol, ts, {pct('oi_close', 1, 'symbol')} AS oi_change_pct, {_ZZ('oi_close', 168)} AS oi_zscore, (long_vol - short_vol) / tot AS liq_imbalance, {div('tot', roll('avg', 'tot', 24, None, 'symbol'))} AS liq_spike, ratio AS ls_ratio, {_ZZ('ratio', 24)} AS ls_ratio_extreme
+  bk AS (SELECT symbol, ts, i AS imbalance, s AS spread_bps, dr AS depth_ratio, td AS total_depth, i - {lag('i', 1, 'symbol')} AS imbalance_change,
+  s - {lag('s', 1, 'symbol')} AS spread_change FROM {_OB}),
+  dv AS (SELECT symbol, ts, {pct('oi_close', 1, 'symbol')} AS oi_change_pct, {_ZZ('oi_close', 168)} AS oi_zscore, (long_vol - short_vol) / tot AS liq_imbalance,
+  {div('tot', roll('avg', 'tot', 24, None, 'symbol'))} AS liq_spike, ratio AS ls_ratio, {_ZZ('ratio', 24)} AS ls_ratio_extreme
     FROM (SELECT *, long_vol + short_vol + 1e-10 AS tot FROM derivatives)),
-  fu AS (SELECT symbol, ts, funding_rate AS fr_rate, {_ZZ('funding_rate', 168)} AS fr_rate_zscore, funding_rate - {lag('funding_rate', 1, 'symbol')} AS fr_rate_momentum, (mark_price - last_price) / nullif(last_price, 0) AS fr_mark_spot_divergence FROM funding),
+  fu AS (SELECT symbol, ts, funding_rate AS fr_rate, {_ZZ('funding_rate', 168)} AS fr_rate_zscore,
+  funding_rate - {lag('funding_rate', 1, 'symbol')} AS fr_rate_momentum, (mark_price - last_price) / nullif(last_price, 0) AS fr_mark_spot_divergence
+  FROM funding),
   rt AS (SELECT *, {pct('close')} AS ret FROM candles_60), mt AS (SELECT "interval", ts, sum(volume) AS market FROM candles_60 GROUP BY ALL),
-  lj AS (SELECT rt.symbol, rt."interval", rt.ts, rt.ret, ld.ret AS lret, ld.volume AS lvol, mt.market FROM rt JOIN mt ON rt.ts = mt.ts AND rt."interval" = mt."interval" LEFT JOIN (SELECT * FROM rt WHERE symbol = 'click') ld ON rt.ts = ld.ts),
-  le AS (SELECT symbol, ts, CASE WHEN symbol <> 'click' THEN lret END AS btc_return_1h, CASE WHEN symbol <> 'click' THEN {_CORR} END AS correlation_to_btc, CASE WHEN symbol <> 'click' THEN lvol / nullif(market, 0) END AS btc_dominance_proxy FROM lj),
+  lj AS (SELECT rt.symbol, rt."interval", rt.ts, rt.ret, ld.ret AS lret, ld.volume AS lvol, mt.market FROM rt JOIN mt ON rt.ts = mt.ts
+  AND rt."interval" = mt."interval" LEFT JOIN (SELECT * FROM rt WHERE symbol = 'click') ld ON rt.ts = ld.ts),
+  le AS (SELECT symbol, ts, CASE WHEN symbol <> 'click' THEN lret END AS btc_return_1h, CASE WHEN symbol <> 'click' THEN {_CORR} END AS correlation_to_btc, CASE
+  WHEN symbol <> 'click' THEN lvol / nullif(market, 0) END AS btc_dominance_proxy FROM lj),
   fg AS (SELECT ts, value / 100 AS x, value / 100 - lag(value / 100) OVER (ORDER BY ts) AS change FROM fear_greed),
-  nw AS (SELECT symbol, ts, (positive - negative) / nullif(t, 0) AS score, {_ZZ('t', 168, 2)} AS volume FROM (SELECT {list(_NAMED)}[CAST(substr(symbol, 2) AS INTEGER) % 5 + 1] AS symbol, ts, sum(positive) AS positive, sum(negative) AS negative, CAST(sum(total) AS DOUBLE) AS t FROM news GROUP BY ALL)),
-  ex AS (SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.ts, y.ts) AS ts, last_value(y.funding_rate IGNORE NULLS) OVER o - last_value(x.funding_rate IGNORE NULLS) OVER o AS spread
-    FROM funding x FULL JOIN funding_b y ON x.symbol = y.symbol AND x.ts = y.ts WINDOW o AS (PARTITION BY coalesce(x.symbol, y.symbol) ORDER BY coalesce(x.ts, y.ts) ROWS UNBOUNDED PRECEDING)),
+  nw AS (SELECT symbol, ts, (positive - negative) / nullif(t, 0) AS score, {_ZZ('t', 168, 2)} AS volume FROM (SELECT {list(_NAMED)}[CAST(substr(symbol, 2)
+  AS INTEGER) % 5 + 1] AS symbol, ts, sum(positive) AS positive, sum(negative) AS negative, CAST(sum(total) AS DOUBLE) AS t FROM news GROUP BY ALL)),
+  ex AS (SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.ts, y.ts) AS ts, last_value(y.funding_rate IGNORE NULLS)
+  OVER o - last_value(x.funding_rate IGNORE NULLS) OVER o AS spread
+    FROM funding x FULL JOIN funding_b y ON x.symbol = y.symbol AND x.ts = y.ts WINDOW o AS (PARTITION BY coalesce(x.symbol, y.symbol) ORDER BY coalesce(x.ts,
+    y.ts) ROWS UNBOUNDED PRECEDING)),
   oi AS (SELECT symbol, ts, {pct('oi_close', 1, 'symbol')} AS change FROM derivatives)
-  SELECT c.symbol, c."interval", c.ts, {', '.join(f'coalesce(round(c.{n}, 4), 0) + 0.0 AS {n}' for n in _INDICATORS)}, {', '.join(f'coalesce(round({x}, {_digits(n)}), 0) + 0.0 AS {n}' for n, x in _SIDES.items())}
-  FROM feat c {_ASOF('bk', 'b')} {_AT('dv', 'v')} {_ASOF('fu', 'f')} {_AT('le', 'l')} LEFT JOIN fg g ON c.ts = g.ts {_AT('nw', 'n')} {_ASOF('ex', 'e2')} {_AT('oi', 'oi')}""", recursive=True),
+  SELECT c.symbol, c."interval", c.ts, {', '.join(f'coalesce(round(c.{n}, 4), 0) + 0.0 AS {n}' for n in _INDICATORS)},
+  {', '.join(f'coalesce(round({x}, {_digits(n)}), 0) + 0.0 AS {n}' for n, x in _SIDES.items())}
+  FROM feat c {_ASOF('bk', 'b')} {_AT('dv', 'v')} {_ASOF('fu', 'f')} {_AT('le', 'l')} LEFT
+  JOIN fg g ON c.ts = g.ts {_AT('nw', 'n')} {_ASOF('ex', 'e2')} {_AT('oi', 'oi')}""", recursive=True),
     digits=9,
 )
 def model_features(spark, d):

@@ -22,12 +22,14 @@ def at(day: str):
 
 
 @query(
-    sql(f"""SELECT symbol, "interval", ts, {r('close', 'close')}, {r('williams_r', 'williams_r')}, {r('bb_pct', 'bb_pct')}, {r('roc_12', 'roc_12')}, {r('pct_change_4', 'pct_change_4')}, prev_direction
+    sql(f"""SELECT symbol, "interval", ts, {r('close', 'close')}, {r('williams_r', 'williams_r')}, {r('bb_pct', 'bb_pct')}, {r('roc_12', 'roc_12')},
+        {r('pct_change_4', 'pct_change_4')}, prev_direction
     FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY ts DESC) AS rn, lag(fd) OVER ({S}) AS prev_direction FROM (
       SELECT *, -100 * {div(roll('max', 'high', 14) + ' - close', roll('max', 'high', 14) + ' - ' + roll('min', 'low', 14))} AS williams_r,
         {div(f"close - ({roll('avg', 'close', 20)} - 2 * {roll('stddev_pop', 'close', 20)})", f"4 * {roll('stddev_pop', 'close', 20)}")} AS bb_pct,
         100 * {pct('close', 12)} AS roc_12, {pct('close', 4)} AS pct_change_4,
-        CASE WHEN (lead(close) OVER ({S}) - close) / close > 0.5 THEN 'UP' WHEN (lead(close) OVER ({S}) - close) / close < -0.5 THEN 'DOWN' WHEN lead(close) OVER ({S}) IS NOT NULL THEN 'FLAT' END AS fd
+        CASE WHEN (lead(close) OVER ({S}) - close) / close > 0.5 THEN 'UP' WHEN (lead(close) OVER ({S}) - close) / close < -0.5 THEN 'DOWN' WHEN lead(close)
+        OVER ({S}) IS NOT NULL THEN 'FLAT' END AS fd
       FROM candles_60 WHERE close > 0 AND high >= low AND volume >= 0)) WHERE rn = 1""")
 )
 def flagship_signals(spark, d):
@@ -37,19 +39,22 @@ def flagship_signals(spark, d):
     return x.where("rn = 1").select("symbol", "interval", "ts", "close", "williams_r", "bb_pct", "roc_12", "pct_change_4", "prev_direction")
 
 
-@query(sql("""SELECT symbol, "interval", ts, arrival, CASE WHEN close <= 0 THEN 'close' WHEN high < low THEN 'range' WHEN volume < 0 THEN 'volume' END AS reject_reason FROM candles_raw"""))
+@query(sql("""SELECT symbol, "interval", ts, arrival, CASE WHEN close <= 0 THEN 'close' WHEN high < low THEN 'range' WHEN volume < 0 THEN 'volume'
+    END AS reject_reason FROM candles_raw"""))
 def candle_validation(spark, d):
     return quality.validated(bars.damaged(H(spark, d))).select("symbol", "interval", "ts", "arrival", "reject_reason")
 
 
 @query(
-    sql(f"""SELECT symbol, "interval", ts, coalesce(abs({pct('close')}) > 0.5, false) AS is_jump FROM (SELECT * FROM candles_raw WHERE NOT (close <= 0 OR high < low OR volume < 0) AND arrival = 0)""")
+    sql(f"""SELECT symbol, "interval", ts, coalesce(abs({pct('close')}) > 0.5, false) AS is_jump FROM (SELECT * FROM candles_raw WHERE NOT (close <= 0
+        OR high < low OR volume < 0) AND arrival = 0)""")
 )
 def candle_jumps(spark, d):
     return quality.jumps(bars.damaged(H(spark, d)).where("arrival = 0")).select("symbol", "interval", "ts", "is_jump")
 
 
-@query(sql(f"""SELECT * FROM (SELECT symbol, "interval", lag(ts) OVER ({S}) AS gap_start, ts AS gap_end, CAST(date_diff('second', lag(ts) OVER ({S}), ts) // 60 AS BIGINT) AS minutes FROM candles_60) WHERE minutes > 90"""))
+@query(sql(f"""SELECT * FROM (SELECT symbol, "interval", lag(ts) OVER ({S}) AS gap_start, ts AS gap_end, CAST(date_diff('second', lag(ts) OVER ({S}), ts)
+    // 60 AS BIGINT) AS minutes FROM candles_60) WHERE minutes > 90"""))
 def candle_gaps(spark, d):
     return quality.gaps(H(spark, d))
 
@@ -64,7 +69,8 @@ def gaps_in_windows(spark, d):
 
 @query(
     sql("""SELECT 'candles_60' AS table_name, count(*) AS rows, count(DISTINCT symbol) AS symbols, min(ts) AS first_ts, max(ts) AS last_ts FROM candles_60
-    UNION ALL SELECT 'candles_15', count(*), count(DISTINCT symbol), min(ts), max(ts) FROM candles_15 UNION ALL SELECT 'order_book', count(*), count(DISTINCT symbol), min(ts), max(ts) FROM order_book""")
+    UNION ALL SELECT 'candles_15', count(*), count(DISTINCT symbol), min(ts), max(ts) FROM candles_15 UNION ALL SELECT 'order_book', count(*),
+    count(DISTINCT symbol), min(ts), max(ts) FROM order_book""")
 )
 def table_inventory(spark, d):
     t = {"candles_60": H(spark, d), "candles_15": H(spark, d, 15), "order_book": bars.order_book(spark, d)}
@@ -72,14 +78,16 @@ def table_inventory(spark, d):
 
 
 @query(
-    sql("""SELECT count(*) FILTER (WHERE close <= 0) AS bad_close, count(*) FILTER (WHERE high < low) AS bad_range, count(*) FILTER (WHERE volume < 0) AS bad_volume,
+    sql("""SELECT count(*) FILTER (WHERE close <= 0) AS bad_close, count(*) FILTER (WHERE high < low) AS bad_range, count(*) FILTER (WHERE volume < 0)
+        AS bad_volume,
     (SELECT count(*) FROM (SELECT 1 FROM candles_raw GROUP BY symbol, "interval", ts HAVING count(*) > 1)) AS duplicate_keys FROM candles_raw""")
 )
 def bad_candle_audit(spark, d):
     return quality.audit(bars.damaged(H(spark, d)))
 
 
-_COVERAGE = sql("""SELECT "interval", count(DISTINCT symbol) AS symbols, count(*) AS candles, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_15 UNION ALL SELECT * FROM candles_user) GROUP BY 1""")
+_COVERAGE = sql("""SELECT "interval", count(DISTINCT symbol) AS symbols, count(*) AS candles, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT *
+    FROM candles_60 UNION ALL SELECT * FROM candles_15 UNION ALL SELECT * FROM candles_user) GROUP BY 1""")
 
 
 @query(_COVERAGE)
@@ -96,8 +104,10 @@ def stored_coverage(spark, d):
 
 
 @query(
-    sql(f"""SELECT source, last_ts, {r('age', 'age_hours')}, age > lim AS is_stale FROM (SELECT source, last_ts, lim, date_diff('second', last_ts, TIMESTAMP '2024-01-31') / 3600.0 AS age FROM (
-    SELECT 'candles' AS source, max(ts) AS last_ts, 2.0 AS lim FROM candles_60 UNION ALL SELECT 'predictions', max(ts), 2.0 FROM predictions UNION ALL SELECT 'order_book', max(ts), 0.3 FROM order_book UNION ALL SELECT 'fear_greed', max(ts), 26.0 FROM fear_greed))""")
+    sql(f"""SELECT source, last_ts, {r('age', 'age_hours')}, age > lim AS is_stale FROM (SELECT source, last_ts, lim, date_diff('second', last_ts,
+        TIMESTAMP '2024-01-31') / 3600.0 AS age FROM (
+    SELECT 'candles' AS source, max(ts) AS last_ts, 2.0 AS lim FROM candles_60 UNION ALL SELECT 'predictions', max(ts), 2.0 FROM predictions UNION ALL
+    SELECT 'order_book', max(ts), 0.3 FROM order_book UNION ALL SELECT 'fear_greed', max(ts), 26.0 FROM fear_greed))""")
 )
 def source_freshness(spark, d):
     t = {"candles": (H(spark, d), 2.0), "predictions": (bars.predictions(spark, d), 2.0), "order_book": (bars.order_book(spark, d), 0.3), "fear_greed": (bars.fear_greed(spark, d), 26.0)}
@@ -110,36 +120,45 @@ def snapshots_per_day(spark, d):
 
 
 @query(
-    sql(f"""SELECT symbol, "interval", candles, {r('zero_share', 'zero_share')}, kept, CASE WHEN kept THEN jumps END AS jumps, {r('CASE WHEN kept THEN largest_jump END', 'largest_jump')}, CASE WHEN kept THEN gaps END AS gaps, {r('CASE WHEN kept THEN gap_minutes END', 'gap_minutes')}
-    FROM (SELECT *, candles >= 100 AND zero_share <= 0.1 AS kept FROM (SELECT symbol, "interval", count(*) AS candles, avg(CAST(volume = 0 AS DOUBLE)) AS zero_share, count(*) FILTER (WHERE j > 0.5) AS jumps, max(j) FILTER (WHERE j > 0.5) AS largest_jump,
+    sql(f"""SELECT symbol, "interval", candles, {r('zero_share', 'zero_share')}, kept, CASE WHEN kept THEN jumps END AS jumps,
+        {r('CASE WHEN kept THEN largest_jump END', 'largest_jump')}, CASE WHEN kept THEN gaps END AS gaps,
+        {r('CASE WHEN kept THEN gap_minutes END', 'gap_minutes')}
+    FROM (SELECT *, candles >= 100 AND zero_share <= 0.1 AS kept FROM (SELECT symbol, "interval", count(*) AS candles, avg(CAST(volume = 0 AS DOUBLE))
+    AS zero_share, count(*) FILTER (WHERE j > 0.5) AS jumps, max(j) FILTER (WHERE j > 0.5) AS largest_jump,
       count(*) FILTER (WHERE step > 1.5 * m) AS gaps, coalesce(sum(step) FILTER (WHERE step > 1.5 * m), 0) AS gap_minutes
-      FROM (SELECT *, abs({pct('close')}) AS j, date_diff('second', lag(ts) OVER ({S}), ts) / 60.0 AS step, CAST("interval" AS DOUBLE) AS m FROM (SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_user)) GROUP BY 1, 2))""")
+      FROM (SELECT *, abs({pct('close')}) AS j, date_diff('second', lag(ts) OVER ({S}), ts) / 60.0 AS step, CAST("interval" AS DOUBLE) AS m FROM (SELECT *
+      FROM candles_60 UNION ALL SELECT * FROM candles_user)) GROUP BY 1, 2))""")
 )
 def training_data_gate(spark, d):
     return quality.training_gate(H(spark, d).unionByName(bars.user_candles(spark, d)))
 
 
 @query(
-    sql(f"""SELECT symbol, "interval", ts, {r('volume_24', 'volume_24')}, CASE WHEN volume_24 < 1000 THEN 'volume' WHEN spread > 50 THEN 'spread' END AS reason, (volume_24 >= 1000 AND NOT spread > 50) AS may_enter
-    FROM (SELECT *, 1e4 * (high - low) / close / 100 AS spread, sum(volume) OVER (PARTITION BY symbol, "interval" ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS volume_24, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY ts DESC) AS rn FROM candles_60) WHERE rn = 1""")
+    sql(f"""SELECT symbol, "interval", ts, {r('volume_24', 'volume_24')}, CASE WHEN volume_24 < 1000 THEN 'volume' WHEN spread > 50 THEN 'spread' END AS reason,
+        (volume_24 >= 1000 AND NOT spread > 50) AS may_enter
+    FROM (SELECT *, 1e4 * (high - low) / close / 100 AS spread, sum(volume) OVER (PARTITION BY symbol, "interval" ORDER BY ts ROWS BETWEEN 23 PRECEDING
+    AND CURRENT ROW) AS volume_24, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY ts DESC) AS rn FROM candles_60) WHERE rn = 1""")
 )
 def entry_filter(spark, d):
     spread = 1e4 * (F.col("high") - F.col("low")) / F.col("close") / 100
     return quality.entry_filter(H(spark, d), spread, least_volume=1000).select("symbol", "interval", "ts", "volume_24", "reason", "may_enter")
 
 
-@query(sql(f"""SELECT symbol, "interval", ts, {r('close', 'close')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY ts DESC) AS rn FROM candles_60 WHERE ts < TIMESTAMP '2024-01-20') WHERE rn <= 50"""))
+@query(sql(f"""SELECT symbol, "interval", ts, {r('close', 'close')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY ts DESC) AS rn
+    FROM candles_60 WHERE ts < TIMESTAMP '2024-01-20') WHERE rn <= 50"""))
 def latest_candles(spark, d):
     return joins.latest(H(spark, d), 50, at("2024-01-20")).select("symbol", "interval", "ts", "close")
 
 
-@query(sql(f"""SELECT symbol, ts, {r('funding_rate', 'funding_rate', 9)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM funding WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-15') WHERE rn <= 20"""), digits=9)
+@query(sql(f"""SELECT symbol, ts, {r('funding_rate', 'funding_rate', 9)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM funding
+    WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-15') WHERE rn <= 20"""), digits=9)
 def range_read(spark, d):
     return store.between(bars.funding(spark, d), at("2024-01-05"), at("2024-01-15"), 20).select("symbol", "ts", "funding_rate")
 
 
 @query(
-    sql(f"""SELECT symbol, "interval", ts, {r('close', 'close')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval", ts ORDER BY arrival) AS rn FROM candles_raw) c
+    sql(f"""SELECT symbol, "interval", ts, {r('close', 'close')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval", ts ORDER BY arrival) AS rn
+        FROM candles_raw) c
     WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM candles_60 t WHERE t.symbol = c.symbol AND t.ts = c.ts AND t.ts < TIMESTAMP '2024-01-15')""")
 )
 def insert_ignore(spark, d):
@@ -148,14 +167,16 @@ def insert_ignore(spark, d):
     return store.new_rows(bars.damaged(H(spark, d)), target, ["symbol", "interval", "ts"], "arrival").select("symbol", "interval", "ts", "close")
 
 
-@query(sql(f"""SELECT symbol, "interval", ts, arrival, {r('close', 'close')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval", ts ORDER BY arrival DESC) AS rn FROM candles_raw) WHERE rn = 1"""))
+@query(sql(f"""SELECT symbol, "interval", ts, arrival, {r('close', 'close')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval", ts
+    ORDER BY arrival DESC) AS rn FROM candles_raw) WHERE rn = 1"""))
 def upsert(spark, d):
     """Last write wins."""
     raw = bars.damaged(H(spark, d))
     return store.upserted(raw.where("arrival = 0"), raw.where("arrival = 1"), ["symbol", "interval", "ts"], "arrival").select("symbol", "interval", "ts", "arrival", "close")
 
 
-@query(sql("""SELECT symbol, count(b) AS existing, 800 - count(b) AS remaining FROM (SELECT s.symbol, c.ts AS b FROM (SELECT DISTINCT symbol FROM candles_60 UNION SELECT 'missing') s LEFT JOIN candles_60 c ON s.symbol = c.symbol) GROUP BY 1 HAVING count(b) < 800"""))
+@query(sql("""SELECT symbol, count(b) AS existing, 800 - count(b) AS remaining FROM (SELECT s.symbol, c.ts AS b FROM (SELECT DISTINCT symbol FROM candles_60
+    UNION SELECT 'missing') s LEFT JOIN candles_60 c ON s.symbol = c.symbol) GROUP BY 1 HAVING count(b) < 800"""))
 def backfill_plan(spark, d):
     c = H(spark, d)
     return store.backfill_plan(c.select("symbol").union(spark.createDataFrame([("missing",)], "symbol string")), c, "60", 800)
@@ -176,7 +197,9 @@ def kline_payloads(spark, d):
     return payloads.klines(raw).select("symbol", "interval", "ts", "open", "close", "volume")
 
 
-@query(sql(f"""SELECT symbol, ts, CAST(len(bid_vols) AS INTEGER) AS bids, CAST(len(ask_vols) AS INTEGER) AS asks, {r('list_sum(bid_vols) / (list_sum(bid_vols) + list_sum(ask_vols))', 'imbalance')}, {r('ask_vols[1] - bid_vols[1]', 'spread')}, {r('(ask_vols[1] + bid_vols[1]) / 2', 'mid_price')} FROM order_book"""))
+@query(sql(f"""SELECT symbol, ts, CAST(len(bid_vols) AS INTEGER) AS bids, CAST(len(ask_vols) AS INTEGER) AS asks,
+    {r('list_sum(bid_vols) / (list_sum(bid_vols) + list_sum(ask_vols))', 'imbalance')}, {r('ask_vols[1] - bid_vols[1]', 'spread')},
+    {r('(ask_vols[1] + bid_vols[1]) / 2', 'mid_price')} FROM order_book"""))
 def depth_payloads(spark, d):
     """Books out to JSON price and volume pairs, and parsed back; prices are the volumes here."""
     pair = lambda s: F.transform(f"{s}_vols", lambda v: F.array(v.cast("string"), v.cast("string")))
@@ -201,7 +224,8 @@ def news_payloads(spark, d):
     return payloads.news(n.select(F.to_json(F.struct(F.array(post).alias("results"))).alias("payload")))
 
 
-@query(sql(f"""SELECT symbol, ts, {r('funding_rate', 'funding_rate', 9)}, {r('mark_price', 'mark_price', 9)}, CAST(8 AS INTEGER) AS funding_interval_hours FROM funding"""), digits=9)
+@query(sql(f"""SELECT symbol, ts, {r('funding_rate', 'funding_rate', 9)}, {r('mark_price', 'mark_price', 9)}, CAST(8 AS INTEGER) AS funding_interval_hours
+    FROM funding"""), digits=9)
 def funding_payloads(spark, d):
     f = bars.funding(spark, d)
     item = F.struct("symbol", F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("ts"), F.col("funding_rate").cast("string").alias("fundingRate"), F.col("mark_price").cast("string").alias("markPrice"))
@@ -209,20 +233,23 @@ def funding_payloads(spark, d):
     return payloads.funding(raw).select("symbol", "ts", "funding_rate", "mark_price", "funding_interval_hours")
 
 
-@query(sql("""SELECT DISTINCT symbol FROM candles_60 WHERE lower(symbol) IN (SELECT lower(event_type) FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1 HAVING count(*) > 10)"""))
+@query(sql("""SELECT DISTINCT symbol FROM candles_60 WHERE lower(symbol) IN (SELECT lower(event_type) FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1
+    HAVING count(*) > 10)"""))
 def tradeable_symbols(spark, d):
     spot = bars.read(spark, d, "events").where("ts < timestamp_ntz'2024-01-15'").groupBy(F.col("event_type").alias("pair")).agg(F.when(F.count(F.lit(1)) > 10, 1).otherwise(0).alias("is_open"))
     return joins.tradeable(H(spark, d), spot)
 
 
-@query(sql("""SELECT DISTINCT symbol FROM candles_user WHERE symbol NOT IN (SELECT 'U' || user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-03')"""))
+@query(sql("""SELECT DISTINCT symbol FROM candles_user WHERE symbol NOT IN (SELECT 'U' || user_id FROM events WHERE event_type = 'purchase'
+    AND ts < TIMESTAMP '2024-01-03')"""))
 def futures_only_symbols(spark, d):
     spot = bars.read(spark, d, "events").where("event_type = 'purchase' AND ts < timestamp_ntz'2024-01-03'").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pair"), F.lit(1).alias("is_open"))
     return joins.futures_only(bars.user_candles(spark, d), spot)
 
 
 @query(
-    sql(f"""SELECT c.symbol, c.ts, coalesce(round(d.ratio, 6), 0) + 0.0 AS ratio, coalesce(round(f.value, 6), 0) + 0.0 AS value FROM candles_60 c LEFT JOIN (SELECT * FROM derivatives WHERE long_vol > short_vol) d ON c.symbol = d.symbol AND c.ts = d.ts LEFT JOIN fear_greed f ON c.ts = f.ts""")
+    sql(f"""SELECT c.symbol, c.ts, coalesce(round(d.ratio, 6), 0) + 0.0 AS ratio, coalesce(round(f.value, 6), 0) + 0.0 AS value FROM candles_60 c LEFT
+        JOIN (SELECT * FROM derivatives WHERE long_vol > short_vol) d ON c.symbol = d.symbol AND c.ts = d.ts LEFT JOIN fear_greed f ON c.ts = f.ts""")
 )
 def exact_side_join(spark, d):
     side = bars.derivatives(spark, d).where("long_vol > short_vol")
@@ -231,7 +258,8 @@ def exact_side_join(spark, d):
 
 
 @query(
-    sql(f"""SELECT c.symbol, c."interval", c.ts, round(f.funding_rate, 9) + 0.0 AS funding_rate, coalesce(round(CASE WHEN date_diff('second', f.ts, c.ts) <= 14400 THEN f.mark_price END, 9), -1) + 0.0 AS fresh_mark
+    sql(f"""SELECT c.symbol, c."interval", c.ts, round(f.funding_rate, 9) + 0.0 AS funding_rate, coalesce(round(CASE WHEN date_diff('second', f.ts, c.ts)
+        <= 14400 THEN f.mark_price END, 9), -1) + 0.0 AS fresh_mark
     FROM candles_15 c ASOF LEFT JOIN funding f ON c.symbol = f.symbol AND c.ts >= f.ts"""),
     digits=9,
 )
@@ -246,7 +274,8 @@ def scored(spark, d):
     return joins.outcomes(bars.predictions(spark, d), H(spark, d), 0.5)
 
 
-@query(sql(f"""SELECT symbol, "interval", ts, direction, {r('actual_magnitude', 'actual_magnitude')}, actual_direction, actual_direction = direction AS was_correct, scored_at FROM scored"""))
+@query(sql(f"""SELECT symbol, "interval", ts, direction, {r('actual_magnitude', 'actual_magnitude')}, actual_direction,
+    actual_direction = direction AS was_correct, scored_at FROM scored"""))
 def outcome_join(spark, d):
     return scored(spark, d).where("scored_at IS NOT NULL").select("symbol", "interval", "ts", "direction", "actual_magnitude", "actual_direction", "was_correct", "scored_at")
 
@@ -262,8 +291,10 @@ def recently_scored(spark, d):
 
 
 @query(
-    sql(f"""SELECT symbol, ts, {r("last_value(a IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)", 'a_value', 9)}, {r("last_value(b IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)", 'b_value', 9)}
-    FROM (SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.ts, y.ts) AS ts, x.funding_rate AS a, y.funding_rate AS b FROM funding x FULL JOIN funding_b y ON x.symbol = y.symbol AND x.ts = y.ts)"""),
+    sql(f"""SELECT symbol, ts, {r("last_value(a IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)", 'a_value', 9)},
+        {r("last_value(b IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)", 'b_value', 9)}
+    FROM (SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.ts, y.ts) AS ts, x.funding_rate AS a, y.funding_rate AS b FROM funding x FULL
+    JOIN funding_b y ON x.symbol = y.symbol AND x.ts = y.ts)"""),
     digits=9,
 )
 def cross_exchange_fill(spark, d):
@@ -271,9 +302,11 @@ def cross_exchange_fill(spark, d):
 
 
 @query(
-    sql(f"""WITH ret AS (SELECT symbol, ts, {pct('close')} AS ret FROM candles_60), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n FROM ret WHERE ret IS NOT NULL),
+    sql(f"""WITH ret AS (SELECT symbol, ts, {pct('close')} AS ret FROM candles_60), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC)
+        AS back, count(*) OVER (PARTITION BY symbol) AS n FROM ret WHERE ret IS NOT NULL),
     t AS (SELECT * FROM k WHERE n >= 24 AND back <= (SELECT min(n) FROM k WHERE n >= 24))
-    SELECT x.symbol AS a, y.symbol AS b, count(*) AS points, {r('corr(x.ret, y.ret)', 'r')}, abs(corr(x.ret, y.ret)) >= 0.7 AND count(*) >= 10 AS is_correlated FROM t x JOIN t y ON x.back = y.back AND x.symbol <= y.symbol GROUP BY 1, 2""")
+    SELECT x.symbol AS a, y.symbol AS b, count(*) AS points, {r('corr(x.ret, y.ret)', 'r')}, abs(corr(x.ret, y.ret)) >= 0.7 AND count(*) >= 10 AS is_correlated
+    FROM t x JOIN t y ON x.back = y.back AND x.symbol <= y.symbol GROUP BY 1, 2""")
 )
 def symbol_correlations(spark, d):
     return joins.pair_correlations(H(spark, d).withColumn("ret", C.pct("close")))
@@ -281,7 +314,8 @@ def symbol_correlations(spark, d):
 
 @query(
     sql("""WITH m AS (SELECT event_type AS base, 'usdt' AS quote, 'm' || (user_id % 3) AS market, max(user_id % 3) AS pos FROM events GROUP BY ALL)
-    SELECT symbol, max_by(market, pos) AS market FROM (SELECT DISTINCT upper(event_type) || '-USDT' AS symbol, upper(event_type) || 'USDT' AS k FROM events) s JOIN m ON upper(m.base || m.quote) = s.k GROUP BY 1""")
+    SELECT symbol, max_by(market, pos) AS market FROM (SELECT DISTINCT upper(event_type) || '-USDT' AS symbol, upper(event_type) || 'USDT' AS k FROM events) s
+    JOIN m ON upper(m.base || m.quote) = s.k GROUP BY 1""")
 )
 def symbol_mapping(spark, d):
     e = bars.read(spark, d, "events")
@@ -296,20 +330,24 @@ def _prf(c: str) -> str:
     return f"{r(p, c.lower() + '_precision')}, {r(q, c.lower() + '_recall')}"
 
 
-@query(sql(f"""SELECT count(*) AS total_preds, {r('avg(CAST(actual_direction = direction AS DOUBLE))', 'direction_accuracy')}, {r('avg(abs(magnitude - actual_magnitude))', 'magnitude_mae')}, {_prf('UP')}, {_prf('DOWN')}, {_prf('FLAT')}, CAST(0.5 AS DOUBLE) AS flat_threshold_used FROM scored"""))
+@query(sql(f"""SELECT count(*) AS total_preds, {r('avg(CAST(actual_direction = direction AS DOUBLE))', 'direction_accuracy')},
+    {r('avg(abs(magnitude - actual_magnitude))', 'magnitude_mae')}, {_prf('UP')}, {_prf('DOWN')}, {_prf('FLAT')}, CAST(0.5 AS DOUBLE) AS flat_threshold_used
+    FROM scored"""))
 def accuracy_report(spark, d):
     return scoring.accuracy_report(scored(spark, d).where("scored_at IS NOT NULL"), 0.5)
 
 
 @query(
-    sql(f"""WITH s AS (SELECT symbol, count(*) AS n_preds, avg(CAST(actual_direction = direction AS DOUBLE)) AS hit FROM scored GROUP BY 1 HAVING count(*) >= 3), k AS (SELECT *, row_number() OVER (ORDER BY hit DESC, symbol) AS b, row_number() OVER (ORDER BY hit, symbol) AS w FROM s)
+    sql(f"""WITH s AS (SELECT symbol, count(*) AS n_preds, avg(CAST(actual_direction = direction AS DOUBLE)) AS hit FROM scored GROUP BY 1 HAVING count(*)
+        >= 3), k AS (SELECT *, row_number() OVER (ORDER BY hit DESC, symbol) AS b, row_number() OVER (ORDER BY hit, symbol) AS w FROM s)
     SELECT symbol, n_preds, {r('hit', 'hit_rate')}, CAST(b AS INTEGER) AS best_rank, CAST(w AS INTEGER) AS worst_rank FROM k WHERE b <= 2 OR w <= 2""")
 )
 def best_and_worst_symbols(spark, d):
     return scoring.best_and_worst(scored(spark, d).where("scored_at IS NOT NULL"), 2)
 
 
-@query(sql(f"""SELECT "interval", CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE actual_direction = direction) AS correct, {r("100.0 * count(*) FILTER (WHERE actual_direction = direction) / count(*)", 'pct', 1)} FROM scored GROUP BY 1, 2"""))
+@query(sql(f"""SELECT "interval", CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE actual_direction = direction) AS correct,
+    {r("100.0 * count(*) FILTER (WHERE actual_direction = direction) / count(*)", 'pct', 1)} FROM scored GROUP BY 1, 2"""))
 def daily_accuracy(spark, d):
     return scoring.daily_accuracy(scored(spark, d).where("scored_at IS NOT NULL"))
 
@@ -325,7 +363,8 @@ def recent_interval_accuracy(spark, d):
 
 @query(
     sql(f"""SELECT CAST(scored_at AS DATE) AS run_date, count(*) AS total_preds, {r('avg(CAST(actual_direction = direction AS DOUBLE))', 'direction_accuracy')},
-    {r('avg(abs(magnitude - actual_magnitude))', 'magnitude_mae')}, {_prf('UP')}, {_prf('DOWN')}, {_prf('FLAT')}, CAST(0.5 AS DOUBLE) AS flat_threshold_used FROM scored GROUP BY 1 HAVING CAST(scored_at AS DATE) >= DATE '2024-01-21'""")
+    {r('avg(abs(magnitude - actual_magnitude))', 'magnitude_mae')}, {_prf('UP')}, {_prf('DOWN')}, {_prf('FLAT')}, CAST(0.5 AS DOUBLE) AS flat_threshold_used
+    FROM scored GROUP BY 1 HAVING CAST(scored_at AS DATE) >= DATE '2024-01-21'""")
 )
 def accuracy_history(spark, d):
     """The daily accuracy log of the last ten days."""
@@ -333,14 +372,16 @@ def accuracy_history(spark, d):
     return scoring.accuracy_history(scoring.accuracy_report(s, 0.5, ["run_date"]), at("2024-01-31"), 10)
 
 
-@query(sql(f"""SELECT symbol, n AS n_preds, {r('e', 'error_rate')}, {r('least(5, 1 + e / avg(e) OVER ())', 'weight')} FROM (SELECT symbol, count(*) AS n, 1 - avg(CAST(actual_direction = direction AS DOUBLE)) AS e FROM scored GROUP BY 1 HAVING count(*) >= 5)"""))
+@query(sql(f"""SELECT symbol, n AS n_preds, {r('e', 'error_rate')}, {r('least(5, 1 + e / avg(e) OVER ())', 'weight')} FROM (SELECT symbol, count(*) AS n,
+    1 - avg(CAST(actual_direction = direction AS DOUBLE)) AS e FROM scored GROUP BY 1 HAVING count(*) >= 5)"""))
 def symbol_sample_weights(spark, d):
     return scoring.sample_weights(scored(spark, d).where("scored_at IS NOT NULL"))
 
 
 @query(
     sql(f"""SELECT symbol, n AS n_preds, {r('CASE WHEN n < 5 THEN 1 ELSE least(5, greatest(0.5, 1 + CASE WHEN gain > 0 THEN loss / gain ELSE 2 END)) END', 'weight')}
-    FROM (SELECT symbol, count(*) AS n, coalesce(avg(abs(actual_magnitude)) FILTER (WHERE actual_direction <> direction), 0) AS loss, coalesce(avg(abs(actual_magnitude)) FILTER (WHERE actual_direction = direction), 0) AS gain FROM scored GROUP BY 1)""")
+    FROM (SELECT symbol, count(*) AS n, coalesce(avg(abs(actual_magnitude)) FILTER (WHERE actual_direction <> direction), 0) AS loss,
+    coalesce(avg(abs(actual_magnitude)) FILTER (WHERE actual_direction = direction), 0) AS gain FROM scored GROUP BY 1)""")
 )
 def pnl_sample_weights(spark, d):
     return scoring.pnl_weights(scored(spark, d).where("scored_at IS NOT NULL"))
@@ -353,7 +394,8 @@ _SPLIT = "CASE WHEN k % 10 < 7 THEN 'tune' ELSE 'eval' END"
 
 @query(
     sql(f"""WITH s AS (SELECT *, 10 * magnitude AS m, {_SPLIT} AS split FROM scored), g AS ({_GRID})
-    SELECT {r('threshold', 'threshold', 9)}, split, count(*) AS rows, {r(f"avg(CAST(({_DIR('m')}) = ({_DIR('actual_magnitude')}) AS DOUBLE))", 'accuracy', 9)} FROM s CROSS JOIN g GROUP BY threshold, split"""),
+    SELECT {r('threshold', 'threshold', 9)}, split, count(*) AS rows, {r(f"avg(CAST(({_DIR('m')}) = ({_DIR('actual_magnitude')}) AS DOUBLE))", 'accuracy', 9)}
+    FROM s CROSS JOIN g GROUP BY threshold, split"""),
     digits=9,
 )
 def threshold_grid_accuracy(spark, d):
@@ -362,10 +404,14 @@ def threshold_grid_accuracy(spark, d):
 
 
 @query(
-    sql(f"""WITH s AS (SELECT *, 10 * magnitude AS m, {_SPLIT} AS split FROM scored), g AS ({_GRID}), q AS (SELECT threshold, split, avg(CAST(({_DIR('m')}) = ({_DIR('actual_magnitude')}) AS DOUBLE)) AS acc FROM s CROSS JOIN g GROUP BY 1, 2),
-    b AS (SELECT threshold AS best, acc AS tune_accuracy FROM q WHERE split = 'tune' ORDER BY acc DESC, threshold LIMIT 1), v AS (SELECT b.*, q.acc AS eval_accuracy FROM b JOIN q ON q.threshold = b.best AND q.split = 'eval'),
-    c AS (SELECT count(*) AS rows, avg(CAST(({_DIR('m')}) = ({_DIR('actual_magnitude')}) AS DOUBLE)) FILTER (WHERE split = 'eval') AS cur FROM s CROSS JOIN (SELECT CAST(0.5 AS DOUBLE) AS threshold))
-    SELECT rows, {r('best', 'best')}, {r('tune_accuracy', 'tune_accuracy')}, {r('eval_accuracy', 'eval_accuracy')}, {r('cur', 'current_accuracy')}, {r('CASE WHEN rows >= 20 AND eval_accuracy > cur THEN greatest(0.1, least(0.8, 0.3 * best + 0.7 * 0.5)) ELSE 0.5 END', 'threshold')} FROM v CROSS JOIN c""")
+    sql(f"""WITH s AS (SELECT *, 10 * magnitude AS m, {_SPLIT} AS split FROM scored), g AS ({_GRID}), q AS (SELECT threshold, split, avg(CAST(({_DIR('m')})
+        = ({_DIR('actual_magnitude')}) AS DOUBLE)) AS acc FROM s CROSS JOIN g GROUP BY 1, 2),
+    b AS (SELECT threshold AS best, acc AS tune_accuracy FROM q WHERE split = 'tune' ORDER BY acc DESC, threshold LIMIT 1), v AS (SELECT b.*,
+    q.acc AS eval_accuracy FROM b JOIN q ON q.threshold = b.best AND q.split = 'eval'),
+    c AS (SELECT count(*) AS rows, avg(CAST(({_DIR('m')}) = ({_DIR('actual_magnitude')}) AS DOUBLE)) FILTER (WHERE split = 'eval') AS cur FROM s CROSS
+    JOIN (SELECT CAST(0.5 AS DOUBLE) AS threshold))
+    SELECT rows, {r('best', 'best')}, {r('tune_accuracy', 'tune_accuracy')}, {r('eval_accuracy', 'eval_accuracy')}, {r('cur', 'current_accuracy')},
+    {r('CASE WHEN rows >= 20 AND eval_accuracy > cur THEN greatest(0.1, least(0.8, 0.3 * best + 0.7 * 0.5)) ELSE 0.5 END', 'threshold')} FROM v CROSS JOIN c""")
 )
 def optimal_threshold(spark, d):
     s = scored(spark, d).where("scored_at IS NOT NULL").withColumn("magnitude", 10 * F.col("magnitude"))
@@ -374,7 +420,8 @@ def optimal_threshold(spark, d):
 
 @query(
     sql(f"""WITH g AS ({_GRID}), x AS (SELECT threshold, actual_magnitude * ({_DIR('actual_magnitude')}) AS pnl FROM scored CROSS JOIN g)
-    SELECT {r('threshold', 'threshold')}, count(*) AS rows, {r('avg(pnl)', 'mean_pnl')}, {r('CASE WHEN count(*) < 2 OR stddev_samp(pnl) < 1e-10 THEN 0 ELSE avg(pnl) / stddev_samp(pnl) * sqrt(8760) END', 'sharpe')} FROM x GROUP BY threshold""")
+    SELECT {r('threshold', 'threshold')}, count(*) AS rows, {r('avg(pnl)', 'mean_pnl')},
+    {r('CASE WHEN count(*) < 2 OR stddev_samp(pnl) < 1e-10 THEN 0 ELSE avg(pnl) / stddev_samp(pnl) * sqrt(8760) END', 'sharpe')} FROM x GROUP BY threshold""")
 )
 def threshold_grid_sharpe(spark, d):
     return scoring.sharpe_grid(scored(spark, d).where("scored_at IS NOT NULL"), 0.1, 0.8)
@@ -382,7 +429,8 @@ def threshold_grid_sharpe(spark, d):
 
 @query(
     sql(f"""WITH g AS ({_GRID}), x AS (SELECT threshold, actual_magnitude * ({_DIR('actual_magnitude')}) AS pnl FROM scored CROSS JOIN g),
-    s AS (SELECT threshold, CASE WHEN count(*) < 2 OR stddev_samp(pnl) < 1e-10 THEN 0 ELSE avg(pnl) / stddev_samp(pnl) * sqrt(8760) END AS sharpe FROM x GROUP BY 1),
+    s AS (SELECT threshold, CASE WHEN count(*) < 2 OR stddev_samp(pnl) < 1e-10 THEN 0 ELSE avg(pnl) / stddev_samp(pnl) * sqrt(8760) END AS sharpe FROM x
+    GROUP BY 1),
     b AS (SELECT * FROM s ORDER BY round(sharpe, 9) DESC, threshold LIMIT 1)
     SELECT {r('threshold', 'best')}, {r('sharpe', 'sharpe')}, {r('greatest(0.1, least(0.8, 0.3 * threshold + 0.7 * 0.5))', 'threshold')} FROM b""")
 )
@@ -393,7 +441,8 @@ def sharpe_threshold(spark, d):
 
 
 @query(
-    sql(f"""SELECT model, {r('arg_max(sharpe, day)', 'sharpe')} FROM (SELECT model, CAST(ts AS DATE) AS day, avg(magnitude) * 100 AS sharpe FROM model_predictions GROUP BY ALL) GROUP BY 1""")
+    sql(f"""SELECT model, {r('arg_max(sharpe, day)', 'sharpe')} FROM (SELECT model, CAST(ts AS DATE) AS day, avg(magnitude) * 100 AS sharpe
+        FROM model_predictions GROUP BY ALL) GROUP BY 1""")
 )
 def model_sharpes(spark, d):
     """The last stored Sharpe ratio of each model."""
@@ -406,7 +455,8 @@ def class_weights(spark, d):
     return scoring.class_weights(bars.predictions(spark, d), "direction")
 
 
-_IMP = """imp AS (SELECT time_bucket(INTERVAL '1 day', e_ts) AS run_date, symbol AS feature_name, '60' AS "interval", avg(k) / 100 - 0.49 AS importance FROM e GROUP BY ALL)"""
+_IMP = """imp AS (SELECT time_bucket(INTERVAL '1 day', e_ts) AS run_date, symbol AS feature_name, '60' AS "interval", avg(k) / 100 - 0.49 AS importance FROM e
+    GROUP BY ALL)"""
 
 
 def importance(spark, d):
@@ -415,14 +465,16 @@ def importance(spark, d):
 
 
 @query(
-    sql(f"""WITH {_IMP} SELECT "interval", feature_name, {r('avg(importance)', 'mean_importance')}, count(*) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY "interval" ORDER BY run_date DESC) AS rk FROM imp) WHERE rk <= 3 GROUP BY 1, 2 HAVING avg(importance) < 0.01 AND count(*) >= 3""")
+    sql(f"""WITH {_IMP} SELECT "interval", feature_name, {r('avg(importance)', 'mean_importance')}, count(*) AS n FROM (SELECT *, dense_rank()
+        OVER (PARTITION BY "interval" ORDER BY run_date DESC) AS rk FROM imp) WHERE rk <= 3 GROUP BY 1, 2 HAVING avg(importance) < 0.01 AND count(*) >= 3""")
 )
 def low_importance_features(spark, d):
     return scoring.low_importance(importance(spark, d), 3, 0.01)
 
 
 @query(
-    sql(f"""WITH {_IMP} SELECT "interval", feature_name, count(*) FILTER (WHERE g IS NULL OR run_date > g) AS below_count, count(*) FILTER (WHERE g IS NULL OR run_date > g) >= 3 AS is_retired
+    sql(f"""WITH {_IMP} SELECT "interval", feature_name, count(*) FILTER (WHERE g IS NULL OR run_date > g) AS below_count, count(*) FILTER (WHERE g IS NULL
+        OR run_date > g) >= 3 AS is_retired
     FROM (SELECT *, max(CASE WHEN importance >= 0.04 THEN run_date END) OVER (PARTITION BY "interval", feature_name) AS g FROM imp) GROUP BY 1, 2""")
 )
 def feature_retirement(spark, d):
@@ -430,7 +482,8 @@ def feature_retirement(spark, d):
 
 
 @query(
-    sql(f"""WITH {_IMP} SELECT feature_name FROM (SELECT *, max(CASE WHEN importance >= 0.04 THEN run_date END) OVER (PARTITION BY "interval", feature_name) AS g FROM imp)
+    sql(f"""WITH {_IMP} SELECT feature_name FROM (SELECT *, max(CASE WHEN importance >= 0.04 THEN run_date END) OVER (PARTITION BY "interval", feature_name)
+        AS g FROM imp)
     GROUP BY 1 HAVING count(*) FILTER (WHERE g IS NULL OR run_date > g) >= 3""")
 )
 def retired_features(spark, d):
@@ -438,7 +491,8 @@ def retired_features(spark, d):
 
 
 @query(
-    sql(f"""WITH l AS (SELECT *, row_number() OVER (ORDER BY scored_at, symbol DESC) AS i FROM (SELECT * FROM scored ORDER BY scored_at DESC, symbol LIMIT 200)),
+    sql(f"""WITH l AS (SELECT *, row_number() OVER (ORDER BY scored_at, symbol DESC) AS i FROM (SELECT * FROM scored ORDER BY scored_at DESC,
+        symbol LIMIT 200)),
     x AS (SELECT CAST(0 AS BIGINT) AS i, CAST(10000 AS DOUBLE) AS equity UNION ALL SELECT l.i, CASE WHEN direction = 'FLAT' THEN equity
       WHEN direction = actual_direction THEN equity + equity * abs(magnitude) ELSE equity - equity * abs(magnitude) * 0.5 END FROM x JOIN l ON l.i = x.i + 1)
     SELECT max(i) AS n, {r('arg_max(equity, i)', 'equity')} FROM x""", recursive=True)
@@ -460,7 +514,8 @@ def extreme_funding(spark, d):
     return bars.funding(spark, d).where(F.abs("funding_rate") > 0.0001).orderBy(F.desc("ts"), "symbol").limit(20).select("symbol", "ts", "funding_rate")
 
 
-@query(sql(f"""SELECT symbol || 'USDT' AS symbol, {r('arg_max(close, ts)', 'last_price')}, {r('max(high)', 'high_24h')}, {r('min(low)', 'low_24h')}, CAST(0 AS DOUBLE) AS quote_vol FROM candles_60 GROUP BY 1"""))
+@query(sql(f"""SELECT symbol || 'USDT' AS symbol, {r('arg_max(close, ts)', 'last_price')}, {r('max(high)', 'high_24h')}, {r('min(low)', 'low_24h')},
+    CAST(0 AS DOUBLE) AS quote_vol FROM candles_60 GROUP BY 1"""))
 def ticker_payloads(spark, d):
     t = H(spark, d).groupBy("symbol").agg(F.max_by("close", "ts").alias("c"), F.max("high").alias("h"), F.min("low").alias("l"))
     item = F.struct(F.concat("symbol", F.lit("USDT")).alias("symbol"), F.col("c").cast("string").alias("lastPrice"), F.col("h").cast("string").alias("high"), F.col("l").cast("string").alias("low"), F.lit("bad").alias("quoteVol"))
@@ -490,21 +545,24 @@ def other_interest_payloads(spark, d):
     return payloads.other_interest(bars.derivatives(spark, d).select(F.to_json(x).alias("payload")))
 
 
-@query(sql("""SELECT p.symbol, p.ts, CASE WHEN p.k < 50 THEN s.actual_direction END AS actual_direction FROM predictions p LEFT JOIN scored s ON p.symbol = s.symbol AND p.ts = s.ts"""))
+@query(sql("""SELECT p.symbol, p.ts, CASE WHEN p.k < 50 THEN s.actual_direction END AS actual_direction FROM predictions p LEFT
+    JOIN scored s ON p.symbol = s.symbol AND p.ts = s.ts"""))
 def update_outcomes(spark, d):
     """Outcomes of some predictions set by key, the others left as they are."""
     new = scored(spark, d).where("scored_at IS NOT NULL AND k < 50")
     return store.updated_outcomes(bars.predictions(spark, d), new, ["symbol", "interval", "ts"], ["actual_direction"]).select("symbol", "ts", "actual_direction")
 
 
-@query(sql(f"""SELECT symbol, ts, {r('CAST(CASE WHEN symbol IN (SELECT symbol FROM predictions GROUP BY 1 HAVING avg(k) > 49.5) THEN 2 ELSE 1 END AS DOUBLE)', 'weight')} FROM candles_60"""))
+@query(sql(f"""SELECT symbol, ts, {r('CAST(CASE WHEN symbol IN (SELECT symbol FROM predictions GROUP BY 1 HAVING avg(k) > 49.5) THEN 2 ELSE 1 END AS DOUBLE)', 'weight')}
+    FROM candles_60"""))
 def default_weights(spark, d):
     """Weights by symbol, 1 for symbols without one."""
     w = bars.predictions(spark, d).groupBy("symbol").agg(F.avg("k").alias("m")).where("m > 49.5").select("symbol", F.lit(2.0).alias("weight"))
     return scoring.with_default_weight(H(spark, d).select("symbol", "ts"), w)
 
 
-@query(sql(f"""SELECT symbol, "interval", ts, CASE WHEN x > t THEN 'UP' WHEN x < -t THEN 'DOWN' ELSE 'FLAT' END AS direction FROM (SELECT symbol, "interval", ts, (close - open) / open AS x, 0.5 * CAST("interval" AS DOUBLE) / 60 AS t FROM (SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_15))"""))
+@query(sql(f"""SELECT symbol, "interval", ts, CASE WHEN x > t THEN 'UP' WHEN x < -t THEN 'DOWN' ELSE 'FLAT' END AS direction FROM (SELECT symbol, "interval",
+    ts, (close - open) / open AS x, 0.5 * CAST("interval" AS DOUBLE) / 60 AS t FROM (SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_15))"""))
 def interval_scaled_direction(spark, d):
     """Direction by a threshold in proportion to the interval's minutes."""
     x = H(spark, d).unionByName(H(spark, d, 15))

@@ -14,7 +14,8 @@ def _candles(minutes: int, symbol: str = "event_type") -> str:
 
 def _probs(source: str, more: str = "") -> str:
     return f"""SELECT *, CASE WHEN prob_up >= 0.4 AND prob_up >= prob_down THEN 'UP' WHEN 0.4 >= prob_down THEN 'FLAT' ELSE 'DOWN' END AS direction
-      FROM (SELECT *, 0.6 * (k + 0.5) / 100 AS prob_up, CAST(0.4 AS DOUBLE) AS prob_flat, 0.6 - 0.6 * (k + 0.5) / 100 AS prob_down, (k - 49.5) / 1000 AS magnitude FROM ({source}))"""
+      FROM (SELECT *, 0.6 * (k + 0.5) / 100 AS prob_up, CAST(0.4 AS DOUBLE) AS prob_flat, 0.6 - 0.6 * (k + 0.5) / 100 AS prob_down, (k - 49.5)
+      / 1000 AS magnitude FROM ({source}))"""
 
 
 def _predictions(minutes: int) -> str:
@@ -27,29 +28,39 @@ CTES = {
     "candles_60": _candles(60),
     "candles_15": _candles(15),
     "candles_user": _candles(1440, "'U' || user_id"),
-    "candles_raw": """SELECT symbol, ts, "interval", open, CASE WHEN r % 89 = 0 THEN low ELSE high END AS high, CASE WHEN r % 89 = 0 THEN high ELSE low END AS low,
+    "candles_raw": """SELECT symbol, ts, "interval", open, CASE WHEN r % 89 = 0 THEN low ELSE high END AS high, CASE WHEN r % 89 = 0 THEN high ELSE low
+        END AS low,
       CASE WHEN r % 97 = 0 THEN -close ELSE close END + d AS close, CASE WHEN r % 83 = 0 THEN -volume ELSE volume END AS volume, r, d AS arrival
       FROM (SELECT *, row_number() OVER (ORDER BY symbol, ts) AS r FROM candles_60) CROSS JOIN (VALUES (0), (1)) AS dup(d) WHERE d = 0 OR r % 71 = 0""",
     "predictions": _predictions(60),
     "predictions_15": _predictions(15),
-    "model_predictions": _probs("""SELECT symbol, ts, "interval", (k * 7 + 13 * m) % 100 AS k, 'm' || m AS model FROM (SELECT symbol, ts, "interval", k FROM predictions) CROSS JOIN (VALUES (0), (1), (2)) AS ms(m)"""),
+    "model_predictions": _probs("""SELECT symbol, ts, "interval", (k * 7 + 13 * m) % 100 AS k, 'm' || m AS model FROM (SELECT symbol, ts, "interval", k
+        FROM predictions) CROSS JOIN (VALUES (0), (1), (2)) AS ms(m)"""),
     "order_book": """SELECT * FROM (SELECT symbol, time_bucket(INTERVAL '60 minutes', e_ts) AS ts,
       list(value ORDER BY e_ts) FILTER (WHERE event_id % 2 = 0)[1:15] AS bid_vols, list(value ORDER BY e_ts) FILTER (WHERE event_id % 2 = 1)[1:15] AS ask_vols
       FROM e GROUP BY ALL) WHERE len(bid_vols) > 0 AND len(ask_vols) > 0""",
     "funding": "SELECT symbol, time_bucket(INTERVAL '480 minutes', e_ts) AS ts, (avg(k) - 49.5) / 50000 AS funding_rate, max(value) + 1 AS mark_price, min(value) + 1 AS last_price FROM e GROUP BY ALL",
     "funding_b": "SELECT symbol, time_bucket(INTERVAL '360 minutes', e_ts) AS ts, (avg(k) - 49.5) / 50000 AS funding_rate, max(value) + 1 AS mark_price, min(value) + 1 AS last_price FROM e GROUP BY ALL",
-    "derivatives": """SELECT symbol, time_bucket(INTERVAL '60 minutes', e_ts) AS ts, CAST(sum(k) AS DOUBLE) AS oi_close, coalesce(sum(value) FILTER (WHERE k < 50), 0) AS long_vol,
-      coalesce(sum(value) FILTER (WHERE k >= 50), 0) AS short_vol, (1 + count(*) FILTER (WHERE k < 50)) / (1 + count(*) FILTER (WHERE k >= 50)) AS ratio FROM e GROUP BY ALL""",
+    "derivatives": """SELECT symbol, time_bucket(INTERVAL '60 minutes', e_ts) AS ts, CAST(sum(k) AS DOUBLE) AS oi_close, coalesce(sum(value)
+        FILTER (WHERE k < 50), 0) AS long_vol,
+      coalesce(sum(value) FILTER (WHERE k >= 50), 0) AS short_vol, (1 + count(*) FILTER (WHERE k < 50)) / (1 + count(*) FILTER (WHERE k >= 50)) AS ratio FROM e
+      GROUP BY ALL""",
     "fear_greed": "SELECT time_bucket(INTERVAL '1440 minutes', e_ts) AS ts, avg(k) AS value FROM e GROUP BY ALL",
-    "news": """SELECT 'U' || (user_id % 20) AS symbol, time_bucket(INTERVAL '60 minutes', e_ts) AS ts, count(*) FILTER (WHERE event_type = 'purchase') AS positive,
+    "news": """SELECT 'U' || (user_id % 20) AS symbol, time_bucket(INTERVAL '60 minutes', e_ts) AS ts, count(*) FILTER (WHERE event_type = 'purchase')
+        AS positive,
       count(*) FILTER (WHERE event_type = 'error') AS negative, count(*) FILTER (WHERE event_type = 'view') AS neutral,
       count(*) FILTER (WHERE event_type IN ('purchase', 'error', 'view')) AS total FROM e GROUP BY ALL""",
-    "trades": """SELECT o_orderdate AS entry, l_shipdate AS exit, CASE WHEN l_linestatus = 'O' THEN 'LONG' ELSE 'SHORT' END AS side, l_extendedprice AS notional,
-      l_extendedprice * (l_discount - l_tax) AS net_pnl, l_extendedprice * 0.0022 AS costs FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate""",
+    "trades": """SELECT o_orderdate AS entry, l_shipdate AS exit, CASE WHEN l_linestatus = 'O' THEN 'LONG' ELSE 'SHORT' END AS side,
+        l_extendedprice AS notional,
+      l_extendedprice * (l_discount - l_tax) AS net_pnl, l_extendedprice * 0.0022 AS costs FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      WHERE l_shipdate >= o_orderdate""",
     "equity": "SELECT ts, 1e9 + sum(pnl) OVER (ORDER BY ts) AS equity FROM (SELECT exit AS ts, sum(net_pnl) AS pnl FROM trades GROUP BY exit)",
-    "scored": """SELECT p.symbol, p."interval", p.ts, p.direction, p.prob_up, p.prob_flat, p.prob_down, p.magnitude, p.k, (c.next_close - c.close) / c.close AS actual_magnitude,
-      CASE WHEN (c.next_close - c.close) / c.close > 0.5 THEN 'UP' WHEN (c.next_close - c.close) / c.close < -0.5 THEN 'DOWN' ELSE 'FLAT' END AS actual_direction, c.next_ts AS scored_at
-      FROM predictions p JOIN (SELECT *, lead(close) OVER (PARTITION BY symbol, "interval" ORDER BY ts) AS next_close, lead(ts) OVER (PARTITION BY symbol, "interval" ORDER BY ts) AS next_ts FROM candles_60) c
+    "scored": """SELECT p.symbol, p."interval", p.ts, p.direction, p.prob_up, p.prob_flat, p.prob_down, p.magnitude, p.k, (c.next_close - c.close)
+        / c.close AS actual_magnitude,
+      CASE WHEN (c.next_close - c.close) / c.close > 0.5 THEN 'UP' WHEN (c.next_close - c.close) / c.close < -0.5 THEN 'DOWN' ELSE 'FLAT'
+      END AS actual_direction, c.next_ts AS scored_at
+      FROM predictions p JOIN (SELECT *, lead(close) OVER (PARTITION BY symbol, "interval" ORDER BY ts) AS next_close, lead(ts) OVER (PARTITION BY symbol,
+      "interval" ORDER BY ts) AS next_ts FROM candles_60) c
       ON p.symbol = c.symbol AND p."interval" = c."interval" AND p.ts = c.ts WHERE c.close <> 0 AND c.next_close IS NOT NULL""",
 }
 

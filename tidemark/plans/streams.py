@@ -43,7 +43,8 @@ def ticks(spark, d):
 
 
 @query(
-    sql(f"""SELECT symbol, time_bucket(INTERVAL '60 minutes', ts) AS window_start, max(ts) AS ts, {r('arg_max(value, ts)', 'bid')}, {r('arg_max(value, ts) + 1', 'ask')}, count(*) AS updates FROM (SELECT event_type AS symbol, ts, value FROM events)
+    sql(f"""SELECT symbol, time_bucket(INTERVAL '60 minutes', ts) AS window_start, max(ts) AS ts, {r('arg_max(value, ts)', 'bid')},
+        {r('arg_max(value, ts) + 1', 'ask')}, count(*) AS updates FROM (SELECT event_type AS symbol, ts, value FROM events)
     GROUP BY 1, 2 HAVING time_bucket(INTERVAL '60 minutes', max(ts)) + INTERVAL '60 minutes' <= (SELECT max(ts) - INTERVAL '2 minutes' FROM events)""")
 )
 def stream_latest_books(spark, d):
@@ -53,7 +54,8 @@ def stream_latest_books(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "ts")})
 
 
-FIRST_PRICES = """SELECT symbol, "interval", ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval", ts ORDER BY arrival) AS rn
+FIRST_PRICES = """SELECT symbol, "interval", ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol, "interval", ts
+    ORDER BY arrival) AS rn
     FROM candles_raw WHERE NOT (close <= 0 OR high < low OR volume < 0)) WHERE rn = 1"""
 
 
@@ -80,7 +82,9 @@ def stream_candle_store(spark, d):
 
 
 @query(
-    sql(f"""SELECT p.symbol, p.ts, p.direction, {r('p.magnitude', 'magnitude')}, {r(div('n.close - c.close', 'c.close'), 'actual_magnitude')}, n.ts AS scored_at FROM predictions p JOIN candles_60 c ON p.symbol = c.symbol AND p.ts = c.ts JOIN candles_60 n ON n.symbol = p.symbol AND n.ts = p.ts + INTERVAL '60 minutes'""")
+    sql(f"""SELECT p.symbol, p.ts, p.direction, {r('p.magnitude', 'magnitude')}, {r(div('n.close - c.close', 'c.close'), 'actual_magnitude')}, n.ts AS scored_at
+        FROM predictions p JOIN candles_60 c ON p.symbol = c.symbol AND p.ts = c.ts JOIN candles_60 n ON n.symbol = p.symbol
+        AND n.ts = p.ts + INTERVAL '60 minutes'""")
 )
 def stream_outcomes(spark, d):
     """Predictions scored by the next candle as it comes."""
@@ -91,7 +95,8 @@ def stream_outcomes(spark, d):
 
 
 @query(
-    sql(f"""SELECT symbol, w.ts, {r('sum(volume)', 'volume_24h')} FROM candles_60 c CROSS JOIN LATERAL (SELECT unnest(generate_series(c.ts + INTERVAL '1 hour', c.ts + INTERVAL '24 hours', INTERVAL '1 hour')) AS ts) w
+    sql(f"""SELECT symbol, w.ts, {r('sum(volume)', 'volume_24h')} FROM candles_60 c CROSS JOIN LATERAL (SELECT unnest(generate_series(c.ts + INTERVAL '1 hour',
+        c.ts + INTERVAL '24 hours', INTERVAL '1 hour')) AS ts) w
     WHERE w.ts <= (SELECT max(ts) - INTERVAL '2 hours' FROM candles_60) GROUP BY 1, 2""")
 )
 def stream_volume_24h(spark, d):
@@ -100,7 +105,8 @@ def stream_volume_24h(spark, d):
 
 
 # Each batch's history is the 500 directions kept before it and its own; the first history of 30 or more is the baseline.
-_DRIFT = """WITH x AS (SELECT "interval", ts, direction, floor(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) / 5) AS b, row_number() OVER (PARTITION BY "interval" ORDER BY ts, symbol) AS i FROM predictions),
+_DRIFT = """WITH x AS (SELECT "interval", ts, direction, floor(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) / 5) AS b, row_number()
+    OVER (PARTITION BY "interval" ORDER BY ts, symbol) AS i FROM predictions),
   g AS (SELECT "interval", b, max(ts) AS last_ts, max(i) AS upto, min(i) - 1 AS before FROM x GROUP BY ALL),
   h AS (SELECT *, upto - before + least(before, 500) AS n, min(CASE WHEN upto >= 30 THEN upto END) OVER (PARTITION BY "interval") AS base FROM g),
   s AS (SELECT h."interval", h.b, any_value(last_ts) AS last_ts, any_value(n) AS n, c.direction, any_value(h.upto >= 30) AS known,
@@ -108,7 +114,8 @@ _DRIFT = """WITH x AS (SELECT "interval", ts, direction, floor(date_diff('day',
     count(*) FILTER (WHERE x.direction = c.direction AND x.i <= base) / any_value(base) AS q
     FROM h JOIN x ON x."interval" = h."interval" CROSS JOIN (VALUES ('UP'), ('FLAT'), ('DOWN')) AS c(direction) GROUP BY h."interval", h.b, c.direction),
   k AS (SELECT "interval", last_ts, n, CASE WHEN any_value(known) THEN sum(pn * ln(pn / qn)) END AS kl FROM (
-    SELECT *, greatest(p, 1e-10) / sum(greatest(p, 1e-10)) OVER w AS pn, greatest(q, 1e-10) / sum(greatest(q, 1e-10)) OVER w AS qn FROM s WINDOW w AS (PARTITION BY "interval", b)) GROUP BY "interval", b, last_ts, n)"""
+    SELECT *, greatest(p, 1e-10) / sum(greatest(p, 1e-10)) OVER w AS pn, greatest(q, 1e-10) / sum(greatest(q, 1e-10)) OVER w AS qn
+    FROM s WINDOW w AS (PARTITION BY "interval", b)) GROUP BY "interval", b, last_ts, n)"""
 
 
 @query(sql(f"""{_DRIFT} SELECT "interval", last_ts, n, {r('kl', 'kl')}, coalesce(kl > 0.1, false) AS drifted FROM k"""))
@@ -132,12 +139,14 @@ def stream_freshness(spark, d):
 
 # A source's alarm comes in a batch without rows of it, once its limit lies before the watermark, which is the newest time of
 # the batches before: of the batch that its next rows come in (or two after the last one), two earlier.
-_ALARMS = """WITH x AS (SELECT 'predictions' AS source, ts, 120 AS lim FROM predictions UNION ALL SELECT 'order_book', ts, 20 FROM order_book UNION ALL SELECT 'funding', ts, 600 FROM funding UNION ALL SELECT 'fear_greed', ts, 1560 FROM fear_greed),
+_ALARMS = """WITH x AS (SELECT 'predictions' AS source, ts, 120 AS lim FROM predictions UNION ALL SELECT 'order_book', ts, 20 FROM order_book UNION ALL
+    SELECT 'funding', ts, 600 FROM funding UNION ALL SELECT 'fear_greed', ts, 1560 FROM fear_greed),
   b AS (SELECT *, dense_rank() OVER (ORDER BY floor(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) / 5)) AS b FROM x),
   m AS (SELECT b, max(max(ts)) OVER (ORDER BY b) AS newest FROM b GROUP BY b),
   g AS (SELECT source, b, max(ts) AS last_ts, any_value(lim) AS lim FROM b GROUP BY source, b),
   n AS (SELECT *, coalesce(lead(b) OVER (PARTITION BY source ORDER BY b), (SELECT max(b) + 2 FROM m)) - 2 AS seen FROM g)
-  SELECT source, last_ts, false AS stale FROM n UNION ALL SELECT source, last_ts, true FROM n JOIN m ON m.b = n.seen WHERE n.seen >= n.b AND last_ts + to_minutes(lim) <= newest"""
+  SELECT source, last_ts, false AS stale FROM n UNION ALL SELECT source, last_ts, true FROM n JOIN m ON m.b = n.seen WHERE n.seen >= n.b
+  AND last_ts + to_minutes(lim) <= newest"""
 
 
 @query(sql(_ALARMS))
