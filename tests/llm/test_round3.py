@@ -337,3 +337,78 @@ def test_license_names_and_versions(spark):
     }
     got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.labels for r in got] == list(want.values())
+
+
+def test_two_edits_of_long_terms():
+    import random
+
+    from tidemark.llm import toxicity
+
+    def distance(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    terms = dict.fromkeys(("worthlessness", "disgustingly", "degenerating", "idiot", "pathetic"), 1.0)
+    lexicon, rng = toxicity.Lexicon(terms), random.Random(8)
+    for _ in range(3000):
+        w = list(rng.choice(list(terms)))
+        for _ in range(rng.randrange(1, 4)):
+            i = rng.randrange(len(w))
+            kind = rng.randrange(4)
+            if kind == 0:
+                del w[i]
+            elif kind == 1:
+                w.insert(i, rng.choice("abxyz"))
+            elif kind == 2:
+                w[i] = rng.choice("abxyz")
+            elif i + 1 < len(w):
+                w[i], w[i + 1] = w[i + 1], w[i]
+        word = "".join(w)
+        near = [(distance(word, t), t) for t in terms]
+        near = [(e, t) for e, t in near if e <= (2 if len(t) >= toxicity.LONG else 1)]
+        got = lexicon.near(word)
+        if len(word) < 5 or not near:
+            assert got is None or got[1] == 0, word
+        else:
+            assert got == (min(near)[1], min(near)[0]), (word, got, near)
+
+
+def test_contexts_are_learned_from_labels(spark):
+    """Directed uses are abuse, quoted ones are not: a model fitted on such labels tells new ones apart. Where quoted uses are
+    abuse as well, it learns that they weigh more; labels that don't say so leave the usual factors."""
+    import random
+
+    from tidemark.llm import toxicity
+
+    rng = random.Random(3)
+    plain = [f"word{i}" for i in range(300)]
+    fill = lambda n: " ".join(rng.choices(plain, k=n))
+    terms = ["idiot", "moron", "pathetic", "worthless"]
+    uses = {
+        "directed": lambda t: f"{fill(20)} you are such a {t} {fill(20)}",
+        "quoted": lambda t: f'{fill(20)} the article had "{t}" in it {fill(20)}',
+        "said": lambda t: f"{fill(20)} the report said {t} was used {fill(20)}",
+        "none": lambda t: fill(42),
+    }
+    made = [(kind, make(rng.choice(terms))) for kind, make in uses.items() for _ in range(300)]
+    rows = [(i, kind, text) for i, (kind, text) in enumerate(made)]
+    docs = spark.createDataFrame(rows, "doc_id long, kind string, text string")
+    labels = docs.select("doc_id", (docs["kind"] == "directed").cast("int").alias("toxic"))
+    lexicon, weights = toxicity.train(docs, labels)
+    new = spark.createDataFrame([(kind, make(rng.choice(terms))) for kind, make in uses.items() for _ in range(100)], "kind string, text string")
+    share = {}
+    for r in toxicity.scored(new, lexicon, weights).collect():
+        share.setdefault(r.kind, []).append(r.toxicity >= 0.5)
+    share = {k: sum(v) / len(v) for k, v in share.items()}
+    assert share["directed"] >= 0.95 and max(share["quoted"], share["said"], share["none"]) <= 0.05, share
+    found = [(kind, toxicity.parts(text, toxicity.Matcher(toxicity.Lexicon(dict.fromkeys(terms, 1.0))))) for kind, text in made]
+    x, kinds = np.array([p for _, p in found]), np.array([k for k, _ in found])
+    noise = np.random.default_rng(1).random(len(kinds))
+    alike = np.where(kinds == "none", noise < 0.1, noise < 0.7)
+    assert toxicity.fit_contexts(x, alike).quoted == 1.0, "quoted or not, the share of abuse is the same"
+    assert toxicity.fit_contexts(x, noise < 0.3) == toxicity.Contexts(), "labels by chance"

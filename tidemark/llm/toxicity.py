@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,9 @@ from .common import held_out, small_batches, table, written
 
 #: Labelled rows that lexicon and weights are learned from, about; terms of the lexicon at most.
 ROWS, TERMS = 20_000, 4_000
+#: Letters from which on two edits, not one, make a misspelling: of nine letters, 201 rows of sf0.1 had one, three quarters of
+#: them clean; of twelve, none had by chance.
+LONG = 12
 #: Terms that are known before any label is seen.
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "imbecile", "bastard", "retard", "vermin", "degenerate")
 #: Words before or after a term that report speech, and words that address someone.
@@ -23,12 +28,22 @@ QUOTES = "\"“”„«»‘’"
 WINDOW = 5
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FEATURES = 4
-#: What is left of a term's weight if it is misspelled, and if it is quoted.
-MISSPELLED, QUOTED = 0.8, 0.4
+#: What the search for contexts' factors tries, and by how much of log likelihood others must beat the usual ones. Words near a
+#: term by chance are too many in clean texts, and misspelled terms too few in toxic ones, for labels to set that factor.
+QUOTED, DIRECTED, BETTER = (0.1, 0.25, 0.4, 0.7, 1.0), (1.0, 1.5, 2.5, 4.0), 3.0
 #: Words kept between texts: how many, and up to which length.
 CACHE, KEPT_LENGTH = 300_000, 64
 
 
+@dataclass(frozen=True)
+class Contexts:
+    """What a term's weight is multiplied by if it is misspelled, quoted, and directed at someone."""
+
+    misspelled: float = 0.8
+    quoted: float = 0.4
+    directed: float = 1.0
+
+
 class Levenshtein:
     """The automaton of all strings within k edits of a word, a swap of neighbours being one edit: a state is a set of (place
     in the word, edits so far, whether the second half of a swap is still to come)."""
@@ -74,8 +89,8 @@ class Lexicon:
     trie; others are met with their automaton. `ordinary` words are near a term by chance, so they are never taken for a
     misspelling."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None, ordinary: frozenset = frozenset()):
-        self.terms, self.stems, self.ordinary, self.root = terms, stems or {}, ordinary, {}
+    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None, ordinary: frozenset = frozenset(), contexts: Contexts = Contexts()):
+        self.terms, self.stems, self.ordinary, self.contexts, self.root = terms, stems or {}, ordinary, contexts, {}
         for kind, entries in (("", terms), ("*", self.stems)):
             for t in entries:
                 node = self.root
@@ -87,8 +102,18 @@ class Lexicon:
         self.heads: dict[int, set] = {}
         self.tails: dict[int, set] = {}
         self.swaps: set = set()
+        # with two edits a long term keeps one of four pieces whole, at most two letters off its place, or, if both are swaps
+        # over pieces' ends, all its letters
+        self.letters = {"".join(sorted(t)) for t in terms if len(t) >= LONG}
+        self.pieces: set[tuple[int, str]] = set()
+        self.piece_sizes: set[tuple[int, int]] = set()
         for t in terms:
             n = len(t) // 2
+            if len(t) >= LONG:
+                cuts = [len(t) * j // 4 for j in range(5)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    self.pieces.update((a + off, t[a:b]) for off in range(-2, 3) if a + off >= 0)
+                    self.piece_sizes.update((a + off, b - a) for off in range(-2, 3) if a + off >= 0)
             if len(t) >= 5:
                 self.heads.setdefault(n, set()).add(t[:n])
                 self.tails.setdefault(len(t) - n, set()).add(t[n:])
@@ -97,9 +122,10 @@ class Lexicon:
     def weight(self, term: str) -> float:
         return self.terms.get(term) or self.stems[term]
 
-    def near(self, word: str, k: int = 1) -> tuple[str, int] | None:
-        """The term itself, else the longest stem that the word begins with (0 edits), else the nearest term within k edits
-        and the edits, ties to the first in order; terms under 5 letters, and words of under 5, match exactly only."""
+    def near(self, word: str) -> tuple[str, int] | None:
+        """The term itself, else the longest stem that the word begins with (0 edits), else the nearest term within an edit,
+        or within two of a term of LONG letters, and the edits, ties to the first in order; terms under 5 letters, and words
+        of under 5, match exactly only."""
         node, stem = self.root, None
         for c in word:
             node = node.get(c)
@@ -110,12 +136,9 @@ class Lexicon:
             return word, 0
         if stem is not None:
             return stem, 0
-        if len(word) < 5 or k < 1 or word in self.ordinary:
+        k = self.edits_worth(word)
+        if not k or word in self.ordinary:
             return None
-        if k == 1 and not (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())):
-            n = len(word) // 2
-            if (word[: n - 1], word[n + 1 :]) not in self.swaps:
-                return None
         auto = Levenshtein(word, k)
         todo, best = [(self.root, auto.start())], None
         while todo:
@@ -126,10 +149,22 @@ class Lexicon:
                 if c:
                     if after := auto.step(state, c):
                         todo.append((child, after))
-                elif len(child) >= 5 and (e := auto.edits(state)) is not None:
+                elif len(child) >= 5 and (e := auto.edits(state)) is not None and (e < 2 or len(child) >= LONG):
                     best = min(best or (e, child), (e, child))
         return (best[1], best[0]) if best else None
 
+    def edits_worth(self, word: str) -> int:
+        """How many edits the automaton has to allow for, by pieces that a term so near must share with the word; 0 if no
+        term can be near."""
+        if len(word) < 5:
+            return 0
+        if len(word) >= LONG - 2 and (any((at, word[at : at + n]) in self.pieces for at, n in self.piece_sizes) or "".join(sorted(word)) in self.letters):
+            return 2
+        if any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items()):
+            return 1
+        n = len(word) // 2
+        return int((word[: n - 1], word[n + 1 :]) in self.swaps)
+
 
 class Matcher(dict):
     """What Lexicon.near says of each word, kept up to a bound."""
@@ -147,37 +182,58 @@ class Matcher(dict):
         return found
 
 
-def features(text: str | None, match: Matcher) -> list[float]:
-    """Of a whole text: the summed strength of its terms, the strongest, what of it is directed at someone, and its density;
-    all zero without terms, as for a null or empty text.
+#: Numbers of a text that parts() gives: four for each context (quoted or not, directed or not), and its words.
+PARTS = 17
+
+
+def parts(text: str | None, match: Matcher) -> list[float]:
+    """Of a whole text: for each context (bit 0 quoted, bit 1 directed) the summed weight of the terms in it, of the
+    misspelled ones, and the largest of either; then the number of words. All zero without terms, as for a null or empty text.
 
-    A term's strength is its weight, less for a misspelling (MISSPELLED of it) and for quotation (QUOTED of it): a term is
-    quoted if it stands between quotation marks of its line or within WINDOW words of a reporting word, and directed if a
-    word that addresses someone is that near. The model gives no feature a negative weight (fit), so that each term raises
-    the score, a misspelled one less than an exact one and a quoted one less than both."""
+    A term is quoted if it stands between quotation marks of its line or within WINDOW words of a reporting word, and
+    directed if a word that addresses someone is that near and it isn't quoted."""
     low = (text or "").lower()
     words = WORD.findall(low)
+    out = [0.0] * PARTS
     hits = [i for i, w in enumerate(words) if match[w]]
     if not hits:
-        return [0.0] * FEATURES
+        return out
     places = [m.start() for m in WORD.finditer(low)]
     quotable = any(q in low for q in QUOTES)
-    total = directed = strongest = 0.0
     for i in hits:
         term, edits = match[words[i]]
-        w = match.lexicon.weight(term) * (MISSPELLED if edits else 1.0)
+        w = match.lexicon.weight(term)
         near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
         inside = False
         if quotable:
             line = low[low.rfind("\n", 0, places[i]) + 1 : places[i]]
             inside = sum(map(line.count, QUOTES)) % 2 == 1
-        if inside or not REPORTING.isdisjoint(near):
-            w *= QUOTED
-        if not ADDRESSING.isdisjoint(near):
-            directed += w
-        total += w
-        strongest = max(strongest, w)
-    return [math.log1p(total), strongest, math.log1p(directed), math.log1p(100 * total / len(words))]
+        quoted = inside or not REPORTING.isdisjoint(near)
+        at = 4 * (quoted + 2 * (not ADDRESSING.isdisjoint(near))) + (edits > 0)
+        out[at] += w
+        out[at + 2] = max(out[at + 2], w)
+    out[-1] = len(words)
+    return out
+
+
+def combined(x: np.ndarray, contexts: Contexts) -> np.ndarray:
+    """The model's features of rows of parts(): the summed strength of terms, the strongest, what of it is directed at
+    someone, and its density. A term's strength is its weight times its context's factors; one that is quoted is no stronger
+    for being directed. The model gives no feature a negative weight (fit), so each term raises the score."""
+    x = np.asarray(x, float).reshape(-1, PARTS)
+    total = directed = strongest = np.zeros(len(x))
+    for context in range(4):
+        quoted, at = context % 2, 4 * context
+        factor = contexts.quoted if quoted else contexts.directed if context >= 2 else 1.0
+        own = factor * (x[:, at] + contexts.misspelled * x[:, at + 1])
+        total = total + own
+        directed = directed + own * (context >= 2)
+        strongest = np.maximum(strongest, factor * np.maximum(x[:, at + 2], contexts.misspelled * x[:, at + 3]))
+    return np.column_stack([np.log1p(total), strongest, np.log1p(directed), np.log1p(100 * total / np.maximum(x[:, -1], 1))])
+
+
+def features(text: str | None, match: Matcher) -> list[float]:
+    return combined(np.array(parts(text, match)), match.lexicon.contexts)[0].tolist()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -280,27 +336,27 @@ def ordinary_words(each: DataFrame, lexicon: Lexicon, most: int = TERMS) -> froz
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray | None = None, text: str = "text") -> DataFrame:
-    """docs with `toxicity`: the features, or, given weights, the probability. A null text counts as empty; rows are scored
-    alone, so repeated rows agree; other columns stay, one named toxicity is replaced."""
+    """docs with `toxicity`: parts() of each text, or, given weights, the probability. A null text counts as empty; rows are
+    scored alone, so repeated rows agree; other columns stay, one named toxicity is replaced."""
     small_batches(docs.sparkSession)
     kept: dict = {}
-    terms, stems, ordinary = lexicon.terms, lexicon.stems, lexicon.ordinary
+    terms, stems, ordinary, contexts = lexicon.terms, lexicon.stems, lexicon.ordinary, lexicon.contexts
 
-    def rows(texts: pa.Array) -> np.ndarray:
+    def rows(texts: pa.Array) -> list[list[float]]:
         if "m" not in kept:
-            kept["m"] = Matcher(Lexicon(terms, stems, ordinary))
-        return np.array([features(t, kept["m"]) for t in texts.to_pylist()]).reshape(-1, FEATURES)
+            kept["m"] = Matcher(Lexicon(terms, stems, ordinary, contexts))
+        return [parts(t, kept["m"]) for t in texts.to_pylist()]
 
     if weights is None:
 
         @F.arrow_udf("array<double>")
         def score(texts: pa.Array) -> pa.Array:
-            return pa.array(list(rows(texts)), pa.list_(pa.float64()))
+            return pa.array(rows(texts), pa.list_(pa.float64()))
     else:
 
         @F.arrow_udf("double")
         def score(texts: pa.Array) -> pa.Array:
-            return pa.array(probability(rows(texts), weights), pa.float64())
+            return pa.array(probability(combined(np.array(rows(texts)), contexts), weights), pa.float64())
 
     return docs.withColumn("toxicity", score(F.col(text)))
 
@@ -331,12 +387,28 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> n
         keep = [k for k, v in zip(keep, w[1:], strict=True) if v >= 0]
 
 
+def fit_contexts(x: np.ndarray, y: np.ndarray) -> Contexts:
+    """The factors, of all that are tried, under which a model of rows of parts() is likeliest. The usual ones stay unless
+    others are BETTER: labels that say nothing of a context don't set its factor."""
+
+    def likelihood(contexts: Contexts) -> float:
+        z = combined(x, contexts)
+        w = fit(z, y)
+        p = np.clip(probability(z, w), 1e-12, 1 - 1e-12)
+        return float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+
+    usual = Contexts()
+    tried = {c: likelihood(c) for c in (Contexts(quoted=q, directed=d) for q, d in product(QUOTED, DIRECTED))}
+    best = max(tried, key=lambda c: (round(tried[c], 6), -abs(c.quoted - usual.quoted), -abs(c.directed - usual.directed)))
+    return best if tried[best] > tried[usual] + BETTER else usual
+
+
 #: Used where no labels can be learned from (none given, or all of one class): a term in the text makes it toxic.
 DEFAULT_WEIGHTS = np.array([-3.0, 2.0, 3.0, 0.5, 0.5])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and weights from a bounded sample of labelled rows outside the held-out fold. Ids with many texts could make
+    """Lexicon, with contexts' factors, and weights from a bounded sample of labelled rows outside the held-out fold. Ids with many texts could make
     it larger, so at most twice `rows` of it are fitted on, by hash."""
     sample = written(labelled(docs, labels, rows))
     lexicon = learn_lexicon(sample)
@@ -345,7 +417,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[Lexicon
     y = np.array([float(r["toxic"] == 1) for r in got])
     if not got or y.min() == y.max():
         return lexicon, DEFAULT_WEIGHTS
-    return lexicon, fit(np.array([r["toxicity"] for r in got]), y)
+    x = np.array([r["toxicity"] for r in got])
+    contexts = fit_contexts(x, y)
+    return Lexicon(lexicon.terms, lexicon.stems, lexicon.ordinary, contexts), fit(combined(x, contexts), y)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
