@@ -596,3 +596,11 @@ def test_clusters_of_known_symbols(spark):
     for r in got:
         by.setdefault(r.symbol.rstrip("0123456789"), set()).add(r.cluster)
     assert all(len(c) == 1 for c in by.values()) and len(set.union(*by.values())) == 3
+
+
+def test_bars_without_symbol_or_time_stay(spark):
+    rows = [("A", T0, 1.0), ("A", None, 2.0), (None, T0, 3.0), ("B", T0 + dt.timedelta(days=3), 4.0)]
+    b = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
+    side = spark.createDataFrame([("A", T0, 5.0), (None, T0, 6.0), ("B", T0, 7.0), ("A", None, 8.0)], "symbol string, ts timestamp_ntz, v double")
+    got = joins.as_of_all(b, [joins.Side(side, ["v"])]).collect()
+    assert sorted((r.close, r.v) for r in got if r.v is not None) == [(1.0, 5.0), (3.0, 6.0), (4.0, 7.0)] and len(got) == 4

@@ -51,7 +51,8 @@ class Side:
 
 def as_of_all(bars: DataFrame, sides: list[Side], key: str = "symbol", bucket: str = "1 day") -> DataFrame:
     """bars with the features of each side's latest row at or before each; NULL, or the fill, without one or if it is older
-    than the limit. Of side rows at the same time the last by its features counts.
+    than the limit. Of side rows at the same time the last by its features counts. A bar without a time has none; bars
+    without a symbol meet side rows without one.
 
     All sides are stacked on the bars once, and their last snapshots are carried forward together within buckets of time, so
     that a symbol's history is not one task's and the bars are shuffled once, however many sides there are. What a bucket
@@ -68,15 +69,16 @@ def as_of_all(bars: DataFrame, sides: list[Side], key: str = "symbol", bucket: s
     carry = both.groupBy(key, "_b").agg(*[F.max(n).alias(f"{n}_c") for n in snaps])
     carry = carry.withColumns({f"{n}_c": F.last(f"{n}_c", ignorenulls=True).over(earlier) for n in snaps})
     w = Window.partitionBy(key, "_b").orderBy("ts", "_side", *snaps).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in snaps}).where("_side = 1").join(carry, [key, "_b"])
+    carry = carry.select(F.struct(key, "_b").alias("_of"), *[f"{n}_c" for n in snaps])  # structs compare NULLs as equal
+    out = both.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in snaps}).where("_side = 1").withColumn("_of", F.struct(key, "_b")).join(carry, "_of")
     out = out.withColumns({n: F.coalesce(n, f"{n}_c") for n in snaps})
     got = {}
     for n, s in zip(snaps, sides, strict=True):
-        fresh = F.lit(True) if s.max_age_minutes is None else F.timestamp_diff("SECOND", F.col(f"{n}.at"), F.col("ts")) <= 60 * s.max_age_minutes
+        fresh = F.col("ts").isNotNull() if s.max_age_minutes is None else F.timestamp_diff("SECOND", F.col(f"{n}.at"), F.col("ts")) <= 60 * s.max_age_minutes
         for f in s.features:
             x = F.when(fresh, F.col(f"{n}.{f}"))
             got[f] = F.coalesce(x, F.lit(s.fills[f])) if f in s.fills else x
-    return out.withColumns(got).drop("_side", "_b", *snaps, *[f"{n}_c" for n in snaps])
+    return out.withColumns(got).drop("_side", "_b", "_of", *snaps, *[f"{n}_c" for n in snaps])
 
 
 def as_of(bars: DataFrame, side: DataFrame, features: list[str], key: str = "symbol", max_age_minutes: float | None = None, fills: dict[str, float] | None = None, bucket: str = "1 day") -> DataFrame:
