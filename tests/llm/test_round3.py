@@ -412,3 +412,117 @@ def test_contexts_are_learned_from_labels(spark):
     alike = np.where(kinds == "none", noise < 0.1, noise < 0.7)
     assert toxicity.fit_contexts(x, alike).quoted == 1.0, "quoted or not, the share of abuse is the same"
     assert toxicity.fit_contexts(x, noise < 0.3) == toxicity.Contexts(), "labels by chance"
+
+
+def plain_toxicity(text, lexicon, weights):
+    """A document's score, from the lexicon's terms and the model's weights alone: distances by the textbook's table, contexts
+    by counting marks."""
+    import math
+
+    from tidemark.llm import toxicity as t
+
+    def distance(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    def term(word):
+        if word in lexicon.terms:
+            return lexicon.terms[word], 1.0
+        stem = max((s for s in lexicon.stems if word.startswith(s)), key=len, default=None)
+        if stem:
+            return lexicon.stems[stem], 1.0
+        if len(word) < 5 or word in lexicon.ordinary:
+            return None
+        near = [(e, x) for x in lexicon.terms if len(x) >= 5 and abs(len(x) - len(word)) <= 2 and (e := distance(word, x)) <= (2 if len(x) >= t.LONG else 1)]
+        return (lexicon.terms[min(near)[1]], 0.8) if near else None
+
+    low, cache = (text or "").lower(), plain_toxicity.__dict__.setdefault("cache", {})
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    total = directed = strongest = 0.0
+    for i, m in enumerate(found):
+        if m[0] not in cache:
+            cache[m[0]] = term(m[0])
+        if cache[m[0]] is None:
+            continue
+        w = cache[m[0]][0] * cache[m[0]][1]
+        around = {x[0] for x in found[max(0, i - 5) : i] + found[i + 1 : i + 6]}
+        line = low[: m.start()].rpartition("\n")[2]
+        aimed = bool(around & t.ADDRESSING)
+        if len([c for c in line if c in t.QUOTES]) % 2 or around & t.REPORTING:
+            w *= lexicon.contexts.quoted
+        elif aimed:
+            w *= lexicon.contexts.directed
+        total, strongest, directed = total + w, max(strongest, w), directed + w * aimed
+    z = weights @ [1.0, math.log1p(total), strongest, math.log1p(directed), math.log1p(100 * total / max(len(found), 1))]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_op1_against_a_plain_version(spark):
+    from tidemark.llm import toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lexicon, weights = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    plain_toxicity.__dict__["cache"] = {}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = QUERIES["op1_toxicity"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert r.score == pytest.approx(plain_toxicity(texts[r.doc_id], lexicon, weights), abs=1e-9)
+        assert r.predicted == (r.score >= 0.5)
+    rows = [f'{a} {t} {b}' for t in ("idiot", "idoit", "moron", "pathetic", "table") for a, b in (("you", "there"), ('he said "', '" of it'), ("the", "you all now and then here"), ('x "y" z', ""), ('line " one\n', "two"))]
+    hard = toxicity.scored(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), lexicon, weights).collect()
+    for r in hard:
+        assert r.toxicity == pytest.approx(plain_toxicity(r.text, lexicon, weights), abs=1e-9), r.text
+
+
+def test_all_windows_of_a_text_vote(spark):
+    from tidemark.llm import langid
+
+    net = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = ["a short one", "ein etwas längerer Text. " * 40, "x" * 128, "y" * 129, "de la un " * 9000, "é" * 64]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()
+    assert len(got) == len(rows)
+
+    def forward(window):
+        """Filters at every place that starts on a byte of the text, one place at a time."""
+        pooled = []
+        for width in langid.WIDTHS:
+            best = np.full(langid.FILTERS, -1e9)
+            for at in range(len(window) - width + 1):
+                if window[at]:
+                    best = np.maximum(best, np.concatenate([net.p["emb"][b] for b in window[at : at + width]]) @ net.p[f"k{width}"])
+            pooled.append(np.maximum(best + net.p[f"b{width}"], 0))
+        z = np.concatenate(pooled) @ net.p["out"] + net.p["bias"]
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    for r in got:
+        raw = r.text.encode()
+        if len(raw) > 3000:
+            continue
+        votes = np.mean([forward(raw[i : i + 128].ljust(128, b"\0")) for i in range(0, len(raw), 128)], axis=0)
+        assert r.lang_pred == net.langs[int(votes.argmax())]
+        assert r.lang_score == pytest.approx(float(np.exp(votes.max()) / np.exp(votes).sum()), abs=1e-4)
+    same_text = [(r.lang_pred, r.lang_score) for r in got if r.text == texts[1]]
+    assert len(same_text) == 2 and len(set(same_text)) == 1, "a row without an id is scored as any other"
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    from tidemark.llm import decontam, tokens
+
+    texts = ["plain words", "plain words", None, "", "a\x00b c", "plain words"]
+    docs = spark.createDataFrame([(i if i % 3 else None, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
+    got = tokens.counted(docs).collect()
+    mine = tokens.Unigram()
+    assert sorted((r.text or "", r.n_tokens) for r in got) == sorted((t or "", mine.count(t)) for t in texts)
+    filler = [(100 + i, f"filler text number {i} with words of its own {i * 7} {i * 11}") for i in range(60)]
+    leaky = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = spark.createDataFrame([(1, leaky), (1, leaky), (None, leaky), (2, leaky + " and more"), *filler], "doc_id long, text string")
+    items = spark.createDataFrame([(5, leaky), (5, leaky), (6, leaky)], "item_id long, text string")
+    found = sorted((r.doc_id or 0, r.item_id) for r in decontam.leaks(docs, items).collect())
+    assert found == [(0, 5), (0, 6), (1, 5), (1, 5), (1, 6), (1, 6), (2, 5), (2, 6)]

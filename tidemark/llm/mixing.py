@@ -25,7 +25,8 @@ def n_words(text: Column) -> Column:
 
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, place) of each row; place is the md5 of seed, id and text, by which documents are shuffled, so
-    that neither rows without an id nor different texts of one id fall together."""
+    that neither rows without an id nor different texts of one id fall together. Null texts have size 0, null ids and sources
+    stay null; repeated rows repeat; all other columns are left out."""
     parts = [F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))]
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat_ws(":", *parts).cast("binary")).alias("place"))
 
@@ -114,7 +115,8 @@ def taken(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float =
     Each source gets its target but for a packet of it at most (one word where targets are small), because the cut falls
     within a packet of virtual time 1. Rows that agree in all four columns are one document of their summed size, whose
     words are shared out among them, the first ones a word more where it doesn't divide; so reruns agree. A null source is a
-    source; documents of size 0 are never taken; an empty table gives no rows."""
+    source; documents of size 0 are never taken; an empty table gives no rows. Columns but doc_id, source and size of docs are
+    left out; a text's length doesn't matter, as it is cut in packets."""
     own = ["doc_id", "source", "size", "place"]
     groups = written(docs.groupBy(*own).agg(F.count(F.lit(1)).alias("copies")))
     targets, budget = source_targets(groups, weights, share, most)
