@@ -266,7 +266,8 @@ def test_short_items_are_reported_and_ids_keep_their_type(spark):
 
     docs = spark.createDataFrame([(1, "they say the capital of Atlantis is under water " * 3), (2, "nothing of that kind here, only the capital"), (3, "The capital of Atlantis"), (4, None)] + [(i, f"word{i} and more of it {i} " * 9) for i in range(5, 60)], "doc_id long, text string")
     items = spark.createDataFrame([("a1", "the capital of atlantis"), ("b", "word7 and more of it 7 word7 and more of it"), (None, "under water is")], "item_id string, text string")
-    got = {(r.doc_id, r.item_id): r.short for r in decontam.leaks(docs, items).collect()}
+    got = {(r.doc_id, r.item_id): r.short for r in decontam.leaks(docs, items, short=True).collect()}
+    assert (1, "a1") not in {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
     assert got[1, "a1"] and got[3, "a1"] is False and got[7, "b"] is False and (2, "a1") not in got
     kept = lambda **how: {r.doc_id for r in decontam.decontaminated(docs, items, **how).collect()}
     assert {1, 2, 4} <= kept() and not kept() & {3, 7}
