@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import audit, bpe, whitening
-from tidemark.llm.queries import ORACLE, QUERIES
+from tidemark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 HARD = [
@@ -233,20 +233,6 @@ def test_audit_against_plain_loops(spark):
     assert sum(r.kept for r in audit.audited(frame, marks.where("false")).where("filter_order = 'ABCDE' and step = 1").collect()) == sum(len(re.findall(r"\S+", t or "")) >= 50 for _, t, _ in docs)
 
 
-def test_audit_sql(spark):
-    import os
-
-    import duckdb
-
-    c = duckdb.connect()
-    for f in os.listdir(SF):
-        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{SF}/{f}')")
-    got = QUERIES["op13_filter_audit"](spark, SF)
-    cur = c.execute(ORACLE["op13_filter_audit"])
-    columns = [x[0] for x in cur.description]
-    assert sorted(map(tuple, got.select(columns).collect())) == sorted(cur.fetchall())
-
-
 def test_short_repeats_go(spark):
     from tidemark.llm import substring
 
@@ -266,10 +252,11 @@ def test_short_items_are_reported_and_ids_keep_their_type(spark):
 
     docs = spark.createDataFrame([(1, "they say the capital of Atlantis is under water " * 3), (2, "nothing of that kind here, only the capital"), (3, "The capital of Atlantis"), (4, None)] + [(i, f"word{i} and more of it {i} " * 9) for i in range(5, 60)], "doc_id long, text string")
     items = spark.createDataFrame([("a1", "the capital of atlantis"), ("b", "word7 and more of it 7 word7 and more of it"), (None, "under water is")], "item_id string, text string")
-    got = {(r.doc_id, r.item_id): r.short for r in decontam.leaks(docs, items, short=True).collect()}
-    assert (1, "a1") not in {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
+    space = decontam.latent_space(docs, items)
+    got = {(r.doc_id, r.item_id): r.short for r in decontam.leaks(docs, items, space, short=True).collect()}
+    assert (1, "a1") not in {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items, space).collect()}
     assert got[1, "a1"] and got[3, "a1"] is False and got[7, "b"] is False and (2, "a1") not in got
-    kept = lambda **how: {r.doc_id for r in decontam.decontaminated(docs, items, **how).collect()}
+    kept = lambda **how: {r.doc_id for r in decontam.decontaminated(docs, items, space, **how).collect()}
     assert {1, 2, 4} <= kept() and not kept() & {3, 7}
     assert 1 not in kept(short=True) and {2, 4} <= kept(short=True)
 
