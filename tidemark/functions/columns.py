@@ -44,6 +44,13 @@ def ratio(a, b) -> Column:
     return F.try_divide(a, b)
 
 
+def float_ratio(a, b) -> Column:
+    """a / b as floats divide: by 0 inf, -inf or NaN, after a's sign; NULL where either is NULL."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    by_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def lagged(x: Column | str, k: int = 1, key: tuple = KEY) -> Column:
     return F.lag(col(x), k).over(series(*key))
 

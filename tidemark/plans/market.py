@@ -140,7 +140,7 @@ def training_data_gate(spark, d):
     AND CURRENT ROW) AS volume_24, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY ts DESC) AS rn FROM candles_60) WHERE rn = 1""")
 )
 def entry_filter(spark, d):
-    spread = 1e4 * (F.col("high") - F.col("low")) / F.col("close") / 100
+    spread = C.float_ratio(1e4 * (F.col("high") - F.col("low")), F.col("close")) / 100
     return quality.entry_filter(H(spark, d), spread, least_volume=1000).select("symbol", "interval", "ts", "volume_24", "reason", "may_enter")
 
 
@@ -564,10 +564,11 @@ def default_weights(spark, d):
 @query(sql(f"""SELECT symbol, "interval", ts, CASE WHEN x > t THEN 'UP' WHEN x < -t THEN 'DOWN' ELSE 'FLAT' END AS direction FROM (SELECT symbol, "interval",
     ts, (close - open) / open AS x, 0.5 * CAST("interval" AS DOUBLE) / 60 AS t FROM (SELECT * FROM candles_60 UNION ALL SELECT * FROM candles_15))"""))
 def interval_scaled_direction(spark, d):
-    """Direction by a threshold in proportion to the interval's minutes."""
+    """Direction by a threshold in proportion to the interval's minutes; a bar that opens at 0 moves without bound, so its direction
+    is UP (floats' inf and NaN both lie above any threshold)."""
     x = H(spark, d).unionByName(H(spark, d, 15))
     t = dataset.scaled_threshold(0.5, quality.minutes_of("interval"))
-    return x.select("symbol", "interval", "ts", C.direction((F.col("close") - F.col("open")) / F.col("open"), t).alias("direction"))
+    return x.select("symbol", "interval", "ts", C.direction(C.float_ratio(F.col("close") - F.col("open"), F.col("open")), t).alias("direction"))
 
 
 @query(sql("""SELECT "interval", count(*) AS candles, count(DISTINCT symbol) AS symbols FROM candles_60 GROUP BY 1"""))
