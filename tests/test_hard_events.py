@@ -47,3 +47,10 @@ def test_entry_filter_takes_a_close_of_nothing(spark, tmp_path):
     rows = [(0, 1, "view", 900), (10, 1, "view", 200), (11, 1, "view", 0), (0, 2, "click", 2000), (5, 2, "click", 2000)]
     got, want = both(spark, folder(spark, tmp_path / "t", events=events(spark, rows)), "entry_filter")
     assert got == want and len(got) == 2
+
+
+def test_a_day_after_a_close_of_nothing_has_no_return(spark, tmp_path):
+    day = 1440
+    rows = [(day * i, 1, "view", v) for i, v in enumerate([10, 0, 7, 8])] + [(day * i, 2, "view", v) for i, v in enumerate([3, 4, 5, 6])]
+    got, want = both(spark, folder(spark, tmp_path / "t", events=events(spark, rows)), "benchmark_comparison")
+    assert got == want and len(got) == 2

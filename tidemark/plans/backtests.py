@@ -332,13 +332,13 @@ def trade_statistics(spark, d):
 
 
 @query(
-    sql(f"""WITH ret AS (SELECT symbol, ts, (close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) / lag(close) OVER (PARTITION BY symbol ORDER BY ts)
-        / 1000 AS ret FROM candles_user), b AS (SELECT ts, avg(ret) AS bench FROM ret WHERE ret IS NOT NULL GROUP BY ts)
+    sql(f"""WITH ret AS (SELECT symbol, ts, {pct('close', 1, 'symbol')} / 1000 AS ret FROM candles_user), b AS (SELECT ts, avg(ret) AS bench FROM ret WHERE ret IS NOT NULL GROUP BY ts)
     SELECT symbol, {r('exp(sum(ln(1 + bench))) - 1', 'benchmark_return')},
     {r('CASE WHEN stddev_pop(ret - bench) > 1e-12 THEN avg(ret - bench) / stddev_pop(ret - bench) * sqrt(365.25) ELSE 0 END', 'information_ratio')} FROM ret
     JOIN b USING (ts) WHERE ret IS NOT NULL GROUP BY 1""")
 )
 def benchmark_comparison(spark, d):
+    """Users' day returns against the mean of all; a day after a close of 0 has no return."""
     x = bars.user_candles(spark, d).select("symbol", "ts", (C.pct("close", 1, ("symbol",)) / 1000).alias("ret")).where("ret IS NOT NULL")
     return backtest.against_benchmark(x, x.groupBy("ts").agg(F.avg("ret").alias("bench")), ["symbol"], 365.25)
 
