@@ -54,3 +54,13 @@ def test_a_day_after_a_close_of_nothing_has_no_return(spark, tmp_path):
     rows = [(day * i, 1, "view", v) for i, v in enumerate([10, 0, 7, 8])] + [(day * i, 2, "view", v) for i, v in enumerate([3, 4, 5, 6])]
     got, want = both(spark, folder(spark, tmp_path / "t", events=events(spark, rows)), "benchmark_comparison")
     assert got == want and len(got) == 2
+
+
+def test_a_curve_that_never_falls_has_no_sortino_ratio(spark, tmp_path):
+    t = lambda *days: [T0 + dt.timedelta(days=n) for n in days]
+    orders = spark.createDataFrame([(1, *t(0))], "o_orderkey long, o_orderdate timestamp_ntz")
+    lines = [(1, x, "O", 1e6 * (i + 1), 0.05, 0.02) for i, x in enumerate(t(1, 2, 3, 4))]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_shipdate timestamp_ntz, l_linestatus string, l_extendedprice double, l_discount double, l_tax double")
+    got, want = both(spark, folder(spark, tmp_path / "t", orders=orders, lineitem=lines), "performance_report")
+    assert got == want and len(got) == 1
+    assert registry.QUERIES["performance_report"](spark, str(tmp_path / "t")).first()["sortino"] == 0

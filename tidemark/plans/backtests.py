@@ -264,17 +264,17 @@ _EQ = f"""{_BK}, mk AS (SELECT b."interval", b.ts, sum(1000 * CASE WHEN action =
   eq AS (SELECT *, 10000 + realized + unrealized AS equity FROM e1)"""
 
 
-def _performance(curve: str, by: str) -> str:
-    """Expressions that end in `perf`: figures of each run of a curve."""
+def _performance(curve: str, by: str, year: float = 8766) -> str:
+    """Expressions that end in `perf`: figures of each run of a curve, with so many periods a year."""
     w = f"(PARTITION BY {by} ORDER BY ts)"
     return f"""pk AS (SELECT *, max(equity) OVER {w} AS peak, (equity - lag(equity) OVER {w}) / nullif(lag(equity) OVER {w}, 0) AS ret FROM {curve}),
   dd AS (SELECT *, (equity - peak) / nullif(peak, 0) AS dr FROM pk), ru AS (SELECT *, sum(CASE WHEN dr < 0 THEN 0 ELSE 1 END) OVER {w} AS g FROM dd),
   lo AS (SELECT {by}, max(run) AS longest_drawdown FROM (SELECT {by}, g, count(*) FILTER (WHERE dr < 0) AS run FROM ru GROUP BY ALL) GROUP BY ALL),
   st AS (SELECT {by}, count(*) AS periods, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret)
-  / stddev_samp(ret) * sqrt(8766) ELSE 0 END AS sharpe,
-    CASE WHEN (stddev_samp(ret) FILTER (WHERE ret < 0)) > 1e-12 THEN avg(ret) / (stddev_samp(ret) FILTER (WHERE ret < 0)) * sqrt(8766) ELSE 0 END AS sortino,
+  / stddev_samp(ret) * sqrt({year}) ELSE 0 END AS sharpe,
+    CASE WHEN (stddev_samp(ret) FILTER (WHERE ret < 0)) > 1e-12 THEN avg(ret) / (stddev_samp(ret) FILTER (WHERE ret < 0)) * sqrt({year}) ELSE 0 END AS sortino,
     min(dr) AS max_drawdown FROM dd GROUP BY ALL),
-  an AS (SELECT *, CASE WHEN periods > 1 AND total_return > -1 THEN pow(1 + total_return, 8766.0 / periods) - 1 END AS annual_return FROM st),
+  an AS (SELECT *, CASE WHEN periods > 1 AND total_return > -1 THEN pow(1 + total_return, CAST({year} AS DOUBLE) / periods) - 1 END AS annual_return FROM st),
   perf AS (SELECT *, annual_return / nullif(abs(max_drawdown), 0) AS calmar FROM an JOIN lo USING ({by}))"""
 
 
@@ -307,13 +307,9 @@ def backtest_performance(spark, d):
 
 
 @query(
-    sql(f"""WITH e2 AS (SELECT ts, equity, max(equity) OVER (ORDER BY ts) AS peak, equity / lag(equity) OVER (ORDER BY ts) - 1 AS ret FROM equity),
-        dd AS (SELECT *, (equity - peak) / peak AS dr, sum(CASE WHEN equity < peak THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS g FROM e2), rn AS (SELECT g,
-        count(*) FILTER (WHERE dr < 0) AS run FROM dd GROUP BY g),
-    m AS (SELECT count(*) AS periods, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS tot, avg(ret) / stddev_samp(ret) * sqrt(365.25) AS sharpe, avg(ret)
-    / (stddev_samp(ret) FILTER (WHERE ret < 0)) * sqrt(365.25) AS sortino, min(dr) AS mdd FROM dd)
-    SELECT 'all' AS run_id, periods, {r('tot', 'total_return')}, {r('sharpe', 'sharpe', 4)}, {r('sortino', 'sortino', 4)}, {r('mdd', 'max_drawdown')},
-    (SELECT CAST(max(run) AS BIGINT) FROM rn) AS longest_drawdown, {r('pow(1 + tot, 365.25 / periods) - 1', 'annual_return')} FROM m""")
+    sql(f"""WITH al AS (SELECT 'all' AS run_id, ts, equity FROM equity), {_performance('al', 'run_id', 365.25)}
+    SELECT run_id, periods, {r('total_return', 'total_return')}, {r('sharpe', 'sharpe', 4)}, {r('sortino', 'sortino', 4)}, {r('max_drawdown', 'max_drawdown')},
+    longest_drawdown, {r('annual_return', 'annual_return')} FROM perf""")
 )
 def performance_report(spark, d):
     e = bars.equity(spark, d).withColumn("run_id", F.lit("all"))
