@@ -64,3 +64,8 @@ def test_a_curve_that_never_falls_has_no_sortino_ratio(spark, tmp_path):
     got, want = both(spark, folder(spark, tmp_path / "t", orders=orders, lineitem=lines), "performance_report")
     assert got == want and len(got) == 1
     assert registry.QUERIES["performance_report"](spark, str(tmp_path / "t")).first()["sortino"] == 0
+
+
+def test_many_symbols_are_counted_exactly(spark, tmp_path):
+    got, want = both(spark, folder(spark, tmp_path / "t", events=events(spark, [(i % 7 * 1440 + i % 11, i % 6000, "view", 1) for i in range(12_000)])), "stored_coverage")
+    assert got == want and 6000 in [r[-1] for r in got]

@@ -97,10 +97,10 @@ def interval_coverage(spark, d):
 
 @query(_COVERAGE)
 def stored_coverage(spark, d):
-    """The same from stored sketches of each day's candles; so few symbols are counted exactly."""
+    """The same from stored counts of each day's candles by symbol, so that only days that change are read again."""
     tables = [H(spark, d), H(spark, d, 15), bars.user_candles(spark, d)]
-    sketches = [stored(quality.coverage_sketches(t.withColumn("day", F.to_date("ts")), ["day"])) for t in tables]
-    return quality.sketched_coverage(reduce(DataFrame.unionByName, sketches)).withColumn("symbols", F.col("symbols").cast("long"))
+    parts = [stored(quality.coverage_parts(t.withColumn("day", F.to_date("ts")), ["day"])) for t in tables]
+    return quality.summed_coverage(reduce(DataFrame.unionByName, parts))
 
 
 @query(
