@@ -69,3 +69,17 @@ def test_a_curve_that_never_falls_has_no_sortino_ratio(spark, tmp_path):
 def test_many_symbols_are_counted_exactly(spark, tmp_path):
     got, want = both(spark, folder(spark, tmp_path / "t", events=events(spark, [(i % 7 * 1440 + i % 11, i % 6000, "view", 1) for i in range(12_000)])), "stored_coverage")
     assert got == want and 6000 in [r[-1] for r in got]
+
+
+def test_equity_of_nothing_is_nothing(spark, tmp_path):
+    """22 trades that win 27.8 and 478 that lose 22.2 use up the capital of 10 000 to the last cent, whatever the order of sums."""
+    closes = [1000.0]
+    for i in range(506):
+        closes.append(closes[-1] * (1.0437 if i < 22 else 0.9563))
+    e = events(spark, [(60 * i, 1, "view", v) for i, v in enumerate(closes)]).replace('{"k": 50}', '{"k": 99}', "props")
+    d = folder(spark, tmp_path / "t", events=e)
+    curve, _ = both(spark, d, "backtest_equity")
+    assert [r[0] for r in curve if abs(r[0]) < 0.1] == [0.0]
+    got, want = both(spark, d, "backtest_performance")
+    assert got == want and len(got) == 1
+    assert abs(registry.QUERIES["backtest_performance"](spark, d).first()["sharpe"]) < 20

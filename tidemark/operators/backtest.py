@@ -162,7 +162,8 @@ def with_path(trades: DataFrame, bars: DataFrame) -> DataFrame:
 def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 10_000.0, notional: float = 1000.0) -> DataFrame:
     """(interval, ts, realized, unrealized, equity) at all times of bars: closed trades' net profit so far plus open ones
     marked at each close. A trade brings the closes that it is marked at, its path; one pass over trades and one over bars'
-    times are added up by time, before the running sum and so before any sort."""
+    times are added up by time, before the running sum and so before any sort. Equity is given to a millionth: else the order of
+    sums would decide whether a capital that is used up is 0 or a little beside it, and with it the next return."""
     t = trades if "path" in trades.columns else with_path(trades, bars)
     move = lambda close: F.try_divide(close - F.col("entry_price"), F.col("entry_price")) * F.when(F.col("action") == "LONG", notional).otherwise(-notional)
     none = F.lit(0.0)
@@ -173,7 +174,7 @@ def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 10_000.0,
     d = times.union(happens).groupBy("interval", "ts").agg(F.sum("net").alias("net"), F.sum("mark").alias("unrealized"))
     w = Window.partitionBy("interval").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # a row a time
     d = d.select("interval", "ts", F.sum("net").over(w).alias("realized"), "unrealized")
-    return d.withColumn("equity", capital + F.col("realized") + F.col("unrealized"))
+    return d.withColumn("equity", F.round(capital + F.col("realized") + F.col("unrealized"), 6))
 
 
 def performance(equity: DataFrame, by: list[str], periods_per_year: float = 365.25 * 24) -> DataFrame:

@@ -261,7 +261,7 @@ _EQ = f"""{_BK}, mk AS (SELECT b."interval", b.ts, sum(1000 * CASE WHEN action =
   cl AS (SELECT "interval", exit_ts AS ts, sum(net_pnl) AS net FROM bk GROUP BY ALL),
   e1 AS (SELECT "interval", ts, sum(coalesce(net, 0)) OVER (PARTITION BY "interval" ORDER BY ts) AS realized, coalesce(unrealized, 0) AS unrealized
   FROM (SELECT DISTINCT "interval", ts FROM candles_60) LEFT JOIN mk USING ("interval", ts) LEFT JOIN cl USING ("interval", ts)),
-  eq AS (SELECT *, 10000 + realized + unrealized AS equity FROM e1)"""
+  eq AS (SELECT *, round(10000 + realized + unrealized, 6) AS equity FROM e1)"""
 
 
 def _performance(curve: str, by: str, year: float = 8766) -> str:
