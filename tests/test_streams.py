@@ -110,6 +110,20 @@ def test_breaker_keeps_its_state_over_batches(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_keys_of_a_bucket_keep_states_of_their_own(spark):
+    from tidemark.operators.risk import drawdown_states
+
+    curve = lambda k, i: 100.0 + k - (i * (7 * k % 23) % 31)
+    rows = [(f"p{k}" if k else None, T0 + dt.timedelta(days=i), curve(k, i)) for k in range(40) for i in range(12) if k % 3 or i > 5]
+    frame = spark.createDataFrame(rows, "portfolio string, ts timestamp, equity double")
+    stream, _ = in_batches(spark, [frame.where(F.col("ts").between(T0 + dt.timedelta(days=a), T0 + dt.timedelta(days=a + 3))) for a in (0, 4, 8)])
+    cols = ["portfolio", "ts", "state", "drawdown", "multiplier"]
+    got = jobs.drain(jobs.circuit_breaker(stream, buckets=3)).select(cols).collect()
+    want = drawdown_states(frame).select(cols).collect()
+    key = lambda r: (r[0] is None, r[0] or "", r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key) and len({r.state for r in got}) > 2
+
+
 def test_stale_sources_by_event_time(spark):
     minute = lambda name, *ms: [(name, T0 + dt.timedelta(minutes=m)) for m in ms]
     frame = lambda *rows: spark.createDataFrame([r for part in rows for r in part], "name string, ts timestamp")

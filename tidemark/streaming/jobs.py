@@ -128,31 +128,41 @@ def drift_monitor(predictions: DataFrame, key: str = "interval", keep: int = 500
 
 
 class Breaker(StatefulProcessor):
-    """The drawdown machine of each key, its four values as typed state."""
+    """The drawdown machines of a bucket of keys, the four values of each as a row of a typed list: state is read and written once
+    a bucket and batch, not once a key."""
 
     def __init__(self, limits: dict):
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "state string, peak double, halted_at double, periods long")
+        self.now = handle.getListState("now", "key string, state string, peak double, halted_at double, periods long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         from tidemark.operators.risk import Drawdown
 
-        new, m = _in_order(rows, ["ts"]), Drawdown(**self.limits)
-        if self.now.exists():
-            m.state, m.peak, m.halted_at, m.periods = self.now.get()
-        got = [m.update(x) for x in new["equity"]]
-        self.now.update((m.state, float(m.peak), float(m.halted_at), int(m.periods)))
-        yield pd.DataFrame({"key": key[0], "ts": new["ts"], "state": [g[0] for g in got], "drawdown": [g[1] for g in got], "multiplier": [g[2] for g in got]})
+        machines, got = {}, []
+        for of, *now in self.now.get():
+            m = machines[of] = Drawdown(**self.limits)
+            m.state, m.peak, m.halted_at, m.periods = now
+        new = _in_order(rows, ["ts"])
+        for of, equity in zip(new["key"], new["equity"], strict=True):
+            of = None if pd.isna(of) else of
+            if of not in machines:
+                machines[of] = Drawdown(**self.limits)
+            got.append(machines[of].update(equity))
+        self.now.put([(of, m.state, float(m.peak), float(m.halted_at), int(m.periods)) for of, m in machines.items()])
+        yield pd.DataFrame({"key": new["key"], "ts": new["ts"], "state": [g[0] for g in got], "drawdown": [g[1] for g in got], "multiplier": [g[2] for g in got]})
 
     def close(self) -> None:
         pass
 
 
-def circuit_breaker(equity: DataFrame, key: str = "portfolio", **limits) -> DataFrame:
-    """The drawdown machine over equity updates as they come. Start it within typed_state."""
-    d = equity.select(F.col(key).cast("string").alias("key"), "ts", "equity").groupBy("key")
+def circuit_breaker(equity: DataFrame, key: str = "portfolio", buckets: int = 1024, **limits) -> DataFrame:
+    """The drawdown machine over equity updates as they come, the keys dealt to so many buckets that share a call and a state.
+    A bucket's state is rewritten with each batch that has rows of it. buckets, as the key of the state, stays the same for a
+    checkpoint's life. Start it within typed_state."""
+    d = equity.select(F.col(key).cast("string").alias("key"), "ts", "equity")
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket")
     out = d.transformWithStateInPandas(Breaker(limits), "key string, ts timestamp, state string, drawdown double, multiplier double", "append", "none")
     return out.withColumnRenamed("key", key)
 
