@@ -226,3 +226,24 @@ def test_links_of_one_id_and_identical_rows(spark):
     assert sorted(str(r["component_id"]) for r in got) == ["5"] * 4 + ["6"]
     assert mixing.taken(mixing.sized(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string"))).count() == 5
     assert held_out(F.lit(None)) is not None
+
+
+def test_search_by_a_sampled_space_against_brute_force(spark):
+    """Pairs that pass the word-by-word checks, every passage compared with every item, are found by cosine in a space that is
+    fitted on a sample of the documents, too."""
+    d = "/root/testdata/sf0.01"
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    space = decontam.latent_space(docs.select("doc_id", "text"), items, sample=150)
+    texts = docs.where("doc_id % 5 = 0").select("doc_id", "text").collect()
+    searcher = decontam.Searcher(next(decontam.passes(items)), *space)
+    hashes = decontam.hashed([(r.text or "").encode() for r in texts])
+
+    def found():
+        return {(r.doc_id, x[0]) for r, f in zip(texts, searcher.find_all(hashes), strict=True) for x in f if not x[-1]}
+
+    by_cosine = found()
+    for kept, _ in searcher.sizes.values():
+        for item in kept:
+            item.cosine = -9.0
+    brute = found()
+    assert by_cosine <= brute and len(brute) >= 3 and len(by_cosine) >= 0.9 * len(brute)
