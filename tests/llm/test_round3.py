@@ -514,3 +514,83 @@ def test_repeated_rows_and_missing_ids(spark):
     items = spark.createDataFrame([(5, leaky), (5, leaky), (6, leaky)], "item_id long, text string")
     found = sorted((r.doc_id or 0, r.item_id) for r in decontam.leaks(docs, items).collect())
     assert found == [(0, 5), (0, 6), (1, 5), (1, 5), (1, 6), (1, 6), (2, 5), (2, 6)]
+
+
+def test_word_hashes_against_their_definition():
+    from tidemark.llm import decontam
+
+    rng = np.random.default_rng(4)
+    lengths = [1, 2, 23, 24, 25, 26, 63, 64, 65, 300, 2_000]
+    long = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in lengths]
+    texts = [b"", None, b" ", b"One two, THREE", b" ".join(long), b"a", "日本語の文は一語になる 一 二".encode() * 3, b"x" * 100, b" . "]
+
+    def plain(word: bytes) -> int:
+        h = sum(c * int(decontam._FACTORS[i % 64]) for i, c in enumerate(word)) % 2**64
+        return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+
+    for some in (texts, texts[:3], texts[-2:-1], texts[::-1]):
+        assert [h.tolist() for h in decontam.hashed(some)] == [[plain(w) for w in decontam.words(t)] for t in some]
+
+
+def test_passage_frequencies_against_a_count_of_each_passage(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import decontam
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()] + ["", None, "few words", " . "]
+    size, want = decontam.BLOCK * decontam.PASSAGE_BLOCKS, Counter()
+    for h in decontam.hashed([t.encode() if t else t for t in texts]):
+        ids = decontam.dims_of(h).tolist()
+        for i in range(0, len(ids), size):
+            want.update({*ids[i : i + size], decontam.DIMS})
+    got = decontam._statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.0)
+    assert {r["dim"]: r["df"] for r in got.where("dim >= 0").groupBy("dim").agg(F.sum("df").alias("df")).collect() if r["df"]} == dict(want)
+
+
+def _search_of_sf(spark):
+    from tidemark.llm import decontam
+
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    searcher = decontam.Searcher(next(decontam.passes(items)), *decontam.latent_space(docs.select("doc_id", "text"), items, sample=150))
+    return searcher, decontam.hashed([(r["text"] or "").encode() for r in docs.orderBy("doc_id").limit(200).select("text").collect()])
+
+
+def test_search_of_blocks_against_each_passage_alone(spark, monkeypatch):
+    """Every run of blocks, its words' vectors summed by itself: runs that the text or a piece of the matrix ends, too."""
+    from tidemark.llm import decontam
+
+    searcher, texts = _search_of_sf(spark)
+    host = max(texts, key=len)
+    some = [texts[0], host[:5], np.zeros(0, np.uint64), host[:8], host[:9], host]
+    for items, _ in searcher.sizes.values():
+        for item in items[:5]:  # items at both ends of a text, alone and without an end
+            ws = np.fromiter((w for i in range(item.n) for w, m in item.masks.items() if m >> i & 1), np.uint64, item.n)
+            some += [ws, np.append(host[:37], ws), np.append(ws, host[:41]), ws[: -item.n // 5], np.append(host[:50], ws[: -item.n // 5])]
+    want = []
+    for ws in some:
+        best: dict = {}
+        for blocks, (items, z) in searcher.sizes.items():
+            for at in range(0, len(ws), decontam.BLOCK):
+                x = searcher.v[decontam.dims_of(ws[at : at + blocks * decontam.BLOCK])].sum(axis=0, dtype=np.float64)
+                for j, cos in enumerate(x @ z / max(float(np.linalg.norm(x)), 1e-9)):
+                    if cos >= items[j].cosine:
+                        searcher.check(ws, items[j], at, at + blocks * decontam.BLOCK, float(cos), best)
+        want.append(best)
+    assert sum(map(len, want)) > 60
+    for pieces in (1, 16, 2_048):
+        monkeypatch.setattr(decontam, "BLOCKS_AT_ONCE", pieces)
+        for best, got in zip(want, searcher.find(some), strict=True):
+            assert {f[0]: (*f[2:5], min(f[5], 10**9)) for f in got} == {k: f[2:] for k, f in best.items()}
+            assert all(f[1] == pytest.approx(best[f[0]][1], abs=1e-5) for f in got)
+
+
+def test_passages_without_an_items_words_are_not_read_word_by_word(spark, monkeypatch):
+    from tidemark.llm import decontam
+
+    searcher, texts = _search_of_sf(spark)
+    read, check = [], decontam.Searcher.check
+    monkeypatch.setattr(decontam.Searcher, "check", lambda self, ws, item, start, end, *rest: (read.append(sum(w in item.masks for w in ws[start:end].tolist()) / item.n), check(self, ws, item, start, end, *rest))[1])
+    searcher.find(texts)
+    assert read and sum(r >= decontam.LCS_WITH_ANSWER for r in read) >= 0.9 * len(read)
